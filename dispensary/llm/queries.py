@@ -2,18 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensary.llm._spark import table
+from dispensary.llm.decontaminate import benchmark_matches, is_contaminated
+from dispensary.llm.license_scan import license_scan
+from dispensary.llm.near_dedup import near_duplicates
+from dispensary.llm.sentencepiece_codec import encode_decode
 from dispensary.llm.substring_dedup import substring_dedup
+from dispensary.llm.token_counts import token_counts
+from dispensary.llm.vector_topk import exact_top_k
+
+DOC_ID = F.col("id").alias("doc_id")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select(DOC_ID, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(DOC_ID, "n_bytes", "n_tokens", "over_limit")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = benchmark_matches(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_join("found.items", ",")
+    return found.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(table(spark, sf_dir, "documents"))
+    return out.select(DOC_ID, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(DOC_ID, "n_shingles", "component_id", "kept")
+
+
+def op8_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(DOC_ID, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_decontaminate, op4_license_scan, op6_near_dedup, op8_vector_topk, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
