@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where it names none, as in local tests, a new one."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
-        # only where the cluster names no shared folder, as in local tests
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -13,6 +13,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dispensary.llm import _blocks as B
 from dispensary.llm._spark import documents
@@ -166,3 +167,18 @@ def substring_dedup(docs: DataFrame, width: int = 20, run: int = 8, id_col: str
     hashes = B.with_answers(packed, once, suspects, B.MAIL)
     both = B.union_all(once, B.answered(hashes, _not_first))
     return B.with_answers(packed, both, finish, OUT)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The documents with what is kept of their texts, in their own columns; all of them, even if nothing is left.
+
+    A text from which nothing is removed stays as it is, white space included.  `length_col`, where the table has
+    it, is set to the new length in characters.  Rows without an id, and rows that share one, stay as they are."""
+    changed = substring_dedup(docs, id_col=id_col, text_col=text_col, **options).filter("n_removed > 0")
+    changed = changed.groupBy("id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("n = 1")
+    changed = changed.select(F.col("id").alias("changed_id"), F.col("kept").alias("changed_text"))
+    joined = docs.join(changed, docs[id_col] == changed["changed_id"], "left")
+    new = {text_col: F.coalesce("changed_text", docs[text_col])}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.col("changed_id").isNotNull(), F.length("changed_text")).otherwise(docs[length_col]).cast(docs.schema[length_col].dataType)
+    return joined.select([new[c].alias(c) if c in new else docs[c] for c in docs.columns])
