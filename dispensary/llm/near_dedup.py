@@ -1,23 +1,20 @@
-"""Near-duplicate classes by MinHash: a signature-coordinate inverted join, then exact confirmation.
+"""Near-duplicate classes by MinHash: a signature-coordinate inverted join, then exact counts on the full sets.
 
 A document is the set of its word shingles.  Documents with equal sets form one class and travel as one row.  A
 signature coordinate is a triple of minima; every class is posted under each (coordinate, value) pair.
 
-1. Within a posting list every member meets only the list's first class.  Collisions are counted over all lists
-   (a pair needs several), lists that hold one class are skipped, and pairs whose set sizes rule out the
-   threshold are dropped.  The rest is confirmed on the full sets; confirmed links are merged into components.
-2. A posting list whose members are by then in one component is skipped.  In the others, members of different
-   components are compared through their full signatures, block against block, and pairs above a match threshold
-   are confirmed on the full sets as well.  So a pair is missed only if its signatures are.
+Coordinates are merged prefix by prefix.  A posting list of one class, or one whose members are by then in
+one component, is skipped.  The members of an open list meet on their full sets, and those that reach the
+similarity are linked: a task counts the common shingles of all members of a list at once, as a product of
+incidence matrices, and returns one link a member, not the pairs.  A long list is cut into parts, and each part meets
+each other part in a task of its own, so that no list has to fit into one task.
 
-At a similarity of 0.8 a pair shares none of the 26 coordinates with probability 0.488 ** 26 < 1e-8, and matches
-fewer than 40 of the 78 minima with about the same probability.
+At a similarity of 0.8 a pair shares none of the 26 coordinates with probability 0.488 ** 26 < 1e-8.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +27,10 @@ from dispensary.llm._spark import checkpointed, documents, squeeze, steps_of, un
 from dispensary.llm._text import SPACED, STEP_BYTES, flat, mix, windows, words
 
 COORDINATES, MINIMA = 26, 3
-#: Of the single minima, how many must agree before a pair is confirmed; and how many coordinates in step 1.
-MATCHES, COLLISIONS = 40, 2
-#: Members of a posting list that one task compares with as many others.
-LIST_BLOCK = 1024
+#: Coordinates (first, past last) that are merged together.
+PREFIXES = ((0, 3), (3, COORDINATES))
+#: Members, and shingles of members, in a part of a posting list; cells of an incidence matrix.
+PART_MEMBERS, PART_SHINGLES, CELLS = 1024, 1 << 20, 1 << 24
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, COORDINATES * MINIMA, dtype=np.uint64) | np.uint64(1)
 
@@ -54,11 +51,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cls", pa.binary()), ("minima", pa.binary()), ("coords", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cls", pa.binary()), ("coords", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, size: int = 4, step_bytes: int = STEP_BYTES) -> DataFrame:
-    """(id, key, n, cls, minima, coords): digest of the text, set size, 128-bit digest of the set, signature."""
+    """(id, key, n, cls, coords): digest of the text, set size, 128-bit digest of the set, signature."""
 
     def sign(batches):
         for t in steps_of(batches, step_bytes // 2):
@@ -74,88 +71,70 @@ def signatures(docs: DataFrame, size: int = 4, step_bytes: int = STEP_BYTES) ->
             coords = np.zeros((len(sets), COORDINATES), np.uint64)
             for j in range(MINIMA):
                 coords = mix(coords + least[:, j::MINIMA])
-            tags = (mix(least) >> np.uint64(56)).astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(coords.view(np.int64).ravel()))
             cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(_keys(t.column("text")), pa.binary()), pa.array(n), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in tags], pa.binary()), lists], schema=_SIGNED)
-
-    return docs.select("id", "text").mapInArrow(sign, "id long, key binary, n long, cls binary, minima binary, coords array<long>")
-
-
-def _fits(a, b, percent: int):
-    """Set sizes that allow the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def confirm(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of (a, b) whose full sets reach the similarity; bodies are (cls, body)."""
-
-    def check(batches):
-        kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
-        for whole in batches:
-            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                ids = [b.column(c).to_pylist() for c in ("a", "b")]
-                missing: dict[bytes, bytes] = {}
-                for own, c in zip(ids, ("body_a", "body_b"), strict=True):
-                    missing |= {k: v for k, v in zip(own, b.column(c).to_pylist(), strict=True) if k not in kept}
-                if missing:
-                    texts = [unsqueeze(x) for x in missing.values()]
-                    ends = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-                    kept.update(zip(missing, shingle_sets(np.frombuffer(b"".join(texts), np.uint8), ends, size), strict=True))
-                links = []
-                for x, y in zip(*ids, strict=True):
-                    s, t = kept[x], kept[y]
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    links.append(100 * common >= percent * (len(s) + len(t) - common))
-                while len(kept) > 2048:
-                    kept.popitem(last=False)
-                yield b.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
-
-    has_b = pairs.join(bodies.select(F.col("cls").alias("b"), F.col("body").alias("body_b")), "b")
-    both = has_b.join(bodies.select(F.col("cls").alias("a"), F.col("body").alias("body_a")), "a")
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(check, "a binary, b binary")
-
-
-def _star_pairs(posts: DataFrame, percent: int, collisions: int) -> DataFrame:
-    """Every member of a posting list with the list's first class, counted over the lists."""
-    heads = posts.groupBy("k", "v").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
-    met = posts.join(heads, ["k", "v"]).filter((F.col("cls") != F.col("head.cls")) & _fits(F.col("n"), F.col("head.n"), percent))
-    return met.groupBy(F.col("head.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("met")).filter(F.col("met") >= collisions).select("a", "b")
-
-
-def _rest_pairs(posts: DataFrame, labels: DataFrame, minima: DataFrame, percent: int, matches: int, list_block: int) -> DataFrame:
-    """Pairs of posting-list members from different components whose signatures agree often enough."""
-    posts = posts.join(labels, "cls")
-    mixed = posts.groupBy("k", "v").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("open")).filter("open").select("k", "v", F.ceil(F.col("size") / list_block).cast("int").alias("parts"))
-    # a long list is cut into parts, and each part meets each other part in a task of its own
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    met = posts.join(mixed, ["k", "v"]).join(minima, "cls").withColumn("part", part)
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(_keys(t.column("text")), pa.binary()), pa.array(n), pa.array(cls, pa.binary()), lists], schema=_SIGNED)
+
+    return docs.select("id", "text").mapInArrow(sign, "id long, key binary, n long, cls binary, coords array<long>")
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1  # a shingle of one set is shared with none
+    shared = count[number] > 1
+    owner, number = owner[shared], rank[number[shared]]
+    by = np.argsort(number, kind="stable")
+    owner, number = owner[by], number[by]
+    wide = max(1, CELLS // n)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, wide):
+        i, j = np.searchsorted(number, (low, low + wide))
+        cells = np.zeros((n, wide), np.float32)
+        cells[owner[i:j], number[i:j] - low] = 1
+        out += cells @ cells.T
+    return out
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first set of its component, under links of that similarity."""
+    both = common(sets).astype(np.int64)
+    size = np.array([len(x) for x in sets])
+    link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, True)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(link, label[None, :], len(sets)).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _links(posts: DataFrame, labels: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the members of open posting lists as their full sets say."""
+    posts = posts.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    lists = posts.groupBy("k", "v").agg(F.count("*").alias("size"), F.sum("n").alias("total"), (F.min("label") != F.max("label")).alias("open")).filter("open")
+    lists = lists.select("k", "v", F.greatest(F.ceil(F.col("size") / PART_MEMBERS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int").alias("parts"))
+    met = posts.join(lists, ["k", "v"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("k", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "label", "n", "minima")
-
-    def compare(t: pa.Table) -> pa.Table:
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        cls, part = t.column("cls").to_pylist(), np.array(t.column("part"))
-        _, label = np.unique(np.array([x.hex() for x in t.column("label").to_pylist()]), return_inverse=True)
-        n = np.array(t.column("n"), np.int64)
-        tags = np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint8).reshape(len(cls), -1)
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        a, b = [], []
-        for i in left.tolist():
-            j = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if p == q:
-                j = j[j > i]
-            if len(j):
-                j = j[(tags[j] == tags[i]).sum(axis=1) >= matches]
-                a += [cls[i]] * len(j)
-                b += [cls[x] for x in j.tolist()]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    found = met.groupBy("k", "v", "p", "q").applyInArrow(compare, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", matches: int = MATCHES, collisions: int = COLLISIONS, list_block: int = LIST_BLOCK) -> DataFrame:
+    met = met.select("k", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "cls").join(bodies, "cls")
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cls")
+        cls = t.column("cls").to_pylist()
+        texts = [unsqueeze(x) for x in t.column("body").to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+        first = linked(shingle_sets(np.frombuffer(b"".join(texts), np.uint8), ends, size), percent).tolist()
+        pairs = [(cls[i], x) for x, i in zip(cls, first, strict=True) if cls[i] != x]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+
+    return met.groupBy("k", "v", "p", "q").applyInArrow(meet, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every document.
 
     Words are maximal runs without white space after lower-casing A-Z; a set is the distinct `size`-word shingles,
@@ -167,25 +146,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     """
     docs = documents(docs, id_col, text_col)
     signed = checkpointed(signatures(docs, size))
-    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("coords").alias("coords"), F.min("minima").alias("minima"))
-    posts = classes.select("cls", "n", F.posexplode("coords").alias("k", "v"))
-
-    def bodies(of: DataFrame) -> DataFrame:
-        """One text of each of these classes."""
-        owner = of.join(signed.filter("n > 0").select("cls", "id", "key"), "cls").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "key")).alias("o"))
-        texts = docs.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInArrow(_squeezed, "id long, key binary, body binary")
-        return texts.join(owner.select("cls", "o.*"), ["id", "key"]).groupBy("cls").agg(F.min("body").alias("body"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        return checkpointed(confirm(pairs, bodies(ends), size, percent))
-
-    found = links(_star_pairs(posts, percent, collisions))
-    joined = components(found)
-    labels = classes.select("cls").join(joined, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
-    more = links(_rest_pairs(posts, labels, classes.select("cls", "minima"), percent, matches, list_block))
-    joined = components(joined.select(F.col("label").alias("a"), F.col("cls").alias("b")).filter("a != b").unionByName(more))
+    some = signed.filter("n > 0")
+    posts = some.groupBy("cls").agg(F.min("n").alias("n"), F.min("coords").alias("coords")).select("cls", "n", F.posexplode("coords").alias("k", "v"))
+    # only classes that share a coordinate with another one can have links
+    shared = posts.join(posts.groupBy("k", "v").agg(F.count("*").alias("size")).filter("size > 1"), ["k", "v"])
+    shared = checkpointed(shared.select("cls", "n", "k", "v"))
+    owner = shared.select("cls").distinct().join(some.select("cls", "id", "key"), "cls").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "key")).alias("o"))
+    texts = docs.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInArrow(_squeezed, "id long, key binary, body binary")
+    bodies = checkpointed(texts.join(owner.select("cls", "o.*"), ["id", "key"]).groupBy("cls").agg(F.min("body").alias("body")))
+    joined = None
+    for low, high in PREFIXES:
+        labels = joined if joined is not None else shared.select("cls", F.col("cls").alias("label")).limit(0)
+        found = _links(shared.filter((F.col("k") >= low) & (F.col("k") < high)), labels, bodies, size, percent)
+        if joined is not None:
+            found = found.unionByName(joined.select(F.col("label").alias("a"), F.col("cls").alias("b")).filter("a != b"))
+        joined = components(found)
     classes = signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
     named = classes.join(joined, "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
