@@ -255,7 +255,8 @@ def _drug_spans(loc: Locale, folded: str) -> list[tuple[int, int]]:
 
 def _prescriptions(loc: Locale, text: str, folded: str, spans: list):
     drugs = _drug_spans(loc, folded)
-    for (start, end), nxt in zip(drugs, [d[0] for d in drugs[1:]] + [len(folded)], strict=True):
+    for i, (start, end) in enumerate(drugs):
+        nxt = drugs[i + 1][0] if i + 1 < len(drugs) else len(folded)
         scope = re.split("[.;]", folded[end : min(end + 90, nxt)], maxsplit=1)[0]
         m = loc.dose_rule.search(scope)
         amount = loc.numerals.parse(m[1]) if m else None
