@@ -21,7 +21,7 @@ from dispensary.llm import _blocks as B
 from dispensary.llm._spark import pack, squeeze, steps_of, unpack, unsqueeze
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def _planes(x: np.ndarray) -> bytes:
