@@ -38,7 +38,7 @@ def lookup(key: Column, table: dict[str, str], otherwise: Column) -> Column:
 
 def patient_age(birth_date: Column, approximate_age: Column, at_ms: Column) -> Column:
     """Whole Julian years from midnight UTC of the birth date, else the approximate age; may be negative."""
-    born = F.unix_micros(F.to_utc_timestamp(F.try_to_timestamp(F.nullif(birth_date, F.lit("")), F.lit("yyyy-MM-dd")), F.lit("UTC"))) / 1000
+    born = F.unix_date(birth_date.try_cast("date")).cast("long") * 86_400_000
     return F.coalesce(F.floor((at_ms - born) / YEAR_MS), approximate_age.cast("long"))
 
 

@@ -91,14 +91,14 @@ def truncate(c: Column, most: int = 90) -> Column:
 def format_vital(vital: str, value: Column) -> Column:
     """Fixed decimals and unit; rounding works on the exact binary value, as toFixed does."""
     _, _, unit, decimals = RANGES[vital]
-    return F.concat(F.format_string(f"%.{decimals}f", F.round(value.cast("decimal(30,20)"), decimals)), F.lit(f" {unit}"))
+    return F.concat(F.round(value.cast("decimal(30,20)"), decimals).cast("string"), F.lit(f" {unit}"))
 
 
 def format_bytes(n: Column) -> Column:
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < 1024 * 1024, F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit(" kB")))
-        .otherwise(F.concat(F.format_string("%.1f", F.round((n / 1048576).cast("decimal(30,20)"), 1)), F.lit(" MB")))
+        .otherwise(F.concat(F.round((n / 1048576).cast("decimal(30,20)"), 1).cast("string"), F.lit(" MB")))
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispensary.functions import clinical as C
+from dispensary.functions.numbers import rx
 from dispensary.functions.text import WHITE, fold_names, fold_names_py, trim
 
 REDACTED = "[…]"
@@ -23,8 +24,8 @@ LEVELS = ("identified", "pseudonymous", "anonymous")
 REMOVED_FIELDS = ("givenName", "familyName", "birthDate", "phone", "address", "registerNo", "attachments")
 
 # Phone numbers, and other long runs of digits.
-_PHONE = re.compile(r"\b(?:\+?261[\s.-]?)?0?\d{2}[\s.-]?\d{2}[\s.-]?\d{3}[\s.-]?\d{2}\b", re.ASCII)
-_DIGITS = re.compile(r"\b\d{7,}\b", re.ASCII)
+_PHONE = rx(r"\b(?:\+?261[<S>.-]?)?0?\d{2}[<S>.-]?\d{2}[<S>.-]?\d{3}[<S>.-]?\d{2}\b")
+_DIGITS = rx(r"\b\d{7,}\b")
 
 
 def random_salt() -> str:

@@ -89,13 +89,13 @@ def merge_extraction(drafts: DataFrame, scale: float = 1.0, source: str = "voice
         claim(which, F.lit(f), said(x[f]))
 
     plain = lambda c: F.trim(F.lower(c))
-    had = F.transform("prescriptions", lambda p: plain(p["drug"]))
     id_of = lambda i: F.concat(F.lit("rx-"), F.substring(F.sha2(F.concat_ws("|", "id", "rawText", i.cast("string")), 256), 1, 12))
-    numbered = F.transform(x["prescriptions"], lambda p, i: p.withField("id", id_of(i)))
-    added = F.filter(numbered, lambda p: ~F.array_contains(had, plain(p["drug"])))
+    # lambdas within lambdas would be evaluated anew for every element; these are columns of their own
+    drafts = drafts.withColumn("had_", F.transform("prescriptions", lambda p: plain(p["drug"]))).withColumn("said_", F.transform(x["prescriptions"], lambda p, i: p.withField("id", id_of(i))))
+    drafts = drafts.withColumn("added_", F.filter("said_", lambda p: ~F.array_contains(F.col("had_"), plain(p["drug"]))))
     row = lambda p: F.struct(p["id"].alias("id"), p["drug"].alias("drug"), p["dose"].alias("dose"), p["frequencyPerDay"].alias("frequencyPerDay"), p["durationDays"].alias("durationDays"), F.lit(None).cast("string").alias("notes"))
-    new["prescriptions"] = F.concat("prescriptions", F.transform(added, row))
-    drugs = F.transform(added, lambda p: F.struct(F.concat(F.lit("prescription."), p["id"]).alias("key"), said(p).alias("value")))
+    new["prescriptions"] = F.concat("prescriptions", F.transform("added_", row))
+    drugs = F.transform("added_", lambda p: F.struct(F.concat(F.lit("prescription."), p["id"]).alias("key"), said(p).alias("value")))
 
     leftover = F.coalesce(F.nullif(x["remainder"], F.lit("")), F.nullif("rawText", F.lit("")))
     new["notes"] = F.when(leftover.isNull(), F.col("notes")).when(_is_blank(F.col("notes")), leftover).otherwise(F.concat("notes", F.lit("\n"), leftover))
@@ -103,7 +103,8 @@ def merge_extraction(drafts: DataFrame, scale: float = 1.0, source: str = "voice
     claim(leftover.isNotNull(), F.lit("notes"), whole)
 
     fresh = F.map_from_entries(F.concat(F.array_compact(F.array(*entries)), drugs))
-    kept = F.map_filter(F.coalesce("provenance", F.create_map().cast("map<string,struct<source:string,confidence:double,rawText:string>>")), lambda k, _: ~F.array_contains(F.map_keys(fresh), k))
-    new["provenance"] = F.map_concat(kept, fresh)
-    columns = [c for c in drafts.columns if c not in ("extraction", "rawText")]
-    return drafts.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns], (applied + F.size(added)).alias("applied"))
+    none = F.create_map().cast("map<string,struct<source:string,confidence:double,rawText:string>>")
+    drafts = drafts.withColumn("fresh_", fresh).withColumn("names_", F.map_keys("fresh_"))
+    new["provenance"] = F.map_concat(F.map_filter(F.coalesce("provenance", none), lambda k, _: ~F.array_contains(F.col("names_"), k)), F.col("fresh_"))
+    columns = [c for c in drafts.columns if c not in ("extraction", "rawText", "had_", "said_", "added_", "fresh_", "names_")]
+    return drafts.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns], (applied + F.size("added_")).alias("applied"))
