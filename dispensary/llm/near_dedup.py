@@ -89,8 +89,9 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     owner, number = owner[shared], rank[number[shared]]
     by = np.argsort(number, kind="stable")
     owner, number = owner[by], number[by]
-    wide = max(1, CELLS // n)
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, wide):
+    last = int(number[-1]) + 1 if len(number) else 0
+    wide = min(max(1, CELLS // n), max(1, last))
+    for low in range(0, last, wide):
         i, j = np.searchsorted(number, (low, low + wide))
         cells = np.zeros((n, wide), np.float32)
         cells[owner[i:j], number[i:j] - low] = 1
