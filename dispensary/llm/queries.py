@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensary.llm._spark import table
@@ -18,17 +18,19 @@ from dispensary.llm.token_counts import token_counts
 from dispensary.llm.url_filter import host_of, url_filter
 from dispensary.llm.vector_topk import exact_top_k
 
-DOC_ID = F.col("id").alias("doc_id")
+
+def doc_id() -> Column:
+    return F.col("id").alias("doc_id")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select(DOC_ID, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select(doc_id(), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select(DOC_ID, "n_bytes", "n_tokens", "over_limit")
+    return out.select(doc_id(), "n_bytes", "n_tokens", "over_limit")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(table(spark, sf_dir, "documents"))
-    return out.select(DOC_ID, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
+    return out.select(doc_id(), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select(DOC_ID, "n_shingles", "component_id", "kept")
+    return out.select(doc_id(), "n_shingles", "component_id", "kept")
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
-    return out.select(DOC_ID, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(doc_id(), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_decontaminate, op4_license_scan, op5_quality, op6_near_dedup, op7_url_filter, op8_vector_topk, op9_chat_format, op10_substring_dedup)}

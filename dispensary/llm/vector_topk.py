@@ -163,7 +163,7 @@ def exact_top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
                     go = np.zeros(ub.shape, bool)
                     go[np.arange(len(best)), best] = True
                 else:
-                    go = ub >= np.array(b.column("kth").cast(pa.float64()))[:, None]
+                    go = ub >= np.array(b.column("kth")).astype(np.float64)[:, None]
                     go[np.arange(len(best)), best] = False
                 go &= np.isfinite(ub)
                 row, region = np.nonzero(go)
