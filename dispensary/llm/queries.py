@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dispensary.llm import oracle
 from dispensary.llm._spark import table
 from dispensary.llm.chat_format import link_tool_calls
 from dispensary.llm.decontaminate import benchmark_matches, is_contaminated
@@ -119,4 +120,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_decontaminate, op4_license_scan, op5_quality, op6_near_dedup, op7_url_filter, op8_vector_topk, op9_chat_format, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: None for encodings, token counts, labels of edited templates, language models and canonical JSON; tests hold these against brute force.
+ORACLE_SQL: dict[str, str] = oracle.SQL
