@@ -14,6 +14,9 @@ import pyarrow as pa
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
 STEP_BYTES = 4 << 20
 
+#: Bytes of text that are hashed at a time; a longer word is a piece of its own.
+PIECE = 1 << 18
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -45,10 +48,10 @@ def _power(seed: int, inverse: bool, n: int) -> np.ndarray:
     have = _powers.get((seed, inverse))
     if have is None or len(have) < n:
         base = pow(_BASE[seed], -1, 1 << 64) if inverse else _BASE[seed]
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        have = np.full(max(n, PIECE + 1), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 2 * STEP_BYTES:
+        if n <= PIECE + 1:
             _powers[seed, inverse] = have
     return have[:n]
 
@@ -92,11 +95,17 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[seed][self.data] * _power(seed, False, n), out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * _power(seed, True, n + 1)[self.starts])
+        """A 64-bit hash of each word, piece by piece: what is held besides follows the piece, not the text."""
+        out, first = np.zeros(len(self.starts), np.uint64), 0
+        while first < len(out):
+            base = self.starts[first]
+            last = max(first + 1, int(np.searchsorted(self.ends, base + PIECE, side="right")))
+            data, starts, ends = self.data[base : self.ends[last - 1]], self.starts[first:last] - base, self.ends[first:last] - base
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE_VALUES[seed][data] * _power(seed, False, len(data)), out=total[1:])
+            out[first:last] = mix((total[ends] - total[starts]) * _power(seed, True, len(data) + 1)[starts])
+            first = last
+        return out
 
     def left(self) -> np.ndarray:
         """For each word, how many words of its document begin at it or later."""
