@@ -19,6 +19,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ LEAST_DOCS, LEAST_RATIO, LEAST_CONTRAST = 3, 1.5, 4.5
 #: Log-probability of a character that the model has never seen.
 UNSEEN = math.log(1 / 4096)
 
-STEP = 16 << 20
+#: Bytes of text that are counted, and scored, at a time.
+STEP, SCORED = 16 << 20, 8 << 20
 _BEGIN, _END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -229,8 +231,10 @@ def _shard(t: pa.Table, langs: list[str]) -> dict:
     return out
 
 
-def word_scores(words: list[str], lang: int, shards: list[dict]) -> np.ndarray:
-    """Log-probability of each word with its end."""
+def word_scores(words: list[str], lang: int, shards: list[dict], at_once: int = 1 << 14) -> np.ndarray:
+    """Log-probability of each word with its end; `at_once` words are worked on together."""
+    if len(words) > at_once:
+        return np.concatenate([word_scores(words[i : i + at_once], lang, shards, at_once) for i in range(0, len(words), at_once)])
     pad = _BEGIN * (ORDER - 1)
     text = np.frombuffer("".join(pad + w + _END for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
@@ -256,6 +260,17 @@ def word_scores(words: list[str], lang: int, shards: list[dict]) -> np.ndarray:
     return np.add.reduceat(logp, np.concatenate(([0], np.cumsum(sizes)[:-1]))) if len(words) else np.zeros(0)
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(first word of each text and the end, word numbers, distinct words); words are runs without white space."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    ends, codes, words = np.asarray(lists.offsets) - lists.offsets[0].as_py(), np.asarray(coded.indices), coded.dictionary.to_pylist()
+    if "" in words:  # beside white space at either end
+        full = codes != words.index("")
+        ends, codes = np.concatenate(([0], np.cumsum(full)))[ends], codes[full]
+    return ends, codes, words
+
+
 _SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("perplexity", pa.float64()), ("contrast", pa.float64())])
 
 
@@ -265,20 +280,16 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 
     def each(batches):
         number = {x: i for i, x in enumerate(langs)}
-        for t in steps_of(batches, STEP):
-            lang, texts = t.column("lang").to_pylist(), t.column("text").to_pylist()
+        for t in steps_of(batches, SCORED):
+            lang, texts = t.column("lang").to_pylist(), t.column("text").combine_chunks()
             n_words, perplexity, top = np.zeros(len(texts), np.int64), [None] * len(texts), [0.0] * len(texts)
             for name in set(lang):
                 rows = [i for i, x in enumerate(lang) if x == name]
-                split = [(texts[i] or "").split() for i in rows]
-                n = np.fromiter(map(len, split), np.int64, len(split))
+                ends, codes, words = split_words(texts.take(pa.array(rows)))
+                n = np.diff(ends)
                 n_words[rows] = n
-                if not n.sum():
+                if not len(codes):
                     continue
-                coded = pa.array([w for own in split for w in own], pa.string()).dictionary_encode()
-                del split
-                codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
-                ends = np.concatenate(([0], np.cumsum(n)))
                 if name in number:
                     logp = word_scores(words, number[name], [s.value for s in shards])
                     chars = np.fromiter((len(w) + 1 for w in words), np.float64, len(words))
