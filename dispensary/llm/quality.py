@@ -38,7 +38,7 @@ LEAST_DOCS, LEAST_RATIO, LEAST_CONTRAST = 3, 1.5, 4.5
 UNSEEN = math.log(1 / 4096)
 
 #: Bytes of text that are counted, and scored, at a time.
-STEP, SCORED = 16 << 20, 8 << 20
+STEP, SCORED = 16 << 20, 4 << 20
 _BEGIN, _END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
