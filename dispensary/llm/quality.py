@@ -175,13 +175,12 @@ def _squeezed(batches):
 
 def _gram_keys(texts: list[str]) -> np.ndarray:
     """64-bit keys of grams; the same as those that _ending gives."""
-    points = [np.array([ord(c) for c in t], np.uint64) for t in texts]
-    out = np.zeros(len(texts), np.uint64)
-    for i, p in enumerate(points):
-        acc = np.uint64(len(p) + 1)
-        for x in p.tolist():
-            acc = np.uint64((int(acc) * int(_BASE) + x + 1) & 0xFFFFFFFFFFFFFFFF)
-        out[i] = acc
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    starts, out = np.cumsum(sizes) - sizes, (sizes + 1).astype(np.uint64)
+    for j in range(int(sizes.max(initial=0))):
+        has = np.flatnonzero(sizes > j)
+        out[has] = out[has] * _BASE + points[starts[has] + j] + np.uint64(1)
     return out
 
 
