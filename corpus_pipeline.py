@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("benchmark", benchmark), ("encode", encode)]
 
-#: SQL has no SentencePiece and no language model; tests hold run() against a brute-force version.
+#: SQL has no SentencePiece and no language model.  The stages' operators are tested one by one; run() as a whole is not yet.
 ORACLE_SQL = None
 
 
