@@ -55,24 +55,58 @@ def problem(value, schema: dict, at: str = "$") -> str | None:
     return None
 
 
-def topological_levels(calls: DataFrame, needs: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(call_id, level): 0 for calls that need no other known call, else one more than the highest of those; null on a cycle.
+#: The level of a call that never settles; below it every real level, and a real level can still be added to it.
+_NEVER = 1 << 40
 
-    `needs` is (call_id, needed); needs that name no known call are ignored.  Each round settles the calls whose
-    needs are settled, so there are as many rounds as levels."""
+
+def topological_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(call_id, level): 0 for calls that need no other known call, else one more than the highest of those; null for a
+    call on a cycle, or one that needs such a call.
+
+    `needs` is (call_id, needed); needs that name no known call are ignored.  An edge says that the level of a call is at
+    least `base`, and at least `weight` more than that of the needed one.  Each round settles the calls whose needs are
+    settled, and an edge to a call with one open need jumps to that need, so a chain takes about log2(length) rounds;
+    calls with several open needs take a round a level.  There is no limit of rounds: a round changes an edge, or is
+    the last one.  A weight is the length of a walk, and one as long as there are calls passes a cycle."""
     ids = calls.select("call_id").filter("call_id is not null").distinct()
     edges = needs.select("call_id", "needed").distinct().join(ids, "call_id").join(ids.select(F.col("call_id").alias("needed")), "needed")
-    edges = checkpointed(edges.select("call_id", "needed"))
-    done = checkpointed(ids.join(edges.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(0).alias("level")))
-    fresh, open_edges = done, edges
-    for level in range(1, max_rounds + 1):
-        open_edges = checkpointed(open_edges.join(fresh.select(F.col("call_id").alias("needed")), "needed", "left_anti").select("call_id", "needed"))
-        waiting = open_edges.select("call_id").distinct()
-        fresh = checkpointed(edges.select("call_id").distinct().join(waiting, "call_id", "left_anti").join(done.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(level).alias("level")))
-        if fresh.isEmpty():
+    edges = checkpointed(edges.select("call_id", "needed", F.lit(0).cast("long").alias("base"), F.lit(1).cast("long").alias("weight")))
+    n_calls = ids.count()
+    settled = [ids.join(edges.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level"))]
+    while True:
+        cyclic = F.max((F.col("needed") == F.col("call_id")) | (F.col("needed").isNotNull() & (F.col("weight") >= n_calls)))
+        nodes = edges.groupBy("call_id").agg(F.count("needed").alias("n_open"), F.max("needed").alias("next"), F.max("base").alias("base"), F.max(F.when(F.col("needed").isNotNull(), F.col("weight"))).alias("step"), cyclic.alias("cyclic"))
+        level = F.when(F.coalesce("cyclic", F.lit(False)) | (F.col("base") >= _NEVER), F.lit(_NEVER)).when(F.col("n_open") == 0, F.col("base"))
+        nodes = checkpointed(nodes.select(F.col("call_id").alias("node"), level.alias("level"), "n_open", "next", F.col("base").alias("on"), "step"))
+        settled.append(nodes.filter("level is not null").select(F.col("node").alias("call_id"), "level"))
+        if len(settled) > 16:
+            settled = [checkpointed(_union(settled))]
+        # open edges; a needed call that is no node needs nothing itself, so its level is 0
+        going = edges.join(nodes.filter("level is null").select(F.col("node").alias("call_id")), "call_id", "left_semi")
+        # a jump never ends on a settled call, as that one is no node in the next round
+        still = nodes.filter("level is null").select(F.col("node").alias("still"))
+        met = going.join(nodes.join(still, F.col("next") == F.col("still"), "left"), F.col("needed") == F.col("node"), "left")
+        known = F.when(F.col("node").isNull(), F.lit(0)).otherwise(F.col("level"))
+        ends = F.col("needed").isNotNull() & known.isNotNull()
+        jumps = F.col("needed").isNotNull() & known.isNull() & (F.col("n_open") == 1) & F.col("still").isNotNull()
+        met = met.select(
+            "call_id",
+            F.when(ends, F.lit(None)).when(jumps, F.col("next")).otherwise(F.col("needed")).alias("needed"),
+            F.when(ends, F.greatest("base", F.col("weight") + known)).when(jumps, F.greatest("base", F.col("weight") + F.col("on"))).otherwise(F.col("base")).alias("base"),
+            F.when(ends, F.lit(0)).when(jumps, F.col("weight") + F.col("step")).otherwise(F.col("weight")).alias("weight"),
+            (ends | jumps).alias("moved"),
+        )
+        edges = checkpointed(met.groupBy("call_id", "needed").agg(F.max("base").alias("base"), F.max("weight").alias("weight"), F.max("moved").alias("moved")))
+        if edges.filter("moved").isEmpty():  # what is open now needs open calls only
             break
-        done = checkpointed(done.unionByName(fresh))
-    return ids.join(done, "call_id", "left")
+    return ids.join(_union(settled).filter(F.col("level") < _NEVER), "call_id", "left").select("call_id", F.col("level").cast("int").alias("level"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

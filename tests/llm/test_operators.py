@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dispensary.llm import quality, queries
 from dispensary.llm._components import components
-from dispensary.llm.chat_format import canonical, link_tool_calls, problem
+from dispensary.llm.chat_format import canonical, link_tool_calls, problem, topological_levels
 from dispensary.llm.decontaminate import benchmark_matches, decontaminate, is_contaminated
 from dispensary.llm.license_scan import license_scan
 from dispensary.llm.near_dedup import near_dedup, near_duplicates
@@ -254,3 +254,21 @@ def test_chat_format(spark):
     assert sorted(r.status for r in back).count("orphan") == 2 and all(json.loads(r.line)["role"] == "tool" for r in back)
     none = link_tool_calls(messages.limit(0), calls.limit(0), results.limit(0), TOOLS)
     assert none.count() == 0
+
+
+def test_levels_of_deep_chains_ladders_and_cycles(spark):
+    """Deeper than a thousand levels, against the levels that follow from how the calls are made."""
+    n = 2600
+    needs = [(f"c{i}", f"c{i - 1}") for i in range(1, n)] + [("c0", "unknown"), (f"c{n - 1}", "c5"), ("c7", None)]
+    want = {f"c{i}": i for i in range(n)}
+    needs += [(f"l{i}", f"l{i - d}") for i in range(8) for d in (1, 2) if i >= d]  # each needs the two before it
+    want |= {f"l{i}": i for i in range(8)}
+    needs += [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)] + [("after", "r3"), ("after2", "after"), ("after2", "c9"), ("self", "self"), ("self", "c1")]
+    want |= {f"r{i}": None for i in range(40)} | dict.fromkeys(("after", "after2", "self"))
+    needs += [(a, b) for a in ("k0", "k1", "k2") for b in ("k0", "k1", "k2") if a != b] + [("k3", "k0"), ("k3", "k1")]  # all need each other
+    want |= dict.fromkeys(("k0", "k1", "k2", "k3"))
+    needs += [("join", "c100"), ("join", "l7"), ("last", "join"), ("last", "c50")]
+    want |= {"join": 101, "last": 102}
+    calls = spark.createDataFrame([(x,) for x in [*want, None, "c1"]], "call_id string")
+    got = topological_levels(calls, spark.createDataFrame(needs, "call_id string, needed string")).collect()
+    assert len(got) == len(want) and {r.call_id: r.level for r in got} == want
