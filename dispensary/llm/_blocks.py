@@ -28,7 +28,12 @@ NO_ID = -(1 << 63)
 def blocks(docs: DataFrame, block_bytes: int = STEP_BYTES) -> DataFrame:
     """(id, text) as one row per block, dealt by block.  Used more than once, it is one exchange that Spark reuses.
 
-    Inside a block documents stand in the order of their ids."""
+    Inside a block documents stand in the order of their ids.  A struct column `rest` travels along, as a list."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    schema, rest = StructType.fromDDL(BLOCKS), [c for c in docs.columns if c == "rest"]
+    for c in rest:
+        schema = schema.add(c, ArrayType(docs.schema[c].dataType))
 
     def pack(batches):
         part = TaskContext.get().partitionId()
@@ -37,9 +42,10 @@ def blocks(docs: DataFrame, block_bytes: int = STEP_BYTES) -> DataFrame:
             data, offsets = flat(t.column("text"))
             body = squeeze(offsets.tobytes() + data.tobytes())
             ids = pa.array([t.column("id").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), ids, pa.array([body], pa.binary())], schema=_BLOCKS)
+            lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in rest]
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), ids, pa.array([body], pa.binary()), *lists], names=[*_BLOCKS.names, *rest])
 
-    return docs.select("id", "text").mapInArrow(pack, BLOCKS).repartition("block")
+    return docs.select("id", "text", *rest).mapInArrow(pack, schema).repartition("block")
 
 
 def opened(ids, body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -81,8 +87,8 @@ def answered(letters: DataFrame, answer) -> DataFrame:
     return letters.groupBy("bucket").applyInArrow(bucket, MAIL)
 
 
-def with_answers(packed: DataFrame, answers: DataFrame, finish, schema: str) -> DataFrame:
-    """finish(block number, ids, data, offsets, {(kind, bucket): payload}) gives a RecordBatch."""
+def with_answers(packed: DataFrame, answers: DataFrame, finish, schema: str, rest: bool = False) -> DataFrame:
+    """finish(block number, ids, data, offsets, {(kind, bucket): payload}) gives a RecordBatch; with `rest`, it also gets that list."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -92,7 +98,8 @@ def with_answers(packed: DataFrame, answers: DataFrame, finish, schema: str) ->
         if not left.num_rows:
             return empty
         got = {(k, b): p for k, b, p in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True)}
-        return pa.Table.from_batches([finish(left.column("block")[0].as_py(), *opened(left.column("ids")[0], left.column("body")[0]), got)])
+        more = [left.column("rest")[0].values] if rest else []
+        return pa.Table.from_batches([finish(left.column("block")[0].as_py(), *opened(left.column("ids")[0], left.column("body")[0]), got, *more)])
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block, schema)
 

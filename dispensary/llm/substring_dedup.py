@@ -125,9 +125,16 @@ def substring_dedup(docs: DataFrame, width: int = 20, run: int = 8, id_col: str
     sorts before all others; rows that share an id are separate documents, one of which counts as earlier.
     An empty table gives an empty result.  Other columns are ignored.
     """
+    return _removed(documents(docs, id_col, text_col), width, run, block_bytes, n_buckets)
+
+
+def _removed(docs: DataFrame, width: int = 20, run: int = 8, block_bytes: int = STEP_BYTES, n_buckets: int | None = None) -> DataFrame:
+    """The result of substring_dedup for (id, text).  Of (id, text, rest), each row's own `rest` with the text that
+    it has now and whether that is a new one; `rest` is a struct, whose first field says whether the text is null."""
+    from pyspark.sql.types import StructType
+
     if not 0 < run <= width:
         raise ValueError("run must be from 1 to width")
-    docs = documents(docs, id_col, text_col)
     n = B.buckets(docs, n_buckets)
     packed = B.blocks(docs, block_bytes)
 
@@ -139,7 +146,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, run: int = 8, id_col: str
         w.suspects(got)
         return B.mail(block, 1, w.hashes(ids))
 
-    def finish(block, ids, data, offsets, got):
+    def finish(block, ids, data, offsets, got, rest=None):
         w = _Windows(data, offsets, width, run, n)
         w.suspects(got)
         gone = w.covered(got)
@@ -151,6 +158,9 @@ def substring_dedup(docs: DataFrame, width: int = 20, run: int = 8, id_col: str
         for k in range(len(ids)):
             parts = data[offsets[k] : offsets[k + 1]].tobytes().split()
             kept.append(b" ".join(compress(parts, (~gone[first[k] : first[k + 1]]).tolist()) if removed[k] else parts))
+        if rest is not None:
+            texts = [None if null else new if cut else data[i:j].tobytes() for null, new, cut, i, j in zip(rest.field(0).to_pylist(), kept, removed.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed > 0)], names=["rest", "text", "changed"])
         begins = np.zeros(w.n, bool)
         begins[first[:-1][counts > 0]] = True
         before, after = np.zeros(w.n, bool), np.zeros(w.n, bool)
@@ -166,19 +176,20 @@ def substring_dedup(docs: DataFrame, width: int = 20, run: int = 8, id_col: str
     once = B.answered(B.letters_of(packed, runs), _seen_elsewhere)
     hashes = B.with_answers(packed, once, suspects, B.MAIL)
     both = B.union_all(once, B.answered(hashes, _not_first))
-    return B.with_answers(packed, both, finish, OUT)
+    if "rest" not in docs.columns:
+        return B.with_answers(packed, both, finish, OUT)
+    return B.with_answers(packed, both, finish, StructType([docs.schema["rest"]]).add("text", "string").add("changed", "boolean"), rest=True)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The documents with what is kept of their texts, in their own columns; all of them, even if nothing is left.
 
     A text from which nothing is removed stays as it is, white space included.  `length_col`, where the table has
-    it, is set to the new length in characters.  Rows without an id, and rows that share one, stay as they are."""
-    changed = substring_dedup(docs, id_col=id_col, text_col=text_col, **options).filter("n_removed > 0")
-    changed = changed.groupBy("id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("n = 1")
-    changed = changed.select(F.col("id").alias("changed_id"), F.col("kept").alias("changed_text"))
-    joined = docs.join(changed, docs[id_col] == changed["changed_id"], "left")
-    new = {text_col: F.coalesce("changed_text", docs[text_col])}
+    it, is set to the new length in characters.  The other columns travel with the text, so that rows without an id,
+    rows that share one, and equal rows each get their own text; of equal rows one keeps the passage."""
+    rest = F.struct(F.col(text_col).isNull().alias("null"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
+    done = _removed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest")), **options)
+    new = {c: F.col(f"rest.c{k}") for k, c in enumerate(docs.columns) if c != text_col} | {text_col: F.col("text")}
     if length_col in docs.columns:
-        new[length_col] = F.when(F.col("changed_id").isNotNull(), F.length("changed_text")).otherwise(docs[length_col]).cast(docs.schema[length_col].dataType)
-    return joined.select([new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        new[length_col] = F.when(F.col("changed"), F.length("text")).otherwise(new[length_col]).cast(docs.schema[length_col].dataType)
+    return done.select([new[c].alias(c) for c in docs.columns])

@@ -155,6 +155,21 @@ def test_without_repeats(docs, rows):
         assert out[i].text == text if not removed else hashlib.sha256(out[i].text.encode()).hexdigest() == digest_ and out[i].n_chars == len(out[i].text)
 
 
+def test_without_repeats_of_shared_ids(spark):
+    """Equal rows, a shared id and null ids: the passage stays once, and every other text is its row's own."""
+    passage, other, third = prose(21, 40), prose(22, 30), prose(23, 50) + "  \n"
+    data = [(1, passage, 40, "a"), (1, passage, 40, "a"), (1, other, 30, "b"), (2, third, 50, "c"), (2, other, 30, "d"), (None, passage, 40, "e"), (None, None, None, "f"), (3, None, 7, "g")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_chars int, source string")
+    for block_bytes in (4 << 20, 100):
+        out = without_repeats(docs, block_bytes=block_bytes)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        got = sorted(((r.source, r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
+        # a null id comes before all others, so row e keeps the passage; of the other two passages nothing is left
+        assert got == [("a", 1, "", 0), ("a", 1, "", 0), ("b", 1, other, 30), ("c", 2, third, 50), ("d", 2, "", 0), ("e", None, passage, 40), ("f", None, None, None), ("g", 3, None, 7)]
+        texts = sorted(r.text for r in without_repeats(docs.filter("source = 'a'"), block_bytes=block_bytes).collect())
+        assert texts == ["", passage]
+
+
 def test_quality(spark):
     r = random.Random(4)
     syllables = ["ba", "ne", "ti", "ro", "ka", "lu", "so"]
