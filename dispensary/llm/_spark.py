@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -37,6 +38,16 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_key(text):
+    """128-bit digest of a text, a null one being empty; beside the id it tells rows apart that share one."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def text_keys(texts) -> list[bytes]:
+    """The same in a task."""
+    return [hashlib.sha256((x or "").encode()).digest()[:16] for x in texts.to_pylist()]
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 

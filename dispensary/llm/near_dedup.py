@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from dispensary.llm._blocks import NO_ID
 from dispensary.llm._components import components
-from dispensary.llm._spark import checkpointed, documents, squeeze, steps_of, unsqueeze
+from dispensary.llm._annotate import free_name
+from dispensary.llm._spark import checkpointed, documents, squeeze, steps_of, text_key, text_keys, unsqueeze
 from dispensary.llm._text import SPACED, STEP_BYTES, flat, mix, windows, words
 
 COORDINATES, MINIMA = 26, 3
@@ -73,7 +74,7 @@ def signatures(docs: DataFrame, size: int = 4, step_bytes: int = STEP_BYTES) ->
                 coords = mix(coords + least[:, j::MINIMA])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(coords.view(np.int64).ravel()))
             cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(_keys(t.column("text")), pa.binary()), pa.array(n), pa.array(cls, pa.binary()), lists], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(text_keys(t.column("text")), pa.binary()), pa.array(n), pa.array(cls, pa.binary()), lists], schema=_SIGNED)
 
     return docs.select("id", "text").mapInArrow(sign, "id long, key binary, n long, cls binary, coords array<long>")
 
@@ -145,7 +146,18 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     ids are smaller than none (a component of null ids alone is named null, and kept).  An empty table gives an
     empty result.  Other columns are ignored.
     """
-    docs = documents(docs, id_col, text_col)
+    signed, joined = _joined(documents(docs, id_col, text_col), size, percent)
+    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
+    named = classes.join(joined, "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(names, "label").select("cls", "component_id")
+    full = signed.filter("n > 0").join(named, "cls").select("id", "n", "component_id")
+    out = full.unionByName(signed.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of (id, text), and (cls, label) of the classes that are linked with another one."""
     signed = checkpointed(signatures(docs, size))
     some = signed.filter("n > 0")
     posts = some.groupBy("cls").agg(F.min("n").alias("n"), F.min("coords").alias("coords")).select("cls", "n", F.posexplode("coords").alias("k", "v"))
@@ -162,27 +174,38 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
         if joined is not None:
             found = found.unionByName(joined.select(F.col("label").alias("a"), F.col("cls").alias("b")).filter("a != b"))
         joined = components(found)
-    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
-    named = classes.join(joined, "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
-    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(names, "label").select("cls", "component_id")
-    full = signed.filter("n > 0").join(named, "cls").select("id", "n", "component_id")
-    out = full.unionByName(signed.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _keys(texts) -> list[bytes]:
-    return [hashlib.blake2b((x or "").encode(), digest_size=16).digest() for x in texts.to_pylist()]
+    return signed, joined
 
 
 def _squeezed(batches):
     schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("body", pa.binary())])
     for b in batches:
         texts = b.column("text")
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_keys(texts), pa.binary()), pa.array([squeeze((x or "").encode()) for x in texts.to_pylist()], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(text_keys(texts), pa.binary()), pa.array([squeeze((x or "").encode()) for x in texts.to_pylist()], pa.binary())], schema=schema)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay: one of each component, with their own columns; null ids have no rival and stay."""
-    kept = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["gone_id"], "left_anti")
+def near_dedup(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with their own columns: one row of each component, and all rows without words.
+
+    It is the row with the smallest id, null ids being the largest, then with the least digest of its text.  Rows
+    that share an id are separate documents, as in near_duplicates; of rows with equal id and text any one stays."""
+    signed, joined = _joined(documents(docs, id_col, text_col), size, percent)
+    some = signed.filter("n > 0")
+    best = some.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    best = best.join(joined, "cls", "left").select("cls", "best", F.coalesce("label", "cls").alias("label"))
+    chosen = best.join(best.groupBy("label").agg(F.min("best").alias("chosen")), "label").select("cls", F.col("chosen.id").alias("own_id"), F.col("chosen.key").alias("own_key"))
+    stays = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))
+    judged = some.join(chosen, "cls").groupBy("id", "key").agg(F.max(stays).alias("stays"), F.count("*").alias("copies"))
+    judged = checkpointed(judged.filter("not stays or copies > 1"))
+    names = free_name(docs, "row_id"), free_name(docs, "row_key")
+    keyed = docs.withColumns({names[0]: docs[id_col].cast("long"), names[1]: text_key(docs[text_col])})
+
+    def pairs(condition: str):
+        rows = judged.filter(condition).select(F.col("id").alias("judged_id"), F.col("key").alias("judged_key"))
+        return rows, keyed[names[0]].eqNullSafe(rows["judged_id"]) & (keyed[names[1]] == rows["judged_key"])
+
+    again, equal = pairs("stays")
+    out = keyed.join(*pairs("not stays"), "left_anti")
+    if not again.isEmpty():  # equal rows, found in parts by each task first
+        out = out.join(again, equal, "left_anti").unionByName(keyed.join(again, equal, "left_semi").dropDuplicates(list(names)))
+    return out.drop(*names)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispensary.llm._spark import checkpointed, squeeze, steps_of, unsqueeze
+from dispensary.llm._spark import checkpointed, squeeze, steps_of, text_key, unsqueeze
 
 ORDER = 5
 #: Grams in a broadcast shard; labelled documents of a class that the contrast is fitted on, at most.
@@ -270,11 +270,11 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return ends, codes, words
 
 
-_SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("perplexity", pa.float64()), ("contrast", pa.float64())])
+_SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("key", pa.binary()), ("n_words", pa.int64()), ("perplexity", pa.float64()), ("contrast", pa.float64())])
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
-    """(id, lang, n_words, perplexity, contrast) of (id, lang, text); perplexity is null without words or model."""
+    """(id, lang, key, n_words, perplexity, contrast) of (id, lang, text, key); perplexity is null without words or model."""
     shards, langs, contrast = model["shards"], model["langs"], model["contrast"]
 
     def each(batches):
@@ -305,9 +305,9 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
                         best[k].append(x)
                     for k, own in best.items():
                         top[rows[k]] = sum(sorted(own)[-2:])
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), t.column("lang").combine_chunks(), pa.array(n_words), pa.array(perplexity, pa.float64()), pa.array(top, pa.float64())], schema=_SCORES)
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), t.column("lang").combine_chunks(), t.column("key").combine_chunks(), pa.array(n_words), pa.array(perplexity, pa.float64()), pa.array(top, pa.float64())], schema=_SCORES)
 
-    return docs.mapInArrow(each, "id long, lang string, n_words long, perplexity double, contrast double")
+    return docs.mapInArrow(each, "id long, lang string, key binary, n_words long, perplexity double, contrast double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
@@ -320,16 +320,23 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     document, and null labels, play no part.  Repeated rows and ids give a row each; an empty table gives an
     empty result; other columns are ignored.
     """
+    return _judged(docs, labels, id_col, text_col, lang_col, quantile).drop("key")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float = QUANTILE) -> DataFrame:
+    """What classify returns, and the digest of the text as `key`."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    done = checkpointed(scores(own, fit(own, labels)))
+    done = checkpointed(scores(own.withColumn("key", text_key(F.col("text"))), fit(own, labels)))
     held = done.join(_labelled(labels).filter("part = 'held'").select("id"), "id").filter("perplexity is not null")
     limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("most"), F.greatest(F.lit(LEAST_CONTRAST), F.percentile_approx("contrast", quantile, 10000)).alias("most_contrast"))
     judged = done.join(limits, "lang", "left")
     bad = (F.col("perplexity") > MARGIN * F.col("most")) | (F.col("contrast") > F.coalesce("most_contrast", F.lit(LEAST_CONTRAST)))
-    return judged.select("id", "lang", "n_words", "perplexity", "contrast", (~F.coalesce(bad, F.lit(False))).alias("kept"))
+    return judged.select("id", "lang", "key", "n_words", "perplexity", "contrast", (~F.coalesce(bad, F.lit(False))).alias("kept"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are not rejected, with their own columns; without an id they stay."""
-    gone = classify(docs, labels, id_col=id_col, **options).filter("not kept").select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The documents that are not rejected, with their own columns; each row goes or stays by its own text and language."""
+    gone = _judged(docs, labels, id_col, text_col, lang_col, **options).filter("not kept")
+    gone = gone.select(F.col("id").alias("gone_id"), F.col("lang").alias("gone_lang"), F.col("key").alias("gone_key")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (F.coalesce(docs[lang_col].cast("string"), F.lit("")) == gone["gone_lang"]) & (text_key(docs[text_col]) == gone["gone_key"])
+    return docs.join(gone, same, "left_anti")

@@ -112,6 +112,17 @@ def test_near_duplicates_long_lists_and_odd_ids(spark, monkeypatch):
     same(near_duplicates(spark.createDataFrame(listed, "doc_id long, text string")), brute.near(listed))
 
 
+def test_near_dedup_decides_by_row(spark):
+    """A shared id, equal rows and null ids: one row of each component stays, and no other component loses its row."""
+    a, b, c, d = prose(31, 50), prose(32, 50), prose(33, 50), prose(34, 50)
+    near = a + " end"
+    data = [(1, a, "a1"), (2, near, "a2"), (2, b, "b"), (3, c, "c"), (3, c, "c"), (None, c + " end", "c"), (None, d, "d"), (None, d + " end", "d"), (None, d, "d"), (4, "", "e"), (4, "", "e"), (None, None, "e"), (None, " ", "e")]
+    docs = spark.createDataFrame(data, "doc_id int, text string, source string")
+    out = near_dedup(docs)
+    assert out.columns == docs.columns and sorted(r.source for r in out.collect()) == ["a1", "b", "c", "d", "e", "e", "e", "e"]
+    assert [(r.doc_id, r.text) for r in out.filter("source = 'c'").collect()] == [(3, c)]
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 450)]
@@ -203,6 +214,19 @@ def test_quality(spark):
     assert quality.classify(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_good_documents_decides_by_row(spark):
+    """A rejected row takes neither a clean row of its id nor one in another language with it; null ids are judged too."""
+    r = random.Random(6)
+    clean = lambda: " ".join("".join(r.choice(("ba", "ne", "ti", "ro")) for _ in range(r.randint(1, 3))) for _ in range(60))
+    bad = " ".join(f"{w.upper()}$$%%" for w in clean().split())
+    data = [(i, clean(), "xx") for i in range(300)] + [(5, bad, "xx"), (5, bad, "yy"), (None, bad, "xx"), (None, clean(), "xx"), (6, bad, "xx"), (6, bad, "xx")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10, 300)], "doc_id long, quality int, toxic int")
+    kept = [(x.doc_id, x.text, x.lang) for x in quality.good_documents(docs, labels).collect()]
+    assert data[5] in kept and data[6] in kept and data[301] in kept and data[303] in kept
+    assert not {data[300], data[302], data[304]} & set(kept)
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all characters that follow a context, seen or not, the model's probabilities add up to one."""
     counts = spark.createDataFrame([("l", w[i : i + quality.ORDER], n) for w, n in (("\x02\x02\x02\x02abab\x03", 3), ("\x02\x02\x02\x02abc\x03", 2), ("\x02\x02\x02\x02b\x03", 1)) for i in range(len(w) - quality.ORDER + 1)], "lang string, gram string, n long")
