@@ -123,6 +123,17 @@ def test_near_dedup_decides_by_row(spark):
     assert [(r.doc_id, r.text) for r in out.filter("source = 'c'").collect()] == [(3, c)]
 
 
+def test_near_duplicates_stage_takes_five_words(spark):
+    """Similar at 79/95 on four words, at 76/96 on five."""
+    from corpus_pipeline import near_duplicates as stage
+
+    words = [f"w{i}" for i in range(90)]
+    changed = ["x" if i == 30 else "y" if i == 60 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 2]
+    assert near_dedup(docs).count() == 1
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 450)]
