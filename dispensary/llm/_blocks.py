@@ -55,6 +55,11 @@ def opened(ids, body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(body, np.uint8, offset=offsets.nbytes), offsets
 
 
+def opened_ids(packed: DataFrame) -> DataFrame:
+    """(block, place, id): which document of a block has which id."""
+    return packed.select("block", F.posexplode("ids").alias("place", "id"))
+
+
 def buckets(df: DataFrame, given: int | None) -> int:
     """Buckets follow the cluster's own setting for the size of the data, four to a shuffle partition."""
     return given or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,21 +1,20 @@
 """Blocks of documents written as numbers into a block's own list of distinct pieces of text.
 
 A table of distinct pieces for the whole corpus is too large to send to every task, and a row for every place
-of every piece is larger than the corpus.  So a block (see _blocks) keeps its documents as piece numbers and
-sends only its distinct pieces to their buckets.  A bucket sees all blocks' pieces that fall into it, handles
-each distinct one once, and returns the results, which the block joins back by position.
+of every piece is larger than the corpus.  So a block (see _blocks) keeps its documents as piece numbers, and
+each of its distinct pieces is one row (block, place, piece).  Spark groups these rows by piece, each distinct
+piece is handled once, and a join brings its result back to every (block, place) that asked for it.  A piece that
+stands everywhere is a row a block, never a row an occurrence.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from dispensary.llm import _blocks as B
 from dispensary.llm._spark import pack, squeeze, steps_of, unpack, unsqueeze
@@ -36,7 +35,11 @@ def _whole(data: bytes, n: int, at: int) -> np.ndarray:
 def coded(docs: DataFrame, split, frequencies: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of (id, text); split(text) gives the pieces of a text as byte strings.
 
-    With `frequencies` a document keeps its distinct pieces and how often each stands in it, not their order."""
+    With `frequencies` a document keeps its distinct pieces and how often each stands in it, not their order.  A
+    struct column `rest` travels along, as a list."""
+    schema, rest = StructType.fromDDL(B.BLOCKS), [c for c in docs.columns if c == "rest"]
+    for c in rest:
+        schema = schema.add(c, ArrayType(docs.schema[c].dataType))
 
     def code(batches):
         part = TaskContext.get().partitionId()
@@ -63,16 +66,18 @@ def coded(docs: DataFrame, split, frequencies: bool, block_bytes: int = BLOCK_BY
             listed = pack(words)
             body = squeeze(head + n_pieces.tobytes() + np.array(n_bytes, np.int64).tobytes() + _planes(codes) + _planes(times))
             body = np.int64(len(listed)).tobytes() + listed + body
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([body], pa.binary())], schema=B._BLOCKS)
+            lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in rest]
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([body], pa.binary()), *lists], names=[*B._BLOCKS.names, *rest])
 
-    return docs.select("id", "text").mapInArrow(code, B.BLOCKS).repartition("block")
+    return docs.select("id", "text", *rest).mapInArrow(code, schema).repartition("block")
 
 
-def _words(body: bytes) -> list[bytes]:
+def listed_words(body: bytes) -> list[bytes]:
+    """The distinct pieces of a block."""
     return unpack(body[8 : 8 + int(np.frombuffer(body, np.int64, 1)[0])])
 
 
-def _codes(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def coded_texts(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces per document, bytes per document, piece numbers, how often (or nothing)."""
     data = unsqueeze(body[8 + int(np.frombuffer(body, np.int64, 1)[0]) :])
     n_docs, n_codes, n_times = np.frombuffer(data, np.int64, 3).tolist()
@@ -80,37 +85,33 @@ def _codes(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.frombuffer(data, np.int64, n_docs, 24), np.frombuffer(data, np.int64, n_docs, 24 + 8 * n_docs), _whole(data, n_codes, at), _whole(data, n_times, at + 4 * n_codes)
 
 
-def _dealt(words: list[bytes], n: int) -> tuple[np.ndarray, list[int]]:
-    """Order by bucket, and its bounds."""
-    order, bounds = B.dealt(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % n, n)
-    return order, bounds.tolist()
+#: The most bytes of pieces in one batch of rows.
+_BATCH = 8 << 20
 
 
-def each_distinct(blocks: DataFrame, make, n: int) -> DataFrame:
-    """make() gives f(distinct pieces) -> one byte string a piece; the answers go back to the blocks."""
+def each_distinct(blocks: DataFrame, make) -> DataFrame:
+    """(block, place, result): make() gives f(distinct pieces) -> one byte string a piece, for the piece at each place."""
 
     def ask(batches):
         for b in batches:
             for i in range(b.num_rows):
-                words = _words(b.column("body")[i].as_py())
-                order, bounds = _dealt(words, n)
-                words = [words[k] for k in order.tolist()]
-                yield B.mail(b.column("block")[i].as_py(), 0, {k: pack(words[bounds[k] : bounds[k + 1]]) for k in range(n) if bounds[k + 1] > bounds[k]})
-
-    held: list = []
-
-    def answer(_, payloads):
-        if not held:
-            held.append(make())
-        lists = [unpack(p) for p in payloads]
-        distinct = list(dict.fromkeys(w for own in lists for w in own))
-        got = dict(zip(distinct, held[0](distinct), strict=True))
-        return [pack([got[w] for w in own]) for own in lists]
+                pieces = pa.array(listed_words(b.column("body")[i].as_py()), pa.binary())
+                block, place = pa.array(np.full(len(pieces), b.column("block")[i].as_py())), pa.array(np.arange(len(pieces), dtype=np.int32))
+                step = max(1, len(pieces) * _BATCH // max(1, pieces.nbytes))
+                for k in range(0, len(pieces), step):
+                    yield pa.RecordBatch.from_arrays([x.slice(k, step) for x in (block, place, pieces)], names=["block", "place", "piece"])
+
+    def answer(batches):
+        f = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(f(b.column("piece").to_pylist()), pa.binary())], names=["piece", "result"])
 
-    return B.answered(blocks.mapInArrow(ask, B.MAIL), answer)
+    asked = blocks.mapInArrow(ask, "block long, place int, piece binary").repartition("piece")  # dealt once, for both uses
+    results = asked.select("piece").distinct().mapInArrow(answer, "piece binary, result binary")
+    return asked.join(results, "piece").select("block", "place", "result")
 
 
-def joined_back(blocks: DataFrame, answers: DataFrame, n: int, finish, schema: str) -> DataFrame:
+def joined_back(blocks: DataFrame, answers: DataFrame, finish, schema: str) -> DataFrame:
     """finish(ids, pieces, results, pieces per document, bytes per document, piece numbers, how often) -> columns."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -118,13 +119,8 @@ def joined_back(blocks: DataFrame, answers: DataFrame, n: int, finish, schema: s
         if not left.num_rows:
             return arrow.empty_table()
         body = left.column("body")[0].as_py()
-        words = _words(body)
-        order, bounds = _dealt(words, n)
-        results: list[bytes] = [b""] * len(words)
-        for k, payload in zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True):
-            for i, x in zip(order[bounds[k] : bounds[k + 1]].tolist(), unpack(payload), strict=True):
-                results[i] = x
-        columns = finish(left.column("ids")[0].as_py(), words, results, *_codes(body))
+        results = right.column("result").take(pa.array(np.argsort(np.asarray(right.column("place"))))).to_pylist()
+        columns = finish(left.column("ids")[0].as_py(), listed_words(body), results, *coded_texts(body))
         return pa.Table.from_arrays([c if isinstance(c, pa.Array | pa.ChunkedArray) else pa.array(c, x.type) for c, x in zip(columns, arrow, strict=True)], schema=arrow)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block, schema)

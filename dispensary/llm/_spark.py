@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dispensary.llm._text import flat, steps
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where it names none, as in local tests, a new one."""
@@ -29,6 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """The rows, counted first: sent to all tasks while there are at most so many, else joined like any other table."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,8 +88,6 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def steps_of(batches, size: int):
     """Regroup Arrow batches of documents into batches of up to `size` bytes of text (one document at least)."""
-    from dispensary.llm._text import flat, steps
-
     held, held_bytes = [], 0
     for b in batches:
         if not b.num_rows:

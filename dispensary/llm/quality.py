@@ -1,44 +1,43 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text, per language.
 
-The model is an interpolated modified Kneser-Ney model over the characters of words (order 5, with word begin and
-end).  Its counts cover all trusted documents: tasks count the grams of what they read, Spark sums them, and the
-discounts, continuation counts and probabilities are joins and groupings over the gram tables.  The finished tables
-go to the scoring tasks in shards of bounded size, and a task joins its distinct words with one shard at a time.
-
-A few bad words hardly move the perplexity of a long document, so a second, word-level contrast compares how many
-labelled toxic documents and how many trusted ones hold a word.  It is fitted on a bounded sample of labelled rows.
-
-A language's thresholds are quantiles of both scores over trusted documents that were kept out of the model.
+The model is an interpolated modified Kneser-Ney model over the characters of words, as the words of the languages
+are not a closed list; a word is scored with its begin and end.  Its counts cover all trusted documents: tasks count
+the grams of blocks of documents, Spark sums them, and the lower orders, discounts and probabilities are groupings
+and joins over gram tables that are dealt by gram.  Nothing of it passes through the driver or is sent to all tasks.
+
+Scoring is a join of counts too.  A block (see _dictionary) holds its documents as counts of the block's distinct words, and asks
+once for each distinct gram of these words; the asked grams of all blocks are made distinct, joined with the gram
+tables, and their log-probabilities go back to the blocks, which sum them over words and words over documents.
+
+Two perplexities of a document are judged: that of its whole text, and that of its least likely word (the peak), as a
+few bad words hardly move the perplexity of a long text.  A language's thresholds are quantiles of both over
+trusted documents that were kept out of the model.
 """
 
 from __future__ import annotations
 
 import math
 import string
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispensary.llm._spark import checkpointed, squeeze, steps_of, text_key, unsqueeze
-
-ORDER = 5
-#: Grams in a broadcast shard; labelled documents of a class that the contrast is fitted on, at most.
-SHARD_ROWS, SAMPLE = 500_000, 20_000
-#: Of trusted documents, the share whose scores set the thresholds, and how many of them pass each.
-HELD_OUT, QUANTILE = 5, 0.997
-#: How far beyond its quantile a perplexity must be; few held-out documents put the quantile at their largest.
-MARGIN = 1.1
-#: A word counts as contrast from so many toxic documents and so large a log-ratio on; two words' worth is asked for.
-LEAST_DOCS, LEAST_RATIO, LEAST_CONTRAST = 3, 1.5, 4.5
+from dispensary.llm import _dictionary as D
+from dispensary.llm._blocks import opened_ids
+from dispensary.llm._spark import checkpointed, few, text_key
+
+ORDER = 4
+#: One trusted document of so many is kept out of the model; its scores set the thresholds.
+HELD_OUT = 5
+#: The quantiles of the two perplexities over these, and how far beyond them a perplexity must be.
+QUANTILE, PEAK_QUANTILE, MARGIN = 0.997, 0.995, 1.1
+#: A word of at least so many letters, and of nothing else, counts for the peak.
+PEAK_LETTERS = 4
 #: Log-probability of a character that the model has never seen.
 UNSEEN = math.log(1 / 4096)
 
-#: Bytes of text that are counted, and scored, at a time.
-STEP, SCORED = 16 << 20, 4 << 20
 _BEGIN, _END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,291 +46,246 @@ def plain(word: str) -> str:
     return word.strip(string.punctuation).lower()
 
 
+# --- grams of a block's words -----------------------------------------------------------------------------------
+
+
+class Grams:
+    """The grams of a list of words: `texts` are the distinct ones, `of` says which one each character of a word ends."""
+
+    def __init__(self, words: list[str]):
+        pad = _BEGIN * (ORDER - 1)
+        text = np.frombuffer("".join(pad + w + _END for w in words).encode("utf-32-le"), np.uint32)
+        self.sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        begins = np.cumsum(self.sizes + ORDER - 1) - self.sizes
+        own = np.arange(self.sizes.sum()) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        at = np.repeat(begins, self.sizes) + own if len(words) else own
+        keys = np.zeros(len(at), np.uint64)
+        for j in range(ORDER - 1, -1, -1):
+            keys = keys * _BASE + text[at - j]
+        _, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
+        points = np.stack([text[at[first] - j] for j in range(ORDER - 1, -1, -1)], axis=1) if len(first) else np.zeros((0, ORDER), np.uint32)
+        joined = points.tobytes().decode("utf-32-le")
+        self.texts = [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
+
+    def per_word(self, values: np.ndarray) -> np.ndarray:
+        """The sum over a word's characters of a value for each distinct gram."""
+        return np.add.reduceat(values[self.of], np.cumsum(self.sizes) - self.sizes) if len(self.sizes) else np.zeros(0)
+
+
+class Bag:
+    """A block's documents as counts of its distinct words, one language after the other."""
+
+    def __init__(self, body: bytes, langs: list[str]):
+        n, _, self.codes, self.times = D.coded_texts(body)
+        self.words = [w.decode() for w in D.listed_words(body)]
+        self.ends = np.concatenate(([0], np.cumsum(n)))
+        self.langs = np.array(langs, object)
+        self.doc = np.repeat(np.arange(len(n)), n)
+
+    def of(self, lang: str) -> np.ndarray:
+        """Which entries are of documents in that language."""
+        return np.flatnonzero((self.langs == lang)[self.doc])
+
+    def forms(self, lang: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Word numbers, the forms that are scored (the words, then plain forms), and the plain form of each word or -1."""
+        used = np.unique(self.codes[self.of(lang)])
+        forms = {self.words[i]: k for k, i in enumerate(used.tolist())}
+        peak = np.full(len(used), -1)
+        for k, i in enumerate(used.tolist()):
+            w = plain(self.words[i])
+            if len(w) >= PEAK_LETTERS and w.isalpha():
+                peak[k] = forms.setdefault(w, len(forms))
+        return used, list(forms), peak
+
+
+def _bags(docs: DataFrame) -> DataFrame:
+    """Blocks of (id, lang, text, key); `rest` keeps lang and key."""
+    return D.coded(docs.select("id", "text", F.struct("lang", "key").alias("rest")), lambda text: text.encode().split(), frequencies=True)
+
+
+def _opened(t, i: int) -> Bag:
+    return Bag(t.column("body")[i].as_py(), t.column("rest")[i].values.field("lang").to_pylist())
+
+
 # --- training ---------------------------------------------------------------------------------------------------
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
-    """(id, part): trusted, held (trusted, kept out of the model) or toxic; contradicting rows count against trust."""
+    """(id, part): trusted, or held (trusted, kept out of the model); contradicting rows count against trust."""
     one = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
-    trusted = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    part = F.when(F.col("toxic") == 1, "toxic").when(trusted & held, "held").when(trusted, "trusted")
-    return one.select("id", part.alias("part")).filter("part is not null")
-
-
-_COUNTS = pa.schema([("lang", pa.string()), ("part", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
-
-
-def _counted(batches):
-    """Counts of character grams (part `gram`), and in how many sampled documents of a part a word stands."""
-    grams, docs, words, size = Counter(), Counter(), defaultdict(Counter), 0
-
-    def flush():
-        for lang, own in words.items():
-            for word, n in own.items():
-                padded = _BEGIN * (ORDER - 1) + word + _END
-                for i in range(len(word) + 1):
-                    grams[lang, "gram", padded[i : i + ORDER]] += n
-        rows = list(grams.items()) + list(docs.items())
-        for i in range(0, len(rows), 100_000):
-            part = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k, _ in part], pa.string()) for j in range(3)] + [pa.array([n for _, n in part], pa.int64())], schema=_COUNTS)
-        grams.clear(), docs.clear(), words.clear()
-
-    for b in batches:
-        for lang, part, sampled, body in zip(*(b.column(c).to_pylist() for c in ("lang", "part", "sampled", "body")), strict=True):
-            text = unsqueeze(body).decode()
-            own = text.split()
-            if part == "trusted":
-                words[lang].update(own)
-            if sampled:
-                docs.update((lang, part, w) for w in {plain(x) for x in own} if w)
-                docs[lang, part, ""] += 1
-            size += len(text)
-            if size > STEP:
-                yield from flush()
-                size = 0
-    yield from flush()
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """D1, D2, D3+ of each language, from the numbers of grams that occur one to four times."""
-    n = counts.groupBy("lang").agg(*[F.greatest(F.lit(1), F.count(F.when(F.col("n") == i, 1))).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    trusted = one.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
+    return trusted.select("id", F.when(F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0, "held").otherwise("trusted").alias("part"))
+
+
+_COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+
+
+def _counts(bags: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(lang, gram, n) over the documents whose ids are in `trusted`."""
+    asked = opened_ids(bags).join(trusted, "id").select(F.col("block").alias("at_block"), "place")
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _COUNTS.empty_table()
+        bag, out = _opened(left, 0), []
+        taken = np.zeros(len(bag.langs), bool)
+        taken[np.asarray(right.column("place"))] = True
+        for lang in sorted(set(bag.langs[taken])):
+            own = bag.of(lang)
+            own = own[taken[bag.doc[own]]]
+            n = np.bincount(bag.codes[own], weights=bag.times[own], minlength=len(bag.words))
+            words = np.flatnonzero(n)
+            grams = Grams([bag.words[i] for i in words.tolist()])
+            summed = np.bincount(grams.of, weights=np.repeat(n[words], grams.sizes), minlength=len(grams.texts))
+            out.append(pa.table([pa.array([lang] * len(summed), pa.string()), pa.array(grams.texts, pa.string()), pa.array(summed.astype(np.int64))], schema=_COUNTS))
+        return pa.concat_tables(out) if out else _COUNTS.empty_table()
+
+    counted = bags.groupBy("block").cogroup(asked.groupBy("at_block")).applyInArrow(count, "lang string, gram string, n long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _discounts(levels: DataFrame) -> DataFrame:
+    """D1, D2, D3+ of each language and order, from the numbers of grams that occur one to four times."""
+    n = levels.groupBy("lang", "size").agg(*[F.greatest(F.lit(1), F.count(F.when(F.col("n") == i, 1))).alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     d = [F.greatest(F.lit(0.05), F.least(F.lit(float(i) - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).alias(f"d{i}") for i in (1, 2, 3)]
-    return n.select("lang", *d)
+    return n.select("lang", "size", *d)
 
 
-def _probabilities(counts: DataFrame) -> DataFrame:
+def probabilities(counts: DataFrame) -> DataFrame:
     """(lang, gram, logp, log_rest) for grams of every length; log_rest is the weight left to shorter grams after it."""
-    levels = {ORDER: counts.select("lang", "gram", "n")}
-    for size in range(ORDER, 1, -1):  # below the top, how many different characters precede a gram
-        levels[size - 1] = checkpointed(levels[size].groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n")))
-    lower, out, rests = None, [], []
+    levels = own = counts.select("lang", F.lit(ORDER).alias("size"), "gram", "n")
+    for size in range(ORDER - 1, 0, -1):  # below the top, how many different characters precede a gram
+        own = own.groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n")).select("lang", F.lit(size).alias("size"), "gram", "n")
+        levels = levels.unionByName(own)
+    levels = checkpointed(levels)
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    grams = levels.join(few(_discounts(levels)), ["lang", "size"]).withColumn("cut", cut).withColumn("context", F.expr("substring(gram, 1, size - 1)"))
+    after = Window.partitionBy("lang", "size", "context")  # at most as many rows as there are characters
+    total = F.sum("n").over(after)
+    grams = grams.select("lang", "size", "gram", "context", ((F.col("n") - F.col("cut")) / total).alias("own"), (F.sum("cut").over(after) / total).alias("rest"))
+    grams = checkpointed(grams)
+    below, out = None, None
     for size in range(1, ORDER + 1):
-        cut = levels[size].join(_discounts(levels[size]), "lang")
-        cut = cut.withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        cut = cut.withColumn("context", F.substring("gram", 1, size - 1)).withColumn("shorter", F.substring("gram", 2, size))
-        total = cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("rest"))
-        own = cut.join(total, ["lang", "context"])
-        if lower is None:
-            own = own.withColumn("below", F.lit(math.exp(UNSEEN)))
+        own = grams.filter(F.col("size") == size)
+        if below is None:
+            below = own.select("lang", "gram", (F.col("own") + F.col("rest") * math.exp(UNSEEN)).alias("p"))
         else:
-            own = own.join(lower.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below")), ["lang", "shorter"])
-        lower = checkpointed(own.select("lang", "gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("rest") * F.col("below")).alias("p")))
-        out.append(lower.select("lang", "gram", F.log("p").alias("logp")))
-        rests.append(total.select("lang", F.col("context").alias("gram"), F.log("rest").alias("log_rest")))
-    grams, contexts = out[0], rests[0]
-    for a, b in zip(out[1:], rests[1:], strict=True):
-        grams, contexts = grams.unionByName(a), contexts.unionByName(b)
-    return grams.join(contexts, ["lang", "gram"], "full")
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model: shards of the gram tables as broadcasts, the contrast's words, and the languages.
-
-    `docs` is (id, lang, text).  What a task returns and what the driver holds at a time is bounded by the size of a
-    shard, or by the sample that the contrast is fitted on."""
-    spark = docs.sparkSession
-    labelled = _labelled(labels)
-    sizes = {r.part: r["count"] for r in labelled.groupBy("part").count().collect()}  # three rows
-    share = F.lit(0)
-    for part in ("trusted", "toxic"):
-        share = F.when(F.col("part") == part, F.lit(int(1e6 * min(1.0, SAMPLE / max(1, sizes.get(part, 0)))))).otherwise(share)
-    labelled = labelled.withColumn("sampled", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < share).filter("part <> 'held'")
-    read = docs.mapInArrow(_squeezed, "id long, lang string, body binary").join(labelled, "id")
-    counts = read.mapInArrow(_counted, "lang string, part string, gram string, n long").groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
-    counts = checkpointed(counts)
-
-    # the contrast
-    n_docs = {(r.lang, r.part): r.n for r in counts.filter("part <> 'gram' and gram = ''").collect()}  # two rows a language
-    words = counts.filter("part = 'toxic' and gram <> ''").filter(F.col("n") >= LEAST_DOCS).select("lang", "gram", F.col("n").alias("toxic"))
-    words = words.join(counts.filter("part = 'trusted'").select("lang", "gram", F.col("n").alias("trusted")), ["lang", "gram"], "left")
-    contrast: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in words.toLocalIterator():  # words of the bounded sample
-        ratio = math.log(r.toxic / n_docs[r.lang, "toxic"]) - math.log(((r.trusted or 0) + 0.3) / max(1, n_docs.get((r.lang, "trusted"), 0)))
-        if ratio > LEAST_RATIO:
-            contrast[r.lang][r.gram] = ratio
-
-    rows = checkpointed(_probabilities(counts.filter("part = 'gram'").drop("part")))
-    summed = rows.agg(F.count("*"), F.collect_set("lang")).first()
-    langs = sorted(summed[1])
-    shards = []
-    n_shards = max(1, math.ceil(summed[0] / SHARD_ROWS))
-    for k in range(n_shards):
-        t = rows.filter(F.pmod(F.xxhash64("gram"), F.lit(n_shards)) == k).toArrow()
-        shards.append(spark.sparkContext.broadcast(_shard(t, langs)))
-    return {"shards": shards, "langs": langs, "contrast": spark.sparkContext.broadcast(dict(contrast))}
-
-
-def _squeezed(batches):
-    schema = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("body", pa.binary())])
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array([squeeze((x or "").encode()) for x in b.column("text").to_pylist()], pa.binary())], schema=schema)
+            shorter = below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("p_shorter"))
+            below = own.withColumn("shorter", F.substring("gram", 2, size)).join(shorter, ["lang", "shorter"]).select("lang", "gram", (F.col("own") + F.col("rest") * F.col("p_shorter")).alias("p"))
+        out = below if out is None else out.unionByName(below)
+    rests = grams.select("lang", F.col("context").alias("gram"), F.log("rest").alias("log_rest")).distinct()
+    return checkpointed(out.select("lang", "gram", F.log("p").alias("logp")).join(rests, ["lang", "gram"], "full"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The gram tables of the trusted documents among (id, lang, text, key) as one DataFrame, written to the shared folder."""
+    return probabilities(checkpointed(_counts(_bags(docs), _labelled(labels).filter("part = 'trusted'").select("id"))))
 
 
 # --- scoring ----------------------------------------------------------------------------------------------------
 
 
-def _gram_keys(texts: list[str]) -> np.ndarray:
-    """64-bit keys of grams; the same as those that _ending gives."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    starts, out = np.cumsum(sizes) - sizes, (sizes + 1).astype(np.uint64)
-    for j in range(int(sizes.max(initial=0))):
-        has = np.flatnonzero(sizes > j)
-        out[has] = out[has] * _BASE + points[starts[has] + j] + np.uint64(1)
-    return out
-
-
-def _spread(keys: np.ndarray, lang: int) -> np.ndarray:
-    from dispensary.llm._text import mix
-
-    return mix(keys + np.uint64((lang + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) | np.uint64(1)
-
-
-def _table(keys: np.ndarray, values: np.ndarray) -> dict:
-    """Open addressing in the order of the keys: an entry stands at its slot or in the filled run after it."""
-    by = np.argsort(keys)
-    keys, values = keys[by], values[by]
-    bits = max(4, math.ceil(math.log2(2 * len(keys) + 1)))
-    slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    place = np.arange(len(keys)) + np.maximum.accumulate(slot - np.arange(len(keys))) if len(keys) else slot
-    size = max(1 << bits, int(place.max(initial=0)) + 1) + 1
-    out = {"bits": bits, "keys": np.zeros(size, np.uint64), "values": np.zeros(size, np.float32)}
-    out["keys"][place], out["values"][place] = keys, values
-    return out
-
-
-def _look_up(table: dict, keys: np.ndarray, into: np.ndarray) -> None:
-    """Write the values of keys that the table has."""
-    at = (keys >> np.uint64(64 - table["bits"])).astype(np.int64)
-    open_, have = np.arange(len(keys)), table["keys"]
-    while len(open_):
-        found = have[at]
-        wanted = keys[open_]
-        hit = found == wanted
-        into[open_[hit]] = table["values"][at[hit]]
-        on = (found != 0) & (found < wanted)
-        open_, at = open_[on], at[on] + 1
-
-
-def _shard(t: pa.Table, langs: list[str]) -> dict:
-    number = {x: i for i, x in enumerate(langs)}
-    lang = np.array([number[x] for x in t.column("lang").to_pylist()], np.int64)
-    keys = _gram_keys(t.column("gram").to_pylist())
-    for i in range(len(langs)):
-        keys[lang == i] = _spread(keys[lang == i], i)
-    out = {}
-    for name in ("logp", "log_rest"):
-        values = t.column(name).to_numpy()
-        has = ~np.isnan(values)
-        out[name] = _table(keys[has], values[has].astype(np.float32))
-    return out
-
-
-def word_scores(words: list[str], lang: int, shards: list[dict], at_once: int = 1 << 14) -> np.ndarray:
-    """Log-probability of each word with its end; `at_once` words are worked on together."""
-    if len(words) > at_once:
-        return np.concatenate([word_scores(words[i : i + at_once], lang, shards, at_once) for i in range(0, len(words), at_once)])
-    pad = _BEGIN * (ORDER - 1)
-    text = np.frombuffer("".join(pad + w + _END for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    ends = np.cumsum(sizes + ORDER - 1)
-    scored = np.ones(len(text), bool)
-    begins = ends - sizes - ORDER + 1
-    for j in range(ORDER - 1):
-        scored[begins + j] = False
-    at = np.flatnonzero(scored)
-    logp = np.full(len(at), UNSEEN)
-    for size in range(1, ORDER + 1):
-        context = np.full(len(at), size, np.uint64)
-        for j in range(size - 1, 0, -1):
-            context = context * _BASE + text[at - j]
-        gram = np.full(len(at), size + 1, np.uint64)
-        for j in range(size - 1, -1, -1):
-            gram = gram * _BASE + text[at - j]
-        rest, own = np.zeros(len(at), np.float32), np.full(len(at), np.nan, np.float32)
-        for s in shards:
-            _look_up(s["log_rest"], _spread(context, lang), rest)
-            _look_up(s["logp"], _spread(gram, lang), own)
-        logp = np.where(np.isnan(own), logp + rest, own)
-    return np.add.reduceat(logp, np.concatenate(([0], np.cumsum(sizes)[:-1]))) if len(words) else np.zeros(0)
-
-
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(first word of each text and the end, word numbers, distinct words); words are runs without white space."""
-    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
-    coded = lists.flatten().dictionary_encode()
-    ends, codes, words = np.asarray(lists.offsets) - lists.offsets[0].as_py(), np.asarray(coded.indices), coded.dictionary.to_pylist()
-    if "" in words:  # beside white space at either end
-        full = codes != words.index("")
-        ends, codes = np.concatenate(([0], np.cumsum(full)))[ends], codes[full]
-    return ends, codes, words
-
-
-_SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("key", pa.binary()), ("n_words", pa.int64()), ("perplexity", pa.float64()), ("contrast", pa.float64())])
-
-
-def scores(docs: DataFrame, model: dict) -> DataFrame:
-    """(id, lang, key, n_words, perplexity, contrast) of (id, lang, text, key); perplexity is null without words or model."""
-    shards, langs, contrast = model["shards"], model["langs"], model["contrast"]
-
-    def each(batches):
-        number = {x: i for i, x in enumerate(langs)}
-        for t in steps_of(batches, SCORED):
-            lang, texts = t.column("lang").to_pylist(), t.column("text").combine_chunks()
-            n_words, perplexity, top = np.zeros(len(texts), np.int64), [None] * len(texts), [0.0] * len(texts)
-            for name in set(lang):
-                rows = [i for i, x in enumerate(lang) if x == name]
-                ends, codes, words = split_words(texts.take(pa.array(rows)))
-                n = np.diff(ends)
-                n_words[rows] = n
-                if not len(codes):
-                    continue
-                if name in number:
-                    logp = word_scores(words, number[name], [s.value for s in shards])
-                    chars = np.fromiter((len(w) + 1 for w in words), np.float64, len(words))
-                    total = np.concatenate(([0], np.cumsum(logp[codes])))
-                    size = np.concatenate(([0], np.cumsum(chars[codes])))
-                    for k, i in enumerate(rows):
-                        if n[k]:
-                            perplexity[i] = math.exp(min(700.0, -(total[ends[k + 1]] - total[ends[k]]) / (size[ends[k + 1]] - size[ends[k]])))
-                if known := contrast.value.get(name):
-                    ratio = np.fromiter((known.get(plain(w), 0.0) for w in words), np.float64, len(words))[codes]
-                    hit = np.flatnonzero(ratio)
-                    best = defaultdict(list)
-                    for k, x in zip((np.searchsorted(ends, hit, side="right") - 1).tolist(), ratio[hit].tolist(), strict=True):
-                        best[k].append(x)
-                    for k, own in best.items():
-                        top[rows[k]] = sum(sorted(own)[-2:])
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), t.column("lang").combine_chunks(), t.column("key").combine_chunks(), pa.array(n_words), pa.array(perplexity, pa.float64()), pa.array(top, pa.float64())], schema=_SCORES)
-
-    return docs.mapInArrow(each, "id long, lang string, key binary, n_words long, perplexity double, contrast double")
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """(id, lang, n_words, perplexity, contrast, kept) for every document.
-
-    A document is rejected if its perplexity, or its contrast (the two largest log-ratios of its words), passes the
-    threshold of its language: the quantile over trusted documents (quality 1, toxic 0) kept out of the model, times
-    MARGIN for the perplexity, and LEAST_CONTRAST at least for the contrast.  Null and empty texts have no perplexity and are kept, as is all text in a
-    language that has no trusted documents; a null language is a language of its own.  Labels without a
-    document, and null labels, play no part.  Repeated rows and ids give a row each; an empty table gives an
-    empty result; other columns are ignored.
+def gram_scores(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """(lang, gram, logp) for distinct (lang, gram) of the full length, in languages that the model knows.
+
+    A gram has the probability of its longest ending that the model has seen, times the weights that the contexts
+    of the longer endings leave to shorter ones."""
+    ending = lambda size: F.substring("gram", ORDER + 1 - size, size)
+    looked = [F.struct(F.lit(k).alias("size"), F.lit(True).alias("whole"), ending(k).alias("key")) for k in range(1, ORDER + 1)]
+    looked += [F.struct(F.lit(k).alias("size"), F.lit(False).alias("whole"), F.substring("gram", ORDER + 1 - k, k - 1).alias("key")) for k in range(2, ORDER + 1)]
+    keys = asked.select("lang", "gram", F.explode(F.array(*looked)).alias("x")).select("lang", "gram", "x.*")
+    found = keys.join(model.withColumnRenamed("gram", "key"), ["lang", "key"], "left")
+    rest = {k: F.max(F.when((F.col("size") == k) & ~F.col("whole"), F.col("log_rest"))).alias(f"r{k}") for k in range(2, ORDER + 1)}
+    seen = F.max(F.when(F.col("whole") & F.col("logp").isNotNull(), F.struct("size", "logp"))).alias("seen")
+    one = found.groupBy("lang", "gram").agg(seen, *rest.values())
+    langs = few(model.filter("gram = ''").select("lang", F.col("log_rest").alias("r1")))
+    one = one.join(langs, "lang")
+    total = F.coalesce(F.col("seen.logp"), F.lit(UNSEEN))
+    for k in range(1, ORDER + 1):
+        total = total + F.when(F.coalesce(F.col("seen.size"), F.lit(0)) < k, F.coalesce(F.col(f"r{k}"), F.lit(0.0))).otherwise(0.0)
+    return one.select("lang", "gram", total.alias("logp"))
+
+
+_SCORES = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("key", pa.binary()), ("n_words", pa.int64()), ("perplexity", pa.float64()), ("peak", pa.float64())])
+
+
+def scores(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(id, lang, key, n_words, perplexity, peak) of (id, lang, text, key); both are null without words or model, and
+    the peak without a word of letters alone."""
+    bags = _bags(docs)
+
+    def ask(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                bag, place = _opened(b, i), 0
+                for lang in sorted(set(bag.langs)):
+                    texts = Grams(bag.forms(lang)[1]).texts
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), b.column("block")[i].as_py(), np.int64)), pa.array(np.arange(place, place + len(texts), dtype=np.int32)), pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.string())], names=["block", "place", "lang", "gram"])
+                    place += len(texts)
+
+    asked = bags.mapInArrow(ask, "block long, place int, lang string, gram string").repartition("lang", "gram")  # dealt once, for both uses
+    answers = asked.join(gram_scores(asked.select("lang", "gram").distinct(), model), ["lang", "gram"]).select("block", "place", "logp")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _SCORES.empty_table()
+        bag, place = _opened(left, 0), 0
+        known = np.full(int(np.asarray(right.column("place")).max(initial=-1)) + 1, np.nan)
+        known[np.asarray(right.column("place"))] = np.asarray(right.column("logp"))
+        n_docs = len(bag.langs)
+        n_words, whole, top = np.bincount(bag.doc, weights=bag.times, minlength=n_docs).astype(np.int64), np.full(n_docs, np.nan), np.full(n_docs, np.nan)
+        for lang in sorted(set(bag.langs)):
+            used, forms, peak = bag.forms(lang)
+            grams = Grams(forms)
+            values = np.full(len(grams.texts), np.nan)
+            here = known[place : place + len(values)]
+            values[: len(here)] = here
+            place += len(values)
+            if not len(used) or np.isnan(values).any():  # a language without a model
+                continue
+            logp = grams.per_word(values)
+            own = bag.of(lang)
+            word, doc, times = np.searchsorted(used, bag.codes[own]), bag.doc[own], bag.times[own]
+            total, size = (np.bincount(doc, weights=times * x[word], minlength=n_docs) for x in (logp, grams.sizes))
+            has = size > 0
+            whole[has] = np.exp(np.minimum(700.0, -total[has] / size[has]))
+            least = np.where(peak >= 0, -(logp / grams.sizes)[peak], -np.inf)
+            worst = np.full(n_docs, -np.inf)
+            np.maximum.at(worst, doc, least[word])
+            has = np.isfinite(worst)
+            top[has] = np.exp(np.minimum(700.0, worst[has]))
+        rest = left.column("rest")[0].values
+        floats = [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (whole, top)]
+        return pa.Table.from_arrays([pa.array(left.column("ids")[0].as_py(), pa.int64()), rest.field("lang"), rest.field("key"), pa.array(n_words), *floats], schema=_SCORES)
+
+    return bags.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "id long, lang string, key binary, n_words long, perplexity double, peak double")
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, peak_quantile: float = PEAK_QUANTILE) -> DataFrame:
+    """(id, lang, n_words, perplexity, peak, kept) for every document.
+
+    A document is rejected if its perplexity, or its peak (that of its least likely word of PEAK_LETTERS letters or
+    more, without punctuation and in small letters), is more than MARGIN times the threshold of its language: the
+    quantile over trusted documents (quality 1, toxic 0) kept out of the model.  Null and empty texts have no
+    perplexity and are kept, as is all text in a language that has no trusted documents; a null language is a language
+    of its own.  A very long text is a block of its own and is scored whole.  Labels without a document, and null labels,
+    play no part.  Repeated rows and ids give a row each, equal scores are judged alike; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
-    return _judged(docs, labels, id_col, text_col, lang_col, quantile).drop("key")
+    return _judged(docs, labels, id_col, text_col, lang_col, quantile, peak_quantile).drop("key")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float = QUANTILE) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float = QUANTILE, peak_quantile: float = PEAK_QUANTILE) -> DataFrame:
     """What classify returns, and the digest of the text as `key`."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    done = checkpointed(scores(own.withColumn("key", text_key(F.col("text"))), fit(own, labels)))
+    own = own.withColumn("key", text_key(F.col("text")))
+    done = checkpointed(scores(own, fit(own, labels)))
     held = done.join(_labelled(labels).filter("part = 'held'").select("id"), "id").filter("perplexity is not null")
-    limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("most"), F.greatest(F.lit(LEAST_CONTRAST), F.percentile_approx("contrast", quantile, 10000)).alias("most_contrast"))
-    judged = done.join(limits, "lang", "left")
-    bad = (F.col("perplexity") > MARGIN * F.col("most")) | (F.col("contrast") > F.coalesce("most_contrast", F.lit(LEAST_CONTRAST)))
-    return judged.select("id", "lang", "key", "n_words", "perplexity", "contrast", (~F.coalesce(bad, F.lit(False))).alias("kept"))
+    limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("most"), F.percentile_approx("peak", peak_quantile, 10000).alias("most_peak"))
+    judged = done.join(few(limits), "lang", "left")
+    bad = F.coalesce(F.col("perplexity") > MARGIN * F.col("most"), F.lit(False)) | F.coalesce(F.col("peak") > MARGIN * F.col("most_peak"), F.lit(False))
+    return judged.select("id", "lang", "key", "n_words", "perplexity", "peak", (~bad).alias("kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -15,7 +15,6 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from dispensary.llm import _blocks as B
 from dispensary.llm import _dictionary as D
 from dispensary.llm._spark import documents
 
@@ -41,7 +40,7 @@ def check_model(model: bytes) -> sentencepiece.SentencePieceProcessor:
     return sp
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = D.BLOCK_BYTES, n_buckets: int | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = D.BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, ids, decoded): all ids as decimals joined by commas, and the library's decoding of them.
 
     Whole texts, without begin or end ids and without sampling.  Null and empty texts have no ids and decode to an
@@ -53,7 +52,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     check_model(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one file of the model's size
     docs = documents(docs, id_col, text_col)
-    n = B.buckets(docs, n_buckets)
     blocks = D.coded(docs, chunks, frequencies=False, block_bytes=block_bytes)
 
     def make():
@@ -84,5 +82,4 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         texts = [pa.array(x, pa.large_binary()).cast(pa.large_string()).cast(pa.string()) for x in (joined, decoded)]
         return [ids, total[ends[1:]] - total[ends[:-1]], *texts]
 
-    answers = D.each_distinct(blocks, make, n)
-    return D.joined_back(blocks, answers, n, finish, "id long, n_tokens long, ids string, decoded string")
+    return D.joined_back(blocks, D.each_distinct(blocks, make), finish, "id long, n_tokens long, ids string, decoded string")

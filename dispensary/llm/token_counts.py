@@ -13,7 +13,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispensary.llm import _blocks as B
 from dispensary.llm import _dictionary as D
 from dispensary.llm._spark import documents
 from dispensary.llm.sentencepiece_codec import check_model, chunks
@@ -46,7 +45,7 @@ def _check_json(model: bytes) -> None:
         raise ValueError("this tokenizer keeps white space; its counts can't be summed over runs without it")
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = D.BLOCK_BYTES, n_buckets: int | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = D.BLOCK_BYTES) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text.
 
     A .json file is read by the tokenizers library, a .model file by sentencepiece; no special tokens are added,
@@ -60,7 +59,6 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: st
     check_model(model) if kind == "model" else _check_json(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one file of the model's size
     docs = documents(docs, id_col, text_col)
-    n = B.buckets(docs, n_buckets)
     blocks = D.coded(docs, chunks if kind == "model" else pre_tokens, frequencies=True, block_bytes=block_bytes)
 
     def make():
@@ -73,5 +71,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: st
         ends = np.concatenate(([0], np.cumsum(n_pieces)))
         return [ids, n_bytes, total[ends[1:]] - total[ends[:-1]]]
 
-    out = D.joined_back(blocks, D.each_distinct(blocks, make, n), n, finish, "id long, n_bytes long, n_tokens long")
+    out = D.joined_back(blocks, D.each_distinct(blocks, make), finish, "id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

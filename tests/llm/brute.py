@@ -115,3 +115,76 @@ def substrings(docs, width=20):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out.append((i, len(w), sum(gone), sha(kept)))
     return out
+
+
+def held_out(ids, n):
+    """Ids whose xxhash64 (Spark's, seed 42) is a multiple of n."""
+    import struct
+
+    import xxhash
+
+    signed = {i: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", i), 42)))[0] for i in ids}
+    return {i for i, h in signed.items() if h % n == 0}
+
+
+def kneser_ney(words, order):
+    """log p(character | the order - 1 before it) of an interpolated modified Kneser-Ney model of {word: count}."""
+    top = collections.Counter()
+    for w, n in words.items():
+        padded = "\x02" * (order - 1) + w + "\x03"
+        for i in range(len(w) + 1):
+            top[padded[i : i + order]] += n
+    levels = [top]
+    for _ in range(order - 1):
+        levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
+    tables = []
+    for counts in levels:
+        n1, n2, n3, n4 = (max(1, sum(v == k for v in counts.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [min(k - 0.05, max(0.05, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        after = collections.defaultdict(dict)
+        for g, n in counts.items():
+            after[g[:-1]][g[-1]] = n
+        tables.append((d, after))
+
+    def p(context, c):
+        lower = p(context[1:], c) if context else 1 / 4096
+        d, after = tables[len(context)]
+        if context not in after:
+            return lower
+        follow = after[context]
+        total, cut = sum(follow.values()), sum(d[min(n, 3) - 1] for n in follow.values())
+        own = follow.get(c, 0)
+        return (own - d[min(own, 3) - 1]) / total + cut / total * lower if own else cut / total * lower
+
+    return p
+
+
+def perplexities(rows, trusted, order=4, letters=4):
+    """(id, lang, text) -> (id, words, perplexity, perplexity of the least likely word) in the order of the rows."""
+    import math
+    import string
+
+    words = collections.defaultdict(collections.Counter)
+    for i, lang, t in rows:
+        if i in trusted:
+            words[lang or ""].update(x.decode() for x in (t or "").encode().split())
+    models = {lang: kneser_ney(c, order) for lang, c in words.items() if c}
+    known = {}
+
+    def score(lang, w):
+        if (lang, w) not in known:
+            padded = "\x02" * (order - 1) + w + "\x03"
+            known[lang, w] = sum(math.log(models[lang](padded[i : i + order - 1], padded[i + order - 1])) for i in range(len(w) + 1))
+        return known[lang, w]
+
+    out = []
+    for i, lang, t in rows:
+        own, lang = [x.decode() for x in (t or "").encode().split()], lang or ""
+        if not own or lang not in models:
+            out.append((i, len(own), None, None))
+            continue
+        mean = -sum(score(lang, w) for w in own) / sum(len(w) + 1 for w in own)
+        peaks = [w for w in (x.strip(string.punctuation).lower() for x in own) if len(w) >= letters and w.isalpha()]
+        out.append((i, len(own), math.exp(mean), max((math.exp(-score(lang, w) / (len(w) + 1)) for w in peaks), default=None)))
+    return out

@@ -240,27 +240,52 @@ def test_good_documents_decides_by_row(spark):
 
 def test_kneser_ney_sums_to_one(spark):
     """Over all characters that follow a context, seen or not, the model's probabilities add up to one."""
-    counts = spark.createDataFrame([("l", w[i : i + quality.ORDER], n) for w, n in (("\x02\x02\x02\x02abab\x03", 3), ("\x02\x02\x02\x02abc\x03", 2), ("\x02\x02\x02\x02b\x03", 1)) for i in range(len(w) - quality.ORDER + 1)], "lang string, gram string, n long")
-    rows = quality._probabilities(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))).collect()
-    logp = {r.gram: r.logp for r in rows if r.logp is not None}
-    top_ = [g for g in logp if len(g) == 1]
-    rest = {r.gram: r.log_rest for r in rows if r.log_rest is not None}
-
-    def p(context, c):
-        gram = context + c
-        if gram in logp:
-            return math.exp(logp[gram])
-        return math.exp(rest.get(context, 0.0)) * (p(context[1:], c) if context else math.exp(quality.UNSEEN))
-
-    unseen = 4096 - len(top_)
-    for context in ("", "a", "ab", "\x02\x02\x02\x02"):
-        assert abs(sum(p(context, c) for c in top_) + unseen * p(context, "Z") - 1) < 1e-6
-    shard = quality._shard(spark.createDataFrame(rows).toArrow(), ["l"])
-    for w in ("abab", "b", "zz", ""):
-        padded, want = "\x02" * 4 + w + "\x03", 0.0
-        for i in range(4, len(padded)):
-            want += math.log(p(padded[i - 4 : i], padded[i]))
-        assert abs(quality.word_scores([w], 0, [shard])[0] - want) < 1e-4
+    counts = brute.collections.Counter()
+    for w, n in (("abab", 3), ("abc", 2), ("b", 1)):
+        padded = "\x02" * (quality.ORDER - 1) + w + "\x03"
+        for i in range(len(w) + 1):
+            counts[padded[i : i + quality.ORDER]] += n
+    model = quality.probabilities(spark.createDataFrame([("l", g, n) for g, n in counts.items()], "lang string, gram string, n long"))
+    contexts, seen = ["\x02\x02\x02", "\x02\x02a", "bab", "zzz", "zza"], ["a", "b", "c", "\x03"]
+    asked = spark.createDataFrame([("l", c + x) for c in contexts for x in [*seen, "Z"]] + [("other", "abcd")], "lang string, gram string")
+    logp = {r.gram: r.logp for r in quality.gram_scores(asked, model).collect()}
+    assert len(logp) == len(contexts) * 5
+    want = brute.kneser_ney({"abab": 3, "abc": 2, "b": 1}, quality.ORDER)
+    for c in contexts:
+        total = sum(math.exp(logp[c + x]) for x in seen) + (4096 - len(seen)) * math.exp(logp[c + "Z"])
+        assert abs(total - 1) < 1e-9
+        assert all(abs(math.exp(logp[c + x]) - want(c, x)) < 1e-12 for x in [*seen, "Z"])
+
+
+def test_quality_against_brute_force(spark):
+    """Both perplexities and the decision of every document of the smallest tables."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    stored = [(r.doc_id, r.lang, r.text) for r in docs.select("doc_id", "lang", "text").collect()]
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.toxic == 0}
+    held = brute.held_out(good, quality.HELD_OUT)
+    want = brute.perplexities(stored, good - held)
+    got = {r.id: r for r in quality.classify(docs, labels).collect()}
+    limit = {}
+    for lang in {x for _, x, _ in stored}:
+        for k in (2, 3):
+            own = sorted(w[k] for w, (i, x, _) in zip(want, stored, strict=True) if x == lang and i in held and w[k] is not None)
+            limit[lang, k] = own[math.ceil((quality.QUANTILE if k == 2 else quality.PEAK_QUANTILE) * len(own)) - 1] if own else math.inf
+    assert len(got) == len(stored)
+    for (i, n, whole, peak), (_, lang, _) in zip(want, stored, strict=True):
+        r = got[i]
+        assert r.n_words == n and (r.perplexity is None) == (whole is None) and (r.peak is None) == (peak is None)
+        assert whole is None or abs(r.perplexity / whole - 1) < 1e-9
+        assert peak is None or abs(r.peak / peak - 1) < 1e-9
+        assert r.kept == ((whole or 0) <= quality.MARGIN * limit[lang, 2] and (peak or 0) <= quality.MARGIN * limit[lang, 3])
+
+
+def test_quality_clashing_columns_and_long_texts(spark):
+    docs = spark.createDataFrame([(i, "ba ne ti " * 20, "xx", 1, b"k", "r", 5, 2) for i in range(30)] + [(99, "ba ne " * 60_000 + "x" * 200_000, "xx", 1, b"k", "r", 5, 2)], "doc_id long, text string, lang string, id int, key binary, rest string, block int, perplexity int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    rows = {r.id: r for r in quality.classify(docs, labels).collect()}
+    assert len(rows) == 31 and rows[99].n_words == 120_001 and not rows[99].kept and all(rows[i].kept for i in range(30))
+    kept = quality.good_documents(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 30
 
 
 def test_url_filter(spark):
