@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,10 @@ _LIGATURES = {"e": "œ", "a": "æ"}
 WHITE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
 
+#: The letters that fold_names changes to ASCII ones, large and small, and two signs whose small letters are among these.
+FOLDED_LETTERS = "".join(x + x.upper() for letters in _FOLDS.values() for x in letters) + "\u212a\u212b"
+
+
 def _table(*folds: dict[str, str]) -> tuple[str, str]:
     pairs = [(x, to) for f in folds for to, letters in f.items() for x in letters]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
@@ -31,9 +36,17 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
 
+#: Letters by the letter that they are without the marks of the Latin, Greek and Cyrillic alphabets, as Unicode takes them apart.
+_UNMARKED: dict[str, str] = {}
+for _x in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), 0x212A, 0x212B)):
+    _plain = "".join(c for c in unicodedata.normalize("NFD", _x.lower()) if not "\u0300" <= c <= "\u036f")
+    if len(_x.lower()) == len(_plain) == 1 and _x.lower() != _plain:
+        _UNMARKED[_plain] = _UNMARKED.get(_plain, "") + _x.lower()
+
+
 def strip_marks(c: Column) -> Column:
-    """Lower case without the accents of Latin letters, precomposed or combining."""
-    return F.regexp_replace(_translate(F.lower(c), _FOLDS, _MORE_FOLDS), "[\\u0300-\\u036F]", "")
+    """Lower case without marks, precomposed or combining, in alphabets that have precomposed letters."""
+    return F.regexp_replace(_translate(F.lower(c), _UNMARKED), "[\\u0300-\\u036F]", "")
 
 
 def normalise(c: Column) -> Column:

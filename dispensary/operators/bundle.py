@@ -64,17 +64,20 @@ def _visit() -> Column:
     return _struct(reference=F.concat(F.lit("Encounter/"), F.col("id")))
 
 
-def encounter_resources(encounters: DataFrame) -> DataFrame:
-    """(encounterId, id, resource)"""
+def _encounter() -> Column:
     complaint, diagnosis = _blank("chiefComplaint"), _blank("diagnosis")
-    resource = _struct(
+    return _struct(
         resourceType="Encounter", id=F.col("id"), status=F.when(F.col("status") == "final", "finished").otherwise("in-progress"),
         **{"class": _struct(system="http://terminology.hl7.org/CodeSystem/v3-ActCode", code="AMB", display="ambulatory")},
         subject=_subject(), period=_struct(start=iso(F.col("occurredAt"))),
         reasonCode=_some(complaint, F.array(_struct(text=complaint))),
         diagnosis=_some(diagnosis, F.array(_struct(use=_struct(text="diagnosis"), condition=_struct(display=diagnosis)))),
     )
-    return encounters.select(F.col("id").alias("encounterId"), "id", resource.alias("resource"))
+
+
+def encounter_resources(encounters: DataFrame) -> DataFrame:
+    """(encounterId, id, resource)"""
+    return encounters.select(F.col("id").alias("encounterId"), "id", _encounter().alias("resource"))
 
 
 def _quantity(value: Column, unit: Column, code: Column) -> Column:
@@ -90,53 +93,123 @@ def _observation(id_: Column, loinc: Column, display: Column, **rest: Column) ->
     )
 
 
+def _measured() -> Column:
+    """The values outside blood pressure that are there, in export order: place, vital, value and codes."""
+    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(v).alias("vital"), F.col(f"vitals.{v}").alias("value"), *[F.lit(x).alias(n) for n, x in zip(("loinc", "display", "unit", "ucum"), VITAL_CODES[v], strict=True)]) for i, v in enumerate(_PLAIN_VITALS)])
+    return F.filter(listed, lambda x: x["value"].isNotNull())
+
+
+def _vital_id(x: Column) -> Column:
+    return F.concat(F.col("id"), F.lit("-"), x["vital"])
+
+
+def _vital(x: Column) -> Column:
+    return _observation(_vital_id(x), x["loinc"], x["display"], valueQuantity=_quantity(x["value"], x["unit"], x["ucum"]))
+
+
 def observations(encounters: DataFrame) -> DataFrame:
     """(encounterId, place, id, vital, value, resource), one row a value outside blood pressure, in export order."""
-    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(v).alias("vital"), F.col(f"vitals.{v}").alias("value"), *[F.lit(x).alias(n) for n, x in zip(("loinc", "display", "unit", "ucum"), VITAL_CODES[v], strict=True)]) for i, v in enumerate(_PLAIN_VITALS)])
-    o = encounters.select("id", "patientId", "occurredAt", F.explode(F.filter(listed, lambda x: x["value"].isNotNull())).alias("x")).select("id", "patientId", "occurredAt", "x.*")
-    own = F.concat("id", F.lit("-"), "vital")
-    resource = _observation(own, F.col("loinc"), F.col("display"), valueQuantity=_quantity(F.col("value"), F.col("unit"), F.col("ucum")))
-    return o.select(F.col("id").alias("encounterId"), "place", own.alias("id"), "vital", "value", resource.alias("resource"))
+    o, x = encounters.select("id", "patientId", "occurredAt", F.explode(_measured()).alias("x")), F.col("x")
+    return o.select(F.col("id").alias("encounterId"), "x.place", _vital_id(x).alias("id"), "x.vital", "x.value", _vital(x).alias("resource"))
 
 
-def blood_pressures(encounters: DataFrame) -> DataFrame:
-    """(encounterId, id, systolic, diastolic, resource), one panel for encounters with either value."""
+def _has_pressure() -> Column:
+    return F.col("vitals.systolic").isNotNull() | F.col("vitals.diastolic").isNotNull()
+
+
+def _pressure_id() -> Column:
+    return F.concat("id", F.lit("-bp"))
+
+
+def _pressure() -> Column:
     parts = []
     for v in ("systolic", "diastolic"):
         loinc, display, unit, ucum = map(F.lit, VITAL_CODES[v])
         value = F.col(f"vitals.{v}")
         parts.append(F.when(value.isNotNull(), _struct(code=_struct(coding=F.array(_struct(system=_LOINC, code=loinc, display=display))), valueQuantity=_quantity(value, unit, ucum))))
-    own = F.concat("id", F.lit("-bp"))
-    resource = _observation(own, F.lit("85354-9"), F.lit("Blood pressure panel with all children optional"), component=F.array_compact(F.array(*parts)))
-    e = encounters.filter(F.col("vitals.systolic").isNotNull() | F.col("vitals.diastolic").isNotNull())
-    return e.select(F.col("id").alias("encounterId"), own.alias("id"), "vitals.systolic", "vitals.diastolic", resource.alias("resource"))
+    return _observation(_pressure_id(), F.lit("85354-9"), F.lit("Blood pressure panel with all children optional"), component=F.array_compact(F.array(*parts)))
 
 
-def medication_requests(encounters: DataFrame) -> DataFrame:
-    """(encounterId, place, id, drug, dosage, frequency, days, resource), one row a prescription."""
-    m = encounters.select("id", "patientId", "occurredAt", F.posexplode("prescriptions").alias("place", "p"))
-    frequency, days = F.nullif(F.col("p.frequencyPerDay"), F.lit(0)), F.nullif(F.col("p.durationDays"), F.lit(0))
-    dosage = F.nullif(F.concat_ws(", ", _blank("p.dose"), _blank("p.notes")), F.lit(""))
+def blood_pressures(encounters: DataFrame) -> DataFrame:
+    """(encounterId, id, systolic, diastolic, resource), one panel for encounters with either value."""
+    e = encounters.filter(_has_pressure())
+    return e.select(F.col("id").alias("encounterId"), _pressure_id().alias("id"), "vitals.systolic", "vitals.diastolic", _pressure().alias("resource"))
+
+
+def _frequency(p: Column) -> Column:
+    return F.nullif(p["frequencyPerDay"], F.lit(0))
+
+
+def _days(p: Column) -> Column:
+    return F.nullif(p["durationDays"], F.lit(0))
+
+
+def _dosage(p: Column) -> Column:
+    return F.nullif(F.concat_ws(", ", _blank(p["dose"]), _blank(p["notes"])), F.lit(""))
+
+
+def _medication_id(p: Column) -> Column:
+    return F.concat(F.col("id"), F.lit("-"), p["id"])
+
+
+def _medication(p: Column) -> Column:
+    frequency, days = _frequency(p), _days(p)
     repeat = _struct(frequency=frequency, period=_some(frequency, F.lit(1)), periodUnit=_some(frequency, F.lit("d")), boundsDuration=_some(days, _struct(value=days, unit="d", system=_UCUM, code="d")))
-    own = F.concat("id", F.lit("-"), "p.id")
-    resource = _struct(
-        resourceType="MedicationRequest", id=own, status="active", intent="order", medicationCodeableConcept=_struct(text=F.col("p.drug")),
+    return _struct(
+        resourceType="MedicationRequest", id=_medication_id(p), status="active", intent="order", medicationCodeableConcept=_struct(text=p["drug"]),
         subject=_subject(), encounter=_visit(), authoredOn=iso(F.col("occurredAt")),
-        dosageInstruction=F.array(_struct(text=dosage, timing=F.when(frequency.isNotNull() | days.isNotNull(), _struct(repeat=repeat)))),
+        dosageInstruction=F.array(_struct(text=_dosage(p), timing=F.when(frequency.isNotNull() | days.isNotNull(), _struct(repeat=repeat)))),
     )
-    return m.select(F.col("id").alias("encounterId"), "place", own.alias("id"), F.col("p.drug").alias("drug"), dosage.alias("dosage"), frequency.alias("frequency"), days.alias("days"), resource.alias("resource"))
 
 
-def bundle_entries(patients: DataFrame, encounters: DataFrame, as_of_ms: int, include_drafts: bool = False, urn: str = URN) -> DataFrame:
-    """(part, encounterId, section, place, resourceType, fullUrl, json): the entries of the bundle.
+def medication_requests(encounters: DataFrame) -> DataFrame:
+    """(encounterId, place, id, drug, dosage, frequency, days, resource), one row a prescription."""
+    m, p = encounters.select("id", "patientId", "occurredAt", F.posexplode("prescriptions").alias("place", "p")), F.col("p")
+    return m.select(F.col("id").alias("encounterId"), "place", _medication_id(p).alias("id"), "p.drug", _dosage(p).alias("dosage"), _frequency(p).alias("frequency"), _days(p).alias("days"), _medication(p).alias("resource"))
+
 
-    They are ordered by part (patients, then encounters), id, section and place; absent fields are left out of the JSON."""
-    e = exported(encounters, include_drafts)
+# --- the bundle -------------------------------------------------------------------------------------------------
 
-    def rows(df: DataFrame, part: int, section: int, kind: str, encounter: str | None, place: str | None) -> DataFrame:
-        return df.select(F.lit(part).alias("part"), (F.col(encounter) if encounter else F.col("id")).alias("encounterId"), F.lit(section).alias("section"), (F.col(place) if place else F.lit(0)).alias("place"), F.lit(kind).alias("resourceType"), F.concat(F.lit("urn:uuid:"), "id").alias("fullUrl"), F.to_json("resource").alias("json"))
+BUNDLE_ORDER = ("part", "encounterId", "section", "place")
+_ENTRY = "array<struct<section:int,place:int,resourceType:string,fullUrl:string,json:string>>"
+
+
+def _entry(section: int, place: Column, kind: str, id_: Column, resource: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), place.cast("int").alias("place"), F.lit(kind).alias("resourceType"), F.concat(F.lit("urn:uuid:"), id_).alias("fullUrl"), F.to_json(resource).alias("json"))
+
+
+def bundle_entries(patients: DataFrame, encounters: DataFrame, as_of_ms: int, include_drafts: bool = False, urn: str = URN) -> DataFrame:
+    """(part, encounterId, section, place, resourceType, fullUrl, json): the entries of the bundle.
 
-    out = rows(patient_resources(patients, as_of_ms, urn), 0, 0, "Patient", None, None)
-    for df, section, kind, place in ((encounter_resources(e), 0, "Encounter", None), (observations(e), 1, "Observation", "place"), (blood_pressures(e), 2, "Observation", None), (medication_requests(e), 3, "MedicationRequest", "place")):
-        out = out.unionByName(rows(df, 1, section, kind, "encounterId", place))
-    return out
+    They are ordered by BUNDLE_ORDER (patients, then encounters); absent fields are left out of the JSON.  An encounter's
+    entries are made in one pass over the encounters."""
+    none, zero = F.array().cast(_ENTRY), F.lit(0)
+    listed = F.concat(
+        F.array(_entry(0, zero, "Encounter", F.col("id"), _encounter())),
+        F.transform(_measured(), lambda x: _entry(1, x["place"], "Observation", _vital_id(x), _vital(x))),
+        F.when(_has_pressure(), F.array(_entry(2, zero, "Observation", _pressure_id(), _pressure()))).otherwise(none),
+        F.coalesce(F.transform("prescriptions", lambda p, i: _entry(3, i, "MedicationRequest", _medication_id(p), _medication(p))), none),
+    )
+    own = exported(encounters, include_drafts).select(F.lit(1).alias("part"), F.col("id").alias("encounterId"), F.explode(listed).alias("e")).select("part", "encounterId", "e.*")
+    first = patient_resources(patients, as_of_ms, urn).select(F.lit(0).alias("part"), F.col("id").alias("encounterId"), _entry(0, zero, "Patient", F.col("id"), F.col("resource")).alias("e"))
+    return first.select("part", "encounterId", "e.*").unionByName(own)
+
+
+def entry_json() -> Column:
+    """An entry as it stands in a bundle."""
+    return F.concat(F.lit('{"fullUrl":'), F.to_json(F.array("fullUrl")).substr(F.lit(2), F.length(F.to_json(F.array("fullUrl"))) - 2), F.lit(',"resource":'), F.col("json"), F.lit("}"))
+
+
+def bundle_head(as_of_ms: int) -> Column:
+    """What a bundle holds beside its entries, with the time of the export."""
+    return F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("collection").alias("type"), iso(F.lit(as_of_ms)).alias("timestamp")))
+
+
+def bundle_document(patients: DataFrame, encounters: DataFrame, as_of_ms: int, include_drafts: bool = False, most: int = 100_000) -> DataFrame:
+    """One row: a register of up to `most` entries as one JSON document; larger ones are written in parts (ValueError)."""
+    entries = bundle_entries(patients, encounters, as_of_ms, include_drafts)
+    if entries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} entries")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*BUNDLE_ORDER, entry_json().alias("entry")))), lambda x: x["entry"])
+    head = F.regexp_replace(bundle_head(as_of_ms), "[}]$", "")
+    return entries.agg(F.concat(head, F.lit(',"entry":['), F.array_join(listed, ","), F.lit("]}")).alias("json"))

@@ -2,8 +2,8 @@
 
 Redaction is a join, not a pattern over every term.  A term of ASCII word characters matches exactly the equal
 maximal word runs of the folded text, so texts are cut into runs, the runs are joined with the folded terms by
-hash, and the hits of a text go back to it.  Only texts that hold a term with other characters go through the terms
-one by one, and only through the terms whose words they hold.
+hash, and the hits of a row go back to it; its texts are then cut again and hits replaced, all in expressions.  Only rows
+that hold the first run of a term with other characters (a hyphen, an apostrophe) go through Python, with the terms they hold.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispensary.functions import clinical as C
-from dispensary.functions.numbers import rx
-from dispensary.functions.text import WHITE, fold_names, fold_names_py, trim
+from dispensary.functions.numbers import WS
+from dispensary.functions.text import FOLDED_LETTERS, WHITE, fold_names, fold_names_py, trim
 
 REDACTED = "[…]"
 LEVELS = ("identified", "pseudonymous", "anonymous")
 REMOVED_FIELDS = ("givenName", "familyName", "birthDate", "phone", "address", "registerNo", "attachments")
 
+_WORD = "A-Za-z0-9_"
+#: Between an ASCII word character and anything else, for Java and Python alike.
+_EDGE = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
 # Phone numbers, and other long runs of digits.
-_PHONE = rx(r"\b(?:\+?261[<S>.-]?)?0?\d{2}[<S>.-]?\d{2}[<S>.-]?\d{3}[<S>.-]?\d{2}\b")
-_DIGITS = rx(r"\b\d{7,}\b")
+_PHONE = rf"{_EDGE}(?:\+?261[{WS}.-]?)?0?[0-9]{{2}}[{WS}.-]?[0-9]{{2}}[{WS}.-]?[0-9]{{3}}[{WS}.-]?[0-9]{{2}}{_EDGE}"
+_DIGITS = rf"{_EDGE}[0-9]{{7,}}{_EDGE}"
 
 
 def random_salt() -> str:
@@ -41,40 +44,65 @@ def roster_terms(patients: DataFrame) -> DataFrame:
 
 
 def scrub_text(text: str, terms: list[str]) -> tuple[str, int]:
-    """Redact the terms (folded, whole words, longest first), then phone numbers, then runs of seven digits and more."""
-    n = 0
-    for term in sorted(terms, key=lambda t: -len(t)):
-        spans = [m.span() for m in re.finditer(rf"\b{re.escape(term)}\b", fold_names_py(text), re.ASCII)]
-        for start, stop in reversed(spans):
-            text = text[:start] + REDACTED + text[stop:]
-        n += len(spans)
-    for pattern in (_PHONE, _DIGITS):
-        text, more = pattern.subn(REDACTED, text)
-        n += more
-    return text, n
+    """Redact folded terms as whole words, the longest first."""
+    found = 0
+    for term in sorted(terms, key=len, reverse=True):
+        places = [m.start() for m in re.finditer(_EDGE + re.escape(term) + _EDGE, fold_names_py(text))]
+        cuts = [0, *(p for at in places for p in (at, at + len(term))), len(text)]
+        text = REDACTED.join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
+        found += len(places)
+    return text, found
 
 
-def _scrubbed(text: Column, terms: Column) -> Column:
-    @F.pandas_udf("struct<text:string,redactions:int>")
-    def run(texts: pd.Series, listed: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0) if t is None else scrub_text(t, [] if own is None else list(own)) for t, own in zip(texts, listed, strict=True)]
-        return pd.DataFrame(rows, columns=["text", "redactions"])
+def _by_terms(texts: Column, terms: Column) -> Column:
+    one = lambda t, own: {"text": None, "n": 0} if t is None else dict(zip(("text", "n"), scrub_text(t, own), strict=True))
 
-    return run(text, terms)
+    @F.pandas_udf("array<struct<text:string,n:int>>")
+    def run(listed: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[one(t, list(own)) for t in row] for row, own in zip(listed, found, strict=True)], dtype=object)
 
+    return run(texts, terms)
 
-def scrub(texts: DataFrame, terms: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """(key, text, redactions) for (key, text), whose keys are distinct.  `terms` is what roster_terms gives.
 
-    A text meets only those terms whose first word run it holds; each text's list is as long as its own hits."""
-    word = "[A-Za-z0-9_]+"
-    own = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+def _by_runs(texts: Column, terms: Column) -> Column:
+    """The same in expressions, for terms of word characters alone; letters that fold to such ones belong to a run."""
+    tokens = lambda t: F.regexp_extract_all(t, F.lit(f"([{_WORD}{FOLDED_LETTERS}]+|[^{_WORD}{FOLDED_LETTERS}]+)"))
+    hit = lambda x: F.array_contains(terms, fold_names(x))
+    cut = F.transform(texts, lambda t: F.struct(t.alias("text"), tokens(t).alias("tokens")))
+    return F.transform(cut, lambda c: F.struct(F.when(c["text"].isNotNull(), F.array_join(F.transform(c["tokens"], lambda x: F.when(hit(x), REDACTED).otherwise(x)), "")).alias("text"), F.coalesce(F.size(F.filter(c["tokens"], hit)), F.lit(0)).alias("n")))
+
+
+def _numbers(done: Column) -> Column:
+    """Phone numbers, then runs of seven digits and more, in what is left of each text."""
+
+    def without(pattern: str, done: Column) -> Column:
+        found = lambda s: F.coalesce(F.regexp_count(s["text"], F.lit(pattern)), F.lit(0))
+        return F.transform(done, lambda s: F.struct(F.regexp_replace(s["text"], F.lit(pattern), F.lit(REDACTED)).alias("text"), (s["n"] + found(s)).alias("n")))
+
+    return without(_DIGITS, without(_PHONE, done))
+
+
+def scrubbed(rows: DataFrame, key: str, texts: Column, terms: DataFrame) -> DataFrame:
+    """The rows with `clean`, an array of (text, n redactions) for the array `texts`; values of `key` are distinct.
+
+    A row meets only those terms whose first word run one of its texts holds; its hits are as many as its own words."""
+    run = f"([{_WORD}]+)"
+    own = rows.withColumn("texts_", texts)
     # a term without any word character can't stand between word boundaries
-    t = terms.select("term", "folded", F.regexp_extract("folded", word, 0).alias("run")).filter("run <> ''").groupBy("folded", "run").agg(F.count("*").alias("n"))
-    runs = own.select("key", F.explode(F.array_distinct(F.regexp_extract_all(fold_names(F.col("text")), F.lit(f"({word})")))).alias("run"))
-    hits = runs.join(t, "run").groupBy("key").agg(F.array_sort(F.collect_list("folded")).alias("terms"))
-    met = own.join(hits, "key", "left").withColumn("s", _scrubbed(F.col("text"), F.col("terms")))
-    return met.select("key", "s.text", "s.redactions")
+    t = terms.select("folded", F.regexp_extract("folded", run, 1).alias("run_")).filter("run_ <> ''").distinct()
+    runs = own.select(F.col(key).alias("key_"), F.explode(F.array_distinct(F.flatten(F.transform(F.array_compact("texts_"), lambda x: F.regexp_extract_all(fold_names(x), F.lit(run)))))).alias("run_"))
+    odd = F.max(F.col("folded") != F.col("run_")).alias("odd_")
+    hits = runs.join(t, "run_").groupBy("key_").agg(F.collect_set("folded").alias("terms_"), odd)
+    met = own.join(hits, F.col(key) == F.col("key_"), "left").withColumn("odd_", F.coalesce("odd_", F.lit(False)))
+    plain = F.when(F.col("terms_").isNull(), F.transform("texts_", lambda x: F.struct(x.alias("text"), F.lit(0).alias("n")))).otherwise(_by_runs(F.col("texts_"), F.col("terms_")))
+    by_runs, by_terms = met.filter(~F.col("odd_")).withColumn("clean", plain), met.filter("odd_").withColumn("clean", _by_terms(F.col("texts_"), F.col("terms_")))
+    return by_runs.unionByName(by_terms).withColumn("clean", _numbers(F.col("clean"))).drop("texts_", "terms_", "odd_", "key_")
+
+
+def scrub(texts: DataFrame, terms: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, text, redactions) for (key, text), whose keys are distinct.  `terms` is what roster_terms gives."""
+    own = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return scrubbed(own, "key", F.array("text"), terms).select("key", F.col("clean")[0]["text"].alias("text"), F.col("clean")[0]["n"].alias("redactions"))
 
 
 def deid_patients(patients: DataFrame, salt: str, as_of_ms: int) -> DataFrame:
@@ -91,28 +119,26 @@ def deid_encounters(encounters: DataFrame, patients: DataFrame, salt: str, gener
 
     Prescriptions and encounter ids stay as they are; `strict` scrubs the prescriptions' notes and codes the ids too."""
     known = patients.select(F.col("id").alias("patientId"), C.pseudonym(F.col("id"), F.lit(salt)).alias("code"))
-    texts = [F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("chiefComplaint", "diagnosis", "notes")]
-    said = F.transform(F.map_entries("provenance"), lambda e: F.struct(F.concat(F.lit("provenance."), e["key"]).alias("field"), e["value"]["rawText"].alias("text")))
-    listed = F.concat(F.array(*texts), F.coalesce(said, F.array().cast("array<struct<field:string,text:string>>")))
+    plain = ("chiefComplaint", "diagnosis", "notes")
+    said = F.coalesce(F.map_entries("provenance"), F.array().cast("array<struct<key:string,value:struct<source:string,confidence:double,rawText:string>>>"))
+    listed = F.concat(F.array(*plain), F.transform(said, lambda e: e["value"]["rawText"]))
     if strict:
-        listed = F.concat(listed, F.transform("prescriptions", lambda p: F.struct(F.concat(F.lit("prescription."), p["id"]).alias("field"), p["notes"].alias("text"))))
-    fields = encounters.select("id", F.explode(F.filter(listed, lambda x: x["text"].isNotNull() & (x["text"] != ""))).alias("x"))
-    done = scrub(fields.select(F.struct("id", "x.field").alias("key"), "x.text"), roster_terms(patients))
-    per = done.groupBy(F.col("key.id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("key.field", "text"))).alias("clean"), F.sum("redactions").alias("redactions"))
-    out = encounters.join(known, "patientId", "left").join(per, "id", "left")
-    clean = lambda key, was: F.when(was.isNotNull() & (was != ""), F.col("clean")[key]).otherwise(was)
-    new = {c: clean(c, F.col(c)) for c in ("chiefComplaint", "diagnosis", "notes")}
+        listed = F.concat(listed, F.transform(F.coalesce("prescriptions", F.array().cast(encounters.schema["prescriptions"].dataType)), lambda p: p["notes"]))
+    out = scrubbed(encounters, "id", listed, roster_terms(patients)).join(known, "patientId", "left")
+    text = lambda i: F.get("clean", i)["text"]
+    new = {c: text(F.lit(i)) for i, c in enumerate(plain)}
     new["patientId"] = F.coalesce("code", F.lit("UNKNOWN"))
-    new["provenance"] = F.transform_values("provenance", lambda k, v: v.withField("rawText", clean(F.concat(F.lit("provenance."), k), v["rawText"])))
+    entries = F.transform(F.map_entries("provenance"), lambda e, i: F.struct(e["key"].alias("key"), e["value"].withField("rawText", text(i + len(plain))).alias("value")))
+    new["provenance"] = F.map_from_entries(entries)
     new["attachmentIds"] = F.array().cast("array<string>")
     new["syncedAt"] = F.lit(None).cast("long")
     if generalise_dates:
         new["occurredAt"] = C.month_start(F.col("occurredAt"))
     if strict:
         new["id"] = C.pseudonym(F.col("id"), F.lit(salt))
-        new["prescriptions"] = F.transform("prescriptions", lambda p: p.withField("notes", clean(F.concat(F.lit("prescription."), p["id"]), p["notes"])))
+        new["prescriptions"] = F.transform("prescriptions", lambda p, i: p.withField("notes", text(i + len(plain) + F.size(said))))
     rows = out.select([new[c].alias(c) if c in new else F.col(c) for c in encounters.columns])
-    return rows, out.select("id", F.coalesce("redactions", F.lit(0)).cast("long").alias("redactions"))
+    return rows, out.select("id", F.aggregate("clean", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("redactions"))
 
 
 def deidentify(patients: DataFrame, encounters: DataFrame, level: str, as_of_ms: int, salt: str | None = None, generalise_dates: bool | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dispensary.functions.text import search_key
+from dispensary.functions.text import search_key, trim
 from dispensary.schemas import VITALS
 
 #: Fields that a survivor may inherit, in the order in which they are reported.
@@ -88,7 +88,7 @@ def merge_extraction(drafts: DataFrame, scale: float = 1.0, source: str = "voice
         new[f] = F.when(which, x[f]["value"]).otherwise(F.col(f))
         claim(which, F.lit(f), said(x[f]))
 
-    plain = lambda c: F.trim(F.lower(c))
+    plain = lambda c: trim(F.lower(c))
     id_of = lambda i: F.concat(F.lit("rx-"), F.substring(F.sha2(F.concat_ws("|", "id", "rawText", i.cast("string")), 256), 1, 12))
     # lambdas within lambdas would be evaluated anew for every element; these are columns of their own
     drafts = drafts.withColumn("had_", F.transform("prescriptions", lambda p: plain(p["drug"]))).withColumn("said_", F.transform(x["prescriptions"], lambda p, i: p.withField("id", id_of(i))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispensary.functions import clinical as C
@@ -48,49 +48,73 @@ def aggregate_month(patients: DataFrame, encounters: DataFrame, year: int, month
     """(indicator, ageBand, sex, count): every final encounter of the month counts as a consultation and under one indicator.
 
     Ages are those at the encounter; an encounter without a known patient counts as unknown.  Encounters are reduced to
-    their key, time and indicator before the join, and a patient's rows to one, so that the join adds no rows."""
+    their key, time and indicator before the join, and a patient's rows to the newest one, so that the join adds no rows."""
     start, end = month_bounds(patients.sparkSession, year, month)
     e = encounters.filter((F.col("status") == "final") & (F.col("occurredAt") >= start) & (F.col("occurredAt") < end))
     e = e.select("patientId", "occurredAt", C.classify_diagnosis(F.col("diagnosis")).alias("indicator"))
-    p = patients.select(F.col("id").alias("patientId"), "sex", "birthDate", "approximateAge")
+    newest = F.max(F.struct("updatedAt", "sex", "birthDate", "approximateAge")).alias("p")
+    p = patients.groupBy(F.col("id").alias("patientId")).agg(newest).select("patientId", "p.sex", "p.birthDate", "p.approximateAge")
     band = C.age_band(C.patient_age(F.col("birthDate"), F.col("approximateAge"), F.col("occurredAt")))
     joined = e.join(p, "patientId", "left").select("indicator", band.alias("ageBand"), F.coalesce("sex", F.lit("unknown")).alias("sex"))
     both = joined.select(F.explode(F.array(F.lit("consultations"), "indicator")).alias("indicator"), "ageBand", "sex")
     return both.groupBy("indicator", "ageBand", "sex").agg(F.count("*").alias("count"))
 
 
-def report_order(cells: DataFrame) -> DataFrame:
+def _order() -> list:
     """Indicator, then band, in the order of the Unicode root collation; sex breaks ties."""
-    return cells.orderBy(F.collate("indicator", "UNICODE"), F.collate("ageBand", "UNICODE"), "sex")
+    return [F.collate("indicator", "UNICODE"), F.collate("ageBand", "UNICODE"), F.col("sex")]
 
 
-def data_values(cells: DataFrame, mapping: Mapping | None = None) -> DataFrame:
-    """(dataElement, categoryOptionCombo, value)"""
-    mapping = mapping or Mapping()
+def report_order(cells: DataFrame) -> DataFrame:
+    return cells.orderBy(*_order())
+
+
+def placed(cells: DataFrame) -> DataFrame:
+    """The cells with their `place` in the report; a month has some hundred cells, whatever the number of encounters."""
+    return cells.withColumn("place", F.row_number().over(Window.orderBy(*_order())))
+
+
+def _in_order(row: Column) -> Column:
+    """The rows of a report as one list, by place."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("place", row.alias("row")))), lambda x: x["row"])
+
+
+def _data_value(mapping: Mapping) -> list[Column]:
     element = C.lookup(F.col("indicator"), mapping.data_elements, F.concat(F.lit("REPLACE_DE_"), F.upper("indicator")))
     combo = C.lookup(F.concat("ageBand", F.lit("|"), "sex"), mapping.option_combos, F.concat(F.lit("REPLACE_COC_"), "ageBand", F.lit("_"), C.sex_label(F.col("sex"))))
-    return cells.select(element.alias("dataElement"), combo.alias("categoryOptionCombo"), F.col("count").cast("string").alias("value"))
+    return [element.alias("dataElement"), combo.alias("categoryOptionCombo"), F.col("count").cast("string").alias("value")]
+
+
+def data_values(cells: DataFrame, mapping: Mapping | None = None) -> DataFrame:
+    """(dataElement, categoryOptionCombo, value)"""
+    return cells.select(_data_value(mapping or Mapping()))
 
 
-def readable(cells: DataFrame) -> DataFrame:
-    """The cells with French names."""
-    return cells.select(C.indicator_label(F.col("indicator")).alias("indicator"), "ageBand", C.sex_label(F.col("sex")).alias("sex"), "count")
+def _period(cells: DataFrame, year: int, month: int) -> Column:
+    return C.period(F.lit(month_bounds(cells.sparkSession, year, month)[0]))
+
+
+CSV_COLUMNS = ("periode", "indicateur", "tranche_age", "sexe", "nombre")
 
 
 def csv_rows(cells: DataFrame, year: int, month: int) -> DataFrame:
-    """(periode, indicateur, tranche_age, sexe, nombre) as text."""
-    r = readable(cells)
-    return r.select(F.lit(f"{year}{month:02d}").alias("periode"), F.col("indicator").alias("indicateur"), F.col("ageBand").alias("tranche_age"), F.col("sex").alias("sexe"), F.col("count").cast("string").alias("nombre"))
+    """CSV_COLUMNS as text."""
+    return cells.select(_period(cells, year, month).alias("periode"), C.indicator_label(F.col("indicator")).alias("indicateur"), F.col("ageBand").alias("tranche_age"), C.sex_label(F.col("sex")).alias("sexe"), F.col("count").cast("string").alias("nombre"))
+
+
+def csv_text(cells: DataFrame, year: int, month: int) -> DataFrame:
+    """One row: the whole CSV in report order, comma-joined without quotes, without a line end after the last row."""
+    rows = placed(cells)
+    fields = [_period(cells, year, month), C.indicator_label(F.col("indicator")), F.col("ageBand"), C.sex_label(F.col("sex")), F.col("count").cast("string")]
+    return rows.agg(F.array_join(F.concat(F.array(F.lit(",".join(CSV_COLUMNS))), _in_order(F.concat_ws(",", *fields))), "\n").alias("csv"))
 
 
 def data_value_set(cells: DataFrame, year: int, month: int, complete_date: str, mapping: Mapping | None = None) -> DataFrame:
-    """One row: the export as one JSON document.  A month has at most some hundred cells, whatever the number of encounters."""
+    """One row: the export as one JSON document, its lists in report order."""
     mapping = mapping or Mapping()
-    element = data_values(cells, mapping).columns
-    both = data_values(report_order(cells).select("indicator", "ageBand", "sex", "count"), mapping)
-    values = both.agg(F.array_sort(F.collect_list(F.struct(*element))).alias("dataValues"))
-    mirror = readable(cells).agg(F.array_sort(F.collect_list(F.struct("indicator", "ageBand", "sex", "count"))).alias("_readable"))
-    fields = [F.lit(mapping.data_set).alias("dataSet"), F.lit(f"{year}{month:02d}").alias("period"), F.lit(mapping.org_unit).alias("orgUnit"), F.lit(complete_date).alias("completeDate"), "dataValues"]
+    mirror = F.struct(C.indicator_label(F.col("indicator")).alias("indicator"), "ageBand", C.sex_label(F.col("sex")).alias("sex"), "count")
+    lists = placed(cells).agg(_in_order(F.struct(*_data_value(mapping))).alias("dataValues"), _in_order(mirror).alias("_readable"))
+    fields = [F.lit(mapping.data_set).alias("dataSet"), _period(cells, year, month).alias("period"), F.lit(mapping.org_unit).alias("orgUnit"), F.lit(complete_date).alias("completeDate"), "dataValues"]
     if mapping.is_placeholder:
         fields.append(F.lit(True).alias("_placeholderMapping"))
-    return values.crossJoin(mirror).select(F.to_json(F.struct(*fields, "_readable")).alias("json"))  # one row each
+    return lists.select(F.to_json(F.struct(*fields, "_readable")).alias("json"))

@@ -159,15 +159,22 @@ def _touched(df: DataFrame, which: Column, now_ms: int, **changes: Column) -> Da
     return df.withColumns({c: F.when(which, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()})
 
 
+def with_ids(new: DataFrame) -> DataFrame:
+    """The rows with a random identifier each where they have none; write them before use, as a plan draws anew each time it runs."""
+    return new if "id" in new.columns else new.select(F.uuid().alias("id"), "*")
+
+
 def create_patients(patients: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
-    """Append patients that come with an id and their fields."""
+    """Append patients that come with their fields, and with an id or get one."""
+    new = with_ids(new)
     given = [c for c in new.columns if c not in ("createdAt", "updatedAt", "searchKey")]
     rows = new.select(*given, F.lit(now_ms).alias("createdAt"), F.lit(now_ms).alias("updatedAt"))
     return with_search_key(patients.unionByName(rows, allowMissingColumns=True).select(patients.columns))
 
 
 def create_drafts(encounters: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
-    """Append empty drafts for (id, patientId)."""
+    """Append empty drafts for (id, patientId), or for (patientId) with ids of their own."""
+    new = with_ids(new)
     kind = lambda c: encounters.schema[c].dataType
     vitals = F.from_json(F.lit("{}"), kind("vitals"))
     empty = {c: F.array().cast(kind(c)) for c in ("prescriptions", "attachmentIds")} | {"vitals": vitals, "provenance": F.create_map().cast(kind("provenance")), "status": F.lit("draft")}

@@ -7,10 +7,16 @@ what one-by-one processing would.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PAGE_SIZE = 500
+from dispensary.functions.text import trim
+from dispensary.operators.store import dirty
+
+#: Records in a page, and bytes in a request.
+PAGE_SIZE, BODY_BYTES = 500, 8 << 20
 
 KEY = ("facilityId", "kind", "id")
 STATE = "facilityId string, kind string, id string, updatedAt double, deletedAt long, seq long, body string"
@@ -23,7 +29,7 @@ def valid(id_: Column, updated_at: Column) -> Column:
 
 def clean_facility(facility: Column) -> Column:
     """The trimmed facility, null if it is empty or longer than 128 characters."""
-    f = F.trim(facility)
+    f = trim(facility)
     return F.when(F.length(f).between(1, 128), f)
 
 
@@ -33,19 +39,21 @@ def clean_cursor(cursor: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0)).otherwise(c).cast("long")
 
 
-def parse_requests(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_requests(lines: DataFrame, column: str = "value", most_bytes: int = BODY_BYTES) -> tuple[DataFrame, DataFrame]:
     """(changes, rejected lines) of sync requests as JSON lines: facilityId, cursor, push and changes of both kinds.
 
-    Records that aren't objects with an id and a change time are dropped; lines that aren't JSON are rejected."""
-    schema = "facilityId string, push long, changes struct<patients: array<string>, encounters: array<string>>"
+    Each change carries its request's cursor.  Records that aren't objects with an id that is a string, and a change time, are
+    dropped; lines that aren't JSON, have no facility or are longer than `most_bytes` are rejected."""
+    schema = "facilityId string, cursor string, push long, changes struct<patients: array<string>, encounters: array<string>>"
     parsed = lines.select(F.col(column).alias("line"), F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r"))
-    bad = F.col("r.facilityId").isNull() | clean_facility(F.col("r.facilityId")).isNull()
+    bad = F.col("r.facilityId").isNull() | clean_facility(F.col("r.facilityId")).isNull() | (F.octet_length("line") > most_bytes)
     rejected = parsed.filter(bad).select("line")
     kinds = F.array(F.struct(F.lit("patient").alias("kind"), F.col("r.changes.patients").alias("list")), F.struct(F.lit("encounter").alias("kind"), F.col("r.changes.encounters").alias("list")))
-    per = parsed.filter(~bad).select(clean_facility(F.col("r.facilityId")).alias("facilityId"), F.col("r.push").alias("push"), F.explode(kinds).alias("k"))
-    rows = per.select("facilityId", "push", "k.kind", F.posexplode("k.list").alias("ord", "body"))
+    per = parsed.filter(~bad).select(clean_facility(F.col("r.facilityId")).alias("facilityId"), clean_cursor(F.col("r.cursor")).alias("cursor"), F.col("r.push").alias("push"), F.explode(kinds).alias("k"))
+    rows = per.select("facilityId", "cursor", "push", "k.kind", F.posexplode("k.list").alias("ord", "body"))
+    id_kind = F.schema_of_variant(F.variant_get(F.try_parse_json("body"), "$.id", "variant"))
     fields = F.from_json("body", "id string, updatedAt double, deletedAt long")
-    rows = rows.withColumn("f", fields).select("facilityId", "push", "ord", "kind", F.col("f.id").alias("id"), F.col("f.updatedAt").alias("updatedAt"), F.col("f.deletedAt").alias("deletedAt"), "body")
+    rows = rows.filter(id_kind == "STRING").withColumn("f", fields).select("facilityId", "cursor", "push", "ord", "kind", F.col("f.id").alias("id"), F.col("f.updatedAt").alias("updatedAt"), F.col("f.deletedAt").alias("deletedAt"), "body")
     return rows.filter(valid(F.col("id"), F.col("updatedAt"))), rejected
 
 
@@ -142,6 +150,50 @@ def acknowledge(local: DataFrame, pushed: DataFrame, at_ms: int) -> DataFrame:
 
 
 def outcome(conflict_rows: DataFrame, pushed: DataFrame, decisions: DataFrame, facts: DataFrame) -> DataFrame:
-    """(pushed, pulled, conflicts, refused, cursor) of a round, one row."""
+    """(ok, error, pushed, pulled, conflicts, refused, cursor) of a round, one row; `pushed` are the records that the
+    server accepted."""
     one = pushed.agg(F.count("*").alias("pushed")).crossJoin(decisions.agg(F.count_if(F.col("outcome") == "pulled").alias("pulled"), F.count_if(F.col("outcome") == "refused").alias("refused")))
-    return one.crossJoin(conflict_rows.agg(F.count("*").alias("conflicts"))).crossJoin(facts.select("cursor")).select("pushed", "pulled", "conflicts", "refused", "cursor")  # one row each
+    one = one.crossJoin(conflict_rows.agg(F.count("*").alias("conflicts"))).crossJoin(facts.select("cursor"))  # one row each
+    return one.select(F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), "pushed", "pulled", "conflicts", "refused", "cursor")
+
+
+#: Ways in which a round fails without changing anything: settings are missing, no answer in time, no connection; and `http_` with a status.
+ERRORS = ("not_configured", "timeout", "network")
+
+
+def failed(spark: SparkSession, error: str, cursor: int) -> DataFrame:
+    """The outcome of a round that failed."""
+    if error not in ERRORS and not error.startswith("http_"):
+        raise ValueError(error)
+    return spark.createDataFrame([(False, error, 0, 0, 0, 0, cursor)], "ok boolean, error string, pushed long, pulled long, conflicts long, refused long, cursor long")
+
+
+@dataclass(frozen=True)
+class Round:
+    """What a round leaves: the outcome, both local tables, and the server's store and counters."""
+
+    outcome: DataFrame
+    patients: DataFrame
+    encounters: DataFrame
+    state: DataFrame
+    counters: DataFrame
+
+
+def sync_round(patients: DataFrame, encounters: DataFrame, state: DataFrame, counters: DataFrame, facility: str, cursor: int, push: int, now_ms: int, page: int = PAGE_SIZE) -> Round:
+    """A device's round: push what the server doesn't have, then pull the next page, the device's own records included.
+
+    Pushed records are acknowledged even where the server had newer ones; what it has comes back with the page."""
+    sent = {"patient": dirty(patients, False), "encounter": dirty(encounters, True)}
+    rows = [df.select(F.lit(facility).alias("facilityId"), F.lit(push).cast("long").alias("push"), F.row_number().over(Window.partitionBy(F.lit(kind)).orderBy("id")).alias("ord"), F.lit(kind).alias("kind"), "id", F.col("updatedAt").cast("double").alias("updatedAt"), "deletedAt", F.to_json(F.struct("*")).alias("body")) for kind, df in sent.items()]
+    changes = rows[0].unionByName(rows[1])
+    refused, accepted = conflicts(changes, state), sequenced(changes, state, counters)
+    after = apply_push(changes, state, counters)
+    got = pull(after, facility, cursor, page)
+    local, decided = {}, None
+    for kind, table in (("patient", patients), ("encounter", encounters)):
+        remote = got.filter(F.col("kind") == kind).select(F.from_json("body", table.schema).alias("r")).select("r.*")
+        known = acknowledge(table, sent[kind], now_ms)
+        own = client_decisions(known, remote, kind == "encounter")
+        decided = own if decided is None else decided.unionByName(own)
+        local[kind] = client_apply(known, remote, now_ms, kind == "encounter")
+    return Round(outcome(refused, accepted, decided, page_facts(got, cursor, page)), local["patient"], local["encounter"], after, counters_after(changes, counters))

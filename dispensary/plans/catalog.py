@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from dispensary.plans import oracle as O
 from dispensary.schemas import RANGES, SEVERITY
 from dispensary.sources import sinks
 from dispensary.sources import testdata as data
-from dispensary.streaming.feed import Snapshots, start_feed
+from dispensary.streaming.feed import Snapshots, read_changes, start_feed
 
 #: Fixed instants: the month of the reports, a day and its month for dashboards, now, and the salt.
 YEAR, MONTH = 1997, 7
@@ -73,11 +74,19 @@ def report_preview(spark, d):
     return report.report_order(_cells(spark, d)).limit(8)
 
 
-@query(*REPORT, select="""SELECT count(*) AS cells, '199707' AS period, 'REPLACE_DATASET_UID' AS "dataSet", true AS placeholder FROM cells""")
+_PLACED = """placed AS (SELECT CAST(row_number() OVER (ORDER BY indicator, CASE "ageBand" WHEN '<1' THEN 0 WHEN '1-4' THEN 1 WHEN '15-49' THEN 2 WHEN '5-14' THEN 3 WHEN '50+' THEN 4 ELSE 5 END, sex) AS INTEGER) AS place, * FROM named)"""
+
+
+@query(*REPORT, _PLACED, select="""SELECT place, '199707' AS period, 'REPLACE_DATASET_UID' AS "dataSet", 'REPLACE_ORG_UNIT_UID' AS "orgUnit", '2024-01-01' AS "completeDate", true AS placeholder,
+  CASE indicator WHEN 'tuberculosis' THEN 'REPLACE_DE_TB' WHEN 'hypertension' THEN 'REPLACE_DE_HTN' ELSE 'REPLACE_DE_' || upper(indicator) END AS "dataElement", 'REPLACE_COC_' || "ageBand" || '_' || s AS "categoryOptionCombo", CAST(count AS VARCHAR) AS value,
+  label AS "readIndicator", "ageBand" AS "readBand", s AS "readSex", count AS "readCount" FROM placed""")
 def dhis2_document(spark, d):
+    """The whole document, its two lists place by place."""
     doc = report.data_value_set(_cells(spark, d), YEAR, MONTH, "2024-01-01")
-    parsed = F.from_json("json", "dataSet string, period string, _placeholderMapping boolean, dataValues array<struct<value:string>>")
-    return doc.select(parsed.alias("j")).select(F.size("j.dataValues").cast("long").alias("cells"), "j.period", "j.dataSet", F.col("j._placeholderMapping").alias("placeholder"))
+    shape = "dataSet string, period string, orgUnit string, completeDate string, _placeholderMapping boolean, dataValues array<struct<dataElement:string,categoryOptionCombo:string,value:string>>, _readable array<struct<indicator:string,ageBand:string,sex:string,count:long>>"
+    rows = doc.select(F.from_json("json", shape).alias("j")).select("j.*", F.posexplode(F.arrays_zip("j.dataValues", "j._readable")).alias("i", "x"))
+    names = {"indicator": "readIndicator", "ageBand": "readBand", "sex": "readSex", "count": "readCount"}
+    return rows.select((F.col("i") + 1).alias("place"), "period", "dataSet", "orgUnit", "completeDate", F.col("_placeholderMapping").alias("placeholder"), "x.dataValues.*", *[F.col(f"x._readable.{a}").alias(b) for a, b in names.items()])
 
 
 @query(select="""SELECT * FROM (VALUES ('consultations', 'Fitsaboana', 'Consultations'), ('malaria', 'Tazomoka', 'Malaria'), ('tuberculosis', 'Raboka', 'Tuberculosis'), ('zzz', 'zzz', 'zzz')) t(key, mg, en)""")
@@ -414,9 +423,35 @@ def bundle_medications(spark, d):
     return bundle.medication_requests(_bundle_rows(spark, d)).select("id", "drug", "dosage", "frequency", "days")
 
 
-@query()
+_MEASURED = "('temperature', 0, '8310-5'), ('pulse', 1, '8867-4'), ('respiratoryRate', 2, '9279-1'), ('weight', 3, '29463-7'), ('height', 4, '8302-2'), ('oxygenSaturation', 5, '59408-5')"
+
+
+@query(O.PATIENTS, O.VISITS, O.PRESCRIPTIONS, _FINAL, _FLAGS, f"codes AS (SELECT * FROM (VALUES {_MEASURED}) c(vital, place, loinc))", select=f"""SELECT 0 AS part, id AS "encounterId", 0 AS section, 0 AS place, 'Patient' AS "resourceType", id AS rid, NULL AS subject, "familyName" AS said, NULL AS code, CAST(NULL AS DOUBLE) AS value, NULL AS at FROM patients WHERE "deletedAt" IS NULL
+  UNION ALL SELECT 1, id, 0, 0, 'Encounter', id, 'Patient/' || "patientId", nullif("chiefComplaint", ''), NULL, NULL, {_ISO} FROM final
+  UNION ALL SELECT 1, id, 1, place, 'Observation', id || '-' || vital, 'Patient/' || "patientId", NULL, loinc, value, {_ISO} FROM flags JOIN codes USING (vital) JOIN final USING (id)
+  UNION ALL SELECT 1, id, 2, 0, 'Observation', id || '-bp', 'Patient/' || "patientId", NULL, '85354-9', NULL, {_ISO} FROM final WHERE systolic IS NOT NULL OR diastolic IS NOT NULL
+  UNION ALL SELECT 1, f.id, 3, CAST(row_number() OVER (PARTITION BY f.id ORDER BY p.id) - 1 AS INTEGER), 'MedicationRequest', f.id || '-' || p.id, 'Patient/' || "patientId", drug, NULL, CAST("frequencyPerDay" AS DOUBLE), {_ISO} FROM prescriptions p JOIN final f ON f.id = "encounterId\"""")
 def bundle_json(spark, d):
-    return bundle.bundle_entries(_live(spark, d)[0], store.live(data.encounters(spark, d)), NOW)
+    """Every entry, its JSON parsed again."""
+    e = bundle.bundle_entries(_live(spark, d)[0], store.live(data.encounters(spark, d)), NOW)
+    ref = "struct<reference:string>"
+    code = "struct<coding:array<struct<code:string>>>"
+    shape = f"resourceType string, id string, subject {ref}, name array<struct<family:string>>, reasonCode array<struct<text:string>>, medicationCodeableConcept struct<text:string>, code {code}, valueQuantity struct<value:double>, dosageInstruction array<struct<timing:struct<repeat:struct<frequency:double>>>>, period struct<start:string>, effectiveDateTime string, authoredOn string"
+    j = e.select("part", "encounterId", "section", "place", F.col("fullUrl"), F.from_json("json", shape).alias("j"))
+    j = j.filter(F.col("fullUrl") == F.concat(F.lit("urn:uuid:"), F.col("j.id")))
+    said = F.coalesce(F.get("j.name", F.lit(0))["family"], F.get("j.reasonCode", F.lit(0))["text"], "j.medicationCodeableConcept.text")
+    value = F.coalesce("j.valueQuantity.value", F.get("j.dosageInstruction", F.lit(0))["timing"]["repeat"]["frequency"])
+    return j.select("part", "encounterId", "section", "place", "j.resourceType", F.col("j.id").alias("rid"), F.col("j.subject.reference").alias("subject"), said.alias("said"), F.get("j.code.coding", F.lit(0))["code"].alias("code"), value.alias("value"), F.coalesce("j.period.start", "j.effectiveDateTime", "j.authoredOn").alias("at"))
+
+
+@query(O.PATIENTS, select="""SELECT 'Bundle' AS "resourceType", 'collection' AS type, '2024-01-01T00:00:00.000Z' AS timestamp, count(*) AS entries, min('urn:uuid:' || id) AS first, max(id) AS last FROM patients WHERE "deletedAt" IS NULL""")
+def bundle_document(spark, d):
+    """The patients' bundle as one document, parsed again."""
+    p, e = _live(spark, d)
+    e = e.withColumn("prescriptions", F.array().cast("array<struct<id:string,drug:string,dose:string,frequencyPerDay:int,durationDays:int,notes:string>>"))
+    doc = bundle.bundle_document(p, e.limit(0), NOW)
+    j = doc.select(F.from_json("json", "resourceType string, type string, timestamp string, entry array<struct<fullUrl:string,resource:struct<id:string>>>").alias("j")).select("j.*")
+    return j.select("resourceType", "type", "timestamp", F.size("entry").cast("long").alias("entries"), F.get("entry", F.lit(0))["fullUrl"].alias("first"), F.element_at("entry", -1)["resource"]["id"].alias("last"))
 
 
 # --- change feed ------------------------------------------------------------------------------------------------
@@ -459,7 +494,7 @@ def sync_validity(spark, d):
     e = F.col("event_id")
     id_ = F.when(e % 7 == 0, "").when(e % 7 == 1, F.repeat(F.lit("x"), F.lit(129))).otherwise("x")
     at = F.when(e % 7 == 2, F.lit(float("inf"))).otherwise(e.cast("double"))
-    facility = F.when(e % 5 == 0, "   ").otherwise(F.concat(F.lit(" f"), (e % 5).cast("string")))
+    facility = F.when(e % 5 == 0, " \t\n ").otherwise(F.concat(F.lit("\tf"), (e % 5).cast("string"), F.lit("\n")))
     cursor = F.when(e % 3 == 0, "NaN").otherwise(e.cast("string"))
     return data.table(spark, d, "events").select("event_id", sync.valid(id_, at).alias("valid"), sync.clean_facility(facility).alias("facility"), sync.clean_cursor(cursor).alias("cursor"))
 
@@ -477,6 +512,37 @@ def sync_requests(spark, d):
     return sync.apply_push(parsed).select("facilityId", "kind", "id", "updatedAt")
 
 
+_REQUESTS = (
+    """{"facilityId":"\\tf1\\n","cursor":7,"push":1,"changes":{"patients":[{"id":5,"updatedAt":1},{"id":"5","updatedAt":1},{"id":"x","updatedAt":"2"},{"updatedAt":1},7,null],"encounters":[]}}""",
+    """{"facilityId":"f2","cursor":"no","push":2,"changes":{"patients":[],"encounters":[{"id":"e","updatedAt":2.5,"deletedAt":3}]}}""",
+    """{"facilityId":" \\t","push":3,"changes":{"patients":[{"id":"a","updatedAt":1}]}}""",
+    """not JSON""",
+    """{"facilityId":"f3","note":"%s","changes":{"patients":[{"id":"b","updatedAt":1}]}}""" % ("x" * 300),
+)
+
+
+@query(select="""SELECT * FROM (VALUES ('f1', 7, 'patient', '5', 1.0::DOUBLE, NULL::BIGINT, 3), ('f2', 0, 'encounter', 'e', 2.5::DOUBLE, 3::BIGINT, 3)) t("facilityId", cursor, kind, id, "updatedAt", "deletedAt", rejected)""")
+def sync_request_rules(spark, d):
+    """Ids that are no strings, blank facilities, lines that are no JSON or too long."""
+    ok, bad = sync.parse_requests(spark.createDataFrame([(x,) for x in _REQUESTS], "value string"), most_bytes=300)
+    return ok.select("facilityId", F.col("cursor").cast("int").alias("cursor"), "kind", "id", "updatedAt", "deletedAt").crossJoin(bad.agg(F.count("*").cast("int").alias("rejected")))  # one row
+
+
+_ROUND = """here AS (SELECT k, "syncedAt" IS NULL AS dirty FROM patients), five AS (SELECT count(*) AS n FROM here WHERE k % 5 = 0),
+sent AS (SELECT count(*) FILTER (dirty AND k % 5 <> 0) + (SELECT count(*) FROM visits WHERE "syncedAt" IS NULL AND status = 'final') AS accepted, count(*) FILTER (dirty AND k % 5 = 0) AS refused FROM here)"""
+
+
+@query(O.PATIENTS, O.VISITS, _ROUND, select="""SELECT true AS ok, NULL AS error, accepted AS pushed, CAST(least(500, n) AS BIGINT) AS pulled, sent.refused AS conflicts, CAST(0 AS BIGINT) AS refused,
+  CASE WHEN n >= 500 THEN 2496 WHEN accepted = 0 THEN 5 * n - 4 ELSE 1000000 + least(500 - n, accepted) END AS cursor FROM sent, five""")
+def sync_round(spark, d):
+    """A device whose server has newer versions of every fifth patient."""
+    p, k = data.patients(spark, d), F.substring("id", 2, 20).cast("long")
+    newer = p.filter(k % 5 == 0).withColumn("updatedAt", F.col("updatedAt") + 1000)
+    state = newer.select(F.lit("f").alias("facilityId"), F.lit("patient").alias("kind"), "id", F.col("updatedAt").cast("double").alias("updatedAt"), "deletedAt", (k + 1).alias("seq"), F.to_json(F.struct("*")).alias("body"))
+    counters = spark.createDataFrame([("f", 1_000_000)], "facilityId string, value long")
+    return sync.sync_round(p, data.visits(spark, d), state, counters, "f", 0, 1, NOW).outcome
+
+
 _REMOTE = """remote AS (SELECT CASE WHEN k % 10 = 0 THEN 'n' || k ELSE id END AS id, "updatedAt" + (k % 5 - 2) * 1000 AS "updatedAt" FROM visits WHERE k % 2 = 0)"""
 
 
@@ -507,25 +573,24 @@ def client_ack(spark, d):
 
 @query(O.CHANGES, select=_STATE)
 def stream_lww(spark, d):
-    """The feed as files of two hundred pushes each, merged by a stream."""
-    from dispensary.streaming.feed import read_changes
-
-    at = scratch(spark)
-    c = data.changes(spark, d)
-    for k in range(2):  # two micro-batches, whatever the number of events
-        half = c.agg(F.max("push")).first()[0] // 2
-        c.filter(F.col("push") <= half if k == 0 else F.col("push") > half).coalesce(1).write.mode("append").parquet(f"{at}/in/{k}")
+    """The feed arrives in two parts, and one stream under one checkpoint merges both, each as a micro-batch."""
+    at, c = scratch(spark), data.changes(spark, d)
+    half = (c.agg(F.max("push")).first()[0] or 0) // 2
     snapshots = Snapshots(spark, f"{at}/state")
-    for k in range(2):
-        start_feed(read_changes(spark, f"{at}/in/{k}"), snapshots, f"{at}/checkpoint-{k}").awaitTermination() if k == 0 else snapshots.merge(spark.read.parquet(f"{at}/in/{k}"), (snapshots.versions() or [-1])[-1] + 1)
+    for part in (F.col("push") <= half, F.col("push") > half):
+        c.filter(part).write.mode("append").parquet(f"{at}/in")
+        start_feed(read_changes(spark, f"{at}/in"), snapshots, f"{at}/checkpoint").awaitTermination()
     return snapshots.latest()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a local one only where it names none."""
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="dispensary-")
+    """A new folder below the one that the cluster shares; in local runs a temporary one."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        shared = tempfile.mkdtemp(prefix="dispensary-")
     return f"{shared}/dispensary-{uuid.uuid4().hex}"
 
 
@@ -622,6 +687,19 @@ def delete_patient(spark, d):
     return e.select("id", "deletedAt", F.size("attachmentIds").alias("attachments"))
 
 
+@query(O.VISITS, select="""SELECT 'a' || k AS id, id AS "encounterId" FROM visits WHERE k % 11 = 0 AND "patientId" <> 'p7'""")
+def deleted_attachments(spark, d):
+    """The attachments that are left after a patient's deletion; theirs go for good."""
+    v = data.visits(spark, d)
+    files = v.select(F.explode("attachmentIds").alias("id"), F.col("id").alias("encounterId"))
+    return store.delete_patient(data.patients(spark, d), v, files, "p7", NOW)[2].select("id", "encounterId")
+
+
+@query(O.VISITS, select=f"""SELECT id, CASE WHEN id = 'e11' THEN {NOW} ELSE "deletedAt" END AS "deletedAt", CASE WHEN id <> 'e11' AND k % 11 = 0 THEN 1 ELSE 0 END AS attachments, CASE WHEN id <> 'e11' THEN "syncedAt" END AS "syncedAt" FROM visits""")
+def delete_encounter(spark, d):
+    return store.delete_encounter(data.visits(spark, d), "e11", NOW).select("id", "deletedAt", F.size("attachmentIds").alias("attachments"), "syncedAt")
+
+
 @query(O.VISITS, select=f"""SELECT id, CASE WHEN id = 'e11' THEN 'b1' WHEN k % 11 = 0 THEN 'a' || k ELSE '' END AS attachments, CASE WHEN id = 'e11' THEN {NOW} + 1 ELSE "updatedAt" END AS "updatedAt", CASE WHEN id <> 'e11' THEN "syncedAt" END AS "syncedAt" FROM visits""")
 def attachments(spark, d):
     e = store.add_attachment(data.visits(spark, d), "e11", "b1", NOW)
@@ -651,9 +729,27 @@ def dump_round_trip(spark, d):
     return sinks.read_patients(spark, f"{at}/patients").select("id", "familyName", "birthDate", "phone", "updatedAt")
 
 
-@query(*REPORT, select="""SELECT 'periode,indicateur,tranche_age,sexe,nombre' AS line UNION ALL SELECT '199707,' || label || ',' || "ageBand" || ',' || s || ',' || count FROM named""")
-def csv_round_trip(spark, d):
-    """Written as CSV and read again as lines."""
+def _dumped(spark, d):
     at = scratch(spark)
-    sinks.write_report_csv(report.csv_rows(_cells(spark, d), YEAR, MONTH), at)
-    return spark.read.text(at).withColumnRenamed("value", "line")
+    p, e = data.patients(spark, d), data.encounters(spark, d)
+    sinks.write_dump(p, e, deid.deidentify(*_live(spark, d), "identified", NOW)[2], "2024-01-01T00:00:00Z", "test", at)
+    return sinks.read_dump(spark, at)
+
+
+@query(O.VISITS, O.PRESCRIPTIONS, select="""SELECT v.id, "patientId", pulse, systolic, status, notes, (SELECT count(*) FROM prescriptions p WHERE p."encounterId" = v.id) AS prescriptions, 2 AS said FROM visits v WHERE "deletedAt" IS NULL""")
+def dump_encounters(spark, d):
+    return _dumped(spark, d)[1].select("id", "patientId", "vitals.pulse", "vitals.systolic", "status", "notes", F.size("prescriptions").cast("long").alias("prescriptions"), F.size("provenance").alias("said"))
+
+
+@query(O.PATIENTS, O.VISITS, select="""SELECT '2024-01-01T00:00:00Z' AS "exportedAt", 1 AS "schemaVersion", 'test' AS note, 'identified' AS level, (SELECT count(*) FROM patients WHERE "deletedAt" IS NULL) AS patients, (SELECT count(*) FROM visits WHERE "deletedAt" IS NULL) AS encounters""")
+def dump_manifest(spark, d):
+    m = _dumped(spark, d)[2]
+    return m.select("exportedAt", F.col("schemaVersion").cast("int").alias("schemaVersion"), "note", "deidentification.level", F.col("deidentification.patientsProcessed").alias("patients"), F.col("deidentification.encountersProcessed").alias("encounters"))
+
+
+@query(*REPORT, _PLACED, select="""SELECT 'periode,indicateur,tranche_age,sexe,nombre' || coalesce(string_agg(E'\\n199707,' || label || ',' || "ageBand" || ',' || s || ',' || count, '' ORDER BY place), '') AS file FROM placed""")
+def csv_round_trip(spark, d):
+    """Written as one file and read again whole, in report order and without a line end after the last row."""
+    at = f"{scratch(spark)}/report.csv"
+    sinks.write_report_csv(report.csv_text(_cells(spark, d), YEAR, MONTH), at)
+    return spark.read.text(at, wholetext=True).withColumnRenamed("value", "file")

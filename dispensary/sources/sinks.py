@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispensary.operators.bundle import bundle_entries
+from dispensary.operators.bundle import BUNDLE_ORDER, bundle_entries, bundle_head, entry_json
 from dispensary.operators.store import create_patients, live
 from dispensary.schemas import ENCOUNTERS, PATIENTS
 
@@ -34,24 +34,39 @@ def write_dump(patients: DataFrame, encounters: DataFrame, manifest: DataFrame,
     facts.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patients, encounters, manifest) of a dump."""
+    return read_patients(spark, f"{path}/patients"), read_encounters(spark, f"{path}/encounters"), spark.read.json(f"{path}/manifest")
+
+
 def write_bundle(patients: DataFrame, encounters: DataFrame, as_of_ms: int, path: str) -> None:
-    """One resource a line in bundle order over all files; a collection's head stands in a file of its own."""
-    entries = bundle_entries(live(patients), live(encounters), as_of_ms).orderBy("part", "encounterId", "section", "place")
-    line = F.concat(F.lit('{"fullUrl":"'), "fullUrl", F.lit('","resource":'), "json", F.lit("}"))
-    entries.select(line.alias("value")).write.mode("overwrite").text(f"{path}/entries")
-    head = F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("collection").alias("type"), F.lit(as_of_ms).alias("timestampMs")))
-    entries.sparkSession.range(1).select(head.alias("value")).write.mode("overwrite").text(f"{path}/head")
+    """The bundle in parts: its head with the time of the export, and one entry a line in bundle order over all files.
+
+    A bundle of a large register is no single document; `bundle_document` puts a small one together."""
+    entries = bundle_entries(live(patients), live(encounters), as_of_ms).orderBy(*BUNDLE_ORDER)
+    entries.select(entry_json().alias("value")).write.mode("overwrite").text(f"{path}/entries")
+    entries.sparkSession.range(1).select(bundle_head(as_of_ms).alias("value")).write.mode("overwrite").text(f"{path}/head")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file with exactly this text, on whatever file system the path names; for reports of some hundred rows."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
 
 
-def write_report_csv(rows: DataFrame, path: str) -> None:
-    """Comma-joined without quotes; a report is some hundred rows and goes to one file."""
-    joined = rows.select(F.concat_ws(",", *rows.columns).alias("value"))
-    head = rows.sparkSession.range(1).select(F.lit(",".join(rows.columns)).alias("value"))
-    head.unionByName(joined).coalesce(1).write.mode("overwrite").text(path)
+def write_report_csv(document: DataFrame, path: str) -> None:
+    """What csv_text gives."""
+    write_text(document.sparkSession, document.first().csv, path)
 
 
 def write_data_value_set(document: DataFrame, path: str) -> None:
-    document.select("json").coalesce(1).write.mode("overwrite").text(path)  # one row
+    """What data_value_set gives."""
+    write_text(document.sparkSession, document.first().json, path)
 
 
 # Demonstration patients.

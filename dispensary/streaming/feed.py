@@ -1,20 +1,35 @@
-"""The change feed in Structured Streaming: every micro-batch is merged into the newest older snapshot.
+"""The change feed in Structured Streaming: every micro-batch is merged into the newest snapshot of the record store.
 
-A batch reads the last complete snapshot before it, writes its own under its number, and a snapshot is complete once
-Spark has committed its files, so a replayed batch replaces what it wrote before and never reads it.
+Snapshots have version numbers of their own.  A batch is known by the identifier of its stream (that of the checkpoint)
+and its number in it, and the version that it became is written down before that version is complete; so a replayed batch is
+passed over if its version is complete and done again if it isn't, and the first batch of another stream is a new version like
+any other.  The store is dealt into buckets by key, and a version only holds the buckets that its batch touched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dispensary.operators import sync
+from dispensary.operators.store import last_visit
 from dispensary.schemas import CHANGES
 
+#: Buckets of the record store.
+BUCKETS = 64
+
+
+def bucket_of() -> Column:
+    return F.pmod(F.xxhash64(*sync.KEY), F.lit(BUCKETS)).cast("int")
+
 
 class Snapshots:
-    """Versions of the record store, the counters and the conflicts below one folder, written and listed by Spark's file system."""
+    """Versions of the record store, the counters and the conflicts below one folder, written and listed by Spark's file system.
+
+    One stream writes at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -22,37 +37,61 @@ class Snapshots:
     def _path(self, version: int, name: str) -> str:
         return f"{self.path}/{name}/v={version}"
 
+    def _done(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def versions(self) -> list[int]:
         """Complete versions; counters are written last."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/counters")
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/counters")
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
-        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
-        return sorted(int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        found = [int(n[2:]) for n in names if n.startswith("v=")]
+        return sorted(v for v in found if self._done(self._path(v, "counters")))
+
+    def _last(self) -> int:
+        return max(self.versions(), default=-1)
+
+    def _buckets(self, version: int) -> dict[int, int]:
+        """Which version holds each bucket."""
+        return {r.bucket: r.version for r in self.spark.read.parquet(self._path(version, "buckets")).collect()} if version >= 0 else {}
 
-    def before(self, version: int) -> tuple[DataFrame, DataFrame]:
-        """(state, counters) of the newest version before this one; empty ones at the start."""
-        older = [v for v in self.versions() if v < version]
-        if not older:
-            return self.spark.createDataFrame([], sync.STATE), self.spark.createDataFrame([], "facilityId string, value long")
-        return tuple(self.spark.read.parquet(self._path(older[-1], name)) for name in ("state", "counters"))
+    def _state(self, held: dict[int, int]) -> DataFrame:
+        paths = [f"{self._path(v, 'state')}/bucket={b}" for b, v in sorted(held.items())]
+        return self.spark.read.schema(sync.STATE).parquet(*paths) if paths else self.spark.createDataFrame([], sync.STATE)
 
     def latest(self) -> DataFrame:
-        return self.before((self.versions() or [-1])[-1] + 1)[0]
+        return self._state(self._buckets(self._last()))
+
+    def counters(self) -> DataFrame:
+        last = self._last()
+        return self.spark.read.parquet(self._path(last, "counters")) if last >= 0 else self.spark.createDataFrame([], "facilityId string, value long")
 
     def conflicts(self) -> DataFrame:
         paths = [self._path(v, "conflicts") for v in self.versions()]
         return self.spark.read.parquet(*paths) if paths else sync.conflicts(self.spark.createDataFrame([], CHANGES))
 
-    def merge(self, changes: DataFrame, version: int) -> None:
-        state, counters = self.before(version)
+    def merge(self, changes: DataFrame, source: str, batch: int) -> None:
+        """Add what a batch of a stream changes, once."""
+        origin, versions = f"{self.path}/origins/{source}/{batch}", self.versions()
+        if self._done(origin) and self.spark.read.parquet(origin).first().version in versions:
+            return
+        last = max(versions, default=-1)
+        held, counters = self._buckets(last), self.counters()
         changes = changes.persist()
         try:
-            new = {"conflicts": sync.conflicts(changes, state), "state": sync.apply_push(changes, state, counters), "counters": sync.counters_after(changes, counters)}
-            for name, df in new.items():
-                df.write.mode("overwrite").parquet(self._path(version, name))
+            touched = {r.bucket for r in changes.select(bucket_of().alias("bucket")).distinct().collect()}  # BUCKETS at most
+            state = self._state({b: v for b, v in held.items() if b in touched})
+            sync.conflicts(changes, state).write.mode("overwrite").parquet(self._path(last + 1, "conflicts"))
+            new = sync.apply_push(changes, state, counters).withColumn("bucket", bucket_of())
+            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(last + 1, "state"))
+            stored = {r.bucket for r in new.select("bucket").distinct().collect()} if touched else set()
+            rows = [(b, last + 1 if b in stored else held[b]) for b in sorted(held.keys() | stored)]
+            self.spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(self._path(last + 1, "buckets"))
+            self.spark.createDataFrame([(last + 1,)], "version long").coalesce(1).write.mode("overwrite").parquet(origin)
+            sync.counters_after(changes, counters).write.mode("overwrite").parquet(self._path(last + 1, "counters"))
         finally:
             changes.unpersist()
 
@@ -66,12 +105,16 @@ def read_changes(spark: SparkSession, path: str, fmt: str = "parquet", files_per
 
 
 def start_feed(changes: DataFrame, snapshots: Snapshots, checkpoint: str) -> StreamingQuery:
-    """Merge everything that is there, then stop.  A new checkpoint replays the feed, which changes nothing but conflicts."""
-    return changes.writeStream.foreachBatch(lambda df, batch: snapshots.merge(df, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Merge everything that is there, then stop.  A new checkpoint reads the feed anew, which adds conflicts and changes no record."""
+
+    def merge(df: DataFrame, batch: int) -> None:
+        stream = json.loads(snapshots.spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        snapshots.merge(df, stream, batch)
 
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def live_last_visit(encounters: DataFrame, name: str) -> StreamingQuery:
-    """The last visit of each patient, kept up to date while encounters arrive."""
-    from dispensary.operators.store import last_visit
 
-    return last_visit(encounters).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def live_last_visit(encounters: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The last visit of each patient, kept up to date below `path` while encounters arrive; a folder for each batch, written by tasks."""
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return last_visit(encounters).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
+from dispensary.operators import bundle, store
 from dispensary.plans import catalog
+from dispensary.sources import testdata as data
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
@@ -41,7 +43,7 @@ def test_same_rows(spark, db, name):
 
 
 def test_bundle_json_is_complete(spark):
-    rows = catalog.bundle_json(spark, DATA)
+    rows = bundle.bundle_entries(*(store.live(f(spark, DATA)) for f in (data.patients, data.encounters)), catalog.NOW)
     assert {r.resourceType for r in rows.select("resourceType").distinct().collect()} == {"Patient", "Encounter", "Observation", "MedicationRequest"}
     assert rows.filter("json is null or fullUrl is null").isEmpty()
     assert rows.filter(rows.json.contains('null')).isEmpty()

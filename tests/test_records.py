@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dispensary.functions import clinical as C
 from dispensary.operators import bundle, deid, merge, report, store, sync
 from dispensary.schemas import CHANGES, ENCOUNTERS, PATIENTS
-from dispensary.streaming.feed import Snapshots, read_changes, start_feed
+from dispensary.streaming.feed import Snapshots, live_last_visit, read_changes, start_feed
 
 NOW = 1704067200000
 
@@ -95,9 +95,9 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     whole = {(r.kind, r.id): (r.updatedAt, r.seq) for r in sync.apply_push(changes(spark, ROWS)).collect()}
     snapshots = Snapshots(spark, f"{tmp_path}/state")
     for push in range(3):
-        snapshots.merge(spark.read.parquet(f"{tmp_path}/in/push={push}").selectExpr("facilityId", f"cast({push} as long) push", "ord", "kind", "id", "updatedAt", "deletedAt", "body"), push)
+        snapshots.merge(spark.read.parquet(f"{tmp_path}/in/push={push}").selectExpr("facilityId", f"cast({push} as long) push", "ord", "kind", "id", "updatedAt", "deletedAt", "body"), "s", push)
     assert {(r.kind, r.id): (r.updatedAt, r.seq) for r in snapshots.latest().collect()} == whole
-    snapshots.merge(changes(spark, [r for r in ROWS if r[0] == 2]), 2)  # a replayed batch
+    snapshots.merge(changes(spark, [r for r in ROWS if r[0] == 2]), "s", 2)  # a replayed batch
     assert {(r.kind, r.id): (r.updatedAt, r.seq) for r in snapshots.latest().collect()} == whole
     changes(spark, ROWS).coalesce(1).write.parquet(f"{tmp_path}/feed")
     streamed = Snapshots(spark, f"{tmp_path}/streamed")
@@ -105,6 +105,44 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert {(r.kind, r.id): (r.updatedAt, r.seq) for r in streamed.latest().collect()} == whole
 
 
+def test_a_new_stream_adds_to_the_store(spark, tmp_path):
+    """Another checkpoint starts at batch 0 again; its records are added, and a feed that is read anew changes no record."""
+    changes(spark, ROWS).coalesce(1).write.parquet(f"{tmp_path}/a")
+    changes(spark, [(9, 0, "patient", "new", 3)]).coalesce(1).write.parquet(f"{tmp_path}/b")
+    changes(spark, []).write.parquet(f"{tmp_path}/none")
+    store_ = Snapshots(spark, f"{tmp_path}/state")
+    for name, checkpoint in (("a", "1"), ("b", "2"), ("a", "3"), ("none", "4")):
+        start_feed(read_changes(spark, f"{tmp_path}/{name}"), store_, f"{tmp_path}/checkpoint-{checkpoint}").awaitTermination()
+    got = {(r.kind, r.id): r.updatedAt for r in store_.latest().collect()}
+    assert got == {("patient", "b"): 5.0, ("encounter", "a"): 7.0, ("encounter", "c"): 1.0, ("patient", "new"): 3.0}
+    assert {(r.facilityId, r.value) for r in store_.counters().collect()} == {("f", 13)}
+
+
+def test_live_last_visit(spark, tmp_path):
+    for k, at in enumerate((5, 9, 7)):
+        encounters(spark, {"id": str(k), "occurredAt": at}).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(ENCOUNTERS).parquet(f"{tmp_path}/in")
+        live_last_visit(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert [r.lastVisit for r in spark.read.parquet(f"{tmp_path}/out/batch=2").collect()] == [9]
+
+
+def test_report_counts_a_repeated_patient_once(spark):
+    p = patients(spark, {"id": "p1", "approximateAge": 3, "updatedAt": 1}, {"id": "p1", "approximateAge": 30, "updatedAt": 2})
+    e = encounters(spark, {"id": "1", "occurredAt": 1659312000000, "diagnosis": "palu"})
+    assert {(r.indicator, r.ageBand): r["count"] for r in report.aggregate_month(p, e, 2022, 8).collect()} == {("consultations", "15-49"): 1, ("malaria", "15-49"): 1}
+
+
+def test_search_keys_strip_any_mark(spark):
+    p = store.with_search_key(patients(spark, {"id": "1", "familyName": "Kovač Őri", "givenName": "Ḥasan"}))
+    assert p.first().searchKey == "kovac ori hasan"
+
+
+def test_new_records_get_ids(spark):
+    new = spark.createDataFrame([("A",), ("B",)], "familyName string")
+    ids = [r.id for r in store.create_patients(patients(spark), new, NOW).collect()]
+    assert len(set(ids)) == 2 and all(len(i) == 36 for i in ids)
+
+
 def test_permuted_keys_give_the_same_state(spark):
     moved = sorted(ROWS, key=lambda r: (r[0], r[3], r[1]))
     assert {(r.id, r.updatedAt) for r in sync.apply_push(changes(spark, moved)).collect()} == {(r.id, r.updatedAt) for r in sync.apply_push(changes(spark, ROWS)).collect()}
