@@ -1,9 +1,12 @@
 """Documents packed into blocks: the unit that travels when a step needs whole texts again.
 
 A block holds a few megabytes of documents, compressed, in one row.  Steps that must compare content across
-the whole table send only fingerprints: every block addresses one row to each of a fixed number of buckets,
-a bucket sees all blocks' fingerprints that fall into it, and answers each block with one row.  A fingerprint
-that occurs everywhere therefore reaches its bucket once a block, never once an occurrence.
+the whole table send only fingerprints, one row (fingerprint, block) for each distinct one of a block.  Spark groups
+them, and what is found out is joined back by block.  A fingerprint that occurs everywhere is a row a block, never a
+row an occurrence.
+
+A block is made of the rows in the order in which a task reads them, so the input is one that reads the same again: a
+table, or a checkpoint.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructType
 
 from dispensary.llm._spark import squeeze, steps_of, unsqueeze
 from dispensary.llm._text import STEP_BYTES, flat
@@ -29,8 +34,6 @@ def blocks(docs: DataFrame, block_bytes: int = STEP_BYTES) -> DataFrame:
     """(id, text) as one row per block, dealt by block.  Used more than once, it is one exchange that Spark reuses.
 
     Inside a block documents stand in the order of their ids.  A struct column `rest` travels along, as a list."""
-    from pyspark.sql.types import ArrayType, StructType
-
     schema, rest = StructType.fromDDL(BLOCKS), [c for c in docs.columns if c == "rest"]
     for c in rest:
         schema = schema.add(c, ArrayType(docs.schema[c].dataType))
@@ -60,65 +63,15 @@ def opened_ids(packed: DataFrame) -> DataFrame:
     return packed.select("block", F.posexplode("ids").alias("place", "id"))
 
 
-def buckets(df: DataFrame, given: int | None) -> int:
-    """Buckets follow the cluster's own setting for the size of the data, four to a shuffle partition."""
-    return given or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def dealt(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that groups entries by bucket, and the bounds of each bucket in it."""
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
-
-
-#: What a block sends to a bucket, and a bucket answers.
-MAIL = "block long, bucket int, kind int, payload binary"
-_MAIL = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-
-
-def mail(block: int, kind: int, payloads: dict[int, bytes]) -> pa.RecordBatch:
-    n = len(payloads)
-    return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(list(payloads), pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(list(payloads.values()), pa.binary())], schema=_MAIL)
-
-
-def answered(letters: DataFrame, answer) -> DataFrame:
-    """answer(blocks, payloads) gives one payload for each block that wrote to a bucket."""
-
-    def bucket(t: pa.Table) -> pa.Table:
-        t = t.sort_by("block")
-        t = t.set_column(3, "payload", pa.array(answer(t.column("block").to_pylist(), t.column("payload").to_pylist()), pa.binary()))
-        return t.cast(_MAIL)
-
-    return letters.groupBy("bucket").applyInArrow(bucket, MAIL)
-
-
-def with_answers(packed: DataFrame, answers: DataFrame, finish, schema: str, rest: bool = False) -> DataFrame:
-    """finish(block number, ids, data, offsets, {(kind, bucket): payload}) gives a RecordBatch; with `rest`, it also gets that list."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+def with_rows(packed: DataFrame, rows: DataFrame, finish, schema: str, rest: bool = False) -> DataFrame:
+    """finish(block number, ids, data, offsets, rows of that block) gives a RecordBatch; with `rest`, it also gets that
+    list.  `rows` name their block `of_block`."""
     empty = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty
-        got = {(k, b): p for k, b, p in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True)}
         more = [left.column("rest")[0].values] if rest else []
-        return pa.Table.from_batches([finish(left.column("block")[0].as_py(), *opened(left.column("ids")[0], left.column("body")[0]), got, *more)])
-
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block, schema)
-
-
-def letters_of(packed: DataFrame, write) -> DataFrame:
-    """write(block number, ids, data, offsets) gives a RecordBatch of mail."""
-
-    def each(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                yield write(b.column("block")[i].as_py(), *opened(b.column("ids")[i], b.column("body")[i]))
-
-    return packed.mapInArrow(each, MAIL)
-
+        return pa.Table.from_batches([finish(left.column("block")[0].as_py(), *opened(left.column("ids")[0], left.column("body")[0]), right, *more)])
 
-def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b.select([F.col(c) for c in a.columns]))
+    return packed.groupBy("block").cogroup(rows.groupBy("of_block")).applyInArrow(block, schema)

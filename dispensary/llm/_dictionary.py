@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,8 +33,36 @@ def _whole(data: bytes, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
+def _cut(texts, split) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(piece numbers, distinct pieces, pieces per text, bytes per text)"""
+    pieces, n_pieces, n_bytes = [], [], []
+    for text in texts.to_pylist():
+        own = split(text or "")
+        pieces.extend(own)
+        n_pieces.append(len(own))
+        n_bytes.append(len((text or "").encode()))
+    encoded = pa.array(pieces, pa.binary()).dictionary_encode()
+    return np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist(), np.array(n_pieces, np.int64), np.array(n_bytes, np.int64)
+
+
+def _runs(texts) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """The same for runs without ASCII white space, for all texts at once."""
+    texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
+    lists = pc.ascii_split_whitespace(texts)
+    encoded = lists.flatten().dictionary_encode()
+    codes, words = np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.cast(pa.binary()).to_pylist()
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    ends -= ends[0]
+    if b"" in words:  # beside white space at either end
+        blank = words.index(b"")
+        full = codes != blank
+        ends, codes = np.concatenate(([0], np.cumsum(full)))[ends], codes[full]
+        codes, words = codes - (codes > blank), words[:blank] + words[blank + 1 :]
+    return codes, words, np.diff(ends), np.asarray(pc.binary_length(texts)).astype(np.int64)
+
+
 def coded(docs: DataFrame, split, frequencies: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of (id, text); split(text) gives the pieces of a text as byte strings.
+    """Blocks of (id, text); split(text) gives the pieces of a text as byte strings, None stands for its runs without white space.
 
     With `frequencies` a document keeps its distinct pieces and how often each stands in it, not their order.  A
     struct column `rest` travels along, as a list."""
@@ -44,27 +73,19 @@ def coded(docs: DataFrame, split, frequencies: bool, block_bytes: int = BLOCK_BY
     def code(batches):
         part = TaskContext.get().partitionId()
         for k, t in enumerate(steps_of(batches, block_bytes)):
-            pieces, n_pieces, n_bytes = [], [], []
-            for text in t.column("text").to_pylist():
-                own = split(text or "")
-                pieces.extend(own)
-                n_pieces.append(len(own))
-                n_bytes.append(len((text or "").encode()))
-            encoded = pa.array(pieces, pa.binary()).dictionary_encode()
-            del pieces
-            codes, words = np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist()
+            codes, words, n_pieces, n_bytes = _cut(t.column("text"), split) if split else _runs(t.column("text"))
             by = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent pieces get small numbers
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
             codes, words = rank[codes], [words[i] for i in by.tolist()]
-            n_pieces, times = np.array(n_pieces, np.int64), np.zeros(0, np.int64)
+            times = np.zeros(0, np.int64)
             if frequencies and len(codes):
                 doc = np.repeat(np.arange(len(n_pieces)), n_pieces)
                 pairs, times = np.unique(doc * len(words) + codes, return_counts=True)
                 n_pieces, codes = np.bincount(pairs // len(words), minlength=len(n_pieces)), pairs % len(words)
             head = np.array([len(n_pieces), len(codes), len(times)], np.int64).tobytes()
             listed = pack(words)
-            body = squeeze(head + n_pieces.tobytes() + np.array(n_bytes, np.int64).tobytes() + _planes(codes) + _planes(times))
+            body = squeeze(head + n_pieces.astype(np.int64).tobytes() + n_bytes.tobytes() + _planes(codes) + _planes(times))
             body = np.int64(len(listed)).tobytes() + listed + body
             lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in rest]
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([body], pa.binary()), *lists], names=[*B._BLOCKS.names, *rest])

@@ -8,6 +8,8 @@ A conversation is never gathered into one task: lines carry the keys that order
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,42 +18,148 @@ from pyspark.sql import functions as F
 from dispensary.llm._spark import checkpointed
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+#: Keywords that are checked, and those that say nothing about a value.
+_CHECKED = {"type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "required", "properties", "additionalProperties", "minProperties", "maxProperties", "items", "minItems", "maxItems", "uniqueItems", "anyOf", "oneOf", "allOf", "not"}
+_NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment", "format"}
+
+
+def whole(text: str | None) -> str | None:
+    """Half surrogate pairs, which UTF-8 cannot hold, as the escapes that JSON has for them."""
+    return text and re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces and no escapes that aren't needed."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return whole(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def parsed(text: str):
+    """The value of a JSON text; ValueError for numbers that JSON can't write (NaN, infinities, or beyond a double)."""
+
+    def number(x: str) -> float:
+        if not math.isfinite(out := float(x)):
+            raise ValueError(x)
+        return out
+
+    return json.loads(text, parse_constant=number, parse_float=number)
+
 
+def check_schema(schema, at: str = "$") -> None:
+    """ValueError for a schema with a keyword or type that `problem` doesn't know, so that none is passed over in silence."""
+    if isinstance(schema, bool):
+        return
+    if unknown := set(schema) - _CHECKED - _NOTES:
+        raise ValueError(f"{at}: unknown keywords {sorted(unknown)}")
+    kinds = schema.get("type", [])
+    if unknown := set([kinds] if isinstance(kinds, str) else kinds) - set(_TYPES):
+        raise ValueError(f"{at}: unknown types {sorted(unknown)}")
+    re.compile(schema.get("pattern", ""))
+    for k, own in schema.get("properties", {}).items():
+        check_schema(own, f"{at}.{k}")
+    for k in ("items", "additionalProperties", "not"):
+        if k in schema:
+            check_schema(schema[k], f"{at}/{k}")
+    for k in ("anyOf", "oneOf", "allOf"):
+        for i, own in enumerate(schema.get(k, [])):
+            check_schema(own, f"{at}/{k}/{i}")
 
-def problem(value, schema: dict, at: str = "$") -> str | None:
-    """The first way in which a value breaks a schema (type, enum, bounds, lengths, required and extra properties, items)."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return f"{at}: not {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+
+def _is(value, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _TYPES[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
+
+
+def _same(a, b) -> bool:
+    """Equal as JSON values: 1 is 1.0, but not true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def problem(value, schema, at: str = "$") -> str | None:
+    """The first way in which a value breaks a schema."""
+    if isinstance(schema, bool):
+        return None if schema else f"{at}: nothing is allowed"
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return f"{at}: not {' or '.join(kinds)}"
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]) or "const" in schema and not _same(value, schema["const"]):
         return f"{at}: not one of the listed values"
+    found = None
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if value < schema.get("minimum", value):
-            return f"{at}: below {schema['minimum']}"
-        if value > schema.get("maximum", value):
-            return f"{at}: above {schema['maximum']}"
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+        found = _number(value, schema, at)
+    elif isinstance(value, str):
+        found = _string(value, schema, at)
+    elif isinstance(value, dict):
+        found = _object(value, schema, at)
+    elif isinstance(value, list):
+        found = _array(value, schema, at)
+    return found or _combined(value, schema, at)
+
+
+def _number(value, schema: dict, at: str) -> str | None:
+    if value < schema.get("minimum", value):
+        return f"{at}: below {schema['minimum']}"
+    if value > schema.get("maximum", value):
+        return f"{at}: above {schema['maximum']}"
+    if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
+        return f"{at}: not above {schema['exclusiveMinimum']}"
+    if "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+        return f"{at}: not below {schema['exclusiveMaximum']}"
+    if "multipleOf" in schema and value % schema["multipleOf"]:
+        return f"{at}: not a multiple of {schema['multipleOf']}"
+    return None
+
+
+def _string(value: str, schema: dict, at: str) -> str | None:
+    if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
         return f"{at}: length {len(value)}"
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        for k in schema.get("required", []):
-            if k not in value:
-                return f"{at}.{k}: missing"
-        for k in sorted(value):
-            if k in known:
-                if found := problem(value[k], known[k], f"{at}.{k}"):
-                    return found
-            elif schema.get("additionalProperties", True) is False:
-                return f"{at}.{k}: unknown"
-    if isinstance(value, list) and "items" in schema:
-        for i, x in enumerate(value):
-            if found := problem(x, schema["items"], f"{at}[{i}]"):
-                return found
+    if "pattern" in schema and not re.search(schema["pattern"], value):
+        return f"{at}: other than the pattern"
+    return None
+
+
+def _object(value: dict, schema: dict, at: str) -> str | None:
+    if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+        return f"{at}: {len(value)} properties"
+    for k in schema.get("required", []):
+        if k not in value:
+            return f"{at}.{k}: missing"
+    known, rest = schema.get("properties", {}), schema.get("additionalProperties", True)
+    for k in sorted(value):
+        if k not in known and rest is False:
+            return f"{at}.{k}: unknown"
+        if found := problem(value[k], known.get(k, rest), f"{at}.{k}"):
+            return found
+    return None
+
+
+def _array(value: list, schema: dict, at: str) -> str | None:
+    if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+        return f"{at}: {len(value)} items"
+    if schema.get("uniqueItems") and any(_same(x, y) for i, x in enumerate(value) for y in value[:i]):
+        return f"{at}: repeated items"
+    for i, x in enumerate(value):
+        if found := problem(x, schema.get("items", True), f"{at}[{i}]"):
+            return found
+    return None
+
+
+def _combined(value, schema: dict, at: str) -> str | None:
+    for own in schema.get("allOf", []):
+        if found := problem(value, own, at):
+            return found
+    fits = lambda k: sum(problem(value, own, at) is None for own in schema[k])
+    if "anyOf" in schema and not fits("anyOf") or "oneOf" in schema and fits("oneOf") != 1:
+        return f"{at}: fits none of the alternatives, or too many"
+    if "not" in schema and problem(value, schema["not"], at) is None:
+        return f"{at}: fits what is ruled out"
     return None
 
 
@@ -119,8 +227,13 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     in the order repeated_id, cycle, unknown_tool, bad_json, bad_arguments, no_result.  `error` says what was wrong.
     A result's status is `ok`, or `orphan` if no call has its identifier; of a repeated call the first conversation
     and turn take it.  Null texts and contents become JSON null; null identifiers link with nothing.  Repeated rows
-    of messages and results give a line each, empty tables give none; other columns are ignored.
+    of messages and results give a line each, empty tables give none; other columns, whatever their names, are ignored.
+    Texts and contents of any length are written whole, and calls with equal keys keep their own lines.  Arguments that
+    are not JSON, hold numbers beyond a double or are nested too deeply are `bad_json` and stay a string; half surrogate pairs
+    are written as escapes.  A schema with a keyword that isn't checked is refused at the start (ValueError).
     """
+    for own in schemas.values():
+        check_schema(own)
     shared = {k: json.dumps(v) for k, v in schemas.items()}  # as long as the tools' schemas
     m = messages.select("conv_id", "turn", "role", "text")
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments", "needs")
@@ -140,19 +253,21 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
             return status, None, canonical({"content": body, "role": head})
         if kind == 2:
             return status, None if status == "ok" else "no call has this identifier", canonical({"content": body, "role": "tool", "tool_call_id": call_id})
-        found, error, arguments = None, None, body
+        line = lambda arguments: canonical({"role": "assistant", "tool_calls": [{"arguments": arguments, "id": call_id, "name": head, "needs": sorted(x for x in set(needs or []) if x is not None)}]})
+        found, error, written = None, None, None
         if head not in known_schemas:
             found, error = "unknown_tool", f"no tool is named {head}"
         else:
             try:
-                arguments = json.loads(body, parse_constant=_refuse)
+                arguments = parsed(body)
+                written = line(arguments)
                 if error := problem(arguments, known_schemas[head]):
                     found = "bad_arguments"
             except (TypeError, ValueError, RecursionError):
-                found, error = "bad_json", "arguments are not JSON"
+                found, error, written = "bad_json", "arguments are not JSON", None
         if found is None or status in ("repeated_id", "cycle"):
             found, error = status, {"repeated_id": "several calls have this identifier", "cycle": "it needs itself", "no_result": "no result has this identifier"}.get(status, error)
-        return found, error, canonical({"role": "assistant", "tool_calls": [{"arguments": arguments, "id": call_id, "name": head, "needs": sorted(x for x in set(needs or []) if x is not None)}]})
+        return found, whole(error), written or line(body)
 
     known_schemas: dict[str, dict] = {}
 
@@ -165,7 +280,3 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
 
     kinds = dict(lines.dtypes)
     return lines.mapInArrow(write, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, kind int, call_id string, level int, status string, error string, line string")
-
-
-def _refuse(name: str):
-    raise ValueError(name)

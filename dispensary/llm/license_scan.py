@@ -26,17 +26,37 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Opening passages of public license texts, and their labels.
+#: Passages of public license texts, and their labels.
 TEMPLATES = {
-    "mit-permission": ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    "agpl-header": ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
     "apache-header": ("apache", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    "gpl-header": ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    "apache-warranty": ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
+    "boost-permission": ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
     "bsd-conditions": ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "mpl-header": ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    "isc-permission": ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "bsd-source": ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    "bsd-binary": ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    "bsd-names": ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd-warranty": ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     "cc-by-notice": ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "cc-by-nc-notice": ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    "cc-by-nc-nd-notice": ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License"),
+    "cc-by-nc-sa-notice": ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License"),
+    "cc-by-nd-notice": ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License"),
     "cc-by-sa-notice": ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
+    "cc0-notice": ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    "epl-header": ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License which accompanies this distribution"),
+    "gpl-header": ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
     "gpl-notice": ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    "gpl-warranty": ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    "isc-permission": ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "isc-warranty": ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    "lgpl-header": ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version"),
+    "mit-permission": ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    "mit-notice": ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    "mit-warranty": ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    "mpl-header": ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    "unlicense": ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    "zlib-permission": ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 }
 
 FOUND = "n_words long, grams array<struct<gram:long,at:int>>"
@@ -90,7 +110,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     Words are maximal runs of digits, letters a-z and non-ASCII characters after lower-casing A-Z.  n_base counts
     the places of all phrases; first_word and last_word are the smallest and largest start of one (words from 0;
     null without any).  A template's span is reported if its votes reach `coverage` of the template's k-grams and
-    `density` of the span.  Labels are distinct, sorted and joined by commas; score is 1 with a phrase, else the best
+    `density` of the span, and if no other reported span that overlaps it has a greater coverage.  Labels are distinct, sorted and joined by commas; score is 1 with a phrase, else the best
     coverage of a reported span, else 0.  Null and empty texts have no words and no labels.  Repeated rows and ids
     give a row each; an empty table gives an empty result; other columns are ignored.
     """
@@ -141,13 +161,20 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     covered = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
     is_base = F.col("is_phrase") & (F.col("votes") == F.col("grams"))
     is_span = ~F.col("is_phrase") & (F.col("template") != "") & (covered >= coverage) & (F.col("votes") >= density * (F.col("high") - F.col("low") + 1))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return runs.groupBy("row", "id", "n_words").agg(
+    span = F.struct(F.col("low").cast("int").alias("start"), (F.col("high") + 2).cast("int").alias("stop"), "template", covered.alias("coverage"), "label")
+    found = runs.groupBy("row", "id", "n_words").agg(
         F.count(F.when(is_base, 1)).alias("n_base"),
         F.min(F.when(is_base, F.col("diagonal"))).cast("long").alias("first_word"),
         F.max(F.when(is_base, F.col("diagonal"))).cast("long").alias("last_word"),
-        joined(F.when(is_base, F.col("label"))).alias("base_labels"),
-        joined(F.when(is_base | is_span, F.col("label"))).alias("labels"),
-        F.coalesce(F.max(F.when(is_base, 1.0).when(is_span, covered)), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(is_span, F.struct(F.col("low").alias("start"), (F.col("high") + 2).alias("stop"), "template", covered.alias("coverage"))))).alias("spans"),
-    ).drop("row")
+        F.array_sort(F.collect_set(F.when(is_base, F.col("label")))).alias("base"),
+        F.array_sort(F.collect_list(F.when(is_span, span))).alias("all"),  # as long as the document at most
+    )
+    beaten = lambda s: F.exists("all", lambda o: (o["coverage"] > s["coverage"]) & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))
+    found = found.withColumn("best", F.filter("all", lambda s: ~beaten(s)))
+    return found.select(
+        "id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base", F.transform("best", lambda s: s["label"]))), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("best", lambda s: s["coverage"])), F.lit(0.0))).alias("score"),
+        F.transform("best", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["template"].alias("template"), s["coverage"].alias("coverage"))).alias("spans"),
+    )

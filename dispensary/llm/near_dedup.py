@@ -1,15 +1,20 @@
 """Near-duplicate classes by MinHash: a signature-coordinate inverted join, then exact counts on the full sets.
 
 A document is the set of its word shingles.  Documents with equal sets form one class and travel as one row.  A
-signature coordinate is a triple of minima; every class is posted under each (coordinate, value) pair.
+signature has COORDINATES minima, and every class is posted under each (coordinate, value) pair.  Two classes that
+share MATCHES coordinates or more are candidates, and only these are compared on their full sets.
 
-Coordinates are merged prefix by prefix.  A posting list of one class, or one whose members are by then in
-one component, is skipped.  The members of an open list meet on their full sets, and those that reach the
-similarity are linked: a task counts the common shingles of all members of a list at once, as a product of
-incidence matrices, and returns one link a member, not the pairs.  A long list is cut into parts, and each part meets
-each other part in a task of its own, so that no list has to fit into one task.
+Prefix: a class orders its postings by the length of their lists, shortest first; postings of nobody else are left out,
+and a class with fewer than MATCHES others is done.  Two classes with so many common postings have one among the first
+(number - MATCHES + 1) of each, so lists of these prefixes are all that is merged; long lists are mostly left alone.
 
-At a similarity of 0.8 a pair shares none of the 26 coordinates with probability 0.488 ** 26 < 1e-8.
+Skip: the members of a list first meet its pivot (the member with the least number) and are joined with it where their
+full sets say so, which closes most lists of groups of copies.  A list whose members are in one component by then is
+skipped.  In the others collisions are counted for all pairs of a list within tasks, as matrices, in the first list that a pair shares
+and only across components; what leaves the task is one row a member that has a candidate, not the pairs.  A long list is cut into parts,
+and each part meets each other part in a task of its own, so that no list has to fit into one task.
+
+At a similarity of 0.8 a pair shares fewer than 15 of 40 coordinates with probability below 1e-9.
 """
 
 from __future__ import annotations
@@ -27,13 +32,12 @@ from dispensary.llm._annotate import free_name
 from dispensary.llm._spark import checkpointed, documents, squeeze, steps_of, text_key, text_keys, unsqueeze
 from dispensary.llm._text import SPACED, STEP_BYTES, flat, mix, windows, words
 
-COORDINATES, MINIMA = 26, 3
-#: Coordinates (first, past last) that are merged together.
-PREFIXES = ((0, 3), (3, COORDINATES))
-#: Members, and shingles of members, in a part of a posting list; cells of an incidence matrix.
+#: Minima in a signature; how many two classes must share to be compared.
+COORDINATES, MATCHES = 40, 15
+#: Members, and shingles of members, in a part of a list; cells of an incidence matrix.
 PART_MEMBERS, PART_SHINGLES, CELLS = 1024, 1 << 20, 1 << 24
 
-_MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, COORDINATES * MINIMA, dtype=np.uint64) | np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -52,7 +56,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cls", pa.binary()), ("coords", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cls", pa.binary()), ("coords", pa.list_(pa.int32()))])
 
 
 def signatures(docs: DataFrame, size: int = 4, step_bytes: int = STEP_BYTES) -> DataFrame:
@@ -65,18 +69,16 @@ def signatures(docs: DataFrame, size: int = 4, step_bytes: int = STEP_BYTES) ->
             full = np.flatnonzero(n)
             joined = np.concatenate([*sets, np.zeros(0, np.uint64)])
             starts = np.concatenate(([0], np.cumsum(n[full])[:-1])) if len(full) else full
-            least = np.zeros((len(sets), len(_MULTIPLIERS)), np.uint64)
+            coords = np.zeros((len(sets), COORDINATES), np.uint64)
             if len(full):
                 for k, m in enumerate(_MULTIPLIERS):
-                    least[full, k] = np.minimum.reduceat(joined * m, starts)
-            coords = np.zeros((len(sets), COORDINATES), np.uint64)
-            for j in range(MINIMA):
-                coords = mix(coords + least[:, j::MINIMA])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(coords.view(np.int64).ravel()))
+                    coords[full, k] = np.minimum.reduceat(joined * m, starts)
+            coords = (mix(coords) >> np.uint64(32)).astype(np.uint32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(coords.view(np.int32).ravel()))
             cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(text_keys(t.column("text")), pa.binary()), pa.array(n), pa.array(cls, pa.binary()), lists], schema=_SIGNED)
 
-    return docs.select("id", "text").mapInArrow(sign, "id long, key binary, n long, cls binary, coords array<long>")
+    return docs.select("id", "text").mapInArrow(sign, "id long, key binary, n long, cls binary, coords array<int>")
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,25 +117,90 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = new
 
 
-def _links(posts: DataFrame, labels: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the members of open posting lists as their full sets say."""
-    posts = posts.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    lists = posts.groupBy("k", "v").agg(F.count("*").alias("size"), F.sum("n").alias("total"), (F.min("label") != F.max("label")).alias("open")).filter("open")
-    lists = lists.select("k", "v", F.greatest(F.ceil(F.col("size") / PART_MEMBERS), F.ceil(F.col("total") / PART_SHINGLES)).cast("int").alias("parts"))
-    met = posts.join(lists, ["k", "v"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+def _parts(members: DataFrame, *by: str) -> DataFrame:
+    """Groups of (*by, c, n) with the number of parts that each is cut into."""
+    return members.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES), F.lit(1)).cast("int").alias("parts"))
+
+
+def _part():
+    return F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+
+
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _decoded(t: pa.Table, size: int) -> list[np.ndarray]:
+    texts = [unsqueeze(x) for x in t.column("body").to_pylist()]
+    return shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts]))), size)
+
+
+def _pivot_links(posts: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of the members of each list (key, c, n) with its pivot, compared once however many lists they share."""
+    pivots = posts.groupBy("key").agg(F.min("c").alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("key", "pivot")
+    pairs = posts.join(pivots, "key").filter("c <> pivot").groupBy("pivot", "c").agg(F.min("n").alias("n"))
+    pairs = checkpointed(pairs)
+    parts = _parts(pairs, "pivot")
+    own = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("c"))
+    rows = pairs.join(parts, "pivot").select("pivot", _part().alias("part"), "c").unionByName(own)
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cls")
+        c, cls, sets = np.asarray(t.column("c")), t.column("cls").to_pylist(), _decoded(t, size)
+        coords = np.asarray(t.column("coords").combine_chunks().flatten()).reshape(len(c), COORDINATES)
+        out = []
+        for p in np.flatnonzero(c == t.column("pivot")[0].as_py()).tolist():  # classes that share a number are all pivots
+            close = (coords == coords[p]).sum(axis=1) >= MATCHES
+            for i in np.flatnonzero(close).tolist():
+                if i != p:
+                    both = len(np.intersect1d(sets[p], sets[i], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[p]) + len(sets[i]) - both):
+                        out.append((cls[p], cls[i]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())}, schema=_LINKS)
+
+    return rows.join(held, "c").groupBy("pivot", "part").applyInArrow(meet, "a binary, b binary")
+
+
+def _candidates(coords: np.ndarray, labels: np.ndarray, parts: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """Which members have a candidate: enough collisions, another component, another part (if there are two), no earlier list."""
+    n = len(coords)
+    count = np.zeros((n, n), np.uint8)
+    for k in range(COORDINATES):
+        count += coords[:, k][:, None] == coords[:, k][None, :]
+    pairs = (count >= MATCHES) & (labels[:, None] != labels[None, :])
+    if parts.min() != parts.max():
+        pairs &= parts[:, None] != parts[None, :]
+    if pairs.any() and any(map(len, before)):
+        pairs &= common(before) == 0
+    return pairs.any(axis=1)
+
+
+def _open_links(posts: DataFrame, labels: DataFrame, prefixes: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the members of lists that several components share."""
+    own = held.select("c", "cls").join(labels, "cls", "left").groupBy("c").agg(F.min(F.coalesce("label", "cls")).alias("label"))
+    posts = posts.join(own, "c")
+    open_ = posts.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("key")
+    posts = posts.join(open_, "key")
+    met = posts.join(_parts(posts, "key"), "key").withColumn("part", _part())
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("k", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "cls").join(bodies, "cls")
+    met = met.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "place", "c", "label")
+    counted = met.join(prefixes.select("c", "keys"), "c").withColumn("before", F.slice("keys", F.lit(1), F.col("place"))).drop("keys", "place").join(held.select("c", "coords"), "c")
+
+    def count(t: pa.Table) -> pa.Table:
+        coords = np.asarray(t.column("coords").combine_chunks().flatten()).reshape(t.num_rows, COORDINATES)
+        labels = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)[1]
+        before = [np.array(x, np.int64) for x in t.column("before").to_pylist()]
+        return t.filter(pa.array(_candidates(coords, labels, np.asarray(t.column("part")), before))).select(["key", "p", "q", "c"])
+
+    some = checkpointed(counted.groupBy("key", "p", "q").applyInArrow(count, "key long, p int, q int, c long"))
 
     def meet(t: pa.Table) -> pa.Table:
         t = t.sort_by("cls")
         cls = t.column("cls").to_pylist()
-        texts = [unsqueeze(x) for x in t.column("body").to_pylist()]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-        first = linked(shingle_sets(np.frombuffer(b"".join(texts), np.uint8), ends, size), percent).tolist()
+        first = linked(_decoded(t, size), percent).tolist()
         pairs = [(cls[i], x) for x, i in zip(cls, first, strict=True) if cls[i] != x]
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())}, schema=_LINKS)
 
-    return met.groupBy("k", "v", "p", "q").applyInArrow(meet, "a binary, b binary")
+    return some.join(held.select("c", "cls", "body"), "c").groupBy("key", "p", "q").applyInArrow(meet, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,20 +227,26 @@ def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     """The signatures of (id, text), and (cls, label) of the classes that are linked with another one."""
     signed = checkpointed(signatures(docs, size))
     some = signed.filter("n > 0")
-    posts = some.groupBy("cls").agg(F.min("n").alias("n"), F.min("coords").alias("coords")).select("cls", "n", F.posexplode("coords").alias("k", "v"))
-    # only classes that share a coordinate with another one can have links
-    shared = posts.join(posts.groupBy("k", "v").agg(F.count("*").alias("size")).filter("size > 1"), ["k", "v"])
-    shared = checkpointed(shared.select("cls", "n", "k", "v"))
-    owner = shared.select("cls").distinct().join(some.select("cls", "id", "key"), "cls").groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "key")).alias("o"))
+    # c is a short number of the class; should two classes share one, they are taken as candidates together
+    classes = some.groupBy("cls").agg(F.min("n").alias("n"), F.min("coords").alias("coords")).withColumn("c", F.xxhash64("cls"))
+    posting = F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long") + (1 << 31)
+    posts = classes.select("c", "n", F.posexplode("coords").alias("k", "v")).select("c", "n", posting.alias("key"))
+    shared = posts.join(posts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
+    ordered = shared.groupBy("c").agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("size", "key"))).alias("keys"))  # at most COORDINATES a class
+    prefix = F.slice(F.col("keys.key"), F.lit(1), F.size("keys") - MATCHES + 1)
+    prefixes = checkpointed(ordered.filter(F.size("keys") >= MATCHES).select("c", "n", prefix.alias("keys")))
+    posts = prefixes.select("c", "n", F.posexplode("keys").alias("place", "key"))
+    met = posts.join(posts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "key")
+    met = checkpointed(met)
+    # the text of one document of each class that is in such a list
+    owner = some.select("cls", "id", "key", "coords").withColumn("c", F.xxhash64("cls")).join(met.select("c").distinct(), "c", "left_semi")
+    owner = owner.groupBy("cls").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "key", "coords")).alias("o"))
     texts = docs.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInArrow(_squeezed, "id long, key binary, body binary")
-    bodies = checkpointed(texts.join(owner.select("cls", "o.*"), ["id", "key"]).groupBy("cls").agg(F.min("body").alias("body")))
-    joined = None
-    for low, high in PREFIXES:
-        labels = joined if joined is not None else shared.select("cls", F.col("cls").alias("label")).limit(0)
-        found = _links(shared.filter((F.col("k") >= low) & (F.col("k") < high)), labels, bodies, size, percent)
-        if joined is not None:
-            found = found.unionByName(joined.select(F.col("label").alias("a"), F.col("cls").alias("b")).filter("a != b"))
-        joined = components(found)
+    held = texts.join(owner.select("cls", "o.*"), ["id", "key"]).groupBy("cls").agg(F.min("coords").alias("coords"), F.min("body").alias("body"))
+    held = checkpointed(held.withColumn("c", F.xxhash64("cls")))
+    joined = components(_pivot_links(met, held, size, percent))
+    found = _open_links(met, joined, prefixes, held, size, percent)
+    joined = components(found.unionByName(joined.select(F.col("label").alias("a"), F.col("cls").alias("b")).filter("a != b")))
     return signed, joined
 
 

@@ -100,7 +100,7 @@ class Bag:
 
 def _bags(docs: DataFrame) -> DataFrame:
     """Blocks of (id, lang, text, key); `rest` keeps lang and key."""
-    return D.coded(docs.select("id", "text", F.struct("lang", "key").alias("rest")), lambda text: text.encode().split(), frequencies=True)
+    return D.coded(docs.select("id", "text", F.struct("lang", "key").alias("rest")), None, frequencies=True)
 
 
 def _opened(t, i: int) -> Bag:

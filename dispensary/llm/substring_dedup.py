@@ -2,8 +2,11 @@
 
 Every window's Rabin-Karp hash is computed.  A first count works on one short run of words per window, chosen
 by content (the run with the least hash), so that equal windows choose equal runs; a window whose run occurs
-once in the whole table cannot repeat and is settled.  The hashes of all other windows are counted exactly,
-with 96 bits; each hash has one first place, in order of (id, position), and every other place is a repeat.
+once in the whole table cannot repeat and is settled.  The hashes of all other windows, 128 bits each, are counted by
+Spark and get their first place, in order of (id, position); every other place is a repeat.
+
+Documents travel in blocks (see _blocks).  A block sends a run or window once, so one that stands in every document is a row
+a block; rows are dealt by their hash, and what is found out about them is joined back by block.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dispensary.llm import _blocks as B
 from dispensary.llm._spark import documents
@@ -34,122 +38,107 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """In sorted keys, which entries differ from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
 class _Windows:
     """Windows of one block."""
 
-    def __init__(self, data, offsets, width: int, run: int, n_buckets: int):
+    def __init__(self, data, offsets, width: int):
         self.words = words(data, offsets, SPACED, lower=False)
-        self.n, self.width, self.n_buckets = len(self.words.starts), width, n_buckets
-        left = self.words.left()
+        self.n, self.width = len(self.words.starts), width
+        self.left = self.words.left()
         self.hash = self.words.hashes()
+        self.at = np.flatnonzero(self.left >= width)
+
+    def runs(self, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct chosen runs, the number of each window's one, and which stand in the block twice."""
         runs = windows(self.hash, run)
-        runs[left < run] = ~np.uint64(0)
-        self.at = np.flatnonzero(left >= width)
-        chosen = _least(runs, width - run + 1)[self.at] if len(self.at) else runs[:0]
-        self.values, self.value_of = np.unique(chosen, return_inverse=True)
+        runs[self.left < run] = ~np.uint64(0)
+        chosen = _least(runs, self.width - run + 1)[self.at] if len(self.at) else runs[:0]
+        values, value_of = np.unique(chosen, return_inverse=True)
         runs.sort()
-        self.twice = np.searchsorted(runs, self.values, side="right") - np.searchsorted(runs, self.values) > 1
-        self.order, self.bounds = B.dealt(((self.values >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), n_buckets)
-
-    def prints(self) -> dict[int, bytes]:
-        prints = self.values.astype(np.uint32)[self.order]
-        return {b: prints[i:j].tobytes() for b, (i, j) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)) if j > i}
-
-    def suspects(self, got: dict) -> None:
-        """Keep the windows whose run occurs again, here or in another block; find the first of equal ones."""
-        again = self.twice.copy()
-        for b in np.flatnonzero(np.diff(self.bounds)).tolist():
-            i, j = self.bounds[b], self.bounds[b + 1]
-            again[self.order[i:j]] |= np.unpackbits(np.frombuffer(got[0, b], np.uint8), count=j - i).astype(bool)
-        self.at = self.at[again[self.value_of]]
-        self.h1 = windows(self.hash, self.width)[self.at]
-        self.h2 = windows(self.words.hashes(1), self.width)[self.at].astype(np.uint32)
-        by = np.lexsort((self.h2, self.h1))
-        new = np.ones(len(by), bool)
-        new[1:] = (self.h1[by][1:] != self.h1[by][:-1]) | (self.h2[by][1:] != self.h2[by][:-1])
-        self.leaders = by[new]
-        self.order2, self.bounds2 = B.dealt(((self.h1[self.leaders] >> np.uint64(40)) % np.uint64(self.n_buckets)).astype(np.int64), self.n_buckets)
-
-    def hashes(self, ids: list) -> dict[int, bytes]:
-        keys = np.array([B.NO_ID if x is None else x for x in ids], np.int64)
-        lead = self.leaders[self.order2]
-        owner = np.searchsorted(self.words.first, self.at[lead], side="right") - 1
-        h1, h2, key = self.h1[lead], self.h2[lead], keys[owner]
-        return {b: h1[i:j].tobytes() + h2[i:j].tobytes() + key[i:j].tobytes() for b, (i, j) in enumerate(zip(self.bounds2[:-1].tolist(), self.bounds2[1:].tolist(), strict=True)) if j > i}
-
-    def covered(self, got: dict) -> np.ndarray:
-        """Words that a repeated window covers."""
-        repeat = np.ones(len(self.at), bool)
-        for b in np.flatnonzero(np.diff(self.bounds2)).tolist():
-            i, j = self.bounds2[b], self.bounds2[b + 1]
-            repeat[self.leaders[self.order2[i:j]]] = np.unpackbits(np.frombuffer(got[1, b], np.uint8), count=j - i).astype(bool)
+        return values, value_of, np.searchsorted(runs, values, side="right") - np.searchsorted(runs, values) > 1
+
+    def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return windows(self.hash, self.width)[at], windows(self.words.hashes(1), self.width)[at]
+
+    def suspects(self, run: int, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows whose run occurs again, here or in another block, the first of equal ones: place and hash."""
+        values, value_of, again = self.runs(run)
+        at = self.at[(again | np.isin(values, elsewhere))[value_of]]
+        h1, h2 = self.hashes(at)
+        by = np.lexsort((h2, h1))
+        by = by[_new(h1[by], h2[by])] if len(by) else by
+        return at[by], h1[by], h2[by]
+
+    def covered(self, later1: np.ndarray, later2: np.ndarray) -> np.ndarray:
+        """Words that a repeated window covers: one that also stands earlier here, or is among `later`."""
+        h1 = windows(self.hash, self.width)[self.at]
+        by = np.argsort(h1, kind="stable")
+        new = _new(h1[by]) if len(by) else np.zeros(0, bool)
+        alone = np.zeros(len(by), bool)
+        alone[by] = new & np.append(new[1:], True)[: len(by)]
+        at = self.at[~alone | np.isin(h1, later1)]
+        h1, h2 = self.hashes(at)
+        kind = np.concatenate((np.zeros(len(later1), np.int8), np.ones(len(at), np.int8)))
+        h1, h2 = np.concatenate((later1, h1)), np.concatenate((later2, h2))
+        by = np.lexsort((np.arange(len(h1)), h2, h1))  # what is repeated already comes first, then places in their order
+        repeat = np.zeros(len(by), bool)
+        repeat[by] = ~_new(h1[by], h2[by]) if len(by) else repeat
         edge = np.zeros(self.n + 1, np.int64)
-        hit = self.at[repeat]
+        hit = at[repeat[kind == 1]]
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + self.width, -1)
         return np.cumsum(edge)[: self.n] > 0
 
 
-def _seen_elsewhere(blocks: list[int], payloads: list[bytes]) -> list[bytes]:
-    """Bits: does the run stand in another block too?"""
-    parts = [np.frombuffer(p, np.uint32) for p in payloads]
-    _, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    bits, at, out = count[which] > 1, 0, []
-    for p in parts:
-        out.append(np.packbits(bits[at : at + len(p)]).tobytes())
-        at += len(p)
-    return out
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _not_first(blocks: list[int], payloads: list[bytes]) -> list[bytes]:
-    """Bits: does the window also start earlier, by id?"""
-    sizes = [len(p) // 20 for p in payloads]
-    h1 = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(payloads, sizes, strict=True)])
-    h2 = np.concatenate([np.frombuffer(p, np.uint32, n, 8 * n) for p, n in zip(payloads, sizes, strict=True)])
-    key = np.concatenate([np.frombuffer(p, np.int64, n, 12 * n) for p, n in zip(payloads, sizes, strict=True)])
-    by = np.lexsort((key, h2, h1))  # stable: blocks with the same id keep their order
-    later = np.zeros(len(by), bool)
-    later[by[1:]] = (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
-    at, out = 0, []
-    for n in sizes:
-        out.append(np.packbits(later[at : at + n]).tobytes())
-        at += n
-    return out
+def _hashes(column) -> np.ndarray:
+    return np.asarray(column).astype(np.int64).view(np.uint64)
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, run: int = 8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = STEP_BYTES, n_buckets: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, run: int = 8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = STEP_BYTES) -> DataFrame:
     """Remove every word that a window covers whose words also start earlier (smaller id, or same document).
 
     Returns (id, n_words, n_removed, kept, removed): the kept words joined by one space, and the maximal
     removed intervals in word numbers.  Null and empty texts have no words and keep an empty text.  A null id
     sorts before all others; rows that share an id are separate documents, one of which counts as earlier.
-    An empty table gives an empty result.  Other columns are ignored.
+    A very long text is a block of its own.  An empty table gives an empty result.  Other columns, whatever their names, are ignored.
     """
-    return _removed(documents(docs, id_col, text_col), width, run, block_bytes, n_buckets)
+    return _removed(documents(docs, id_col, text_col), width, run, block_bytes)
 
 
-def _removed(docs: DataFrame, width: int = 20, run: int = 8, block_bytes: int = STEP_BYTES, n_buckets: int | None = None) -> DataFrame:
+def _removed(docs: DataFrame, width: int = 20, run: int = 8, block_bytes: int = STEP_BYTES) -> DataFrame:
     """The result of substring_dedup for (id, text).  Of (id, text, rest), each row's own `rest` with the text that
     it has now and whether that is a new one; `rest` is a struct, whose first field says whether the text is null."""
-    from pyspark.sql.types import StructType
-
     if not 0 < run <= width:
         raise ValueError("run must be from 1 to width")
-    n = B.buckets(docs, n_buckets)
     packed = B.blocks(docs, block_bytes)
 
-    def runs(block, ids, data, offsets):
-        return B.mail(block, 0, _Windows(data, offsets, width, run, n).prints())
+    def send(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                runs = _Windows(*B.opened(b.column("ids")[i], b.column("body")[i])[1:], width).runs(run)[0]
+                yield pa.RecordBatch.from_arrays([_signed(runs), pa.array(np.full(len(runs), b.column("block")[i].as_py(), np.int64))], names=["run", "of_block"])
 
     def suspects(block, ids, data, offsets, got):
-        w = _Windows(data, offsets, width, run, n)
-        w.suspects(got)
-        return B.mail(block, 1, w.hashes(ids))
+        w = _Windows(data, offsets, width)
+        at, h1, h2 = w.suspects(run, _hashes(got.column("run")))
+        keys = np.array([B.NO_ID if x is None else x for x in ids], np.int64)
+        owner = np.searchsorted(w.words.first, at, side="right") - 1
+        return pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(keys[owner] if len(at) else at), pa.array(np.full(len(at), block, np.int64))], names=["h1", "h2", "key", "of_block"])
 
     def finish(block, ids, data, offsets, got, rest=None):
-        w = _Windows(data, offsets, width, run, n)
-        w.suspects(got)
-        gone = w.covered(got)
+        w = _Windows(data, offsets, width)
+        gone = w.covered(_hashes(got.column("h1")), _hashes(got.column("h2")))
         first, counts = w.words.first, w.words.counts()
         total = np.zeros(w.n + 1, np.int64)
         np.cumsum(gone, out=total[1:])
@@ -173,12 +162,14 @@ def _removed(docs: DataFrame, width: int = 20, run: int = 8, block_bytes: int =
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32)), spans)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), lists], schema=_OUT)
 
-    once = B.answered(B.letters_of(packed, runs), _seen_elsewhere)
-    hashes = B.with_answers(packed, once, suspects, B.MAIL)
-    both = B.union_all(once, B.answered(hashes, _not_first))
+    runs = packed.mapInArrow(send, "run long, of_block long").repartition("run")  # dealt once, for both uses
+    elsewhere = runs.join(runs.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1"), "run").select("of_block", "run")
+    seen = B.with_rows(packed, elsewhere, suspects, "h1 long, h2 long, key long, of_block long").repartition("h1", "h2")
+    first = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "of_block")).alias("first")).filter("n > 1")
+    later = seen.join(first, ["h1", "h2"]).filter(F.struct("key", "of_block") != F.col("first")).select("of_block", "h1", "h2")
     if "rest" not in docs.columns:
-        return B.with_answers(packed, both, finish, OUT)
-    return B.with_answers(packed, both, finish, StructType([docs.schema["rest"]]).add("text", "string").add("changed", "boolean"), rest=True)
+        return B.with_rows(packed, later, finish, OUT)
+    return B.with_rows(packed, later, finish, StructType([docs.schema["rest"]]).add("text", "string").add("changed", "boolean"), rest=True)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:

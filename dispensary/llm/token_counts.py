@@ -18,10 +18,6 @@ from dispensary.llm._spark import documents
 from dispensary.llm.sentencepiece_codec import check_model, chunks
 
 
-def pre_tokens(text: str) -> list[bytes]:
-    return text.encode().split()
-
-
 def _counter(kind: str, model: bytes):
     """f(texts) -> number of tokens of each."""
     if kind == "model":
@@ -59,7 +55,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: st
     check_model(model) if kind == "model" else _check_json(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one file of the model's size
     docs = documents(docs, id_col, text_col)
-    blocks = D.coded(docs, chunks if kind == "model" else pre_tokens, frequencies=True, block_bytes=block_bytes)
+    blocks = D.coded(docs, chunks if kind == "model" else None, frequencies=True, block_bytes=block_bytes)
 
     def make():
         count = _counter(kind, shared.value)

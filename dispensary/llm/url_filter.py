@@ -4,7 +4,7 @@ A list changes over time: each dated entry says what holds for a pattern from th
 intervals, and every capture is judged by the entries that were active when it was fetched.  Everything here is
 DataFrame operations.
 
-The as-of join is an equi-join: an interval is listed under every period that it touches, a capture under
+The as-of join is an equi-join: an interval is listed under every period with captures that it touches, a capture under
 its own, so that a host with a third of all captures and a pattern with very many entries meet period by period.
 """
 
@@ -36,12 +36,18 @@ def patterns_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(both))
 
 
+def listed_pattern(pattern: Column) -> Column:
+    """A listed pattern as captures are named: the host in lower case, the folder as it is."""
+    p = F.trim(pattern.cast("string"))
+    return F.concat(F.lower(F.regexp_extract(p, "^[^/]*", 0)), F.regexp_extract(p, "^[^/]*(/.*)$", 1))
+
+
 def intervals(entries: DataFrame, pattern: str = "pattern", action: str = "action", listed_at: str = "listed_at", period: int = PERIOD) -> DataFrame:
     """(pattern, action, start, stop): start included, stop excluded or null; lifted times are left out.
 
     Entries without a pattern or date, or with an unknown action, are ignored."""
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
-    e = entries.select(F.lower(F.trim(F.col(pattern).cast("string"))).alias("pattern"), F.lower(F.col(action).cast("string")).alias("action"), F.col(listed_at).cast("timestamp").alias("start"))
+    e = entries.select(listed_pattern(F.col(pattern)).alias("pattern"), F.lower(F.col(action).cast("string")).alias("action"), F.col(listed_at).cast("timestamp").alias("start"))
     e = e.filter(F.col("pattern").isNotNull() & F.col("start").isNotNull() & F.col("action").isin(*ACTIONS))
     e = e.groupBy("pattern", "start").agg(F.min_by("action", rank).alias("action")).withColumn("period", F.floor(F.unix_timestamp("start") / period))
     # the next entry stands in the same period, or is the first of the next period that has any
@@ -57,18 +63,19 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     The longest pattern with an active entry decides (its text breaks ties): `block` drops the capture, `allow` keeps
     it, and a capture that no active entry names is kept, with null pattern, action and date.  Repeated captures
     are counted in n_captures.  A null or relative URL has no host and no pattern and is kept, as is a capture
-    without a fetch time.  Empty captures give an empty result; an empty list keeps everything.  Other columns are
-    ignored.
+    without a fetch time.  Hosts are compared without case, folders with it; URLs of any length are read whole.  Empty captures give an empty result; an empty list keeps everything.  Other columns are
+    ignored, whatever their names.
     """
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(fetched_col).cast("timestamp").alias("fetched_at"))
     c = c.groupBy("id", "url", "fetched_at").agg(F.count("*").alias("n_captures"))
     named = c.withColumn("period", F.floor(F.unix_timestamp("fetched_at") / period)).withColumn("pattern", F.explode_outer(patterns_of(F.col("url"))))
     span = intervals(entries, pattern, action, listed_at, period)
-    # an open interval is listed up to the last fetch
-    last = c.agg(F.max("fetched_at").alias("last"))
-    span = span.join(F.broadcast(last), F.col("last") >= F.col("start"))  # one row
-    first, final = F.floor(F.unix_timestamp("start") / period), F.floor(F.unix_timestamp(F.least(F.coalesce("stop", "last"), "last")) / period)
-    span = span.withColumn("period", F.explode(F.sequence(first, F.greatest(first, final)))).select("pattern", "period", "action", "start", "stop")
+    # an interval is listed under the periods that have captures, of which there are 122,000 from year 1 to year 9999
+    fetched = c.agg(F.sort_array(F.collect_set(F.floor(F.unix_timestamp("fetched_at") / period))).alias("periods"))  # one row
+    first, final = F.floor(F.unix_timestamp("start") / period), F.floor(F.unix_timestamp("stop") / period)
+    touched = F.filter("periods", lambda p: (p >= first) & (F.col("stop").isNull() | (p <= final)))
+    span = span.join(F.broadcast(fetched), F.size("periods") > 0)
+    span = span.select("pattern", "action", "start", "stop", F.explode(touched).alias("period")).select("pattern", "period", "action", "start", "stop")
     active = (F.col("start") <= F.col("fetched_at")) & (F.col("stop").isNull() | (F.col("fetched_at") < F.col("stop")))
     named = named.join(span, ["pattern", "period"], "left")
     best = F.max(F.when(active, F.struct(F.length("pattern").alias("length"), "pattern", "action", F.col("start").alias("listed_at"))))

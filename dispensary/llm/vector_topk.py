@@ -3,9 +3,13 @@
 The space is cut into regions by a ball tree over a bounded sample; every vector is put into a region, and large
 regions are dealt out over several shards.  An upper bound on the score of a query q in a ball with centre c and
 radius r is q.c + |q| r.  Each query first searches the region with the highest bound, which gives a k-th score; it
-then goes only to the regions whose bound reaches that score.  Inside a shard a ball tree of the shard's own
-vectors is searched in order of its bounds, from that score on.  The sample shapes the regions; it never decides
-which vectors are searched.
+then goes only to the regions whose bound reaches that score.  A shard's own vectors form a ball tree.  A query
+goes down it from the root, at every node first into the child with the higher bound, and leaves out a node whose
+bound is under its k-th score so far, which starts from the shared one; queries that go the same way go together.
+The sample shapes the regions; it never decides which vectors are searched.
+
+A region's vectors are sent once for each block of the queries that visit it, a query once for each shard of a region
+that it visits.  Both numbers follow the work that the bounds leave to do, not the size of the table.
 """
 
 from __future__ import annotations
@@ -17,17 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispensary.llm._spark import checkpointed
+
 #: Rows of the sample that shapes the regions, most regions, vectors in a shard, queries in a block, vectors in a leaf.
-SAMPLE, REGIONS, SHARD, BLOCK, LEAF = 4096, 256, 8192, 1024, 256
+SAMPLE, REGIONS, SHARD, BLOCK, LEAF = 4096, 256, 8192, 16384, 256
+#: Queries that a leaf scores at a time.
+SCORED = 4096
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, vec) with floor(scale * x); without vectors that are null, empty or hold null or non-finite components."""
+    """(id, vec) with floor(scale * x); without vectors that are null or hold null or non-finite components."""
     x = F.col(vec_col).cast("array<double>")
     df = df.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull())
     x = F.col("x")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return df.filter(F.coalesce(sound, F.lit(False)) & (F.size("x") > 0)).select("id", F.transform("x", lambda v: F.floor(v * scale)).alias("vec"))
+    return df.filter(F.coalesce(sound, F.lit(False))).select("id", F.transform("x", lambda v: F.floor(v * scale)).alias("vec"))
 
 
 def matrix(column, width: int = 0) -> np.ndarray:
@@ -75,31 +83,54 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q.astype(object) @ v.astype(object).T).astype(np.int64)
 
 
+class Ball:
+    """A node of a ball tree: centre, radius, and two children or the rows of a leaf."""
+
+    def __init__(self, x: np.ndarray, rows: np.ndarray, leaf: int):
+        self.centre = x[rows].mean(axis=0)
+        self.radius = float(np.sqrt(((x[rows] - self.centre) ** 2).sum(axis=1).max()))
+        halves = split_balls(x[rows], leaf, 2)
+        self.rows = rows if len(halves) < 2 else None
+        self.children = [] if len(halves) < 2 else [Ball(x, rows[h], leaf) for h in halves]
+
+
 def search(vec_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector id, score) of each query's k best; scores under `floor` may be left out."""
-    low = np.iinfo(np.int64).min
-    scores = np.full((len(queries), k), low)
-    ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-    exact = vectors.astype(np.float64)
-    leaves = split_balls(exact, leaf, max(1, math.ceil(2 * len(vectors) / leaf)))
-    centres = np.array([exact[x].mean(axis=0) for x in leaves])
-    radii = np.array([np.sqrt(((exact[x] - c) ** 2).sum(axis=1).max()) for x, c in zip(leaves, centres, strict=True)])
-    q = queries.astype(np.float64)
-    norms = np.sqrt((q**2).sum(axis=1))
-    bounds = q @ centres.T + norms[:, None] * radii
-    bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * np.sqrt((exact**2).sum(axis=1).max())) + 1e-6
+    low, none = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    scores, ids = np.full((len(queries), k), low), np.full((len(queries), k), none)
+    exact, q = vectors.astype(np.float64), queries.astype(np.float64)
+    norms, longest = np.sqrt((q**2).sum(axis=1)), np.sqrt((exact**2).sum(axis=1).max())
     kth = floor.astype(np.float64)
-    for i in np.argsort(-bounds.max(axis=0)).tolist():
-        rows = np.flatnonzero(bounds[:, i] >= kth)
-        if not len(rows):
-            continue
-        found = products(queries[rows], vectors[leaves[i]])
-        own = np.broadcast_to(vec_ids[leaves[i]], found.shape)
+
+    def bound(node: Ball, rows: np.ndarray) -> np.ndarray:
+        out = q[rows] @ node.centre + norms[rows] * node.radius
+        return out + 1e-9 * (np.abs(out) + norms[rows] * longest) + 1e-6
+
+    def scan(node: Ball, rows: np.ndarray) -> None:
+        found = products(queries[rows], vectors[node.rows])
+        own = np.broadcast_to(vec_ids[node.rows], found.shape)
         found = np.where(own == query_ids[rows][:, None], low, found)
-        s, d = np.concatenate([scores[rows], found], axis=1), np.concatenate([ids[rows], np.where(found == low, np.iinfo(np.int64).max, own)], axis=1)
+        s, d = np.concatenate([scores[rows], found], axis=1), np.concatenate([ids[rows], np.where(found == low, none, own)], axis=1)
         best = np.lexsort((d, ~s), axis=1)[:, :k]  # ~s sorts in falling order of s
         scores[rows], ids[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(d, best, 1)
         kth[rows] = np.maximum(kth[rows], np.where(scores[rows, -1] == low, -np.inf, scores[rows, -1].astype(np.float64)))
+
+    def visit(node: Ball, rows: np.ndarray, bounds: np.ndarray) -> None:
+        rows = rows[bounds >= kth[rows]]
+        if not len(rows):
+            return
+        if node.rows is not None:
+            for i in range(0, len(rows), SCORED):
+                scan(node, rows[i : i + SCORED])
+            return
+        a, b = node.children
+        at_a, at_b = bound(a, rows), bound(b, rows)
+        first = at_a >= at_b
+        for child, at, who in ((a, at_a, first), (b, at_b, first), (b, at_b, ~first), (a, at_a, ~first)):
+            visit(child, rows[who], at[who])
+
+    root, everyone = Ball(exact, np.arange(len(exact)), leaf), np.arange(len(queries))
+    visit(root, everyone, bound(root, everyone))
     row, column = np.nonzero(scores > low)
     return row, ids[row, column], scores[row, column]
 
@@ -108,9 +139,10 @@ def exact_top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     """(query_id, rank, vec_id, score): for each row that is_query(id column) holds for, its k best other rows.
 
     Components become floor(scale * x); the score is the integer inner product, ties go to the smaller id.  Vectors
-    that are null, empty or hold null or non-finite components take no part, nor do rows without an id; shorter
-    vectors count as filled up with zeros.  Rows that share an id are separate candidates, and separate queries
-    give one list; a query never meets rows of its own id.  An empty table gives an empty result.
+    that are null or hold null or non-finite components take no part, nor do rows without an id; shorter vectors, empty
+    ones included, count as filled up with zeros.  Rows that share an id are separate candidates, and separate queries
+    give one list; a query never meets rows of its own id.  An empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
     spark = df.sparkSession
     vectors = whole_vectors(df, id_col, vec_col, scale)
@@ -137,8 +169,6 @@ def exact_top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     norm, parts = np.zeros(len(centres)), {}
     for r in stats:
         radius[r.region], norm[r.region], parts[r.region] = r.radius, r.norm, max(1, math.ceil(r.n / shard))
-    n_queries = vectors.filter(is_query(F.col("id"))).count()
-    blocks = max(1, math.ceil(n_queries / block))
     queries = vectors.filter(is_query(F.col("id"))).dropDuplicates(["id"])
 
     def bounds(q: np.ndarray) -> np.ndarray:
@@ -175,13 +205,19 @@ def exact_top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
 
         return each
 
-    # a region's vectors are dealt over its parts, and each part meets the queries in blocks
     cut = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-    shards = placed.withColumn("part", F.pmod(F.xxhash64("id"), cut[F.col("region")]).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("region", "part", "block", "id", "vec")
-    in_block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    shards = placed.withColumn("part", F.pmod(F.xxhash64("id"), cut[F.col("region")]).cast("int"))
+    keys = ("region", "part", "block")
 
     def run(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInArrow(visits(first), "id long, vec array<long>, kth long, region int, part int").select("region", "part", in_block, "id", "vec", "kth")
+        sent = asked.mapInArrow(visits(first), "id long, vec array<long>, kth long, region int, part int")
+        # a region that is visited is sent once for each block of its queries
+        blocks = {r.region: math.ceil(r["count"] / block) for r in sent.filter("part = 0").groupBy("region").count().collect()}  # one row a region
+        if not blocks:
+            return spark.createDataFrame([], "query_id long, vec_id long, score long")
+        of_region = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("region")]
+        visited = shards.filter(of_region.isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), of_region - 1))).select(*keys, "id", "vec")
+        sent = sent.select("region", "part", F.pmod(F.xxhash64("id"), of_region).cast("int").alias("block"), "id", "vec", "kth")
 
         def each(left: pa.Table, right: pa.Table) -> pa.Table:
             empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
@@ -194,14 +230,13 @@ def exact_top_k(df: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
             row, vec, score = search(np.array(left.column("id")), v, ids, q, np.array(right.column("kth")), k, leaf)
             return pa.table({"query_id": ids[row], "vec_id": vec, "score": score})
 
-        keys = ("region", "part", "block")
-        return shards.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(each, "query_id long, vec_id long, score long")
+        return visited.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(each, "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     least = F.lit(-(1 << 63))
-    nearest = run(queries.select("id", "vec", least.alias("kth")), True)
+    nearest = checkpointed(run(queries.select("id", "vec", least.alias("kth")), True))
     # the k-th score of the first region bounds what the others must reach; fewer than k rows there bound nothing
     kth = nearest.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    shared = queries.join(kth, "id", "left").select("id", "vec", F.coalesce("kth", least).alias("kth"))
+    shared = checkpointed(queries.join(kth, "id", "left").select("id", "vec", F.coalesce("kth", least).alias("kth")))
     found = nearest.unionByName(run(shared, False))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

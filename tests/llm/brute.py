@@ -66,6 +66,73 @@ def licenses(docs):
     return out
 
 
+def license_labels(docs, templates, coverage=0.6, density=0.5, neighbours=4):
+    """(id, labels, score, spans): pairs of words vote for the distance between document and template, template by template."""
+    out = []
+    for i, t in docs:
+        w, spans = ALNUM.findall(low(t)), []
+        for name, (label, text) in templates.items():
+            q = ALNUM.findall(low(text))
+            votes = collections.defaultdict(list)
+            for a in range(len(w) - 1):
+                for b in range(len(q) - 1):
+                    if w[a : a + 2] == q[b : b + 2]:
+                        votes[a - b].append(a)
+            runs = []
+            for d in sorted(votes):
+                if runs and d - runs[-1][0] <= neighbours:
+                    runs[-1] = (d, runs[-1][1] + votes[d])
+                else:
+                    runs.append((d, votes[d]))
+            for _, at in runs:
+                covered = min(1.0, len(at) / (len(q) - 1))
+                if covered >= coverage and len(at) >= density * (max(at) - min(at) + 1):
+                    spans.append((covered, min(at), max(at) + 2, name, label))
+        best = [s for s in spans if not any(o[0] > s[0] and o[1] < s[2] and s[1] < o[2] for o in spans)]
+        phrases = {label for p, label in PHRASES.items() for a in range(len(w)) if w[a : a + len(p.split())] == p.split()}
+        out.append((i, ",".join(sorted(phrases | {s[4] for s in best})), 1.0 if phrases else max((s[0] for s in best), default=0.0), sorted(s[1:4] for s in best)))
+    return out
+
+
+def chat(rows):
+    """The lines of (conv_id, turn, role, text) and of the calls and results that the query derives from them."""
+    import json
+
+    line = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    name = lambda conv, turn: f"c{conv}-{turn}"
+    own = collections.Counter(name(c, t) for c, t, role, _ in rows if role == "assistant")
+    answered = {name(c, t - 1) for c, t, role, _ in rows if role == "user"}
+    first = {}
+    for c, t, role, _ in rows:
+        if role == "assistant":
+            first[name(c, t)] = min(first.get(name(c, t), (c, t)), (c, t))
+
+    def level(c, t):
+        return level(c, t - 2) + 1 if name(c, t - 2) in own else 0
+
+    out = []
+    for c, t, role, text in rows:
+        out.append((c, t, 0, None, None, "ok", line({"content": text, "role": role})))
+        if role == "assistant":
+            tool = "fetch" if c % 13 == 0 else "search" if t % 4 == 1 else "lookup"
+            arguments = ({} if text is None else {"query": text}) | {"limit": t}
+            broken = c % 17 == 0
+            bad = tool == "search" and (not arguments.get("query") or not 1 <= t <= 5) or "query" not in arguments
+            status = "unknown_tool" if tool == "fetch" else "bad_json" if broken else "bad_arguments" if bad else "ok" if name(c, t) in answered else "no_result"
+            status = "repeated_id" if own[name(c, t)] > 1 else status
+            if tool == "fetch" or broken:
+                raw = json.dumps(arguments, ensure_ascii=False, separators=(",", ":"))
+                shown = "{" + raw if broken else raw
+            else:
+                shown = arguments
+            out.append((c, t, 1, name(c, t), level(c, t), status, line({"role": "assistant", "tool_calls": [{"arguments": shown, "id": name(c, t), "name": tool, "needs": [name(c, t - 2)]}]})))
+        if role == "user":
+            call = name(c, t - 1)
+            at = first.get(call, (None, None))
+            out.append((*at, 2, call, level(*at) if call in first else None, "ok" if call in first else "orphan", line({"content": text, "role": "tool", "tool_call_id": call})))
+    return out
+
+
 def shingles(t, size=4):
     w = SPACED.findall(low(t))
     return frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[a : a + size]) for a in range(len(w) - size + 1)])
@@ -93,10 +160,10 @@ def near(docs):
 
 
 def top(rows, k=10):
-    whole = [(i, np.array([int(np.floor(1024 * float(x))) for x in v], object)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, np.array([int(np.floor(1024 * float(x))) for x in v], object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in {i: v for i, v in whole if i % 100 == 0}.items():
-        found = sorted((-int((v * x).sum()), i) for i, x in whole if i != q)
+        found = sorted((-sum(int(a) * int(b) for a, b in zip(v, x, strict=False)), i) for i, x in whole if i != q)
         out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], start=1)]
     return out
 

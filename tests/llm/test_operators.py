@@ -5,15 +5,16 @@ import json
 import math
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from dispensary.llm import quality, queries
 from dispensary.llm._components import components
-from dispensary.llm.chat_format import canonical, link_tool_calls, problem, topological_levels
-from dispensary.llm.decontaminate import benchmark_matches, decontaminate, is_contaminated
-from dispensary.llm.license_scan import license_scan
+from dispensary.llm.chat_format import canonical, check_schema, link_tool_calls, problem, topological_levels
+from dispensary.llm.decontaminate import benchmark_matches, decontaminate, is_contaminated, suffix_array
+from dispensary.llm.license_scan import TEMPLATES, license_scan
 from dispensary.llm.near_dedup import near_dedup, near_duplicates
 from dispensary.llm.sentencepiece_codec import encode_decode
 from dispensary.llm.substring_dedup import substring_dedup, without_repeats
@@ -70,6 +71,18 @@ def test_decontaminate_empty_sides(spark, docs, none):
     assert benchmark_matches(none, spark.createDataFrame(BENCH, "item_id long, text string")).count() == 0
 
 
+def test_suffix_array_against_sorting():
+    r = random.Random(11)
+    for _ in range(60):
+        docs_ = [[r.randint(1, r.choice((1, 2, 4))) for _ in range(r.randrange(40))] for _ in range(r.randrange(1, 6))]
+        docs_ += docs_[:1]  # a copy
+        codes = np.array([x for d in docs_ for x in d], np.int64)
+        left = np.array([len(d) - i for d in docs_ for i in range(len(d))], np.int64)
+        order = suffix_array(codes, left) if len(codes) else []
+        suffixes = [codes[i : i + left[i]].tolist() for i in range(len(codes))]
+        assert [suffixes[i] for i in order] == sorted(suffixes) and sorted(order) == list(range(len(codes)))
+
+
 def test_longest_matches(spark):
     bench = spark.createDataFrame([(1, prose(1, 60))], "item_id long, text string")
     text = "begin " + " ".join(prose(1, 60).split()[10:40]) + " end"
@@ -83,6 +96,29 @@ def test_license_scan(docs, rows, none):
     assert license_scan(none).count() == 0
 
 
+def test_license_labels_against_brute_force(spark):
+    """Labels, score and spans of texts with whole, edited, cut and mixed templates, and with words of them in disorder."""
+    r, listed = random.Random(8), [prose(70, 30), "", None]
+    for name, (_, t) in sorted(TEMPLATES.items()):
+        own = t.split()
+        listed.append(" ".join([prose(71, 9), *own, prose(72, 5)]))
+        edited = [x for x in own if r.random() > 0.08]
+        for _ in range(3):
+            edited.insert(r.randrange(len(edited)), r.choice(["here", "the", "software"]))
+        listed.append(" ".join(edited))
+        listed.append(" ".join(own[: len(own) // 2]))
+        listed.append(" ".join(r.sample(own, len(own))))
+    listed.append(" ".join(listed[3:40:7]))
+    rows = list(enumerate(listed))
+    found = license_scan(spark.createDataFrame(rows, "doc_id long, text string"), step_bytes=2000).collect()
+    want = {i: x for i, *x in brute.license_labels(rows, TEMPLATES)}
+    assert len(found) == len(rows)
+    for x in found:
+        labels, score, spans = want[x.id]
+        assert x.labels == labels and abs(x.score - score) < 1e-9 and sorted((a.start, a.stop, a.template) for a in x.spans) == spans
+    assert sum(x.score == 1 for x in found) >= len(TEMPLATES)
+
+
 def test_license_templates_with_edits(spark):
     text = "foo bar Permission is hereby granted, free of charge, to any person getting a copy of this software and the associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
     row = license_scan(spark.createDataFrame([(1, text), (2, "of the software and of the license to use")], "doc_id long, text string")).orderBy("id").collect()
@@ -123,6 +159,23 @@ def test_near_dedup_decides_by_row(spark):
     assert [(r.doc_id, r.text) for r in out.filter("source = 'c'").collect()] == [(3, c)]
 
 
+def test_near_duplicates_find_every_link(spark):
+    """Pairs of all similarities around the threshold: every exact link is found, also between texts of a few words."""
+    r, listed = random.Random(12), []
+    for k in range(150):
+        base = prose(300 + k, r.choice((6, 9, 14, 25, 60, 150))).split()
+        listed.append(" ".join(base))
+        words_ = list(base)
+        for _ in range(r.randrange(1, 1 + max(2, len(base) // 30))):
+            words_[r.randrange(len(words_))] = f"n{r.randrange(9)}"
+        listed.append(" ".join(words_))
+        listed.append(" ".join(base[: -r.randrange(1, 1 + max(1, len(base) // 5))]))
+    rows = list(enumerate(listed))
+    want = brute.near(rows)
+    assert sum(not x[3] for x in want) > 100
+    same(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), want)
+
+
 def test_near_duplicates_stage_takes_five_words(spark):
     """Similar at 79/95 on four words, at 76/96 on five."""
     from corpus_pipeline import near_duplicates as stage
@@ -148,6 +201,9 @@ def test_components(spark):
 
 
 def test_top_k(spark):
+    same(exact_top_k(spark.createDataFrame([(0, []), (1, [1.0]), (2, [])], "vec_id long, embedding array<float>"), lambda i: i % 100 == 0), [(0, 1, 1, 0), (0, 2, 2, 0)])
+    clash = spark.createDataFrame([(0, [1.0], 9, 8), (1, [2.0], 9, 8)], "vec_id long, embedding array<float>, id int, region int")
+    same(exact_top_k(clash, lambda i: i % 100 == 0), [(0, 1, 1, 2 << 20)])
     r = random.Random(2)
     vec = [[r.gauss(0, 1) for _ in range(8)] for _ in range(400)]
     data = [(i, vec[i % 350]) for i in range(400)] + [(1000, None), (1100, [1.0, None]), (1200, [float("nan")]), (1300, [float("inf")]), (None, [1.0] * 8), (1, vec[3]), (1400, [])]
@@ -163,7 +219,7 @@ def test_top_k(spark):
 
 @pytest.mark.parametrize("block_bytes", [4 << 20, 3000])
 def test_substring_dedup(docs, rows, none, block_bytes):
-    out = substring_dedup(docs, block_bytes=block_bytes, n_buckets=5)
+    out = substring_dedup(docs, block_bytes=block_bytes)
     same(out.select("id", "n_words", "n_removed", F.sha2("kept", 256)), brute.substrings(rows))
     assert substring_dedup(none).count() == 0
     spans = out.select("id", "n_removed", F.aggregate("removed", F.lit(0), lambda a, s: a + s["stop"] - s["start"]).alias("n")).collect()
@@ -300,6 +356,15 @@ def test_url_filter(spark):
     assert url_filter(c, e.limit(0)).filter("not kept").count() == 0 and url_filter(c.limit(0), e).count() == 0
 
 
+def test_url_filter_folders_far_dates_and_long_urls(spark):
+    long_ = "http://b.org/" + "x" * 100_000
+    urls = [(1, "http://B.org/Private/1", "2024-01-05 00:00:00"), (2, "http://b.org/private", "2024-01-05 00:00:00"), (3, "http://b.org/Private", "9999-12-30 00:00:00"), (4, long_, "2024-01-05 00:00:00"), (5, "http://c.org", "0002-01-01 00:00:00")]
+    c = spark.createDataFrame(urls, "page_id long, url string, at string").selectExpr("page_id", "url", "cast(at as timestamp) fetched_at", "1 as period", "2 as start", "3 as host")
+    e = spark.createDataFrame([("B.org/Private", "block", "2024-01-01 00:00:00"), ("c.org", "block", "2024-01-01 00:00:00"), ("c.org", "lift", "9998-01-01 00:00:00")], "pattern string, action string, at string").selectExpr("pattern", "action", "cast(at as timestamp) listed_at", "4 as periods")
+    got = {r.id: (r.kept, r.pattern) for r in url_filter(c, e).select("id", "kept", "pattern").collect()}
+    assert got == {1: (False, "b.org/Private"), 2: (True, None), 3: (False, "b.org/Private"), 4: (True, None), 5: (True, None)}
+
+
 def test_url_filter_is_native(spark):
     plan = queries.op7_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
@@ -331,6 +396,36 @@ def test_chat_format(spark):
     assert none.count() == 0
 
 
+def test_schema_keywords():
+    fits = lambda value, schema: problem(value, schema) is None
+    assert fits(None, {"type": ["object", "null"]}) and fits(1.0, {"type": "integer"}) and not fits(True, {"enum": [1]}) and fits(1, {"const": 1.0})
+    assert not fits("ab", {"pattern": "^b"}) and fits("b", {"anyOf": [{"type": "integer"}, {"pattern": "^b"}]}) and not fits(1, {"exclusiveMinimum": 1})
+    assert not fits([1, 1.0], {"uniqueItems": True}) and not fits({"a": 1}, {"additionalProperties": {"type": "string"}}) and not fits(3, {"oneOf": [{"minimum": 1}, {"minimum": 2}]}) and not fits(4, {"not": {"multipleOf": 2}})
+    for bad in ({"$ref": "#"}, {"type": "text"}, {"properties": {"a": {"minimun": 1}}}, {"items": {"type": ["string", "date"]}}):
+        with pytest.raises(ValueError):
+            check_schema(bad)
+
+
+def test_chat_format_of_odd_arguments(spark):
+    """Numbers beyond a double, half surrogate pairs, deep nesting and long texts are told apart, and no job dies."""
+    tools = {"any": {"type": ["object", "null"]}, "add": TOOLS["add"]}
+    odd = ['{"n":1e999}', '{"q":"\\ud800"}', "[" * 100_000, "null", None, "", "1", '{"n":' + "9" * 5000 + "}", '{"q":"' + "x" * 300_000 + '"}']
+    calls = [(1, i, f"c{i}", "any", x, None, 1) for i, x in enumerate(odd)] + [(1, 99, "bad", "add", '{"n":1,"\\udc00":2}', None, 1)]
+    calls = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>, kind int")
+    messages = spark.createDataFrame([(1, 0, "user", "x" * 300_000, 5, "l")], "conv_id long, turn long, role string, text string, kind int, level string")
+    results = spark.createDataFrame([(f"c{i}", "r", 1) for i in range(len(odd))], "call_id string, content string, owner int")
+    own = {r.call_id: r for r in link_tool_calls(messages, calls, results, tools).filter("kind = 1").collect()}
+    assert [own[f"c{i}"].status for i in range(len(odd))] == ["bad_json", "ok", "bad_json", "ok", "bad_json", "bad_json", "bad_arguments", "bad_json", "ok"]
+    assert '"\\ud800"' in own["c1"].line and json.loads(own["c1"].line)["tool_calls"][0]["arguments"] == {"q": "\ud800"}
+    assert own["bad"].status == "bad_arguments" and "\\udc00" in own["bad"].error
+
+
+def test_chat_format_against_brute_force(spark):
+    """Every row of the query over the whole table."""
+    stored = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    same(queries.op9_chat_format(spark, "/root/testdata/sf0.01").drop("error"), brute.chat(stored))
+
+
 def test_levels_of_deep_chains_ladders_and_cycles(spark):
     """Deeper than a thousand levels, against the levels that follow from how the calls are made."""
     n = 2600
