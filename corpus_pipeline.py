@@ -1,6 +1,8 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return the columns of `documents`.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return the columns of `documents`, whatever
+further columns there are and whatever their names.  Null and empty texts and very long ones go through every stage whole; rows that share
+an id are judged by row; of equal rows the second stage keeps one; null ids stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("benchmark", benchmark), ("encode", encode)]
 
-#: SQL has no SentencePiece and no language model.  The stages' operators are tested one by one; run() as a whole is not yet.
+#: SQL has no SentencePiece and no language model; run() is tested against its stages by brute force.
 ORACLE_SQL = None
 
 

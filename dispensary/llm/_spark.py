@@ -15,10 +15,12 @@ from dispensary.llm._text import flat, steps
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it names none, as in local tests, a new one."""
+    """The folder that the cluster names in spark.checkpoint.dir; only in local runs that name none, as in tests, a new one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

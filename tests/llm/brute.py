@@ -138,8 +138,8 @@ def shingles(t, size=4):
     return frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[a : a + size]) for a in range(len(w) - size + 1)])
 
 
-def near(docs):
-    sets = [shingles(t) for _, t in docs]
+def near(docs, size=4):
+    sets = [shingles(t, size) for _, t in docs]
     parent = list(range(len(docs)))
 
     def root(x):
@@ -255,3 +255,37 @@ def perplexities(rows, trusted, order=4, letters=4):
         peaks = [w for w in (x.strip(string.punctuation).lower() for x in own) if len(w) >= letters and w.isalpha()]
         out.append((i, len(own), math.exp(mean), max((math.exp(-score(lang, w) / (len(w) + 1)) for w in peaks), default=None)))
     return out
+
+
+def judged(rows, labels, held_share, quantile, peak_quantile, margin):
+    """Which of (id, lang, text) stay: both perplexities against the quantiles of their language over held-out trusted documents."""
+    import math
+
+    good = {i for i, q, t in labels if q == 1 and not t}
+    held = held_out(good, held_share)
+    scored, limit = perplexities(rows, good - held), {}
+    for lang in {x for _, x, _ in rows}:
+        for k, share in ((2, quantile), (3, peak_quantile)):
+            own = sorted(w[k] for w, (i, x, _) in zip(scored, rows, strict=True) if x == lang and i in held and w[k] is not None)
+            limit[lang, k] = own[math.ceil(share * len(own)) - 1] if own else math.inf
+    return [(*w, (w[2] or 0) <= margin * limit[x, 2] and (w[3] or 0) <= margin * limit[x, 3]) for w, (_, x, _) in zip(scored, rows, strict=True)]
+
+
+def pipeline(rows, labels, bench, quality):
+    """(id, tokens, ids, digest of the decoded text) of (id, lang, text): the five stages, one after the other."""
+    stays = judged(rows, labels, quality.HELD_OUT, quality.QUANTILE, quality.PEAK_QUANTILE, quality.MARGIN)
+    docs = sorted((i, t) for (i, _, t), w in zip(rows, stays, strict=True) if w[4])
+    docs = [d for d, x in zip(docs, near(docs, 5), strict=True) if x[3]]
+    cut = []
+    seen = set()
+    for i, t in docs:
+        w = SPACED.findall(t or "")
+        gone = [False] * len(w)
+        for a in range(len(w) - 19):
+            k = tuple(w[a : a + 20])
+            if k in seen:
+                gone[a : a + 20] = [True] * 20
+            seen.add(k)
+        cut.append((i, " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t))
+    clean = [d for d, x in zip(cut, decontaminate(cut, bench), strict=True) if not x[5]]
+    return encode(clean)

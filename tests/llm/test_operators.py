@@ -317,22 +317,14 @@ def test_quality_against_brute_force(spark):
     """Both perplexities and the decision of every document of the smallest tables."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     stored = [(r.doc_id, r.lang, r.text) for r in docs.select("doc_id", "lang", "text").collect()]
-    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.toxic == 0}
-    held = brute.held_out(good, quality.HELD_OUT)
-    want = brute.perplexities(stored, good - held)
+    want = brute.judged(stored, [(r.doc_id, r.quality, r.toxic) for r in labels.collect()], quality.HELD_OUT, quality.QUANTILE, quality.PEAK_QUANTILE, quality.MARGIN)
     got = {r.id: r for r in quality.classify(docs, labels).collect()}
-    limit = {}
-    for lang in {x for _, x, _ in stored}:
-        for k in (2, 3):
-            own = sorted(w[k] for w, (i, x, _) in zip(want, stored, strict=True) if x == lang and i in held and w[k] is not None)
-            limit[lang, k] = own[math.ceil((quality.QUANTILE if k == 2 else quality.PEAK_QUANTILE) * len(own)) - 1] if own else math.inf
     assert len(got) == len(stored)
-    for (i, n, whole, peak), (_, lang, _) in zip(want, stored, strict=True):
+    for i, n, whole, peak, kept in want:
         r = got[i]
-        assert r.n_words == n and (r.perplexity is None) == (whole is None) and (r.peak is None) == (peak is None)
+        assert r.n_words == n and r.kept == kept and (r.perplexity is None) == (whole is None) and (r.peak is None) == (peak is None)
         assert whole is None or abs(r.perplexity / whole - 1) < 1e-9
         assert peak is None or abs(r.peak / peak - 1) < 1e-9
-        assert r.kept == ((whole or 0) <= quality.MARGIN * limit[lang, 2] and (peak or 0) <= quality.MARGIN * limit[lang, 3])
 
 
 def test_quality_clashing_columns_and_long_texts(spark):
