@@ -617,6 +617,47 @@ def extract_narrative(spark, d):
     return _extracted(spark, d).select("conv_id", "turn", F.col("x.chiefComplaint.value").alias("complaint"), F.col("x.diagnosis.value").alias("diagnosis"), "x.remainder")
 
 
+def _said(c: str, values: tuple) -> str:
+    return f"CASE ({c}) % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _vitals_said(x: str):
+    return [F.col(f"x.vitals.{v}.value").alias(v) for v in x.split()]
+
+
+def _drugs_said(df: DataFrame) -> DataFrame:
+    p = df.select("conv_id", "turn", F.posexplode("x.prescriptions").alias("i", "p"))
+    return p.select("conv_id", "turn", "i", F.lower("p.drug").alias("drug"), "p.dose", F.col("p.frequencyPerDay").alias("frequency"), F.col("p.durationDays").alias("days"))
+
+
+_CT = "conv_id + turn"
+
+
+@query(select=f"""SELECT conv_id, turn, CASE WHEN ({_CT}) % 4 <> 0 THEN CAST((conv_id * 7 + turn) % 5 + 36 AS DOUBLE) + ({_CT}) % 10 / 10.0 END AS temperature, CAST((conv_id * 3 + turn) % 60 + 60 AS DOUBLE) AS pulse, CAST(({_CT}) % 60 + 100 AS DOUBLE) AS systolic, CAST(({_CT}) % 30 + 60 AS DOUBLE) AS diastolic,
+  CAST({_said(_CT, (91, 92, 95))} AS DOUBLE) AS "oxygenSaturation", 'cough for ' || (turn + 2) || ' days' AS complaint, {_said(_CT, ("'malaria'", "'pneumonia'", "'simple cough'"))} AS diagnosis FROM conversations""")
+def extract_english(spark, d):
+    x = data.dictations_en(spark, d).withColumn("x", extraction(F.col("text"), F.lit("en")))
+    return x.select("conv_id", "turn", *_vitals_said("temperature pulse systolic diastolic oxygenSaturation"), F.col("x.chiefComplaint.value").alias("complaint"), F.col("x.diagnosis.value").alias("diagnosis"))
+
+
+@query(select=f"""SELECT conv_id, turn, 0 AS i, 'amoxicillin clavulanic acid' AS drug, '250 mg' AS dose, {_said(_CT, (6, 4, 3, 2))} AS frequency, CAST((conv_id % 3 + 1) * 7 AS INTEGER) AS days FROM conversations
+  UNION ALL SELECT conv_id, turn, 1, 'paracetamol', '2 tablets', {_said(_CT, (1, 2, 3, 4, 2))}, CAST((conv_id * 5 + turn) % 14 + 1 AS INTEGER) FROM conversations""")
+def extract_english_prescriptions(spark, d):
+    return _drugs_said(data.dictations_en(spark, d).withColumn("x", extraction(F.col("text"), F.lit("en"))))
+
+
+@query(select=f"""SELECT conv_id, turn, CASE WHEN ({_CT}) % 3 <> 0 THEN 38.5::DOUBLE END AS temperature, CAST({_said(_CT, (97, 71, 120))} AS DOUBLE) AS pulse, CAST((({_CT}) % 8 + 10) * 10 AS DOUBLE) AS systolic, CAST((({_CT}) % 4 + 6) * 10 AS DOUBLE) AS diastolic, 'fièvre' AS complaint, {_said(_CT, ("'angine'", "'HTA'"))} AS diagnosis FROM conversations""")
+def extract_odd(spark, d):
+    x = data.dictations_odd(spark, d).withColumn("x", extraction(F.col("text"), F.lit("fr")))
+    return x.select("conv_id", "turn", *_vitals_said("temperature pulse systolic diastolic"), F.col("x.chiefComplaint.value").alias("complaint"), F.col("x.diagnosis.value").alias("diagnosis"))
+
+
+@query(select=f"""SELECT conv_id, turn, 0 AS i, 'artéméther luméfantrine' AS drug, '4 comprimes' AS dose, {_said(_CT, (4, 3, 2))} AS frequency, CAST(conv_id % 12 + 1 AS INTEGER) AS days FROM conversations
+  UNION ALL SELECT conv_id, turn, 1, 'amoxicilline', '500 mg', {_said(_CT, (2, 3, 1))}, {_said(_CT, (7, 14, 21))} FROM conversations""")
+def extract_odd_prescriptions(spark, d):
+    return _drugs_said(data.dictations_odd(spark, d).withColumn("x", extraction(F.col("text"), F.lit("fr"))))
+
+
 _SPOKEN = [("trente-huit virgule cinq", "fr", 38.5), ("quatre-vingt-dix-sept", "fr", 97.0), ("soixante et onze", "fr", 71.0), ("deux cent trois", "fr", 203.0), ("trente-sept et demi", "fr", 37.5), ("bonjour", "fr", None), ("one hundred and twenty", "en", 120.0), ("thirty-eight point five", "en", 38.5), ("ninety nine and a half", "en", 99.5), ("two thousand", "en", 2000.0), ("hello", "en", None)]
 
 

@@ -140,3 +140,30 @@ def dictations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(". Prescrire paracétamol 500 mg "), s((c + t) % 4 + 1), F.lit(" fois par jour pendant "), s((c * 5 + t) % 14 + 1), F.lit(" jours. Revoir si besoin."),
     )
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+
+
+def dictations_en(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English ones: abbreviations, two drugs one of which begins like another, every fourth temperature implausible."""
+    c, t = F.col("conv_id"), F.col("turn")
+    s = lambda x: x.cast("string")
+    text = F.concat(
+        F.lit("Temperature "), F.when((c + t) % 4 == 0, "99").otherwise(F.concat(s((c * 7 + t) % 5 + 36), F.lit("."), s((c + t) % 10))), F.lit(". Heart rate "), s((c * 3 + t) % 60 + 60),
+        F.lit(". BP "), s((c + t) % 60 + 100), F.lit(" over "), s((c + t) % 30 + 60), F.lit(". SpO2 "), pick(c + t, ("ninety one", "ninety-two", "ninety five")),
+        F.lit(". Complaining of cough for "), s(t + 2), F.lit(" days. Assessment "), pick(c + t, ("malaria", "pneumonia", "simple cough")),
+        F.lit(". Give amoxicillin clavulanic acid 250 mg every "), pick(c + t, ("4", "six", "8", "twelve")), F.lit(" hours for "), s(c % 3 + 1), F.lit(" weeks. Paracetamol two tablets "),
+        pick(c + t, ("od", "bd", "tds", "qid", "twice")), F.lit(" "), s((c * 5 + t) % 14 + 1), F.lit("/7. Review if needed."),
+    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+
+
+def dictations_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """French ones that turn on single rules: an implausible value, doses by the hour, times of day, weeks, spoken numbers, pressure in centimetres."""
+    c, t = F.col("conv_id"), F.col("turn")
+    s = lambda x: x.cast("string")
+    text = F.concat(
+        F.lit("Température "), F.when((c + t) % 3 == 0, "99").otherwise("trente-huit virgule cinq"), F.lit(". Pouls "), pick(c + t, ("quatre-vingt-dix-sept", "soixante et onze", "cent vingt")),
+        F.lit(". Tension "), s((c + t) % 8 + 10), F.lit(" sur "), s((c + t) % 4 + 6), F.lit(". Vient pour fièvre. Impression "), pick(c + t, ("angine", "HTA")),
+        F.lit(". Artéméther luméfantrine quatre comprimés toutes les "), pick(c + t, ("6", "huit", "12")), F.lit(" heures pendant "), s(c % 12 + 1), F.lit(" jours. Amoxicilline 500 mg "),
+        pick(c + t, ("matin et soir", "matin, midi et soir", "par jour")), F.lit(" pendant "), pick(c + t, ("une semaine", "2 semaines", "trois semaines")), F.lit("."),
+    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
