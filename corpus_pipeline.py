@@ -54,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is written to the shared folder before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; what a stage returns is written to the shared folder before the next one reads it, and
+    removed when that one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     at = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
         docs = spark.read.parquet(f"{at}/{k}-{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{at}/{k}-{name}"
     return docs

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from dispensary.llm._spark import give_back
 from dispensary.llm._text import flat, steps
 
 
@@ -38,5 +39,7 @@ def annotated(docs: DataFrame, text_col: str, name: str, ddl: str, make, step_by
                 found = pa.StructArray.from_arrays([got[x.name] if isinstance(got[x.name], pa.Array) else pa.array(got[x.name], x.type) for x in fields], fields=list(fields))
                 part = b.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*(c.cast(x.type) for c, x in zip(part.columns, arrow, strict=False)), found], schema=arrow)
+                del got, found, part
+                give_back()
 
     return docs.mapInArrow(each, schema)

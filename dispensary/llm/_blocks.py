@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
-from dispensary.llm._spark import squeeze, steps_of, unsqueeze
+from dispensary.llm._spark import give_back, squeeze, steps_of, unsqueeze
 from dispensary.llm._text import STEP_BYTES, flat
 
 BLOCKS = "block long, ids array<long>, body binary"
@@ -47,6 +47,8 @@ def blocks(docs: DataFrame, block_bytes: int = STEP_BYTES) -> DataFrame:
             ids = pa.array([t.column("id").to_pylist()], pa.list_(pa.int64()))
             lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in rest]
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), ids, pa.array([body], pa.binary()), *lists], names=[*_BLOCKS.names, *rest])
+            del t, data, offsets, body, ids, lists
+            give_back()
 
     return docs.select("id", "text", *rest).mapInArrow(pack, schema).repartition("block")
 
@@ -71,6 +73,7 @@ def with_rows(packed: DataFrame, rows: DataFrame, finish, schema: str, rest: boo
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty
+        give_back()
         more = [left.column("rest")[0].values] if rest else []
         return pa.Table.from_batches([finish(left.column("block")[0].as_py(), *opened(left.column("ids")[0], left.column("body")[0]), right, *more)])
 

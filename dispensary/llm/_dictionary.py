@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
 from dispensary.llm import _blocks as B
-from dispensary.llm._spark import pack, squeeze, steps_of, unpack, unsqueeze
+from dispensary.llm._spark import give_back, pack, squeeze, steps_of, unpack, unsqueeze
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 12 << 20
@@ -80,15 +80,17 @@ def coded(docs: DataFrame, split, frequencies: bool, block_bytes: int = BLOCK_BY
             codes, words = rank[codes], [words[i] for i in by.tolist()]
             times = np.zeros(0, np.int64)
             if frequencies and len(codes):
-                doc = np.repeat(np.arange(len(n_pieces)), n_pieces)
-                pairs, times = np.unique(doc * len(words) + codes, return_counts=True)
+                pairs, times = np.unique(np.repeat(np.arange(len(n_pieces)), n_pieces) * len(words) + codes, return_counts=True)
                 n_pieces, codes = np.bincount(pairs // len(words), minlength=len(n_pieces)), pairs % len(words)
+                del pairs
             head = np.array([len(n_pieces), len(codes), len(times)], np.int64).tobytes()
             listed = pack(words)
             body = squeeze(head + n_pieces.astype(np.int64).tobytes() + n_bytes.tobytes() + _planes(codes) + _planes(times))
             body = np.int64(len(listed)).tobytes() + listed + body
             lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in rest]
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([t.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([body], pa.binary()), *lists], names=[*B._BLOCKS.names, *rest])
+            del t, codes, words, times, by, rank, listed, body, lists
+            give_back()
 
     return docs.select("id", "text", *rest).mapInArrow(code, schema).repartition("block")
 
@@ -139,6 +141,7 @@ def joined_back(blocks: DataFrame, answers: DataFrame, finish, schema: str) -> D
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
+        give_back()
         body = left.column("body")[0].as_py()
         results = right.column("result").take(pa.array(np.argsort(np.asarray(right.column("place"))))).to_pylist()
         columns = finish(left.column("ids")[0].as_py(), listed_words(body), results, *coded_texts(body))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 
@@ -66,6 +67,13 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def give_back() -> None:
+    """Return the memory that a block needed to the machine; Python workers live on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # a C library without it keeps nothing of that size
+        trim(0)
+
+
 def pack(items: list[bytes]) -> bytes:
     """A list of byte strings as one compressed byte string."""
     sizes = np.fromiter(map(len, items), np.int32, len(items))

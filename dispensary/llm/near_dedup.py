@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from dispensary.llm._blocks import NO_ID
 from dispensary.llm._components import components
 from dispensary.llm._annotate import free_name
-from dispensary.llm._spark import checkpointed, documents, squeeze, steps_of, text_key, text_keys, unsqueeze
+from dispensary.llm._spark import checkpointed, documents, give_back, squeeze, steps_of, text_key, text_keys, unsqueeze
 from dispensary.llm._text import SPACED, STEP_BYTES, flat, mix, windows, words
 
 #: Minima in a signature; how many two classes must share to be compared.
@@ -77,6 +77,8 @@ def signatures(docs: DataFrame, size: int = 4, step_bytes: int = STEP_BYTES) ->
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(coords.view(np.int32).ravel()))
             cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(text_keys(t.column("text")), pa.binary()), pa.array(n), pa.array(cls, pa.binary()), lists], schema=_SIGNED)
+            del sets, joined, coords, lists
+            give_back()
 
     return docs.select("id", "text").mapInArrow(sign, "id long, key binary, n long, cls binary, coords array<int>")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from dispensary.llm import _dictionary as D
 from dispensary.llm._blocks import opened_ids
-from dispensary.llm._spark import checkpointed, few, text_key
+from dispensary.llm._spark import checkpointed, few, give_back, text_key
 
 ORDER = 4
 #: One trusted document of so many is kept out of the model; its scores set the thresholds.
@@ -38,6 +38,9 @@ PEAK_LETTERS = 4
 #: Log-probability of a character that the model has never seen.
 UNSEEN = math.log(1 / 4096)
 
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
+
 _BEGIN, _END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,10 +103,11 @@ class Bag:
 
 def _bags(docs: DataFrame) -> DataFrame:
     """Blocks of (id, lang, text, key); `rest` keeps lang and key."""
-    return D.coded(docs.select("id", "text", F.struct("lang", "key").alias("rest")), None, frequencies=True)
+    return D.coded(docs.select("id", "text", F.struct("lang", "key").alias("rest")), None, frequencies=True, block_bytes=BLOCK_BYTES)
 
 
 def _opened(t, i: int) -> Bag:
+    give_back()  # what the block before needed
     return Bag(t.column("body")[i].as_py(), t.column("rest")[i].values.field("lang").to_pylist())
 
 
