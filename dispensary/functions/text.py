@@ -19,6 +19,9 @@ _LIGATURES = {"e": "œ", "a": "æ"}
 WHITE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
 
+#: What fold_names changes to each letter, that letter included, large and small; two signs have small letters among these.
+LETTERS_OF = {to: to + to.upper() + "".join(x + x.upper() for x in letters) for to, letters in _FOLDS.items()} | {"k": "kK\u212a"}
+LETTERS_OF["a"] += "\u212b"
 #: The letters that fold_names changes to ASCII ones, large and small, and two signs whose small letters are among these.
 FOLDED_LETTERS = "".join(x + x.upper() for letters in _FOLDS.values() for x in letters) + "\u212a\u212b"
 
@@ -68,10 +71,6 @@ def fold_names(c: Column) -> Column:
     return _translate(F.lower(c), _FOLDS)
 
 
-def fold_names_py(s: str) -> str:
-    return s.lower().translate(str.maketrans(*_table(_FOLDS)))
-
-
 def fold_clinical_py(s: str) -> str:
     return s.lower().translate(str.maketrans(*_table(_FOLDS, _MORE_FOLDS, _LIGATURES)))
 

@@ -1,34 +1,37 @@
 """De-identification: pseudonyms, generalised dates and ages, and redaction of free text against the roster.
 
-Redaction is a join, not a pattern over every term.  A term of ASCII word characters matches exactly the equal
-maximal word runs of the folded text, so texts are cut into runs, the runs are joined with the folded terms by
-hash, and the hits of a row go back to it; its texts are then cut again and hits replaced, all in expressions.  Only rows
-that hold the first run of a term with other characters (a hyphen, an apostrophe) go through Python, with the terms they hold.
+Redaction is a join, not a pattern over every term.  A text can only hold a term as whole words if it holds the term's first
+run of word characters, so texts are folded and cut into runs, the runs are joined with those of the terms by hash, and a
+row gets the terms that it may hold.  Each of them becomes a pattern that matches the unfolded text, and a row's patterns
+replace their places one after the other, the longest first.  All of it are expressions.
 """
 
 from __future__ import annotations
 
-import re
 import secrets
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispensary.functions import clinical as C
 from dispensary.functions.numbers import WS
-from dispensary.functions.text import FOLDED_LETTERS, WHITE, fold_names, fold_names_py, trim
+from dispensary.functions.text import FOLDED_LETTERS, LETTERS_OF, WHITE, fold_names, trim
 
 REDACTED = "[…]"
 LEVELS = ("identified", "pseudonymous", "anonymous")
 REMOVED_FIELDS = ("givenName", "familyName", "birthDate", "phone", "address", "registerNo", "attachments")
 
 _WORD = "A-Za-z0-9_"
-#: Between an ASCII word character and anything else, for Java and Python alike.
-_EDGE = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+
+
+def _edge(word: str) -> str:
+    """Between a character of the class and anything else."""
+    return f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))"
+
+
 # Phone numbers, and other long runs of digits.
-_PHONE = rf"{_EDGE}(?:\+?261[{WS}.-]?)?0?[0-9]{{2}}[{WS}.-]?[0-9]{{2}}[{WS}.-]?[0-9]{{3}}[{WS}.-]?[0-9]{{2}}{_EDGE}"
-_DIGITS = rf"{_EDGE}[0-9]{{7,}}{_EDGE}"
+_PHONE = rf"{_edge(_WORD)}(?:\+?261[{WS}.-]?)?0?[0-9]{{2}}[{WS}.-]?[0-9]{{2}}[{WS}.-]?[0-9]{{3}}[{WS}.-]?[0-9]{{2}}{_edge(_WORD)}"
+_DIGITS = rf"{_edge(_WORD)}[0-9]{{7,}}{_edge(_WORD)}"
 
 
 def random_salt() -> str:
@@ -43,33 +46,18 @@ def roster_terms(patients: DataFrame) -> DataFrame:
     return terms.select("term", fold_names(F.col("term")).alias("folded"), F.length("term").alias("length"))
 
 
-def scrub_text(text: str, terms: list[str]) -> tuple[str, int]:
-    """Redact folded terms as whole words, the longest first."""
-    found = 0
-    for term in sorted(terms, key=len, reverse=True):
-        places = [m.start() for m in re.finditer(_EDGE + re.escape(term) + _EDGE, fold_names_py(text))]
-        cuts = [0, *(p for at in places for p in (at, at + len(term))), len(text)]
-        text = REDACTED.join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
-        found += len(places)
-    return text, found
-
-
-def _by_terms(texts: Column, terms: Column) -> Column:
-    one = lambda t, own: {"text": None, "n": 0} if t is None else dict(zip(("text", "n"), scrub_text(t, own), strict=True))
-
-    @F.pandas_udf("array<struct<text:string,n:int>>")
-    def run(listed: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([[one(t, list(own)) for t in row] for row, own in zip(listed, found, strict=True)], dtype=object)
-
-    return run(texts, terms)
+def term_pattern(folded: Column) -> Column:
+    """What a folded term looks like in texts: any letter that folds to one of its letters, as whole words."""
+    letter = F.create_map(*[F.lit(x) for pair in LETTERS_OF.items() for x in pair])
+    one = lambda c: F.coalesce(F.concat(F.lit("["), letter[c], F.lit("]")), F.when(c.rlike(f"[{_WORD}]"), F.concat(F.lit("["), c, F.upper(c), F.lit("]"))), F.concat(F.lit("(?:\\Q"), c, F.lit("\\E|\\Q"), F.upper(c), F.lit("\\E)")))
+    edge = F.lit(_edge(_WORD + FOLDED_LETTERS))
+    return F.concat(edge, F.array_join(F.transform(F.regexp_extract_all(folded, F.lit("(?s)(.)")), one), ""), edge)
 
 
-def _by_runs(texts: Column, terms: Column) -> Column:
-    """The same in expressions, for terms of word characters alone; letters that fold to such ones belong to a run."""
-    tokens = lambda t: F.regexp_extract_all(t, F.lit(f"([{_WORD}{FOLDED_LETTERS}]+|[^{_WORD}{FOLDED_LETTERS}]+)"))
-    hit = lambda x: F.array_contains(terms, fold_names(x))
-    cut = F.transform(texts, lambda t: F.struct(t.alias("text"), tokens(t).alias("tokens")))
-    return F.transform(cut, lambda c: F.struct(F.when(c["text"].isNotNull(), F.array_join(F.transform(c["tokens"], lambda x: F.when(hit(x), REDACTED).otherwise(x)), "")).alias("text"), F.coalesce(F.size(F.filter(c["tokens"], hit)), F.lit(0)).alias("n")))
+def _by_patterns(text: Column, patterns: Column) -> Column:
+    """(text, n redactions) after all patterns, one after the other."""
+    start = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    return F.aggregate(patterns, start, lambda s, p: F.struct(F.regexp_replace(s["text"], p, F.lit(REDACTED)).alias("text"), (s["n"] + F.coalesce(F.regexp_count(s["text"], p), F.lit(0))).alias("n")))
 
 
 def _numbers(done: Column) -> Column:
@@ -85,18 +73,18 @@ def _numbers(done: Column) -> Column:
 def scrubbed(rows: DataFrame, key: str, texts: Column, terms: DataFrame) -> DataFrame:
     """The rows with `clean`, an array of (text, n redactions) for the array `texts`; values of `key` are distinct.
 
-    A row meets only those terms whose first word run one of its texts holds; its hits are as many as its own words."""
+    A row's terms are as many as its own words."""
     run = f"([{_WORD}]+)"
     own = rows.withColumn("texts_", texts)
     # a term without any word character can't stand between word boundaries
     t = terms.select("folded", F.regexp_extract("folded", run, 1).alias("run_")).filter("run_ <> ''").distinct()
+    t = t.select("run_", F.struct((-F.length("folded")).alias("order"), "folded", term_pattern(F.col("folded")).alias("pattern")).alias("term_"))
     runs = own.select(F.col(key).alias("key_"), F.explode(F.array_distinct(F.flatten(F.transform(F.array_compact("texts_"), lambda x: F.regexp_extract_all(fold_names(x), F.lit(run)))))).alias("run_"))
-    odd = F.max(F.col("folded") != F.col("run_")).alias("odd_")
-    hits = runs.join(t, "run_").groupBy("key_").agg(F.collect_set("folded").alias("terms_"), odd)
-    met = own.join(hits, F.col(key) == F.col("key_"), "left").withColumn("odd_", F.coalesce("odd_", F.lit(False)))
-    plain = F.when(F.col("terms_").isNull(), F.transform("texts_", lambda x: F.struct(x.alias("text"), F.lit(0).alias("n")))).otherwise(_by_runs(F.col("texts_"), F.col("terms_")))
-    by_runs, by_terms = met.filter(~F.col("odd_")).withColumn("clean", plain), met.filter("odd_").withColumn("clean", _by_terms(F.col("texts_"), F.col("terms_")))
-    return by_runs.unionByName(by_terms).withColumn("clean", _numbers(F.col("clean"))).drop("texts_", "terms_", "odd_", "key_")
+    hits = runs.join(t, "run_").groupBy("key_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
+    met = own.join(hits, F.col(key) == F.col("key_"), "left")
+    patterns = F.coalesce(F.transform("terms_", lambda x: x["pattern"]), F.array().cast("array<string>"))
+    clean = F.transform("texts_", lambda x: _by_patterns(x, patterns))
+    return met.withColumn("clean", _numbers(clean)).drop("texts_", "terms_", "key_")
 
 
 def scrub(texts: DataFrame, terms: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
