@@ -165,9 +165,12 @@ def _pivot_links(posts: DataFrame, held: DataFrame, size: int, percent: int) ->
 def _candidates(coords: np.ndarray, labels: np.ndarray, parts: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
     """Which members have a candidate: enough collisions, another component, another part (if there are two), no earlier list."""
     n = len(coords)
-    count = np.zeros((n, n), np.uint8)
-    for k in range(COORDINATES):
-        count += coords[:, k][:, None] == coords[:, k][None, :]
+    if n <= 64:
+        count = (coords[:, None, :] == coords[None, :, :]).sum(axis=2)
+    else:
+        count = np.zeros((n, n), np.uint8)
+        for k in range(COORDINATES):
+            count += coords[:, k][:, None] == coords[:, k][None, :]
     pairs = (count >= MATCHES) & (labels[:, None] != labels[None, :])
     if parts.min() != parts.max():
         pairs &= parts[:, None] != parts[None, :]
@@ -189,7 +192,8 @@ def _open_links(posts: DataFrame, labels: DataFrame, prefixes: DataFrame, held:
 
     def count(t: pa.Table) -> pa.Table:
         coords = np.asarray(t.column("coords").combine_chunks().flatten()).reshape(t.num_rows, COORDINATES)
-        labels = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)[1]
+        number: dict[bytes, int] = {}
+        labels = np.array([number.setdefault(x, len(number)) for x in t.column("label").to_pylist()])
         before = [np.array(x, np.int64) for x in t.column("before").to_pylist()]
         return t.filter(pa.array(_candidates(coords, labels, np.asarray(t.column("part")), before))).select(["key", "p", "q", "c"])
 
