@@ -1,19 +1,24 @@
 """Blocks of documents written as numbers into a block's own list of distinct pieces of text.
 
 A table of distinct pieces for the whole corpus is too large to send to every task, and a row for every place
-of every piece is larger than the corpus.  So a block (see _blocks) keeps its documents as piece numbers, and
-each of its distinct pieces is one row (block, place, piece).  Spark groups these rows by piece, each distinct
-piece is handled once, and a join brings its result back to every (block, place) that asked for it.  A piece that
-stands everywhere is a row a block, never a row an occurrence.
+of every piece is larger than the corpus.  So a block (see _blocks) keeps its documents as piece numbers, and its
+distinct pieces go out as compressed lists, one for each value of a byte of their hash.  Lists of up to FAN blocks meet in a
+group, which makes them distinct.  With more blocks than that, what a group has is itself a list of distinct
+pieces, which goes out by the next byte of the hash, until one group holds all that is alike; so the number of lists follows the
+number of blocks, and no group grows with it.  There each distinct piece of the corpus is handled once, and the
+results go back the way that the pieces came and are joined by position.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
@@ -108,30 +113,91 @@ def coded_texts(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.frombuffer(data, np.int64, n_docs, 24), np.frombuffer(data, np.int64, n_docs, 24 + 8 * n_docs), _whole(data, n_codes, at), _whole(data, n_times, at + 4 * n_codes)
 
 
-#: The most bytes of pieces in one batch of rows.
-_BATCH = 8 << 20
+#: Lists that meet in a group, and lists that a block's pieces go out in.
+FAN = 256
+
+_LETTERS = "prefix long, owner long, bucket long, payload binary"
+_LETTER = pa.schema([("prefix", pa.int64()), ("owner", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary())])
+
+
+def _dealt(words: list[bytes], level: int) -> list[tuple[int, np.ndarray]]:
+    """The values that byte `level` of the hashes has, and the places of the words with each of them."""
+    byte = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) >> 8 * level & 255
+    order = np.argsort(byte, kind="stable")
+    bounds = np.searchsorted(byte[order], np.arange(257))
+    return [(k, order[bounds[k] : bounds[k + 1]]) for k in np.flatnonzero(np.diff(bounds)).tolist()]
+
 
+def _distinct(payloads) -> tuple[list[list[bytes]], list[bytes]]:
+    lists = [unpack(p) for p in payloads.to_pylist()]
+    return lists, list(dict.fromkeys(w for own in lists for w in own))
 
-def each_distinct(blocks: DataFrame, make) -> DataFrame:
-    """(block, place, result): make() gives f(distinct pieces) -> one byte string a piece, for the piece at each place."""
 
-    def ask(batches):
+def _put(results: list, words: list[bytes], level: int, buckets, payloads) -> None:
+    """Results that came back by bucket, at the places of their words."""
+    came = {b & 255: p for b, p in zip(buckets.to_pylist(), payloads.to_pylist(), strict=True)}
+    for k, places in _dealt(words, level):
+        for i, x in zip(places.tolist(), unpack(came[k]), strict=True):
+            results[i] = x
+
+
+def _resolved(lists: DataFrame, make, n: int, level: int, fan: int) -> DataFrame:
+    """(prefix, owner, bucket, payload): the results of the lists (prefix, owner, payload), `n` for a prefix, by bucket."""
+    parts = -(-n // fan) if level < 3 else 1  # a hash has four bytes
+
+    def split(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                pieces = pa.array(listed_words(b.column("body")[i].as_py()), pa.binary())
-                block, place = pa.array(np.full(len(pieces), b.column("block")[i].as_py())), pa.array(np.arange(len(pieces), dtype=np.int32))
-                step = max(1, len(pieces) * _BATCH // max(1, pieces.nbytes))
-                for k in range(0, len(pieces), step):
-                    yield pa.RecordBatch.from_arrays([x.slice(k, step) for x in (block, place, pieces)], names=["block", "place", "piece"])
-
-    def answer(batches):
-        f = make()
+            for prefix, owner, payload in zip(*(b.column(c).to_pylist() for c in ("prefix", "owner", "payload")), strict=True):
+                words = unpack(payload)
+                out = [(prefix << 8 | k, pack([words[i] for i in places.tolist()])) for k, places in _dealt(words, level)]
+                yield pa.RecordBatch.from_arrays([pa.array([prefix] * len(out), pa.int64()), pa.array([owner] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=_LETTER)
+
+    part = F.pmod(F.xxhash64("owner"), F.lit(parts)).cast("long")
+    letters = lists.mapInArrow(split, _LETTERS).withColumn("part", part)
+    held: list = []
+
+    def back(t: pa.Table, lists: list, known: dict) -> pa.Table:
+        return t.drop_columns(["part"]).set_column(3, "payload", pa.array([pack([known[w] for w in own]) for own in lists], pa.binary())).cast(_LETTER)
+
+    def answer(t: pa.Table) -> pa.Table:
+        if not held:
+            held.append(make())
+        own, distinct = _distinct(t.column("payload"))
+        return back(t, own, dict(zip(distinct, held[0](distinct), strict=True)))
+
+    if parts == 1:
+        return letters.groupBy("bucket").applyInArrow(answer, _LETTERS)
+
+    def merge(t: pa.Table) -> pa.Table:
+        distinct = _distinct(t.sort_by("owner").column("payload"))[1]
+        return pa.table({"prefix": t.column("bucket").slice(0, 1), "owner": t.column("part").slice(0, 1), "payload": pa.array([pack(distinct)], pa.binary())})
+
+    def spread(t: pa.Table, came: pa.Table) -> pa.Table:
+        t = t.sort_by("owner")
+        own, distinct = _distinct(t.column("payload"))
+        results = [b""] * len(distinct)
+        _put(results, distinct, level + 1, came.column("bucket"), came.column("payload"))
+        return back(t, own, dict(zip(distinct, results, strict=True)))
+
+    merged = letters.groupBy("bucket", "part").applyInArrow(merge, "prefix long, owner long, payload binary")
+    came = _resolved(merged, make, parts, level + 1, fan)
+    return letters.groupBy("bucket", "part").cogroup(came.groupBy("prefix", "owner")).applyInArrow(spread, _LETTERS)
+
+
+def expected_blocks(docs: DataFrame, block_bytes: int) -> int:
+    """About how many blocks (id, text) makes."""
+    return 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
+
+
+def each_distinct(blocks: DataFrame, make, n_blocks: int, fan: int = FAN) -> DataFrame:
+    """make() gives f(distinct pieces) -> one byte string a piece; the results go back to the blocks, by bucket."""
+
+    def lists(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(f(b.column("piece").to_pylist()), pa.binary())], names=["piece", "result"])
+            payloads = [pack(listed_words(x)) for x in b.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * b.num_rows, pa.int64()), b.column("block"), pa.array(payloads, pa.binary())], names=["prefix", "owner", "payload"])
 
-    asked = blocks.mapInArrow(ask, "block long, place int, piece binary").repartition("piece")  # dealt once, for both uses
-    results = asked.select("piece").distinct().mapInArrow(answer, "piece binary, result binary")
-    return asked.join(results, "piece").select("block", "place", "result")
+    return _resolved(blocks.mapInArrow(lists, "prefix long, owner long, payload binary"), make, n_blocks, 0, fan)
 
 
 def joined_back(blocks: DataFrame, answers: DataFrame, finish, schema: str) -> DataFrame:
@@ -143,8 +209,10 @@ def joined_back(blocks: DataFrame, answers: DataFrame, finish, schema: str) -> D
             return arrow.empty_table()
         give_back()
         body = left.column("body")[0].as_py()
-        results = right.column("result").take(pa.array(np.argsort(np.asarray(right.column("place"))))).to_pylist()
-        columns = finish(left.column("ids")[0].as_py(), listed_words(body), results, *coded_texts(body))
+        words = listed_words(body)
+        results = [b""] * len(words)
+        _put(results, words, 0, right.column("bucket"), right.column("payload"))
+        columns = finish(left.column("ids")[0].as_py(), words, results, *coded_texts(body))
         return pa.Table.from_arrays([c if isinstance(c, pa.Array | pa.ChunkedArray) else pa.array(c, x.type) for c, x in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("owner")).applyInArrow(block, schema)

@@ -21,6 +21,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,35 +39,38 @@ PEAK_LETTERS = 4
 #: Log-probability of a character that the model has never seen.
 UNSEEN = math.log(1 / 4096)
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
-
 _BEGIN, _END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plain(word: str) -> str:
-    return word.strip(string.punctuation).lower()
+def plain(words: pa.Array) -> pa.Array:
+    """Without punctuation at either end, in small letters."""
+    return pc.utf8_lower(pc.utf8_trim(words, string.punctuation))
 
 
 # --- grams of a block's words -----------------------------------------------------------------------------------
 
 
 class Grams:
-    """The grams of a list of words: `texts` are the distinct ones, `of` says which one each character of a word ends."""
-
-    def __init__(self, words: list[str]):
-        pad = _BEGIN * (ORDER - 1)
-        text = np.frombuffer("".join(pad + w + _END for w in words).encode("utf-32-le"), np.uint32)
-        self.sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        begins = np.cumsum(self.sizes + ORDER - 1) - self.sizes
-        own = np.arange(self.sizes.sum()) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        at = np.repeat(begins, self.sizes) + own if len(words) else own
+    """The grams of an array of words: `texts` are the distinct ones, `of` says which one each character of a word ends."""
+
+    def __init__(self, words: pa.Array):
+        padded = pc.binary_join_element_wise(_BEGIN * (ORDER - 1), words, _END, "")
+        text = np.frombuffer("".join(padded.to_pylist()).encode("utf-32-le"), np.uint32)
+        self.sizes = np.asarray(pc.utf8_length(words)).astype(np.int64) + 1
+        at = np.ones(len(text), bool)  # the characters of words, not of what stands before them
+        begins = np.cumsum(self.sizes + ORDER - 1) - self.sizes - ORDER + 1
+        for j in range(ORDER - 1):
+            at[begins + j] = False
+        at = np.flatnonzero(at)
         keys = np.zeros(len(at), np.uint64)
         for j in range(ORDER - 1, -1, -1):
             keys = keys * _BASE + text[at - j]
-        _, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
-        points = np.stack([text[at[first] - j] for j in range(ORDER - 1, -1, -1)], axis=1) if len(first) else np.zeros((0, ORDER), np.uint32)
+        encoded = pa.array(keys).dictionary_encode()
+        self.of = np.asarray(encoded.indices)
+        first = np.zeros(len(encoded.dictionary), np.int64)
+        first[self.of[::-1]] = at[::-1]  # the last one written is the first place
+        points = np.stack([text[first - j] for j in range(ORDER - 1, -1, -1)], axis=1) if len(first) else np.zeros((0, ORDER), np.uint32)
         joined = points.tobytes().decode("utf-32-le")
         self.texts = [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
 
@@ -80,8 +84,7 @@ class Bag:
 
     def __init__(self, body: bytes, langs: list[str]):
         n, _, self.codes, self.times = D.coded_texts(body)
-        self.words = [w.decode() for w in D.listed_words(body)]
-        self.ends = np.concatenate(([0], np.cumsum(n)))
+        self.words = pa.array(D.listed_words(body), pa.binary()).cast(pa.string())
         self.langs = np.array(langs, object)
         self.doc = np.repeat(np.arange(len(n)), n)
 
@@ -89,21 +92,21 @@ class Bag:
         """Which entries are of documents in that language."""
         return np.flatnonzero((self.langs == lang)[self.doc])
 
-    def forms(self, lang: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+    def forms(self, lang: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """Word numbers, the forms that are scored (the words, then plain forms), and the plain form of each word or -1."""
         used = np.unique(self.codes[self.of(lang)])
-        forms = {self.words[i]: k for k, i in enumerate(used.tolist())}
+        words = self.words.take(pa.array(used))
+        bare = plain(words)
+        counts = np.flatnonzero(np.asarray(pc.and_(pc.utf8_is_alpha(bare), pc.greater_equal(pc.utf8_length(bare), PEAK_LETTERS))))
+        both = pa.concat_arrays([words, bare.take(pa.array(counts))]).dictionary_encode()  # the words are distinct and keep their places
         peak = np.full(len(used), -1)
-        for k, i in enumerate(used.tolist()):
-            w = plain(self.words[i])
-            if len(w) >= PEAK_LETTERS and w.isalpha():
-                peak[k] = forms.setdefault(w, len(forms))
-        return used, list(forms), peak
+        peak[counts] = np.asarray(both.indices)[len(used) :]
+        return used, both.dictionary, peak
 
 
 def _bags(docs: DataFrame) -> DataFrame:
     """Blocks of (id, lang, text, key); `rest` keeps lang and key."""
-    return D.coded(docs.select("id", "text", F.struct("lang", "key").alias("rest")), None, frequencies=True, block_bytes=BLOCK_BYTES)
+    return D.coded(docs.select("id", "text", F.struct("lang", "key").alias("rest")), None, frequencies=True)
 
 
 def _opened(t, i: int) -> Bag:
@@ -139,7 +142,7 @@ def _counts(bags: DataFrame, trusted: DataFrame) -> DataFrame:
             own = own[taken[bag.doc[own]]]
             n = np.bincount(bag.codes[own], weights=bag.times[own], minlength=len(bag.words))
             words = np.flatnonzero(n)
-            grams = Grams([bag.words[i] for i in words.tolist()])
+            grams = Grams(bag.words.take(pa.array(words)))
             summed = np.bincount(grams.of, weights=np.repeat(n[words], grams.sizes), minlength=len(grams.texts))
             out.append(pa.table([pa.array([lang] * len(summed), pa.string()), pa.array(grams.texts, pa.string()), pa.array(summed.astype(np.int64))], schema=_COUNTS))
         return pa.concat_tables(out) if out else _COUNTS.empty_table()

@@ -40,7 +40,7 @@ def check_model(model: bytes) -> sentencepiece.SentencePieceProcessor:
     return sp
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = D.BLOCK_BYTES) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = D.BLOCK_BYTES, fan: int = D.FAN) -> DataFrame:
     """(id, n_tokens, ids, decoded): all ids as decimals joined by commas, and the library's decoding of them.
 
     Whole texts, without begin or end ids and without sampling.  Null and empty texts have no ids and decode to an
@@ -82,4 +82,4 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         texts = [pa.array(x, pa.large_binary()).cast(pa.large_string()).cast(pa.string()) for x in (joined, decoded)]
         return [ids, total[ends[1:]] - total[ends[:-1]], *texts]
 
-    return D.joined_back(blocks, D.each_distinct(blocks, make), finish, "id long, n_tokens long, ids string, decoded string")
+    return D.joined_back(blocks, D.each_distinct(blocks, make, D.expected_blocks(docs, block_bytes), fan), finish, "id long, n_tokens long, ids string, decoded string")

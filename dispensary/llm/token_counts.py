@@ -51,7 +51,7 @@ def _check_json(model: bytes) -> None:
         raise ValueError("this tokenizer keeps white space; its counts can't be summed over runs without it")
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = D.BLOCK_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = D.BLOCK_BYTES, fan: int = D.FAN) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text.
 
     A .json file is read by the tokenizers library, a .model file by sentencepiece; no special tokens are added,
@@ -77,5 +77,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: st
         ends = np.concatenate(([0], np.cumsum(n_pieces)))
         return [ids, n_bytes, total[ends[1:]] - total[ends[:-1]]]
 
-    out = D.joined_back(blocks, D.each_distinct(blocks, make), finish, "id long, n_bytes long, n_tokens long")
+    out = D.joined_back(blocks, D.each_distinct(blocks, make, D.expected_blocks(docs, block_bytes), fan), finish, "id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
