@@ -39,26 +39,14 @@ def _whole(data: bytes, n: int, at: int) -> np.ndarray:
 
 
 def _cut(texts, split) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """(piece numbers, distinct pieces, pieces per text, bytes per text)"""
-    pieces, n_pieces, n_bytes = [], [], []
-    for text in texts.to_pylist():
-        own = split(text or "")
-        pieces.extend(own)
-        n_pieces.append(len(own))
-        n_bytes.append(len((text or "").encode()))
-    encoded = pa.array(pieces, pa.binary()).dictionary_encode()
-    return np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist(), np.array(n_pieces, np.int64), np.array(n_bytes, np.int64)
-
-
-def _runs(texts) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """The same for runs without ASCII white space, for all texts at once."""
+    """(piece numbers, distinct pieces, pieces per text, bytes per text), for all texts at once."""
     texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
-    lists = pc.ascii_split_whitespace(texts)
+    lists = split(texts) if split else pc.ascii_split_whitespace(texts)
     encoded = lists.flatten().dictionary_encode()
     codes, words = np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.cast(pa.binary()).to_pylist()
     ends = np.asarray(lists.offsets).astype(np.int64)
     ends -= ends[0]
-    if b"" in words:  # beside white space at either end
+    if not split and b"" in words:  # beside white space at either end
         blank = words.index(b"")
         full = codes != blank
         ends, codes = np.concatenate(([0], np.cumsum(full)))[ends], codes[full]
@@ -67,7 +55,7 @@ def _runs(texts) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
 
 
 def coded(docs: DataFrame, split, frequencies: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of (id, text); split(text) gives the pieces of a text as byte strings, None stands for its runs without white space.
+    """Blocks of (id, text); split(array of texts) gives the lists of their pieces; None stands for runs without white space.
 
     With `frequencies` a document keeps its distinct pieces and how often each stands in it, not their order.  A
     struct column `rest` travels along, as a list."""
@@ -78,7 +66,7 @@ def coded(docs: DataFrame, split, frequencies: bool, block_bytes: int = BLOCK_BY
     def code(batches):
         part = TaskContext.get().partitionId()
         for k, t in enumerate(steps_of(batches, block_bytes)):
-            codes, words, n_pieces, n_bytes = _cut(t.column("text"), split) if split else _runs(t.column("text"))
+            codes, words, n_pieces, n_bytes = _cut(t.column("text"), split)
             by = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent pieces get small numbers
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
@@ -141,14 +129,23 @@ def _put(results: list, words: list[bytes], level: int, buckets, payloads) -> No
             results[i] = x
 
 
-def _resolved(lists: DataFrame, make, n: int, level: int, fan: int) -> DataFrame:
-    """(prefix, owner, bucket, payload): the results of the lists (prefix, owner, payload), `n` for a prefix, by bucket."""
+def _of_block(b: pa.RecordBatch):
+    for owner, body in zip(b.column("block").to_pylist(), b.column("body").to_pylist(), strict=True):
+        yield 0, owner, listed_words(body)
+
+
+def _of_list(b: pa.RecordBatch):
+    for prefix, owner, payload in zip(*(b.column(c).to_pylist() for c in ("prefix", "owner", "payload")), strict=True):
+        yield prefix, owner, unpack(payload)
+
+
+def _resolved(lists: DataFrame, read, make, n: int, level: int, fan: int) -> DataFrame:
+    """(prefix, owner, bucket, payload): the results of the lists (prefix, owner, words) that `read` gives, `n` for a prefix, by bucket."""
     parts = -(-n // fan) if level < 3 else 1  # a hash has four bytes
 
     def split(batches):
         for b in batches:
-            for prefix, owner, payload in zip(*(b.column(c).to_pylist() for c in ("prefix", "owner", "payload")), strict=True):
-                words = unpack(payload)
+            for prefix, owner, words in read(b):
                 out = [(prefix << 8 | k, pack([words[i] for i in places.tolist()])) for k, places in _dealt(words, level)]
                 yield pa.RecordBatch.from_arrays([pa.array([prefix] * len(out), pa.int64()), pa.array([owner] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=_LETTER)
 
@@ -180,7 +177,7 @@ def _resolved(lists: DataFrame, make, n: int, level: int, fan: int) -> DataFrame
         return back(t, own, dict(zip(distinct, results, strict=True)))
 
     merged = letters.groupBy("bucket", "part").applyInArrow(merge, "prefix long, owner long, payload binary")
-    came = _resolved(merged, make, parts, level + 1, fan)
+    came = _resolved(merged, _of_list, make, parts, level + 1, fan)
     return letters.groupBy("bucket", "part").cogroup(came.groupBy("prefix", "owner")).applyInArrow(spread, _LETTERS)
 
 
@@ -191,13 +188,7 @@ def expected_blocks(docs: DataFrame, block_bytes: int) -> int:
 
 def each_distinct(blocks: DataFrame, make, n_blocks: int, fan: int = FAN) -> DataFrame:
     """make() gives f(distinct pieces) -> one byte string a piece; the results go back to the blocks, by bucket."""
-
-    def lists(batches):
-        for b in batches:
-            payloads = [pack(listed_words(x)) for x in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * b.num_rows, pa.int64()), b.column("block"), pa.array(payloads, pa.binary())], names=["prefix", "owner", "payload"])
-
-    return _resolved(blocks.mapInArrow(lists, "prefix long, owner long, payload binary"), make, n_blocks, 0, fan)
+    return _resolved(blocks, _of_block, make, n_blocks, 0, fan)
 
 
 def joined_back(blocks: DataFrame, answers: DataFrame, finish, schema: str) -> DataFrame:

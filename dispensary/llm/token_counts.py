@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from dispensary.llm import _dictionary as D
 from dispensary.llm._spark import documents
-from dispensary.llm.sentencepiece_codec import check_model, chunks
+from dispensary.llm.sentencepiece_codec import check_model, chunk_lists
 
 
 def _counter(kind: str, model: bytes):
@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: st
     check_model(model) if kind == "model" else _check_json(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one file of the model's size
     docs = documents(docs, id_col, text_col)
-    blocks = D.coded(docs, chunks if kind == "model" else None, frequencies=True, block_bytes=block_bytes)
+    blocks = D.coded(docs, chunk_lists if kind == "model" else None, frequencies=True, block_bytes=block_bytes)
 
     def make():
         count = _counter(kind, shared.value)
