@@ -111,8 +111,9 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     the places of all phrases; first_word and last_word are the smallest and largest start of one (words from 0;
     null without any).  A template's span is reported if its votes reach `coverage` of the template's k-grams and
     `density` of the span, and if no other reported span that overlaps it has a greater coverage.  Labels are distinct, sorted and joined by commas; score is 1 with a phrase, else the best
-    coverage of a reported span, else 0.  Null and empty texts have no words and no labels.  Repeated rows and ids
-    give a row each; an empty table gives an empty result; other columns are ignored.
+    coverage of a reported span, else 0.  Null and empty texts have no words and no labels; a very long text is
+    scanned whole, and its votes are bounded by its length.  Spans of equal coverage that overlap are all reported.  Repeated rows and
+    ids give a row each; an empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     split = {k: _split(k) for k in phrases} | {k: _split(t) for k, (_, t) in templates.items()}

@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     component is named by its smallest id, and `kept` marks the document of that id.  Null, empty and blank texts
     have an empty set, are linked with nothing and are kept.  Rows that share an id are separate documents; null
     ids are smaller than none (a component of null ids alone is named null, and kept).  An empty table gives an
-    empty result.  Other columns are ignored.
+    empty result.  Texts of any length are compared whole.  Other columns, whatever their names, are ignored.
     """
     signed, joined = _joined(documents(docs, id_col, text_col), size, percent)
     classes = signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))

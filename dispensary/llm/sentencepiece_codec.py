@@ -50,8 +50,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """(id, n_tokens, ids, decoded): all ids as decimals joined by commas, and the library's decoding of them.
 
     Whole texts, without begin or end ids and without sampling.  Null and empty texts have no ids and decode to an
-    empty text.  Repeated rows and ids give a row each; an empty table gives an empty result; other columns are
-    ignored.  A model whose pieces cross white-space markers is refused.
+    empty text.  A very long text is a block of its own and is encoded whole.  Repeated rows and ids give a row each; an empty table
+    gives an empty result; other columns, whatever their names, are ignored.  A model whose pieces cross white-space markers is refused.
     """
     with open(model_path, "rb") as f:
         model = f.read()

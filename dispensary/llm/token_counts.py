@@ -56,8 +56,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 2048, id_col: st
 
     A .json file is read by the tokenizers library, a .model file by sentencepiece; no special tokens are added,
     special strings inside texts are handled as the library does, nothing is truncated or padded.  Null and empty
-    texts have 0 bytes and tokens.  Repeated rows and ids give a row each; an empty table gives an empty result;
-    other columns are ignored.  A tokenizer for which the sum would be wrong is refused.
+    texts have 0 bytes and tokens; a very long text is a block of its own and is counted whole.  Repeated rows and ids give a row
+    each; an empty table gives an empty result; other columns, whatever their names, are ignored.  A tokenizer for which the sum would be wrong is refused.
     """
     with open(model_path, "rb") as f:
         model = f.read()

@@ -49,6 +49,16 @@ def test_token_counts(docs, rows, none):
     assert {r.id: r.n_tokens for r in token_counts(docs, PIECES).collect()} == ids
 
 
+def test_repeated_rows_and_long_texts(spark):
+    """Encodings, counts and licenses of equal rows, shared and null ids, and texts longer than a block."""
+    long_ = prose(80, 9000) + " MIT License " + "y" * 40_000
+    rows_ = [(1, "MIT License a"), (1, "MIT License a"), (1, "other"), (None, "MIT License a"), (2, long_), (2, long_)]
+    docs_ = spark.createDataFrame(rows_, "doc_id long, text string")
+    same(encode_decode(docs_, PIECES, block_bytes=2000).select("id", "n_tokens", F.sha2("ids", 256), F.sha2("decoded", 256)), brute.encode(rows_))
+    same(token_counts(docs_, WORDS, block_bytes=2000), brute.counts(rows_))
+    same(license_scan(docs_, step_bytes=2000).select("id", "n_words", "n_base", "first_word", "last_word", "base_labels"), brute.licenses(rows_))
+
+
 BENCH = [(1, prose(1, 60)), (2, prose(3, 15)), (3, "one two three"), (4, ""), (5, None), (None, prose(4, 20)), (10, prose(1, 60)), (6, "License MIT")]
 
 
