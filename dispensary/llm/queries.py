@@ -10,10 +10,13 @@ from dispensary.llm import oracle
 from dispensary.llm._spark import table
 from dispensary.llm.chat_format import link_tool_calls
 from dispensary.llm.decontaminate import benchmark_matches, is_contaminated
+from dispensary.llm.hard_negatives import hard_negatives
 from dispensary.llm.license_scan import license_scan
 from dispensary.llm.near_dedup import near_duplicates
 from dispensary.llm.quality import classify
 from dispensary.llm.sentencepiece_codec import encode_decode
+from dispensary.llm.sharding import shard_documents
+from dispensary.llm.spelling import spelling_groups
 from dispensary.llm.substring_dedup import substring_dedup
 from dispensary.llm.token_counts import token_counts
 from dispensary.llm.url_filter import host_of, url_filter
@@ -118,7 +121,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(doc_id(), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_decontaminate, op4_license_scan, op5_quality, op6_near_dedup, op7_url_filter, op8_vector_topk, op9_chat_format, op10_substring_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, label)
 
-#: None for encodings, token counts, labels of edited templates, language models and canonical JSON; tests hold these against brute force.
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(table(spark, sf_dir, "documents"))
+    return out.select(doc_id(), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_decontaminate, op4_license_scan, op5_quality, op6_near_dedup, op7_url_filter, op8_vector_topk, op9_chat_format, op10_substring_dedup, op11_hard_negatives, op12_sharding, op13_spelling)}
+
+#: None for encodings, token counts, labels of edited templates, language models, canonical JSON and shards, whose cuts follow from a search; tests hold these against brute force.
 ORACLE_SQL: dict[str, str] = oracle.SQL

@@ -29,13 +29,13 @@ SAMPLE, REGIONS, SHARD, BLOCK, LEAF = 4096, 256, 8192, 16384, 256
 SCORED = 4096
 
 
-def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, vec) with floor(scale * x); without vectors that are null or hold null or non-finite components."""
+def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int, *more: str) -> DataFrame:
+    """(id, vec) and `more` columns, with floor(scale * x); without vectors that are null or hold null or non-finite components."""
     x = F.col(vec_col).cast("array<double>")
-    df = df.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull())
+    df = df.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), *more).filter(F.col("id").isNotNull() & F.col("x").isNotNull())
     x = F.col("x")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return df.filter(F.coalesce(sound, F.lit(False))).select("id", F.transform("x", lambda v: F.floor(v * scale)).alias("vec"))
+    return df.filter(F.coalesce(sound, F.lit(False))).select("id", F.transform("x", lambda v: F.floor(v * scale)).alias("vec"), *more)
 
 
 def matrix(column, width: int = 0) -> np.ndarray:
