@@ -1,7 +1,8 @@
 """Shards of near equal bytes: a minimax contiguous partition of ordered groups.
 
 Equal texts are one group, which no cut may split.  Groups stand in the order of their key, the first 60 bits of the
-text's MD5 (texts that share a key are one group, too).  Running sums of the groups' sizes, taken in parts of the key's
+text's MD5 (texts that share a key are one group, too); those that exceed an even share, fewer than there are shards, stand
+before all others, so that they don't cut the rest into stretches of uneven shares.  Running sums of the groups' sizes, taken in parts of the key's
 range, give the end of each group.  The capacity of a shard is found by binary search: a capacity is feasible if,
 filling shard after shard as far as it goes, no more are needed than there are; a group larger than the capacity is a
 shard of its own.  With the smallest feasible capacity, cuts are put where they leave the rest most even, never beyond
@@ -15,6 +16,7 @@ A row's shard follows from its key and the cuts alone, so texts are read once an
 from __future__ import annotations
 
 from bisect import bisect_right
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,39 +123,53 @@ def _cuts(ends: Ends, capacity: int, shards: int) -> list[int]:
     return cuts
 
 
-def _sums(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(key, end) of every group of (key, size), and the sum of all sizes."""
-    groups = checkpointed(rows.groupBy("key").agg(F.sum("size").alias("size")))
-    part = F.shiftright("key", 60 - PART_BITS)
+@dataclass(frozen=True)
+class Cuts:
+    """The last key of every shard but the last one, and the keys of the groups that stand before all others."""
+
+    last: list[int]
+    large: list[int]
+
+    def place(self, key: Column) -> Column:
+        """What the groups are ordered by."""
+        return F.when(key.isin(self.large), key - (1 << 60)).otherwise(key)
+
+    def shard_of(self, key: Column) -> Column:
+        """How many cuts lie before a key."""
+        at = self.place(key)
+        return F.size(F.filter(F.array(*[F.lit(x) for x in self.last]).cast("array<long>"), lambda x: x < at))
+
+
+def _sums(groups: DataFrame) -> tuple[DataFrame, int]:
+    """(place, end) of every group of (place, size), and the sum of all sizes."""
+    groups = groups.withColumn("part", F.shiftright("place", 60 - PART_BITS))
     base, total = [], 0
-    for r in sorted(groups.groupBy(part.alias("part")).agg(F.sum("size").alias("size")).collect()):  # 2 ** PART_BITS rows at most
+    for r in sorted(groups.groupBy("part").agg(F.sum("size").alias("size")).collect()):  # 2 * 2 ** PART_BITS rows at most
         base.append((r.part, total))
         total += r["size"]
-    bases = F.broadcast(rows.sparkSession.createDataFrame(base, "part long, base long"))  # as many
-    running = F.sum("size").over(Window.partitionBy("part").orderBy("key"))
-    return checkpointed(groups.withColumn("part", part).join(bases, "part").select("key", (F.col("base") + running).alias("end"))), total
+    bases = F.broadcast(groups.sparkSession.createDataFrame(base, "part long, base long"))  # as many
+    running = F.sum("size").over(Window.partitionBy("part").orderBy("place"))
+    return checkpointed(groups.join(bases, "part").select("place", (F.col("base") + running).alias("end"))), total
 
 
-def balanced_cuts(rows: DataFrame, shards: int) -> list[int]:
-    """The last key of every shard but the last one, for rows with a key (60 bits) and a size (1 at least)."""
+def balanced_cuts(rows: DataFrame, shards: int) -> Cuts:
+    """The cuts for rows with a key (60 bits) and a size (1 at least)."""
     if shards < 1:
         raise ValueError("there must be a shard")
-    points, total = _sums(rows)
+    groups = checkpointed(rows.groupBy("key").agg(F.sum("size").alias("size")))
+    total = groups.agg(F.sum("size")).first()[0]
     if not total:
-        return [-1] * (shards - 1)
+        return Cuts([-1] * (shards - 1), [])
+    cuts = Cuts([], sorted(r.key for r in groups.filter(F.col("size") * shards > total).select("key").collect()))  # fewer than shards
+    points, total = _sums(groups.select(cuts.place(F.col("key")).alias("place"), "size"))
     ends = Ends(points, total)
     while True:
-        cuts = _cuts(ends, _capacity(ends, shards), shards)
+        found = _cuts(ends, _capacity(ends, shards), shards)
         if not ends.open:
             break
         ends.refine()
-    last = {r.end: r.key for r in points.filter(F.col("end").isin(cuts)).collect()} | {0: -1}  # a row a cut
-    return [last[x] for x in cuts]
-
-
-def shard_of(key: Column, cuts: list[int]) -> Column:
-    """The shard of a key: how many cuts lie before it."""
-    return F.size(F.filter(F.array(*[F.lit(x) for x in cuts]).cast("array<long>"), lambda x: x < key)) if cuts else F.lit(0)
+    last = {r.end: r.place for r in points.filter(F.col("end").isin(found)).collect()} | {0: -(1 << 61)}  # a row a cut
+    return Cuts([last[x] for x in found], cuts.large)
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,7 +188,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     rows = checkpointed(sized(docs, id_col, text_col))
     cuts = balanced_cuts(rows, shards)
     name = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("key").cast("string"))
-    rows = rows.select("id", "size", "crc", "key", shard_of(F.col("key"), cuts).alias("shard"), F.substring(F.md5(name), 1, BUCKET_HEX).alias("bucket"))
+    rows = rows.select("id", "size", "crc", "key", cuts.shard_of(F.col("key")).alias("shard"), F.substring(F.md5(name), 1, BUCKET_HEX).alias("bucket"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = F.broadcast(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))  # 16 ** BUCKET_HEX rows a shard at most
@@ -187,4 +203,4 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "do
     A shard is written by several tasks; which one a row is in follows from its text alone."""
     cuts = balanced_cuts(sized(docs, id_col, text_col), shards)
     columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]
-    docs.select(*columns, shard_of(text_group(F.col(text_col)), cuts).alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+    docs.select(*columns, cuts.shard_of(text_group(F.col(text_col))).alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)

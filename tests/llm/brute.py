@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 
@@ -289,3 +291,56 @@ def pipeline(rows, labels, bench, quality):
         cut.append((i, " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t))
     clean = [d for d, x in zip(cut, decontaminate(cut, bench), strict=True) if not x[5]]
     return encode(clean)
+
+
+def hard_negatives(rows, positives=5, negatives=3):
+    """(anchor, positive, rank, negative, positive score, negative score) of (id, vector, label)."""
+    sound = [(i, (label + 1) % 10 if i % 7 == 0 else label, [math.floor(256 * float(x)) for x in v]) for i, v, label in rows if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    anchors = {i: min((label, v) for j, label, v in sound if j == i) for i, _, _ in sound if i % 50 == 0}
+    out = []
+    for i, (label, v) in anchors.items():
+        met = sorted(((-score(v, w), j, other) for j, other, w in sound if j != i))
+        for minus, p, _ in [m for m in met if m[2] == label][:positives]:
+            fits = [m for m in met if m[2] != label and 50 * -minus <= 100 * -m[0] <= 95 * -minus]
+            out += [(i, p, rank, m[1], -minus, -m[0]) for rank, m in enumerate(fits[:negatives], 1)]
+    return out
+
+
+def smallest_capacity(sizes, shards):
+    """Of a shard, if groups stay in their order and one that is larger is a shard of its own; every capacity is tried."""
+    for capacity in range(1, sum(sizes) + 1):
+        needed, held = 0, None
+        for s in sizes:
+            if held is None or held + s > capacity:
+                needed, held = needed + 1, 0
+            held += s
+        if needed <= shards:
+            return capacity
+    return 0
+
+
+def spelling(docs, shortest=6, least=5, times=5, one_in=199):
+    counts = collections.Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = low(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % one_in == 0 else run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= shortest and n >= least}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    around = {w: [o for o in words if near(w, o)] for w in words}
+    form = {w: best for w, o in around.items() if o for best in [min(o, key=lambda x: (-words[x], x))] if words[best] >= times * words[w]}
+    out = []
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(around[w]), words.get(form.get(w))))
+    return out
