@@ -6,6 +6,7 @@ used here contains either all or none of the bytes above 0x7F, cutting bytes and
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,9 @@ STEP_BYTES = 4 << 20
 #: Bytes of text that are hashed at a time; a longer word is a piece of its own.
 PIECE = 1 << 18
 
+#: Bytes of the longest word whose hash is a polynomial modulo 2 ** 64; there are pairs of long words for which every such polynomial agrees.
+POLYNOMIAL = 64
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -95,7 +99,9 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word, piece by piece: what is held besides follows the piece, not the text."""
+        """A 64-bit hash of each word, piece by piece: what is held besides follows the piece, not the text.
+
+        It is a polynomial for short words and half of a BLAKE2b digest for others; seeds 0 and 1 are 128 bits together."""
         out, first = np.zeros(len(self.starts), np.uint64), 0
         while first < len(out):
             base = self.starts[first]
@@ -105,6 +111,9 @@ class Words:
             np.cumsum(_BYTE_VALUES[seed][data] * _power(seed, False, len(data)), out=total[1:])
             out[first:last] = mix((total[ends] - total[starts]) * _power(seed, True, len(data) + 1)[starts])
             first = last
+        for i in np.flatnonzero(self.ends - self.starts > POLYNOMIAL).tolist():
+            digest = hashlib.blake2b(self.word(i), digest_size=16).digest()
+            out[i] = int.from_bytes(digest[8 * seed : 8 * seed + 8], "little")
         return out
 
     def left(self) -> np.ndarray:
@@ -115,6 +124,19 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+def equal_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Which of the words i of a are the words j of b, byte by byte."""
+    length = a.ends[i] - a.starts[i]
+    out = length == b.ends[j] - b.starts[j]
+    at = np.flatnonzero(out)
+    length = length[at]
+    owner = np.repeat(np.arange(len(at)), length)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+    differs = a.data[a.starts[i[at]][owner] + inside] != b.data[b.starts[j[at]][owner] + inside]
+    out[at[owner[differs]]] = False
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool) -> Words:
     """Split documents into words of the byte class `kind`, lower-casing A-Z first if asked."""
     if lower:

@@ -6,7 +6,7 @@ suffixes that are still alike.  Every test suffix that a window begins is looked
 further at a time, as long as anything matches; the places that match a whole window are its occurrences.  Occurrences
 that follow each other on a diagonal are one verbatim match, whose length and places are then known.
 
-Words are compared by 64-bit hashes, a window of 13 words by 13 of them.  The test set is a query set: it goes to the
+The search compares words by 64-bit hashes; what it finds is then compared word by word.  The test set is a query set: it goes to the
 tasks in parts of bounded size, one part a pass over the documents, and with several parts each pass is written to
 the shared folder before the next one, so that neither the driver nor a task ever holds more than one part.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from dispensary.llm._annotate import annotated, free_name
 from dispensary.llm._spark import checkpointed
-from dispensary.llm._text import ALNUM, STEP_BYTES, flat, words
+from dispensary.llm._text import ALNUM, STEP_BYTES, Words, equal_words, flat, words
 
 #: Bytes of test text in one part.
 PART_BYTES = 16 << 20
@@ -68,7 +68,7 @@ def index(items: list[str], texts: list[str | None], width: int) -> dict | None:
     item = np.repeat(np.arange(len(items)), n)
     length = np.minimum(n[item], width)
     begins = np.flatnonzero(w.left() >= length)  # of windows
-    return {"items": items, "words": w.hashes(), "begins": begins, "item": item[begins], "length": length[begins], "place": begins - w.first[:-1][item[begins]]}
+    return {"items": items, "text": (w.data, w.starts, w.ends, w.first), "words": w.hashes(), "begins": begins, "item": item[begins], "length": length[begins], "place": begins - w.first[:-1][item[begins]]}
 
 
 def _bound(suffixes: np.ndarray, codes: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, wanted: np.ndarray) -> np.ndarray:
@@ -106,6 +106,18 @@ def search(codes: np.ndarray, left: np.ndarray, suffixes: np.ndarray, known: np.
     return at, np.repeat([t for t, _, _ in found], [j - i for _, i, j in found])
 
 
+def verified(w: Words, at: np.ndarray, test: np.ndarray, part: dict) -> np.ndarray:
+    """Which occurrences have the words of their test windows, not only words of equal hashes."""
+    size = part["length"][test]
+    owner = np.repeat(np.arange(len(at)), size)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    tests = Words(*part["text"])
+    # windows overlap, so each pair of words is compared once
+    pairs, number = np.unique((at[owner] + inside) * len(tests.starts) + part["begins"][test][owner] + inside, return_inverse=True)
+    same = equal_words(w, pairs // len(tests.starts), tests, pairs % len(tests.starts))[number]
+    return np.bincount(owner, same, len(at)) == size
+
+
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, width: int, part_bytes: int):
     """The test set part by part; the driver holds one at a time."""
     tests = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
@@ -130,6 +142,8 @@ def _matched(docs: DataFrame, part, name: str, text_col: str, step_bytes: int) -
                 known, codes = np.unique(w.hashes(), return_inverse=True)
                 codes = codes + 1
                 at, test = search(codes, left, suffix_array(codes, left), known, tests)
+                true = verified(w, at, test, tests)
+                at, test = at[true], test[true]
                 size, item, place = tests["length"][test], tests["item"][test], tests["place"][test]
                 by = np.lexsort((at, at - place, item))
                 at, item, place, size = at[by], item[by], place[by], size[by]

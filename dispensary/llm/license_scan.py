@@ -2,13 +2,17 @@
 
 Every document's rolling word k-grams (k = 2) are joined with the places of the same k-grams in license templates.
 A match votes for a diagonal, its place in the document less its place in the template.  Votes are counted by
-diagonal, neighbouring diagonals (a few words were added or dropped) are merged, and merged spans are verified.
+diagonal, and neighbouring diagonals (a few words were added or dropped) are merged.  Votes only say where to look: a phrase
+that a text repeats votes again and again.  So a span is verified by aligning document and template: its matches are the longest
+sequence of k-grams that stand in the same order in both, each place of the template counted once.
 k-grams are exact word numbers in the templates' vocabulary, not hashes that could collide; words outside that
 vocabulary can't match and end a k-gram.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -104,13 +108,42 @@ class _Vocabulary:
         return out
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, tuple[str, str]] | None = None, coverage: float = 0.6, density: float = 0.5, neighbours: int = 4, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = STEP_BYTES) -> DataFrame:
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("template", pa.string()), ("coverage", pa.float64()), ("label", pa.string())]))
+
+
+def alignments(at: np.ndarray, place: np.ndarray, least: int, density: float, neighbours: int, gap: int) -> list[tuple[int, int, int]]:
+    """(first, last, matches) of the spans that align with a template, given the matches' places in document and template.
+
+    Of spans that overlap the one with more matches is taken, then the shorter, then the earlier one.  The work follows the number of matches
+    times those within `gap` of each."""
+    order = np.lexsort((place, at))
+    at, place = at[order].astype(np.int64), place[order].astype(np.int64)
+    begin = np.searchsorted(at, at - gap)
+    upto = np.searchsorted(at, at)  # earlier places of the document
+    count, start = np.ones(len(at), np.int64), at.copy()
+    for i, (a, b) in enumerate(zip(begin.tolist(), upto.tolist(), strict=True)):
+        step = place[i] - place[a:b]
+        fits = np.flatnonzero((step > 0) & (np.abs(at[i] - at[a:b] - step) <= neighbours)) + a
+        if len(fits):
+            best = fits[np.lexsort((-start[fits], -count[fits]))[0]]
+            count[i], start[i] = count[best] + 1, start[best]
+    good = np.flatnonzero((count >= least) & (count >= density * (at - start + 1)))
+    out: list[tuple[int, int, int]] = []
+    for i in good[np.lexsort((at[good], at[good] - start[good], -count[good]))].tolist():
+        if not any(a <= at[i] + 1 and start[i] <= b + 1 for a, b, _ in out):  # the words of two k-grams
+            out.append((int(start[i]), int(at[i]), int(count[i])))
+    return out
+
+
+def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, tuple[str, str]] | None = None, coverage: float = 0.6, density: float = 0.5, neighbours: int = 4, gap: int = 24, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = STEP_BYTES) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for every document.
 
     Words are maximal runs of digits, letters a-z and non-ASCII characters after lower-casing A-Z.  n_base counts
     the places of all phrases; first_word and last_word are the smallest and largest start of one (words from 0;
-    null without any).  A template's span is reported if its votes reach `coverage` of the template's k-grams and
-    `density` of the span, and if no other reported span that overlaps it has a greater coverage.  Labels are distinct, sorted and joined by commas; score is 1 with a phrase, else the best
+    null without any).  A template's span is an alignment with it: both places rise from
+    match to match, by `gap` k-grams of the document at most and on diagonals not more than `neighbours` apart.  It is
+    reported if its matches reach `coverage` of the template's k-grams and `density` of the span, and if no other reported span that overlaps it
+    has a greater coverage.  Labels are distinct, sorted and joined by commas; score is 1 with a phrase, else the best
     coverage of a reported span, else 0.  Null and empty texts have no words and no labels; a very long text is
     scanned whole, and its votes are bounded by its length.  Spans of equal coverage that overlap are all reported.  Repeated rows and
     ids give a row each; an empty table gives an empty result; other columns, whatever their names, are ignored.
@@ -154,21 +187,40 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     votes = scanned.select("row", "id", "n_words", "g.gram", "g.at").join(table, "gram")
     # one shuffle; a document's votes are bounded by its length
     votes = votes.select("row", "id", "n_words", "template", "label", "is_phrase", "grams", "at", (F.col("at") - F.col("place")).alias("diagonal")).repartition("row")
-    diagonals = votes.groupBy("row", "id", "n_words", "template", "label", "is_phrase", "grams", "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"))
+    diagonals = votes.groupBy("row", "id", "n_words", "template", "label", "is_phrase", "grams", "diagonal").agg(F.collect_list("at").alias("at"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("is_phrase"), 0).otherwise(neighbours), F.lit(True))
     merged = diagonals.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order))
-    runs = merged.groupBy("row", "id", "n_words", "template", "label", "is_phrase", "grams", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"))
-    covered = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
+    keys = ("row", "id", "n_words", "template", "label", "is_phrase", "grams")
+    # a run holds as many matches as its document has votes at most
+    runs = merged.groupBy("row", "id", "n_words", "template", "label", "is_phrase", "grams", "run").agg(F.sum(F.size("at")).alias("votes"), F.min("diagonal").cast("long").alias("diagonal"), F.collect_list(F.struct("diagonal", "at")).alias("hits"))
+    may_align = ~F.col("is_phrase") & (F.col("template") != "") & (F.col("votes") >= coverage * F.col("grams") - 1e-9)
+    runs = runs.select("row", "id", "n_words", "template", "label", "is_phrase", "grams", "votes", "diagonal", F.when(may_align, F.col("hits")).alias("hits"))
+    spans = "array<struct<start:int,stop:int,template:string,coverage:double,label:string>>"
+
+    def align(batches):
+        for b in batches:
+            found = []
+            for hits, template, label, grams in zip(b.column("hits"), b.column("template").to_pylist(), b.column("label").to_pylist(), b.column("grams").to_pylist(), strict=True):
+                chains = []
+                if hits.is_valid:
+                    lists = hits.values.field("at")
+                    at, diagonal = np.asarray(lists.flatten()), np.asarray(hits.values.field("diagonal"))
+                    place = at - np.repeat(diagonal, np.diff(np.asarray(lists.offsets)))
+                    need = math.ceil(coverage * grams - 1e-9)
+                    if len(np.unique(place)) >= need:
+                        chains = alignments(at, place, need, density, neighbours, gap)
+                found.append([{"start": x, "stop": y + 2, "template": template, "coverage": n / grams, "label": label} for x, y, n in chains])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "id", "n_words", "label", "is_phrase", "grams", "votes", "diagonal")), pa.array(found, _SPANS)], names=["row", "id", "n_words", "label", "is_phrase", "grams", "votes", "diagonal", "spans"])
+
+    runs = runs.mapInArrow(align, f"row long, id long, n_words long, label string, is_phrase boolean, grams int, votes long, diagonal long, spans {spans}")
     is_base = F.col("is_phrase") & (F.col("votes") == F.col("grams"))
-    is_span = ~F.col("is_phrase") & (F.col("template") != "") & (covered >= coverage) & (F.col("votes") >= density * (F.col("high") - F.col("low") + 1))
-    span = F.struct(F.col("low").cast("int").alias("start"), (F.col("high") + 2).cast("int").alias("stop"), "template", covered.alias("coverage"), "label")
     found = runs.groupBy("row", "id", "n_words").agg(
         F.count(F.when(is_base, 1)).alias("n_base"),
-        F.min(F.when(is_base, F.col("diagonal"))).cast("long").alias("first_word"),
-        F.max(F.when(is_base, F.col("diagonal"))).cast("long").alias("last_word"),
+        F.min(F.when(is_base, F.col("diagonal"))).alias("first_word"),
+        F.max(F.when(is_base, F.col("diagonal"))).alias("last_word"),
         F.array_sort(F.collect_set(F.when(is_base, F.col("label")))).alias("base"),
-        F.array_sort(F.collect_list(F.when(is_span, span))).alias("all"),  # as long as the document at most
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),  # as long as the document at most
     )
     beaten = lambda s: F.exists("all", lambda o: (o["coverage"] > s["coverage"]) & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))
     found = found.withColumn("best", F.filter("all", lambda s: ~beaten(s)))

@@ -68,28 +68,26 @@ def licenses(docs):
     return out
 
 
-def license_labels(docs, templates, coverage=0.6, density=0.5, neighbours=4):
-    """(id, labels, score, spans): pairs of words vote for the distance between document and template, template by template."""
+def license_labels(docs, templates, coverage=0.6, density=0.5, neighbours=4, gap=24):
+    """(id, labels, score, spans): every document is aligned with every template, pair of words by pair of words, without votes."""
     out = []
     for i, t in docs:
         w, spans = ALNUM.findall(low(t)), []
         for name, (label, text) in templates.items():
             q = ALNUM.findall(low(text))
-            votes = collections.defaultdict(list)
+            best = {}  # (place in document, place in template) -> (matches, start)
             for a in range(len(w) - 1):
                 for b in range(len(q) - 1):
                     if w[a : a + 2] == q[b : b + 2]:
-                        votes[a - b].append(a)
-            runs = []
-            for d in sorted(votes):
-                if runs and d - runs[-1][0] <= neighbours:
-                    runs[-1] = (d, runs[-1][1] + votes[d])
-                else:
-                    runs.append((d, votes[d]))
-            for _, at in runs:
-                covered = min(1.0, len(at) / (len(q) - 1))
-                if covered >= coverage and len(at) >= density * (max(at) - min(at) + 1):
-                    spans.append((covered, min(at), max(at) + 2, name, label))
+                        before = [best[c, d] for c in range(max(0, a - gap), a) for d in range(max(0, b - (a - c) - neighbours), min(b, b - (a - c) + neighbours + 1)) if (c, d) in best]
+                        n, start = max(before, default=(0, a))
+                        best[a, b] = (n + 1, start)
+            ends = sorted((-n, a - start, a, start) for (a, _), (n, start) in best.items() if n >= coverage * (len(q) - 1) and n >= density * (a - start + 1))
+            taken = []
+            for minus, _, a, start in ends:
+                if all(a + 2 <= s or e <= start for s, e in taken):
+                    taken.append((start, a + 2))
+                    spans.append((-minus / (len(q) - 1), start, a + 2, name, label))
         best = [s for s in spans if not any(o[0] > s[0] and o[1] < s[2] and s[1] < o[2] for o in spans)]
         phrases = {label for p, label in PHRASES.items() for a in range(len(w)) if w[a : a + len(p.split())] == p.split()}
         out.append((i, ",".join(sorted(phrases | {s[4] for s in best})), 1.0 if phrases else max((s[0] for s in best), default=0.0), sorted(s[1:4] for s in best)))

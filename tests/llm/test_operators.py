@@ -130,6 +130,63 @@ def test_license_labels_against_brute_force(spark):
     assert sum(x.score == 1 for x in found) >= len(TEMPLATES)
 
 
+def test_repeated_phrases_are_no_license(spark):
+    """A phrase votes as often as it stands there; its template is not there for that, and a passage among such votes is."""
+    mit = TEMPLATES["mit-permission"][1]
+    listed = ["is licensed " * 9, "use copy " * 30, "under a " * 12, "of the " * 150 + mit + " of the" * 150, f"{mit} of the " * 3, "of the software and of the license to use " * 40]
+    rows = list(enumerate(listed))
+    got = {r.id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: x for i, *x in brute.license_labels(rows, TEMPLATES)}
+    assert [got[i].labels for i in range(6)] == ["", "", "", "mit", "mit", ""]
+    assert len(got[3].spans) == 1 and got[3].spans[0].stop - got[3].spans[0].start < 70 and len(got[4].spans) == 3
+    for i, x in got.items():
+        assert sorted((a.start, a.stop, a.template) for a in x.spans) == want[i][2] and abs(x.score - want[i][1]) < 1e-9
+
+
+def thue_morse(n):
+    """Two words for which every polynomial hash modulo a power of two agrees."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [16, 1024, 4096])
+def test_different_words_are_not_equal(spark, n):
+    x, y = thue_morse(n)
+    around = [f"w{k}" for k in range(10)]
+    rows = [(k, " ".join([*around, w, *around])) for k, w in enumerate((x, y))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup(df).collect()] == [0, 0]
+    two = [(0, f"{x} {x}a"), (1, f"{y} {y}a"), (2, f"{x} b {x} c {x}"), (3, f"{y} b {y} c {y}")]
+    same(near_duplicates(spark.createDataFrame(two, "doc_id long, text string")), brute.near(two))
+    bench = [(1, y), (2, " ".join([*around[:6], y, *around[:6]]))]
+    hits = [(0, " ".join([x] * 3)), (1, f"k {y} k"), (2, " ".join([*around[:6], x, *around[:6]]))]
+    same(digest(benchmark_matches(spark.createDataFrame(hits, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))), brute.decontaminate(hits, bench))
+
+
+def test_equal_hashes_are_told_apart(spark, monkeypatch):
+    """With hashes that often collide, matches with a benchmark and links are still those of the words."""
+    from dispensary.llm import _text
+
+    full = _text.Words.hashes
+    monkeypatch.setattr(_text.Words, "hashes", lambda self, seed=0: full(self, seed) & np.uint64(3))
+    from dispensary.llm.decontaminate import index, search, verified
+    from dispensary.llm._text import ALNUM, words
+
+    bench = [prose(1, 40), "one two three"]
+    part = index(["1", "2"], bench, 13)
+    text = " ".join([prose(3, 400), prose(1, 40), "one two three", prose(4, 300)]).encode()
+    w = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ALNUM, lower=True)
+    known, codes = np.unique(w.hashes(), return_inverse=True)
+    at, test = search(codes + 1, w.left(), suffix_array(codes + 1, w.left()), known, part)
+    true = verified(w, at, test, part)
+    own, tests = [w.word(i) for i in range(len(w.starts))], [t.lower().encode().split() for t in bench]
+    wanted = {(i, k) for k, t in enumerate(tests) for i in range(len(own)) for b in range(max(1, len(t) - 12)) if own[i : i + min(13, len(t))] == t[b : b + 13]}
+    assert len(at) > true.sum() > 0
+    assert {(int(a), int(part["item"][t])) for a, t in zip(at[true], test[true], strict=True)} == wanted
+
+
 def test_license_templates_with_edits(spark):
     text = "foo bar Permission is hereby granted, free of charge, to any person getting a copy of this software and the associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
     row = license_scan(spark.createDataFrame([(1, text), (2, "of the software and of the license to use")], "doc_id long, text string")).orderBy("id").collect()
