@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,8 @@ def check_schema(schema, at: str = "$") -> None:
     if unknown := set([kinds] if isinstance(kinds, str) else kinds) - set(_TYPES):
         raise ValueError(f"{at}: unknown types {sorted(unknown)}")
     re.compile(schema.get("pattern", ""))
+    if schema.get("multipleOf", 1) <= 0:
+        raise ValueError(f"{at}: multiples of nothing")
     for k, own in schema.get("properties", {}).items():
         check_schema(own, f"{at}.{k}")
     for k in ("items", "additionalProperties", "not"):
@@ -103,6 +106,11 @@ def problem(value, schema, at: str = "$") -> str | None:
     return found or _combined(value, schema, at)
 
 
+def _exact(x) -> Fraction:
+    """The number as it is written, so that 0.3 is three times 0.1; a whole number of any length is no float on the way."""
+    return Fraction(x) if isinstance(x, int) else Fraction(repr(x))
+
+
 def _number(value, schema: dict, at: str) -> str | None:
     if value < schema.get("minimum", value):
         return f"{at}: below {schema['minimum']}"
@@ -112,7 +120,7 @@ def _number(value, schema: dict, at: str) -> str | None:
         return f"{at}: not above {schema['exclusiveMinimum']}"
     if "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
         return f"{at}: not below {schema['exclusiveMaximum']}"
-    if "multipleOf" in schema and value % schema["multipleOf"]:
+    if "multipleOf" in schema and _exact(value) % _exact(schema["multipleOf"]):
         return f"{at}: not a multiple of {schema['multipleOf']}"
     return None
 
@@ -229,7 +237,7 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     and turn take it.  Null texts and contents become JSON null; null identifiers link with nothing.  Repeated rows
     of messages and results give a line each, empty tables give none; other columns, whatever their names, are ignored.
     Texts and contents of any length are written whole, and calls with equal keys keep their own lines.  Arguments that
-    are not JSON, hold numbers beyond a double or are nested too deeply are `bad_json` and stay a string; half surrogate pairs
+    are not JSON, hold fractions beyond a double or whole numbers of over 4,300 digits, or are nested too deeply are `bad_json` and stay a string; half surrogate pairs
     are written as escapes.  A schema with a keyword that isn't checked is refused at the start (ValueError).
     """
     for own in schemas.values():
@@ -263,7 +271,7 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
                 written = line(arguments)
                 if error := problem(arguments, known_schemas[head]):
                     found = "bad_arguments"
-            except (TypeError, ValueError, RecursionError):
+            except (TypeError, ValueError, RecursionError, ArithmeticError):
                 found, error, written = "bad_json", "arguments are not JSON", None
         if found is None or status in ("repeated_id", "cycle"):
             found, error = status, {"repeated_id": "several calls have this identifier", "cycle": "it needs itself", "no_result": "no result has this identifier"}.get(status, error)

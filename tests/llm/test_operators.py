@@ -187,6 +187,20 @@ def test_equal_hashes_are_told_apart(spark, monkeypatch):
     assert {(int(a), int(part["item"][t])) for a, t in zip(at[true], test[true], strict=True)} == wanted
 
 
+def test_exact_multiples_and_long_numbers(spark):
+    fits = lambda v, m: problem(v, {"multipleOf": m}) is None
+    assert fits(0.3, 0.1) and fits(10**400, 0.5) and not fits(10**400 + 1, 2) and not fits(0.35, 0.1) and fits(-1.5, 0.5) and fits(0, 7) and fits(1e300, 0.1)
+    with pytest.raises(ValueError):
+        check_schema({"multipleOf": 0})
+    schemas = {"t": {"properties": {"n": {"multipleOf": 0.5, "maximum": 1e308}}}}
+    arguments = ['{"n":1' + "0" * 400 + "}", '{"n":1' + "0" * 5000 + "}", '{"n":2.5}', '{"n":1e999}', '{"n":0.7}', '{"n":1' + "0" * 300 + "}"]
+    calls = spark.createDataFrame([(1, k, f"c{k}", "t", a, []) for k, a in enumerate(arguments)], "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([(f"c{k}", "x") for k in range(len(arguments))], "call_id string, content string")
+    none_ = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r.status for r in link_tool_calls(none_, calls, results, schemas).filter("kind = 1").collect()}
+    assert [got[f"c{k}"] for k in range(6)] == ["bad_arguments", "bad_json", "ok", "bad_json", "bad_arguments", "ok"]
+
+
 def test_license_templates_with_edits(spark):
     text = "foo bar Permission is hereby granted, free of charge, to any person getting a copy of this software and the associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
     row = license_scan(spark.createDataFrame([(1, text), (2, "of the software and of the license to use")], "doc_id long, text string")).orderBy("id").collect()
