@@ -19,7 +19,6 @@ from dispensary.operators.store import dirty
 PAGE_SIZE, BODY_BYTES = 500, 8 << 20
 
 KEY = ("facilityId", "kind", "id")
-STATE = "facilityId string, kind string, id string, updatedAt double, deletedAt long, seq long, body string"
 
 
 def valid(id_: Column, updated_at: Column) -> Column:
@@ -33,9 +32,11 @@ def clean_facility(facility: Column) -> Column:
     return F.when(F.length(f).between(1, 128), f)
 
 
-def clean_cursor(cursor: Column) -> Column:
-    """The cursor as a number, 0 if it isn't a finite one."""
+def clean_cursor(cursor: Column, kind: Column | None = None) -> Column:
+    """The cursor as a number, 0 if it isn't a finite one, or if its JSON `kind` is known and is no number: a string never is."""
     c = cursor.try_cast("double")
+    if kind is not None:
+        c = F.when(kind.rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)"), c)
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0)).otherwise(c).cast("long")
 
 
@@ -44,12 +45,9 @@ def parse_requests(lines: DataFrame, column: str = "value", most_bytes: int = BO
 
     Each change carries its request's cursor.  Records that aren't objects with an id that is a string, and a change time, are
     dropped; lines that aren't JSON, have no facility or are longer than `most_bytes` are rejected."""
-    schema = "facilityId string, cursor string, push long, changes struct<patients: array<string>, encounters: array<string>>"
-    parsed = lines.select(F.col(column).alias("line"), F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r"))
-    bad = F.col("r.facilityId").isNull() | clean_facility(F.col("r.facilityId")).isNull() | (F.octet_length("line") > most_bytes)
-    rejected = parsed.filter(bad).select("line")
+    parsed, rejected = _parsed(lines, column, most_bytes)
     kinds = F.array(F.struct(F.lit("patient").alias("kind"), F.col("r.changes.patients").alias("list")), F.struct(F.lit("encounter").alias("kind"), F.col("r.changes.encounters").alias("list")))
-    per = parsed.filter(~bad).select(clean_facility(F.col("r.facilityId")).alias("facilityId"), clean_cursor(F.col("r.cursor")).alias("cursor"), F.col("r.push").alias("push"), F.explode(kinds).alias("k"))
+    per = parsed.select("facilityId", "cursor", "push", F.explode(kinds).alias("k"))
     rows = per.select("facilityId", "cursor", "push", "k.kind", F.posexplode("k.list").alias("ord", "body"))
     id_kind = F.schema_of_variant(F.variant_get(F.try_parse_json("body"), "$.id", "variant"))
     fields = F.from_json("body", "id string, updatedAt double, deletedAt long")
@@ -57,6 +55,20 @@ def parse_requests(lines: DataFrame, column: str = "value", most_bytes: int = BO
     return rows.filter(valid(F.col("id"), F.col("updatedAt"))), rejected
 
 
+def request_heads(lines: DataFrame, column: str = "value", most_bytes: int = BODY_BYTES) -> DataFrame:
+    """(facilityId, push, cursor) of every request that is answered, also of those without a valid record."""
+    return _parsed(lines, column, most_bytes)[0].select("facilityId", "push", "cursor")
+
+
+def _parsed(lines: DataFrame, column: str, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    schema = "facilityId string, cursor string, push long, changes struct<patients: array<string>, encounters: array<string>>"
+    parsed = lines.select(F.col(column).alias("line"), F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r"))
+    bad = F.col("r.facilityId").isNull() | clean_facility(F.col("r.facilityId")).isNull() | (F.octet_length("line") > most_bytes)
+    cursor_kind = F.schema_of_variant(F.variant_get(F.try_parse_json("line"), "$.cursor", "variant"))
+    good = parsed.filter(~bad).select(clean_facility(F.col("r.facilityId")).alias("facilityId"), clean_cursor(F.col("r.cursor"), cursor_kind).alias("cursor"), F.col("r.push").alias("push"), "r")
+    return good, parsed.filter(bad).select("line")
+
+
 def judged(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The valid changes with `accepted`, `serverUpdatedAt` (the newest before it) and `rank` (its place in the push).
 
@@ -120,6 +132,69 @@ def page_facts(page_rows: DataFrame, cursor: int, page: int = PAGE_SIZE) -> Data
     return page_rows.agg(F.coalesce(F.max("seq"), F.lit(cursor)).alias("cursor"), (F.count("*") == page).alias("hasMore"), F.count("*").alias("records"))
 
 
+# --- many requests at once ------------------------------------------------------------------------------------------
+
+
+def versions(changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
+    """Every version of every record with the pushes after which a facility's pull shows it: from `since` until before `until`.
+
+    A version is followed by its key's next accepted one; what `state` holds was there before all pushes (since is null)."""
+    new = sequenced(changes, state, counters).select("facilityId", "kind", "id", "seq", F.col("push").alias("since"), "body")
+    if state is not None:
+        new = new.unionByName(state.select("facilityId", "kind", "id", "seq", F.lit(None).cast("long").alias("since"), "body"))
+    return new.withColumn("until", F.lead("since").over(Window.partitionBy(*KEY).orderBy("seq")))
+
+
+def _page_ends(requests: DataFrame, shown: DataFrame, page: int) -> DataFrame:
+    """The requests with `last`, the segment of `page` sequence numbers in which their page ends at the latest.
+
+    Versions that nothing follows are shown after every later push, so a page is full once so many of them lie between
+    the cursor and the end of a segment.  A segment has `page` of them at most; so their running sums, in steps of `page`, leave
+    no step out, and the first sum that suffices is in a request's step or in the next one."""
+    sums = shown.groupBy("facilityId", "segment").agg(F.count_if(F.col("until").isNull()).alias("n"))
+    running = Window.partitionBy("facilityId").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("facilityId", "segment", F.sum("n").over(running).alias("sum"))  # a row a segment
+    first = requests.select("facilityId", "push", F.floor(F.greatest("cursor", F.lit(0)) / page).alias("begin"))
+    # the running sum at the end of the cursor's own segment, or of the last one before it
+    ahead = F.lead("segment").over(Window.partitionBy("facilityId").orderBy("segment"))
+    spans = sums.select("facilityId", "sum", F.col("segment").alias("s"), F.coalesce(ahead, F.col("segment") + 1).alias("t"))
+    whole = spans.select("facilityId", "sum", F.explode(F.sequence("s", F.col("t") - 1)).alias("begin"))
+    asked = first.join(whole, ["facilityId", "begin"], "left").select("facilityId", "push", (F.coalesce("sum", F.lit(0)) + page).alias("need"))
+    asked = asked.withColumn("step", F.explode(F.array(F.floor(F.col("need") / page), F.floor(F.col("need") / page) + 1)))
+    steps = sums.select("facilityId", "segment", "sum", F.floor(F.col("sum") / page).alias("step"))
+    ends = asked.join(steps, ["facilityId", "step"]).filter("sum >= need").groupBy("facilityId", "push").agg(F.min("segment").alias("last"))
+    return requests.join(ends, ["facilityId", "push"], "left")
+
+
+def pages(requests: DataFrame, changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None, page: int = PAGE_SIZE) -> DataFrame:
+    """(facilityId, push, place, kind, id, seq, body): what each request (facilityId, push, cursor) pulls after its own push.
+
+    Versions are dealt into segments of sequence numbers.  A request only meets the segments from its cursor to where its page
+    must be full, or to what its facility had by then, so the work follows what is sent, not requests times records."""
+    shown = versions(changes, state, counters).withColumn("segment", F.floor(F.col("seq") / page)).filter("since is null or until is null or until > since")
+    reached = shown.groupBy("facilityId", "since").agg(F.max("seq").alias("seq"))
+    reached = requests.select("facilityId", "push", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("seq")).unionByName(reached.select("facilityId", F.coalesce("since", F.lit(-(1 << 62))).alias("push"), F.lit(False).alias("asks"), "seq"))
+    upto = F.max("seq").over(Window.partitionBy("facilityId").orderBy("push"))  # a row a push
+    reached = reached.withColumn("upto", upto).filter("asks").select("facilityId", "push", "upto")
+    asked = _page_ends(requests, shown, page).join(reached, ["facilityId", "push"]).filter("upto > cursor")
+    asked = asked.select("facilityId", "push", "cursor", "upto", F.explode(F.sequence(F.floor(F.greatest("cursor", F.lit(0)) / page), F.least(F.coalesce("last", F.floor(F.col("upto") / page)), F.floor(F.col("upto") / page)))).alias("segment"))
+    met = asked.join(shown, ["facilityId", "segment"]).filter("seq > cursor and seq <= upto and (since is null or since <= push) and (until is null or until > push)")
+    place = F.row_number().over(Window.partitionBy("facilityId", "push").orderBy("seq"))
+    return met.select("facilityId", "push", place.alias("place"), "kind", "id", "seq", "body").filter(F.col("place") <= page)
+
+
+def responses(requests: DataFrame, changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None, page: int = PAGE_SIZE) -> DataFrame:
+    """(facilityId, push, pushed, conflicts, records, cursor, hasMore): the answer to each request (facilityId, push, cursor).
+
+    Every one is answered as of its own push, as if requests had come one by one; one without records pulls only.  The
+    refused records are in `conflicts`, what is sent in `pages`."""
+    told = judged(changes, state).groupBy("facilityId", "push").agg(F.count_if("accepted").alias("pushed"), F.count_if(~F.col("accepted")).alias("conflicts"))
+    sent = pages(requests, changes, state, counters, page).groupBy("facilityId", "push").agg(F.count("*").alias("records"), F.max("seq").alias("latest"))
+    out = requests.join(told, ["facilityId", "push"], "left").join(sent, ["facilityId", "push"], "left")
+    none = F.lit(0).cast("long")
+    return out.select("facilityId", "push", F.coalesce("pushed", none).alias("pushed"), F.coalesce("conflicts", none).alias("conflicts"), F.coalesce("records", none).alias("records"), F.coalesce("latest", "cursor").alias("cursor"), (F.coalesce("records", none) == page).alias("hasMore"))
+
+
 # --- the client's side ----------------------------------------------------------------------------------------------
 
 
@@ -184,7 +259,7 @@ def sync_round(patients: DataFrame, encounters: DataFrame, state: DataFrame, cou
 
     Pushed records are acknowledged even where the server had newer ones; what it has comes back with the page."""
     sent = {"patient": dirty(patients, False), "encounter": dirty(encounters, True)}
-    rows = [df.select(F.lit(facility).alias("facilityId"), F.lit(push).cast("long").alias("push"), F.row_number().over(Window.partitionBy(F.lit(kind)).orderBy("id")).alias("ord"), F.lit(kind).alias("kind"), "id", F.col("updatedAt").cast("double").alias("updatedAt"), "deletedAt", F.to_json(F.struct("*")).alias("body")) for kind, df in sent.items()]
+    rows = [df.select(F.lit(facility).alias("facilityId"), F.lit(push).cast("long").alias("push"), F.col("id").alias("ord"), F.lit(kind).alias("kind"), "id", F.col("updatedAt").cast("double").alias("updatedAt"), "deletedAt", F.to_json(F.struct("*")).alias("body")) for kind, df in sent.items()]
     changes = rows[0].unionByName(rows[1])
     refused, accepted = conflicts(changes, state), sequenced(changes, state, counters)
     after = apply_push(changes, state, counters)

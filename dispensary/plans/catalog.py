@@ -17,6 +17,7 @@ from dispensary.plans import oracle as O
 from dispensary.schemas import RANGES, SEVERITY
 from dispensary.sources import sinks
 from dispensary.sources import testdata as data
+from dispensary.sources.pages import PageStore
 from dispensary.streaming.feed import Snapshots, read_changes, start_feed
 
 #: Fixed instants: the month of the reports, a day and its month for dashboards, now, and the salt.
@@ -496,6 +497,39 @@ def sync_page_facts(spark, d):
     return sync.page_facts(sync.pull(sync.apply_push(data.changes(spark, d)), "f1", 20, 25), 20, 25)
 
 
+_RESPONSES = """shown AS (SELECT *, lead(push) OVER (PARTITION BY "facilityId", kind, id ORDER BY seq) AS until FROM accepted),
+asked AS (SELECT "facilityId", push, CASE push % 3 WHEN 0 THEN 0 ELSE push * 10 END AS cursor FROM counted),
+sent AS (SELECT r."facilityId", r.push, row_number() OVER (PARTITION BY r."facilityId", r.push ORDER BY seq) AS place, kind, id, seq, body
+  FROM asked r JOIN shown s ON s."facilityId" = r."facilityId" AND s.push <= r.push AND (until IS NULL OR until > r.push) AND seq > cursor QUALIFY place <= 100),
+told AS (SELECT "facilityId", push, count(*) FILTER (seen IS NULL OR "updatedAt" > seen) AS pushed, count(*) FILTER ("updatedAt" <= seen) AS conflicts FROM judged GROUP BY ALL)"""
+
+
+def _asked(spark, d):
+    """Every push asks: one in three from a device that has nothing yet, the others from some way behind."""
+    cursor = F.when(F.col("push") % 3 == 0, F.lit(0)).otherwise(F.col("push") * 10)
+    return data.changes(spark, d).select("facilityId", "push").distinct().withColumn("cursor", cursor)
+
+
+@query(O.CHANGES, _RESPONSES, select="""SELECT r."facilityId", r.push, any_value(pushed) AS pushed, any_value(conflicts) AS conflicts, count(seq) AS records, coalesce(max(seq), any_value(r.cursor)) AS cursor, count(seq) = 100 AS "hasMore"
+  FROM asked r JOIN told USING ("facilityId", push) LEFT JOIN sent USING ("facilityId", push) GROUP BY 1, 2""")
+def sync_responses(spark, d):
+    """The answers to all pushes, each as of its own."""
+    return sync.responses(_asked(spark, d), data.changes(spark, d), page=100)
+
+
+@query(O.CHANGES, _RESPONSES, select='SELECT "facilityId", push, CAST(place AS INTEGER) AS place, kind, id, seq, body FROM sent')
+def sync_response_pages(spark, d):
+    return sync.pages(_asked(spark, d), data.changes(spark, d), page=100)
+
+
+@query(O.CHANGES, select="""SELECT kind, id, body, seq FROM state WHERE "facilityId" = 'f1' AND seq > 300 ORDER BY seq LIMIT 25""")
+def sync_stored_page(spark, d):
+    """A page out of the files that hold it."""
+    pages = PageStore(spark, scratch(spark))
+    pages.write(sync.apply_push(data.changes(spark, d)), file_rows=200)
+    return pages.pull("f1", 300, 25)
+
+
 @query(select="""SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2) THEN false ELSE true END AS valid, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'f' || event_id % 5 END AS facility, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id END AS cursor FROM events""")
 def sync_validity(spark, d):
     e = F.col("event_id")

@@ -19,6 +19,9 @@ createdAt long, updatedAt long, syncedAt long, deletedAt long"""
 #: The change feed: facility, number of the push, place in the push, and the record.
 CHANGES = "facilityId string, push long, ord int, kind string, id string, updatedAt double, deletedAt long, body string"
 
+#: The record store: the last accepted version of each record.
+STATE = "facilityId string, kind string, id string, updatedAt double, deletedAt long, seq long, body string"
+
 # Plausibility bounds (both included), unit, decimals shown.
 RANGES = {
     "temperature": (30.0, 45.0, "°C", 1),

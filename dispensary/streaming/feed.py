@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dispensary.operators import sync
 from dispensary.operators.store import last_visit
-from dispensary.schemas import CHANGES
+from dispensary.schemas import CHANGES, STATE
 
 #: Buckets of the record store.
 BUCKETS = 64
@@ -60,7 +60,7 @@ class Snapshots:
 
     def _state(self, held: dict[int, int]) -> DataFrame:
         paths = [f"{self._path(v, 'state')}/bucket={b}" for b, v in sorted(held.items())]
-        return self.spark.read.schema(sync.STATE).parquet(*paths) if paths else self.spark.createDataFrame([], sync.STATE)
+        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
 
     def latest(self) -> DataFrame:
         return self._state(self._buckets(self._last()))
