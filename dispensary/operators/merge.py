@@ -36,7 +36,8 @@ def merge_patients(patients: DataFrame, encounters: DataFrame, pairs: DataFrame,
     """(patients, encounters, outcome (keepId, duplicateId, moved, filled)) after merging disjoint pairs.
 
     The duplicate becomes a tombstone, and all its encounters, deleted ones too, move to the survivor.  A pair of one
-    patient is an error, as is a patient in several pairs; pairs with an unknown patient change nothing."""
+    patient is an error, as is a patient in several pairs, which mergelog.apply_merge_log takes in order; pairs with an unknown
+    patient change nothing."""
     ids = pairs.select(F.explode(F.array("keepId", "duplicateId")).alias("id"))
     if not ids.groupBy("id").count().filter("count > 1").isEmpty():
         raise ValueError("a patient can be merged once at a time, and not into itself")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,9 +11,10 @@ from pyspark.sql import functions as F
 from dispensary.functions import clinical as C
 from dispensary.functions import text as T
 from dispensary.functions.extract import extraction, spoken_number
-from dispensary.operators import bundle, deid, merge, report, store, sync
+from dispensary.operators import bundle, deid, merge, mergelog, report, store, sync
 from dispensary.plans import oracle as O
 from dispensary.schemas import RANGES, SEVERITY
+from dispensary.session import shared_folder
 from dispensary.sources import sinks
 from dispensary.sources import testdata as data
 from dispensary.sources.pages import PageStore
@@ -626,13 +626,7 @@ def stream_lww(spark, d):
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares; in local runs a temporary one."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not shared:
-        if sc.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
-        shared = tempfile.mkdtemp(prefix="dispensary-")
-    return f"{shared}/dispensary-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/dispensary-{uuid.uuid4().hex}"
 
 
 # --- extraction and merges --------------------------------------------------------------------------------------
@@ -747,6 +741,53 @@ def merged_encounters(spark, d):
     return merge.merge_patients(data.patients(spark, d), data.visits(spark, d), _pairs(spark, d), NOW)[1].select("id", "patientId", "updatedAt", "syncedAt")
 
 
+_LOG = """log AS (SELECT k // 6 * 10 + CASE k // 6 % 3 WHEN 0 THEN 5 - k % 6 WHEN 1 THEN k % 6 ELSE k % 6 END AS ord, 'p' || CASE WHEN k // 6 % 3 = 2 THEN k // 6 * 6 ELSE k - 1 END AS "keepId", 'p' || k AS "duplicateId" FROM patients WHERE k % 6 > 0 AND k // 6 * 6 IN (SELECT k FROM patients)),
+stamped AS (SELECT *, 1700000000000 + ord AS ms FROM log),
+walks AS (SELECT "duplicateId" AS start, min(ord) AS ord FROM log GROUP BY 1 UNION ALL
+  SELECT w.start, n.ord FROM walks w JOIN log l USING (ord), LATERAL (SELECT min(m.ord) AS ord FROM log m WHERE m."duplicateId" = l."keepId" AND m.ord > l.ord) n WHERE n.ord IS NOT NULL),
+ends AS (SELECT start, max(ord) AS ord FROM walks GROUP BY 1),
+leaves AS (SELECT DISTINCT "keepId" AS root, "keepId" AS x, []::BIGINT[] AS path, 1000000000000 AS moment FROM log UNION ALL SELECT root, l."duplicateId", list_append(path, l.ord), l.ord FROM leaves v JOIN log l ON l."keepId" = v.x AND l.ord < v.moment),
+""" + """valued AS (SELECT v.*, p.* FROM leaves v JOIN patients p ON p.id = v.x),
+gained AS (SELECT root, """ + ", ".join(f"""arg_min("{f}", path) FILTER ({t}) AS "{f}", arg_min(path, path) FILTER ({t})[1] AS "{f}By\"""" for f, t in (("givenName", "\"givenName\" <> ''"), ("birthDate", '"birthDate" IS NOT NULL'), ("approximateAge", '"approximateAge" IS NOT NULL'), ("phone", "phone <> ''"), ("address", 'address IS NOT NULL'), ("registerNo", '"registerNo" IS NOT NULL'), ("sex", "sex <> 'unknown'"))) + """ FROM valued GROUP BY 1)"""
+
+
+def _merge_log(spark, d):
+    """Six patients after six: a chain merged from its end, so that all arrives at the first; one merged from its beginning, so that each step goes one on; a star."""
+    k = data.patients(spark, d).select(F.substring("id", 2, 20).cast("long").alias("k"))
+    g = F.floor(F.col("k") / 6)
+    heads = k.filter("k % 6 = 0").select(F.floor(F.col("k") / 6).alias("g"))
+    rows = k.filter("k % 6 > 0").withColumn("g", g).join(heads, "g", "left_semi")
+    of = lambda x: F.concat(F.lit("p"), x.cast("string"))
+    ord_ = F.col("g") * 10 + F.when(F.col("g") % 3 == 0, 5 - F.col("k") % 6).otherwise(F.col("k") % 6)
+    rows = rows.select(ord_.alias("ord"), of(F.when(F.col("g") % 3 == 2, F.col("g") * 6).otherwise(F.col("k") - 1)).alias("keepId"), of(F.col("k")).alias("duplicateId"))
+    return rows.withColumn("at", F.lit(1700000000000) + F.col("ord"))
+
+
+def _merged_by_log(spark, d):
+    return mergelog.apply_merge_log(data.patients(spark, d), data.visits(spark, d), _merge_log(spark, d))
+
+
+@query("RECURSIVE " + O.PATIENTS, _LOG, select="""SELECT p.id, coalesce(g."givenName", p."givenName") AS "givenName", coalesce(g."birthDate", p."birthDate") AS "birthDate", CASE WHEN g."birthDate" IS NOT NULL THEN 'day' ELSE p."birthDatePrecision" END AS "birthDatePrecision",
+  CAST(coalesce(g."approximateAge", p."approximateAge") AS INTEGER) AS "approximateAge", coalesce(g.phone, p.phone) AS phone, coalesce(g.address, p.address) AS address, coalesce(g."registerNo", p."registerNo") AS "registerNo", coalesce(g.sex, p.sex) AS sex,
+  coalesce(d.ms, p."deletedAt") AS "deletedAt", coalesce(greatest(d.ms, k.ms), p."updatedAt") AS "updatedAt", CASE WHEN d.ms IS NULL AND k.ms IS NULL THEN p."syncedAt" END AS "syncedAt"
+  FROM patients p LEFT JOIN gained g ON g.root = p.id LEFT JOIN (SELECT "duplicateId" AS id, max(ms) AS ms FROM stamped GROUP BY 1) d ON d.id = p.id LEFT JOIN (SELECT "keepId" AS id, max(ms) AS ms FROM stamped GROUP BY 1) k ON k.id = p.id""")
+def merge_log_patients(spark, d):
+    return _merged_by_log(spark, d)[0].select("id", "givenName", "birthDate", "birthDatePrecision", "approximateAge", "phone", "address", "registerNo", "sex", "deletedAt", "updatedAt", "syncedAt")
+
+
+@query("RECURSIVE " + O.PATIENTS, O.VISITS, _LOG, select="""SELECT v.id, coalesce(l."keepId", v."patientId") AS "patientId", coalesce(l.ms, v."updatedAt") AS "updatedAt", CASE WHEN l.ms IS NULL THEN v."syncedAt" END AS "syncedAt"
+  FROM visits v LEFT JOIN ends e ON e.start = v."patientId" LEFT JOIN stamped l ON l.ord = e.ord""")
+def merge_log_encounters(spark, d):
+    return _merged_by_log(spark, d)[1].select("id", "patientId", "updatedAt", "syncedAt")
+
+
+@query("RECURSIVE " + O.PATIENTS, O.VISITS, _LOG, select="""SELECT l.ord, l."keepId", l."duplicateId", (SELECT count(*) FROM walks w JOIN visits v ON v."patientId" = w.start WHERE w.ord = l.ord) AS moved,
+  array_to_string(list_filter([CASE WHEN "givenNameBy" = l.ord THEN 'givenName' END, CASE WHEN "birthDateBy" = l.ord THEN 'birthDate' END, CASE WHEN "approximateAgeBy" = l.ord THEN 'approximateAge' END, CASE WHEN "phoneBy" = l.ord THEN 'phone' END, CASE WHEN "addressBy" = l.ord THEN 'address' END, CASE WHEN "registerNoBy" = l.ord THEN 'registerNo' END, CASE WHEN "sexBy" = l.ord THEN 'sex' END], lambda x: x IS NOT NULL), ',') AS filled
+  FROM log l JOIN gained g ON g.root = l."keepId\"""")
+def merge_log_outcome(spark, d):
+    return _merged_by_log(spark, d)[2].withColumn("filled", F.array_join("filled", ","))
+
+
 # --- changes and sinks ------------------------------------------------------------------------------------------
 
 

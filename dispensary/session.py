@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,17 @@ def local_session(cores: str = "8", app: str = "dispensary") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, which checkpoints of this session go to; only local runs may
+    name none, and get a new one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        named = tempfile.mkdtemp(prefix="dispensary-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
