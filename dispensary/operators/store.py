@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dispensary.functions import clinical as C
 from dispensary.functions.text import normalise, search_key, trim
 from dispensary.schemas import RANGES
+from dispensary.sources.buckets import BucketTable
 
 DAY_MS = 86_400_000
 
@@ -51,6 +52,11 @@ def timeline(encounters: DataFrame, patient_id: str) -> DataFrame:
     return live(by_key(encounters, "patientId", patient_id)).orderBy(F.desc("occurredAt"), "id")
 
 
+def stored_timeline(encounters: BucketTable, patient_id: str) -> DataFrame:
+    """The same out of a table that is dealt by patientId: one bucket is opened, and the patient's rows are sorted in one task."""
+    return live(encounters.lookup(patient_id)).coalesce(1).sortWithinPartitions(F.desc("occurredAt"), "id")
+
+
 def counts(patients: DataFrame, encounters: DataFrame) -> DataFrame:
     return live(patients).agg(F.count("*").alias("patients")).crossJoin(live(encounters).agg(F.count("*").alias("encounters")))  # one row each
 

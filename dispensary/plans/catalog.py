@@ -5,18 +5,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dispensary.functions import clinical as C
 from dispensary.functions import text as T
 from dispensary.functions.extract import extraction, spoken_number
-from dispensary.operators import bundle, deid, merge, mergelog, report, store, sync
+from dispensary.operators import bundle, deid, merge, mergelog, patches, report, store, sync
 from dispensary.plans import oracle as O
 from dispensary.schemas import RANGES, SEVERITY
 from dispensary.session import shared_folder
 from dispensary.sources import sinks
 from dispensary.sources import testdata as data
+from dispensary.sources.buckets import BucketTable
 from dispensary.sources.pages import PageStore
 from dispensary.streaming.feed import Snapshots, read_changes, start_feed
 
@@ -823,6 +825,90 @@ def delete_encounter(spark, d):
     return store.delete_encounter(data.visits(spark, d), "e11", NOW).select("id", "deletedAt", F.size("attachmentIds").alias("attachments"), "syncedAt")
 
 
+def _entry(k, ord_: int, op: str, **values) -> Column:
+    """An entry of the log; the order is that of the kinds of entries, then that of the records."""
+    sets = values.get("sets")
+    return F.struct((F.lit(ord_ * 10**10) + k).alias("ord"), F.lit(1700000000000 + ord_ * 1000).alias("at"), F.lit(op).alias("op"), (F.lit(None) if sets is None else F.to_json(sets)).cast("string").alias("sets"), F.array(*[F.lit(x) for x in values.get("erase", ())]).cast("array<string>").alias("erase"), values.get("attachment", F.lit(None)).cast("string").alias("attachmentId"))
+
+
+def _read_log(rows: DataFrame, entries: list[Column], schema: str) -> DataFrame:
+    kind = StructType.fromDDL(schema)
+    log = rows.select("id", F.explode(F.array_compact(F.array(*entries))).alias("p")).select("id", "p.*")
+    return log.withColumn("sets", F.from_json("sets", kind["sets"].dataType)).select([F.col(c) for c in kind.names if c in log.columns])
+
+
+def _encounter_log(spark, d):
+    """Up to eight entries an encounter: values set and erased again, provenance, both states, attachments, tombstones."""
+    v = data.visits(spark, d).select("id")
+    k = F.substring("id", 2, 20).cast("long")
+    manual = F.create_map(F.lit("diagnosis"), F.struct(F.lit("manual").alias("source")))
+    named = lambda x: F.concat(F.lit(x), k.cast("string"))
+    return _read_log(v, [
+        F.when(k % 3 == 0, _entry(k, 1, "patch", sets=F.struct(F.struct((k % 50 + 50).cast("double").alias("pulse")).alias("vitals"), F.lit("revu").alias("diagnosis")))),
+        F.when(k % 6 == 0, _entry(k, 2, "patch", sets=F.struct(named("note ").alias("notes")), erase=("vitals.pulse",))),
+        F.when(k % 7 == 0, _entry(k, 3, "patch", sets=F.struct(manual.alias("provenance")))),
+        F.when(k % 4 == 0, _entry(k, 4, "finalise")),
+        F.when(k % 5 == 0, _entry(k, 5, "attach", attachment=named("b"))),
+        F.when(k % 22 == 0, _entry(k, 6, "detach", attachment=named("a"))),
+        F.when(k % 13 == 0, _entry(k, 7, "delete")),
+        F.when(k % 26 == 0, _entry(k, 8, "attach", attachment=named("c"))),
+    ], patches.ENCOUNTER_PATCHES)
+
+
+def _patient_log(spark, d):
+    p = data.patients(spark, d).select("id")
+    k = F.substring("id", 2, 20).cast("long")
+    return _read_log(p, [
+        F.when(k % 3 == 0, _entry(k, 1, "update", sets=F.struct(F.lit("099 00").alias("phone")))),
+        F.when(k % 6 == 0, _entry(k, 2, "update", erase=("phone",))),
+        F.when(k % 10 == 0, _entry(k, 3, "update", sets=F.struct(F.lit("NOUVÉAU").alias("familyName")))),
+        F.when(k % 17 == 0, _entry(k, 9, "delete")),
+    ], patches.PATIENT_PATCHES)
+
+
+_GONE = """CASE WHEN "patientId" <> 'ghost' THEN CAST(substr("patientId", 2) AS BIGINT) % 17 = 0 AND "patientId" IN (SELECT id FROM patients) ELSE false END AS gone"""
+
+
+@query(O.PATIENTS, O.VISITS, f"""own AS (SELECT *, {_GONE} FROM visits)""", select="""SELECT id, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 3 = 0 THEN CAST(k % 50 + 50 AS DOUBLE) ELSE pulse END AS pulse, systolic, CASE WHEN k % 3 = 0 THEN 'revu' ELSE diagnosis END AS diagnosis, CASE WHEN k % 6 = 0 THEN 'note ' || k ELSE notes END AS notes,
+  CASE WHEN k % 4 = 0 THEN 'final' ELSE status END AS status, CASE WHEN k % 7 = 0 THEN 3 ELSE 2 END AS said, CASE WHEN gone THEN 1700000009000 WHEN k % 13 = 0 THEN 1700000007000 ELSE "deletedAt" END AS "deletedAt",
+  CASE WHEN gone THEN '' WHEN k % 26 = 0 THEN 'c' || k WHEN k % 13 = 0 THEN '' ELSE array_to_string(list_filter([CASE WHEN k % 11 = 0 AND k % 22 <> 0 THEN 'a' || k END, CASE WHEN k % 5 = 0 THEN 'b' || k END], lambda x: x IS NOT NULL), ',') END AS attachments,
+  CASE WHEN gone THEN 1700000009000 WHEN k % 26 = 0 THEN 1700000008000 WHEN k % 13 = 0 THEN 1700000007000 WHEN k % 22 = 0 THEN 1700000006000 WHEN k % 5 = 0 THEN 1700000005000 WHEN k % 4 = 0 THEN 1700000004000 WHEN k % 7 = 0 THEN 1700000003000 WHEN k % 6 = 0 THEN 1700000002000 WHEN k % 3 = 0 THEN 1700000001000 ELSE "updatedAt" END AS "updatedAt",
+  CASE WHEN NOT gone AND k % 3 <> 0 AND k % 4 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 AND k % 13 <> 0 THEN "syncedAt" END AS "syncedAt" FROM own""")
+def patch_log_encounters(spark, d):
+    """All entries at once, merged into a stored table bucket by bucket; encounters of deleted patients go with them."""
+    v = data.visits(spark, d)
+    table = BucketTable(spark, scratch(spark), v.schema)
+    table.write(v)
+    log = patches.with_deleted_patients(v, _encounter_log(spark, d), _patient_log(spark, d))
+    table.change(log, lambda rows: patches.patch_encounters(rows, log))
+    return table.read().select("id", "vitals.pulse", "vitals.systolic", "diagnosis", "notes", "status", F.size("provenance").alias("said"), "deletedAt", F.array_join("attachmentIds", ",").alias("attachments"), "updatedAt", "syncedAt")
+
+
+@query(O.PATIENTS, select="""SELECT id, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 3 = 0 THEN '099 00' ELSE phone END AS phone, CASE WHEN k % 10 = 0 THEN 'NOUVÉAU' ELSE "familyName" END AS "familyName",
+  CASE WHEN k % 3 <> 0 AND k % 10 <> 0 THEN "searchKey" ELSE regexp_replace(trim(strip_accents(lower(CASE WHEN k % 10 = 0 THEN 'NOUVÉAU' ELSE "familyName" END || ' ' || "givenName" || ' ' || coalesce("registerNo", '') || ' ' || coalesce(CASE WHEN k % 6 = 0 THEN NULL WHEN k % 3 = 0 THEN '099 00' ELSE phone END, '')))), '\\s+', ' ', 'g') END AS "searchKey",
+  CASE WHEN k % 17 = 0 THEN 1700000009000 ELSE "deletedAt" END AS "deletedAt", CASE WHEN k % 17 = 0 THEN 1700000009000 WHEN k % 10 = 0 THEN 1700000003000 WHEN k % 6 = 0 THEN 1700000002000 WHEN k % 3 = 0 THEN 1700000001000 ELSE "updatedAt" END AS "updatedAt",
+  CASE WHEN k % 17 <> 0 AND k % 10 <> 0 AND k % 3 <> 0 THEN "syncedAt" END AS "syncedAt" FROM keyed""")
+def patch_log_patients(spark, d):
+    return patches.patch_patients(data.patients(spark, d), _patient_log(spark, d)).select("id", "phone", "familyName", "searchKey", "deletedAt", "updatedAt", "syncedAt")
+
+
+@query(O.PATIENTS, O.VISITS, f"""own AS (SELECT *, {_GONE} FROM visits)""", select="""SELECT 'a' || k AS id, id AS "encounterId" FROM own WHERE k % 11 = 0 AND k % 22 <> 0 AND k % 13 <> 0 AND NOT gone""")
+def patch_log_attachments(spark, d):
+    v = data.visits(spark, d)
+    files = v.select(F.explode("attachmentIds").alias("id"), F.col("id").alias("encounterId"))
+    log = patches.with_deleted_patients(v, _encounter_log(spark, d), _patient_log(spark, d))
+    return patches.surviving_attachments(files, log).select("id", "encounterId")
+
+
+@query(O.VISITS, select="""SELECT id, "occurredAt", status, diagnosis FROM visits WHERE "patientId" = 'p7' AND "deletedAt" IS NULL""")
+def patient_timeline_stored(spark, d):
+    """Out of the one bucket that holds the patient's encounters, without a shuffle."""
+    v = data.visits(spark, d)
+    table = BucketTable(spark, scratch(spark), v.schema, key="patientId", order=("patientId", "occurredAt"))
+    table.write(v)
+    return store.stored_timeline(table, "p7").select("id", "occurredAt", "status", "diagnosis")
+
+
 @query(O.VISITS, select=f"""SELECT id, CASE WHEN id = 'e11' THEN 'b1' WHEN k % 11 = 0 THEN 'a' || k ELSE '' END AS attachments, CASE WHEN id = 'e11' THEN {NOW} + 1 ELSE "updatedAt" END AS "updatedAt", CASE WHEN id <> 'e11' THEN "syncedAt" END AS "syncedAt" FROM visits""")
 def attachments(spark, d):
     e = store.add_attachment(data.visits(spark, d), "e11", "b1", NOW)

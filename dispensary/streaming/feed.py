@@ -1,99 +1,84 @@
-"""The change feed in Structured Streaming: every micro-batch is merged into the newest snapshot of the record store.
+"""The change feed in Structured Streaming: every micro-batch is merged into the newest version of the record store.
 
-Snapshots have version numbers of their own.  A batch is known by the identifier of its stream (that of the checkpoint)
-and its number in it, and the version that it became is written down before that version is complete; so a replayed batch is
-passed over if its version is complete and done again if it isn't, and the first batch of another stream is a new version like
-any other.  The store is dealt into buckets by key, and a version only holds the buckets that its batch touched.
+The store is a table in buckets (sources/buckets.py).  A version's manifest also names the counters, the conflicts, and of each stream
+(by the identifier in its checkpoint) the last batch that it holds; all of it is there at once or not at all, so a replayed batch
+is passed over and a batch that failed is done again.  Versions that nobody needs go, and conflicts are put together, so the number
+of files does not follow the number of batches.
 """
 
 from __future__ import annotations
 
 import json
+from contextlib import AbstractContextManager
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from dispensary.operators import sync
 from dispensary.operators.store import last_visit
 from dispensary.schemas import CHANGES, STATE
+from dispensary.sources.buckets import BUCKETS, BucketTable
 
-#: Buckets of the record store.
-BUCKETS = 64
+COUNTERS = "facilityId string, value long"
+CONFLICTS = "facilityId string, push long, kind string, id string, reason string, serverUpdatedAt double"
 
-
-def bucket_of() -> Column:
-    return F.pmod(F.xxhash64(*sync.KEY), F.lit(BUCKETS)).cast("int")
+#: Folders of conflicts before they are put together, and conflicts in a file of these.
+FOLDERS, FILE_ROWS = 16, 1_000_000
 
 
 class Snapshots:
-    """Versions of the record store, the counters and the conflicts below one folder, written and listed by Spark's file system.
-
-    One stream writes at a time."""
+    """Versions of the record store, the counters and the conflicts.  One stream writes at a time; of two, one fails.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    With `keep`, only so many versions stay after each batch, besides those that a reader has pinned."""
 
-    def _path(self, version: int, name: str) -> str:
-        return f"{self.path}/{name}/v={version}"
-
-    def _done(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def __init__(self, spark: SparkSession, path: str, keep: int | None = None, buckets: int = BUCKETS):
+        self.spark, self.keep = spark, keep
+        self.table = BucketTable(spark, path, STATE, sync.KEY, buckets=buckets)
 
     def versions(self) -> list[int]:
-        """Complete versions; counters are written last."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/counters")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        found = [int(n[2:]) for n in names if n.startswith("v=")]
-        return sorted(v for v in found if self._done(self._path(v, "counters")))
-
-    def _last(self) -> int:
-        return max(self.versions(), default=-1)
-
-    def _buckets(self, version: int) -> dict[int, int]:
-        """Which version holds each bucket."""
-        return {r.bucket: r.version for r in self.spark.read.parquet(self._path(version, "buckets")).collect()} if version >= 0 else {}
-
-    def _state(self, held: dict[int, int]) -> DataFrame:
-        paths = [f"{self._path(v, 'state')}/bucket={b}" for b, v in sorted(held.items())]
-        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
+        return self.table.versions()
 
     def latest(self) -> DataFrame:
-        return self._state(self._buckets(self._last()))
+        return self.table.read()
+
+    def pinned(self, version: int | None = None) -> AbstractContextManager[DataFrame]:
+        """The state of a version, which stays readable until the block ends."""
+        return self.table.pinned(version)
 
     def counters(self) -> DataFrame:
-        last = self._last()
-        return self.spark.read.parquet(self._path(last, "counters")) if last >= 0 else self.spark.createDataFrame([], "facilityId string, value long")
+        return self.table.open(self.table.manifest().folders.get("counters", []), COUNTERS)
 
     def conflicts(self) -> DataFrame:
-        paths = [self._path(v, "conflicts") for v in self.versions()]
-        return self.spark.read.parquet(*paths) if paths else sync.conflicts(self.spark.createDataFrame([], CHANGES))
+        return self.table.open(self.table.manifest().folders.get("conflicts", []), CONFLICTS)
 
     def merge(self, changes: DataFrame, source: str, batch: int) -> None:
         """Add what a batch of a stream changes, once."""
-        origin, versions = f"{self.path}/origins/{source}/{batch}", self.versions()
-        if self._done(origin) and self.spark.read.parquet(origin).first().version in versions:
+        before = self.table.manifest()
+        if before.facts.get("batches", {}).get(source, -1) >= batch:
             return
-        last = max(versions, default=-1)
-        held, counters = self._buckets(last), self.counters()
+        counters = self.counters()
         changes = changes.persist()
+        refused: list[DataFrame] = []
+
+        def new_rows(state: DataFrame) -> DataFrame:
+            refused.append(sync.conflicts(changes, state))
+            return sync.apply_push(changes, state, counters)
+
+        def also(version: int) -> tuple[dict, dict]:
+            folders = [self.table.folder("conflicts", x, version) for x in refused]
+            every = before.folders.get("conflicts", []) + folders
+            if len(every) > FOLDERS:
+                rows = self.table.open(every, CONFLICTS)
+                every = [self.table.folder("conflicts", rows.repartition(1 + rows.count() // FILE_ROWS), version)]
+            after = self.table.folder("counters", sync.counters_after(changes, counters).coalesce(1), version)
+            return {"conflicts": every, "counters": [after]}, {"batches": before.facts.get("batches", {}) | {source: batch}}
+
         try:
-            touched = {r.bucket for r in changes.select(bucket_of().alias("bucket")).distinct().collect()}  # BUCKETS at most
-            state = self._state({b: v for b, v in held.items() if b in touched})
-            sync.conflicts(changes, state).write.mode("overwrite").parquet(self._path(last + 1, "conflicts"))
-            new = sync.apply_push(changes, state, counters).withColumn("bucket", bucket_of())
-            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(last + 1, "state"))
-            stored = {r.bucket for r in new.select("bucket").distinct().collect()} if touched else set()
-            rows = [(b, last + 1 if b in stored else held[b]) for b in sorted(held.keys() | stored)]
-            self.spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(self._path(last + 1, "buckets"))
-            self.spark.createDataFrame([(last + 1,)], "version long").coalesce(1).write.mode("overwrite").parquet(origin)
-            sync.counters_after(changes, counters).write.mode("overwrite").parquet(self._path(last + 1, "counters"))
+            self.table.change(changes, new_rows, also)
         finally:
             changes.unpersist()
+        if self.keep:
+            self.table.drop_old(self.keep)
 
 
 def read_changes(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
