@@ -20,6 +20,7 @@ from dispensary.sources import sinks
 from dispensary.sources import testdata as data
 from dispensary.sources.buckets import BucketTable
 from dispensary.sources.pages import PageStore
+from dispensary.streaming import live as live_views
 from dispensary.streaming.feed import Snapshots, read_changes, start_feed
 
 #: Fixed instants: the month of the reports, a day and its month for dashboards, now, and the salt.
@@ -626,6 +627,46 @@ def stream_lww(spark, d):
     return snapshots.latest()
 
 
+def _visit_changes(spark, d):
+    """All visits; then a third of them again, final now and some deleted; then a third of those again, with another patient."""
+    k = F.substring("id", 2, 20).cast("long")
+    first = data.visits(spark, d).select("id", "patientId", "occurredAt", "status", "updatedAt", "deletedAt").withColumn("movedFrom", F.lit(None).cast("string"))
+    second = first.filter(k % 3 == 0).withColumns({"updatedAt": F.col("updatedAt") + 1, "status": F.lit("final"), "deletedAt": F.when(k % 2 == 0, F.lit(5)).cast("long")})
+    third = second.filter(k % 9 == 0).withColumns({"updatedAt": F.col("updatedAt") + 1, "movedFrom": F.col("patientId"), "patientId": F.lit("p1")})
+    return first, second, third
+
+
+_CHANGED_VISITS = """visits2 AS (SELECT * REPLACE (CASE WHEN k % 9 = 0 THEN 'p1' ELSE "patientId" END AS "patientId", CASE WHEN k % 3 = 0 THEN 'final' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 5 END ELSE "deletedAt" END AS "deletedAt") FROM visits)"""
+
+
+@query(O.VISITS, _CHANGED_VISITS, select=f"""SELECT "patientId", max(CASE WHEN status <> 'draft' THEN "occurredAt" END) AS "lastVisit", bool_or(status = 'draft') AS "hasDraft", bool_or(status <> 'draft' AND "occurredAt" >= {DAY_START}) AS "seenToday" FROM visits2 WHERE "deletedAt" IS NULL GROUP BY 1""")
+def live_annotations(spark, d):
+    """Kept up to date by a stream in which visits are deleted, finalised and moved; the last part comes twice."""
+    at = scratch(spark)
+    view = live_views.annotation_table(spark, f"{at}/view", buckets=16)
+    parts = _visit_changes(spark, d)
+    for part in (*parts, parts[2]):
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(live_views.VISIT_CHANGES).parquet(f"{at}/in")
+        live_views.start_annotations(stream, view, f"{at}/checkpoint").awaitTermination()
+    return live_views.live_annotations(view, DAY_START)
+
+
+@query(O.PATIENTS, O.VISITS, _CHANGED_VISITS, """patients2 AS (SELECT * REPLACE (CASE WHEN k % 4 = 0 THEN 'male' ELSE sex END AS sex, CASE WHEN k % 7 = 0 THEN 7 ELSE "deletedAt" END AS "deletedAt") FROM patients)""", O.CELLS.replace("FROM visits v", "FROM visits2 v").replace("FROM patients", "FROM patients2"), select='SELECT indicator, "ageBand", sex, count FROM cells')
+def live_report(spark, d):
+    """The month's report after three batches of changes, to visits and to patients, each added as a difference."""
+    p, v = data.patients(spark, d), data.visits(spark, d)
+    k = F.substring("id", 2, 20).cast("long")
+    _, second, third = _visit_changes(spark, d)
+    whole = lambda part: v.drop("patientId", "status", "updatedAt", "deletedAt").join(part.select("id", "patientId", "status", "updatedAt", "deletedAt"), "id").select(v.columns)
+    newer = p.filter((k % 4 == 0) | (k % 7 == 0)).withColumns({"updatedAt": F.col("updatedAt") + 1, "sex": F.when(k % 4 == 0, "male").otherwise(F.col("sex")), "deletedAt": F.when(k % 7 == 0, F.lit(7)).otherwise(F.col("deletedAt"))})
+    kept = live_views.LiveReport(spark, scratch(spark), p.schema, v.schema, YEAR, MONTH, buckets=16)
+    for batch, (people, visits) in enumerate(((p, v), (newer, whole(second)), (p.limit(0), whole(third)))):
+        kept.merge(people, visits, "feed", batch)
+        kept.drop_old()
+    return kept.cells()
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares; in local runs a temporary one."""
     return f"{shared_folder(spark)}/dispensary-{uuid.uuid4().hex}"
