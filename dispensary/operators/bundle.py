@@ -203,13 +203,3 @@ def entry_json() -> Column:
 def bundle_head(as_of_ms: int) -> Column:
     """What a bundle holds beside its entries, with the time of the export."""
     return F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.lit("collection").alias("type"), iso(F.lit(as_of_ms)).alias("timestamp")))
-
-
-def bundle_document(patients: DataFrame, encounters: DataFrame, as_of_ms: int, include_drafts: bool = False, most: int = 100_000) -> DataFrame:
-    """One row: a register of up to `most` entries as one JSON document; larger ones are written in parts (ValueError)."""
-    entries = bundle_entries(patients, encounters, as_of_ms, include_drafts)
-    if entries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} entries")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(*BUNDLE_ORDER, entry_json().alias("entry")))), lambda x: x["entry"])
-    head = F.regexp_replace(bundle_head(as_of_ms), "[}]$", "")
-    return entries.agg(F.concat(head, F.lit(',"entry":['), F.array_join(listed, ","), F.lit("]}")).alias("json"))

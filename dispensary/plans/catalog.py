@@ -19,6 +19,7 @@ from dispensary.session import shared_folder
 from dispensary.sources import sinks
 from dispensary.sources import testdata as data
 from dispensary.sources.buckets import BucketTable
+from dispensary.sources.documents import read_items
 from dispensary.sources.pages import PageStore
 from dispensary.streaming import live as live_views
 from dispensary.streaming.feed import Snapshots, read_changes, start_feed
@@ -455,14 +456,15 @@ def bundle_json(spark, d):
     return j.select("part", "encounterId", "section", "place", "j.resourceType", F.col("j.id").alias("rid"), F.col("j.subject.reference").alias("subject"), said.alias("said"), F.get("j.code.coding", F.lit(0))["code"].alias("code"), value.alias("value"), F.coalesce("j.period.start", "j.effectiveDateTime", "j.authoredOn").alias("at"))
 
 
-@query(O.PATIENTS, select="""SELECT 'Bundle' AS "resourceType", 'collection' AS type, '2024-01-01T00:00:00.000Z' AS timestamp, count(*) AS entries, min('urn:uuid:' || id) AS first, max(id) AS last FROM patients WHERE "deletedAt" IS NULL""")
+@query(O.PATIENTS, O.VISITS, O.PRESCRIPTIONS, _FINAL, _FLAGS, select="""SELECT 'Patient' AS "resourceType", count(*) AS n, min(id) AS first, max(id) AS last FROM patients WHERE "deletedAt" IS NULL UNION ALL SELECT 'Encounter', count(*), min(id), max(id) FROM final
+  UNION ALL SELECT 'Observation', count(*), min(rid), max(rid) FROM (SELECT f.id || '-' || vital AS rid FROM flags JOIN final f USING (id) WHERE vital NOT IN ('systolic', 'diastolic') UNION ALL SELECT id || '-bp' FROM final WHERE systolic IS NOT NULL OR diastolic IS NOT NULL)
+  UNION ALL SELECT 'MedicationRequest', count(*), min(rid), max(rid) FROM (SELECT f.id || '-' || p.id AS rid FROM prescriptions p JOIN final f ON f.id = "encounterId")""")
 def bundle_document(spark, d):
-    """The patients' bundle as one document, parsed again."""
-    p, e = _live(spark, d)
-    e = e.withColumn("prescriptions", F.array().cast("array<struct<id:string,drug:string,dose:string,frequencyPerDay:int,durationDays:int,notes:string>>"))
-    doc = bundle.bundle_document(p, e.limit(0), NOW)
-    j = doc.select(F.from_json("json", "resourceType string, type string, timestamp string, entry array<struct<fullUrl:string,resource:struct<id:string>>>").alias("j")).select("j.*")
-    return j.select("resourceType", "type", "timestamp", F.size("entry").cast("long").alias("entries"), F.get("entry", F.lit(0))["fullUrl"].alias("first"), F.element_at("entry", -1)["resource"]["id"].alias("last"))
+    """The whole bundle, patients and encounters, written as one JSON document and read again entry by entry."""
+    at = f"{scratch(spark)}/bundle.json"
+    sinks.write_bundle(data.patients(spark, d), data.encounters(spark, d), NOW, at)
+    entries = read_items(spark, at, "resource", "fullUrl string, resource struct<resourceType:string,id:string>").filter(F.col("fullUrl") == F.concat(F.lit("urn:uuid:"), F.col("resource.id")))
+    return entries.groupBy("resource.resourceType").agg(F.count("*").alias("n"), F.min("resource.id").alias("first"), F.max("resource.id").alias("last"))
 
 
 # --- change feed ------------------------------------------------------------------------------------------------
@@ -979,6 +981,18 @@ def dump_round_trip(spark, d):
     return sinks.read_patients(spark, f"{at}/patients").select("id", "familyName", "birthDate", "phone", "updatedAt")
 
 
+@query(O.PATIENTS, O.VISITS, O.PRESCRIPTIONS, select="""SELECT id, "familyName" AS name, "updatedAt", 0 AS prescriptions, CAST(NULL AS DOUBLE) AS pulse FROM patients WHERE "deletedAt" IS NULL
+  UNION ALL SELECT v.id, "patientId", "updatedAt", (SELECT count(*) FROM prescriptions p WHERE p."encounterId" = v.id), pulse FROM visits v WHERE "deletedAt" IS NULL""")
+def dump_document(spark, d):
+    """The dump as one document, both lists read again."""
+    at = f"{scratch(spark)}/dump.json"
+    p, e = data.patients(spark, d), data.encounters(spark, d)
+    sinks.write_dump_document(p, e, deid.deidentify(*_live(spark, d), "identified", NOW)[2], "2024-01-01T00:00:00Z", "test", at)
+    p, e = sinks.read_dump_document(spark, at)
+    rows = p.select("id", F.col("familyName").alias("name"), "updatedAt", F.lit(0).cast("long").alias("prescriptions"), F.lit(None).cast("double").alias("pulse"))
+    return rows.unionByName(e.select("id", F.col("patientId").alias("name"), "updatedAt", F.size("prescriptions").cast("long").alias("prescriptions"), F.col("vitals.pulse").alias("pulse")))
+
+
 def _dumped(spark, d):
     at = scratch(spark)
     p, e = data.patients(spark, d), data.encounters(spark, d)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensary.operators.bundle import BUNDLE_ORDER, bundle_entries, bundle_head, entry_json
-from dispensary.operators.store import create_patients, live
+from dispensary.operators.store import DAY_MS, create_patients, live
 from dispensary.schemas import ENCOUNTERS, PATIENTS
+from dispensary.sources.documents import read_items, write_document
 
 
 def read_patients(spark: SparkSession, path: str) -> DataFrame:
@@ -39,13 +40,24 @@ def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return read_patients(spark, f"{path}/patients"), read_encounters(spark, f"{path}/encounters"), spark.read.json(f"{path}/manifest")
 
 
-def write_bundle(patients: DataFrame, encounters: DataFrame, as_of_ms: int, path: str) -> None:
-    """The bundle in parts: its head with the time of the export, and one entry a line in bundle order over all files.
+def write_dump_document(patients: DataFrame, encounters: DataFrame, manifest: DataFrame, exported_at: str, note: str, path: str) -> None:
+    """The same as one JSON document, as it is carried from a device: facts, then patients and encounters in the order of their ids."""
+    facts = manifest.select(F.to_json(F.struct(F.lit(exported_at).alias("exportedAt"), F.lit(1).alias("schemaVersion"), F.lit(note).alias("note"), F.struct("*").alias("deidentification"))).alias("head"))
+    row = F.to_json(F.struct("*"))
+    write_document(patients.sparkSession, path, facts.first().head, {"patients": (live(patients), row, ["id"]), "encounters": (live(encounters), row, ["id"])})
+
+
+def read_dump_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(patients, encounters) of such a document."""
+    return read_items(spark, path, "familyName", PATIENTS), read_items(spark, path, "patientId", ENCOUNTERS)
 
-    A bundle of a large register is no single document; `bundle_document` puts a small one together."""
-    entries = bundle_entries(live(patients), live(encounters), as_of_ms).orderBy(*BUNDLE_ORDER)
-    entries.select(entry_json().alias("value")).write.mode("overwrite").text(f"{path}/entries")
-    entries.sparkSession.range(1).select(bundle_head(as_of_ms).alias("value")).write.mode("overwrite").text(f"{path}/head")
+
+def write_bundle(patients: DataFrame, encounters: DataFrame, as_of_ms: int, path: str) -> None:
+    """The bundle as one JSON document: its head with the time of the export, and all entries in bundle order."""
+    spark = patients.sparkSession
+    entries = bundle_entries(live(patients), live(encounters), as_of_ms)
+    head = spark.range(1).select(bundle_head(as_of_ms).alias("head")).first().head
+    write_document(spark, path, head, {"entry": (entries, entry_json(), list(BUNDLE_ORDER))})
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
@@ -78,6 +90,36 @@ DEMO = [
 ]
 
 
+# Their encounters, as days before now, complaint, diagnosis, vitals, prescriptions (drug, dose, times a day, days),
+# and for each field its source, confidence and what was said.
+DEMO_VISITS = [
+    (
+        "demo-1", 3, "fièvre depuis trois jours, frissons", "paludisme simple",
+        {"temperature": 38.9, "pulse": 96.0, "systolic": 110.0, "diastolic": 70.0, "weight": 54.0},
+        [("artéméther luméfantrine", "20/120 mg", 2, 3), ("paracétamol", "500 mg", 3, 5)],
+        {
+            "vitals.temperature": ("voice", 0.75, "température trente-huit virgule neuf"),
+            "vitals.pulse": ("voice", 0.75, "pouls quatre-vingt-seize"),
+            "vitals.systolic": ("voice", 0.8, "tension onze sur sept"),
+            "vitals.diastolic": ("voice", 0.8, "tension onze sur sept"),
+            "diagnosis": ("voice", 0.8, "diagnostic paludisme simple"),
+        },
+    ),
+    (
+        "demo-2", 1, "toux et difficulté à respirer", "pneumonie",
+        {"temperature": 39.6, "pulse": 138.0, "respiratoryRate": 42.0, "oxygenSaturation": 91.0, "weight": 18.0},
+        [("amoxicilline", "250 mg", 3, 7)],
+        {"vitals.respiratoryRate": ("manual", None, None), "vitals.oxygenSaturation": ("manual", None, None)},
+    ),
+    (
+        "demo-3", 10, "contrôle tension", "hypertension artérielle",
+        {"systolic": 168.0, "diastolic": 98.0, "pulse": 78.0, "weight": 71.0},
+        [("amlodipine", "5 mg", 1, 30)],
+        {},
+    ),
+]
+
+
 def seed(patients: DataFrame, now_ms: int) -> DataFrame:
     """Demonstration patients if the table is empty, else the table."""
     if not patients.isEmpty():
@@ -86,6 +128,21 @@ def seed(patients: DataFrame, now_ms: int) -> DataFrame:
     return create_patients(patients, new, now_ms)
 
 
+def seed_encounters(encounters: DataFrame, patients: DataFrame, now_ms: int) -> DataFrame:
+    """The demonstration patients' final encounters if the patients' table, as it was before it was seeded, is empty, else the table."""
+    if not patients.isEmpty():
+        return encounters
+    rows = []
+    for k, (patient, days, complaint, diagnosis, vitals, drugs, said) in enumerate(DEMO_VISITS, start=1):
+        listed = [{"id": f"demo-rx-{k}-{i}", "drug": d, "dose": dose, "frequencyPerDay": times, "durationDays": n} for i, (d, dose, times, n) in enumerate(drugs, start=1)]
+        provenance = {f: {"source": s, "confidence": c, "rawText": t} for f, (s, c, t) in said.items()}
+        row = {"id": f"demo-e{k}", "patientId": patient, "occurredAt": now_ms - days * DAY_MS, "chiefComplaint": complaint, "diagnosis": diagnosis, "vitals": vitals, "prescriptions": listed, "provenance": provenance}
+        rows.append(row | {"attachmentIds": [], "status": "final", "createdAt": now_ms, "updatedAt": now_ms})
+    shape = encounters.sparkSession.createDataFrame([], ENCOUNTERS).schema
+    new = encounters.sparkSession.createDataFrame([tuple(r.get(c) for c in shape.names) for r in rows], shape)
+    return encounters.unionByName(new.select([c for c in shape.names if c in encounters.columns]))
+
+
 def cleared(df: DataFrame) -> DataFrame:
     """The table without rows."""
     return df.limit(0)
