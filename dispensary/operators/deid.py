@@ -2,8 +2,9 @@
 
 Redaction is a join, not a pattern over every term.  A text can only hold a term as whole words if it holds the term's first
 run of word characters, so texts are folded and cut into runs, the runs are joined with those of the terms by hash, and a
-row gets the terms that it may hold.  Each of them becomes a pattern that matches the unfolded text, and a row's patterns
-replace their places one after the other, the longest first.  All of it are expressions.
+row gets the terms that it may hold.  A bitmap of the terms' runs, of bounded size however large the roster is, goes to all
+tasks first, and only runs that it may hold leave them.  Each term becomes a pattern that matches the unfolded text, and a row's patterns replace their places one after the other, the longest
+first.  All of it are expressions.
 """
 
 from __future__ import annotations
@@ -29,9 +30,14 @@ def _edge(word: str) -> str:
     return f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))"
 
 
+#: Bits of the map of the terms' runs: 16 MB in pieces of 4 kB, whatever the roster.
+MAP_BITS = 27
+
 # Phone numbers, and other long runs of digits.
 _PHONE = rf"{_edge(_WORD)}(?:\+?261[{WS}.-]?)?0?[0-9]{{2}}[{WS}.-]?[0-9]{{2}}[{WS}.-]?[0-9]{{3}}[{WS}.-]?[0-9]{{2}}{_edge(_WORD)}"
 _DIGITS = rf"{_edge(_WORD)}[0-9]{{7,}}{_edge(_WORD)}"
+# What a text with one of them must hold.
+_SOME_PHONE, _SOME_DIGITS = rf"[0-9]{{2}}[{WS}.-]?[0-9]{{2}}[{WS}.-]?[0-9]{{3}}", "[0-9]{7}"
 
 
 def random_salt() -> str:
@@ -50,24 +56,54 @@ def term_pattern(folded: Column) -> Column:
     """What a folded term looks like in texts: any letter that folds to one of its letters, as whole words."""
     letter = F.create_map(*[F.lit(x) for pair in LETTERS_OF.items() for x in pair])
     one = lambda c: F.coalesce(F.concat(F.lit("["), letter[c], F.lit("]")), F.when(c.rlike(f"[{_WORD}]"), F.concat(F.lit("["), c, F.upper(c), F.lit("]"))), F.concat(F.lit("(?:\\Q"), c, F.lit("\\E|\\Q"), F.upper(c), F.lit("\\E)")))
-    edge = F.lit(_edge(_WORD + FOLDED_LETTERS))
-    return F.concat(edge, F.array_join(F.transform(F.regexp_extract_all(folded, F.lit("(?s)(.)")), one), ""), edge)
+    # a boundary next to a letter that is known says what the other side must be
+    inside = _WORD + FOLDED_LETTERS
+    is_word = lambda c: c.rlike(f"[{_WORD}]")  # noqa: E731  folded letters are among these
+    before = F.when(is_word(F.left(folded, F.lit(1))), f"(?<![{inside}])").otherwise(f"(?<=[{inside}])")
+    after = F.when(is_word(F.right(folded, F.lit(1))), f"(?![{inside}])").otherwise(f"(?=[{inside}])")
+    return F.concat(before, F.array_join(F.transform(F.regexp_extract_all(folded, F.lit("(?s)(.)")), one), ""), after)
+
+
+def _marks(text: Column) -> Column:
+    """How many redactions a text shows."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(REDACTED), F.lit("")))) / len(REDACTED)).cast("int")
 
 
 def _by_patterns(text: Column, patterns: Column) -> Column:
-    """(text, n redactions) after all patterns, one after the other."""
+    """(text, n redactions) after all patterns, one after the other.
+
+    A redaction leaves its mark and takes none away, unless a term holds a sign of the mark; then places are counted."""
     start = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    return F.aggregate(patterns, start, lambda s, p: F.struct(F.regexp_replace(s["text"], p, F.lit(REDACTED)).alias("text"), (s["n"] + F.coalesce(F.regexp_count(s["text"], p), F.lit(0))).alias("n")))
+
+    odd = F.exists(patterns, lambda p: p.contains("…"))
+    slow = F.aggregate(patterns, start, lambda s, p: F.struct(F.regexp_replace(s["text"], p, F.lit(REDACTED)).alias("text"), (s["n"] + F.coalesce(F.regexp_count(s["text"], p), F.lit(0))).alias("n")))
+    fast = F.aggregate(patterns, text, lambda t, p: F.regexp_replace(t, p, F.lit(REDACTED)), lambda t: F.struct(t.alias("text"), F.coalesce(_marks(t) - _marks(text), F.lit(0)).alias("n")))
+    return F.when(odd, slow).otherwise(fast)
 
 
 def _numbers(done: Column) -> Column:
     """Phone numbers, then runs of seven digits and more, in what is left of each text."""
 
-    def without(pattern: str, done: Column) -> Column:
+    def without(pattern: str, needs: str, done: Column) -> Column:
         found = lambda s: F.coalesce(F.regexp_count(s["text"], F.lit(pattern)), F.lit(0))
-        return F.transform(done, lambda s: F.struct(F.regexp_replace(s["text"], F.lit(pattern), F.lit(REDACTED)).alias("text"), (s["n"] + found(s)).alias("n")))
+        return F.transform(done, lambda s: F.when(s["text"].rlike(needs), F.struct(F.regexp_replace(s["text"], F.lit(pattern), F.lit(REDACTED)).alias("text"), (s["n"] + found(s)).alias("n"))).otherwise(s))
+
+    return without(_DIGITS, _SOME_DIGITS, without(_PHONE, _SOME_PHONE, done))
+
+
+def _map_place(run: Column) -> tuple[Column, Column]:
+    """Which piece of the map a run is in, and which bit of it."""
+    at = F.pmod(F.xxhash64(run), F.lit(1 << MAP_BITS))
+    return F.shiftright(at, 15), at % (1 << 15)
+
 
-    return without(_DIGITS, without(_PHONE, done))
+def _known_runs(runs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The runs (key_, run_) that may begin a term; what the map does not hold is in none."""
+    piece, bit = _map_place(F.col("run_"))
+    pieces = terms.select(piece.alias("piece_"), bit.alias("bit_")).groupBy("piece_").agg(F.bitmap_construct_agg("bit_").alias("map_"))
+    byte = F.conv(F.hex(F.substring(F.col("map_"), (F.floor(F.col("bit_") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = runs.withColumns({"piece_": piece, "bit_": bit}).join(F.broadcast(pieces), "piece_")  # 4 kB a piece, 2 ** (MAP_BITS - 15) pieces at most
+    return met.filter(F.getbit(byte, (F.col("bit_") % 8).cast("int")) == 1).select("key_", "run_")
 
 
 def scrubbed(rows: DataFrame, key: str, texts: Column, terms: DataFrame) -> DataFrame:
@@ -80,7 +116,7 @@ def scrubbed(rows: DataFrame, key: str, texts: Column, terms: DataFrame) -> Data
     t = terms.select("folded", F.regexp_extract("folded", run, 1).alias("run_")).filter("run_ <> ''").distinct()
     t = t.select("run_", F.struct((-F.length("folded")).alias("order"), "folded", term_pattern(F.col("folded")).alias("pattern")).alias("term_"))
     runs = own.select(F.col(key).alias("key_"), F.explode(F.array_distinct(F.flatten(F.transform(F.array_compact("texts_"), lambda x: F.regexp_extract_all(fold_names(x), F.lit(run)))))).alias("run_"))
-    hits = runs.join(t, "run_").groupBy("key_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
+    hits = _known_runs(runs, t).join(t, "run_").groupBy("key_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
     met = own.join(hits, F.col(key) == F.col("key_"), "left")
     patterns = F.coalesce(F.transform("terms_", lambda x: x["pattern"]), F.array().cast("array<string>"))
     clean = F.transform("texts_", lambda x: _by_patterns(x, patterns))
