@@ -21,6 +21,7 @@ from dispensary.sources import testdata as data
 from dispensary.sources.buckets import BucketTable
 from dispensary.sources.documents import read_items
 from dispensary.sources.pages import PageStore
+from dispensary.sources.postings import SearchIndex
 from dispensary.streaming import live as live_views
 from dispensary.streaming.feed import Snapshots, read_changes, start_feed
 
@@ -94,10 +95,15 @@ def dhis2_document(spark, d):
     return rows.select((F.col("i") + 1).alias("place"), "period", "dataSet", "orgUnit", "completeDate", F.col("_placeholderMapping").alias("placeholder"), "x.dataValues.*", *[F.col(f"x._readable.{a}").alias(b) for a, b in names.items()])
 
 
-@query(select="""SELECT * FROM (VALUES ('consultations', 'Fitsaboana', 'Consultations'), ('malaria', 'Tazomoka', 'Malaria'), ('tuberculosis', 'Raboka', 'Tuberculosis'), ('zzz', 'zzz', 'zzz')) t(key, mg, en)""")
+def _label_sql(lang: str) -> str:
+    return "CASE ind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.INDICATOR_LABELS[lang].items()) + " END"
+
+
+@query(O.PATIENTS, O.VISITS, O.CELLS.replace("AND status = 'final' AND \"occurredAt\" >= 867715200000 AND \"occurredAt\" < 870393600000", ""), select=f"""SELECT ind AS key, {_label_sql("fr")} AS fr, {_label_sql("mg")} AS mg, {_label_sql("en")} AS en, count(*) AS encounters FROM banded GROUP BY ALL""")
 def indicator_labels(spark, d):
-    keys = spark.createDataFrame([("consultations",), ("malaria",), ("tuberculosis",), ("zzz",)], "key string")
-    return keys.select("key", C.indicator_label(F.col("key"), "mg").alias("mg"), C.indicator_label(F.col("key"), "en").alias("en"))
+    """What all live encounters are counted as, in three languages."""
+    kinds = _live(spark, d)[1].select(C.classify_diagnosis(F.col("diagnosis")).alias("key")).groupBy("key").agg(F.count("*").alias("encounters"))
+    return kinds.select("key", *[C.indicator_label(F.col("key"), lang).alias(lang) for lang in ("fr", "mg", "en")], "encounters")
 
 
 # --- scans, lookups, search -------------------------------------------------------------------------------------
@@ -149,6 +155,21 @@ def search_roster(spark, d):
     return store.search_patients(data.patients(spark, d), " RAKOTOÀRISON Voa").select("id", "updatedAt")
 
 
+@query(O.PATIENTS, select="""SELECT id, "updatedAt" FROM (SELECT * FROM keyed WHERE "deletedAt" IS NULL AND contains("searchKey", 'rakotoarison voa') ORDER BY id LIMIT 50)""")
+def search_postings(spark, d):
+    """The same out of postings of three letters; then the table and its postings follow a change, and the new name is found."""
+    at = scratch(spark)
+    p = data.patients(spark, d)
+    stored = BucketTable(spark, f"{at}/patients", p.schema)
+    stored.write(p.withColumn("searchKey", F.when(F.col("id") == "p3", "someone else").otherwise(F.col("searchKey"))))
+    index = SearchIndex(spark, f"{at}/postings", stored)
+    index.build()
+    before, after = stored.lookup("p3"), p.filter("id = 'p3'")
+    index.update(before, after)
+    stored.change(after, lambda rows: rows.filter("id <> 'p3'").unionByName(after))
+    return index.search(" RAKOTOÀRISON Voa").select("id", "updatedAt")
+
+
 @query(O.PATIENTS, select="""SELECT id, "updatedAt" FROM keyed WHERE "deletedAt" IS NULL ORDER BY "updatedAt" DESC, id LIMIT 50""")
 def search_all(spark, d):
     return store.search_patients(data.patients(spark, d), "  ").select("id", "updatedAt")
@@ -558,20 +579,28 @@ def sync_requests(spark, d):
     return sync.apply_push(parsed).select("facilityId", "kind", "id", "updatedAt")
 
 
+#: One for each event, with its number as that of the push.
 _REQUESTS = (
-    """{"facilityId":"\\tf1\\n","cursor":7,"push":1,"changes":{"patients":[{"id":5,"updatedAt":1},{"id":"5","updatedAt":1},{"id":"x","updatedAt":"2"},{"updatedAt":1},7,null],"encounters":[]}}""",
-    """{"facilityId":"f2","cursor":"no","push":2,"changes":{"patients":[],"encounters":[{"id":"e","updatedAt":2.5,"deletedAt":3}]}}""",
-    """{"facilityId":" \\t","push":3,"changes":{"patients":[{"id":"a","updatedAt":1}]}}""",
-    """not JSON""",
-    """{"facilityId":"f3","note":"%s","changes":{"patients":[{"id":"b","updatedAt":1}]}}""" % ("x" * 300),
+    """{"facilityId":"\\tf1\\n","cursor":7,"push":@,"changes":{"patients":[{"id":5,"updatedAt":1},{"id":"5","updatedAt":1},{"id":"x","updatedAt":"2"},{"updatedAt":1},7,null],"encounters":[]}}""",
+    """{"facilityId":"f2","cursor":"5","push":@,"changes":{"patients":[],"encounters":[{"id":"e","updatedAt":2.5,"deletedAt":3}]}}""",
+    """{"facilityId":" \\t","push":@,"changes":{"patients":[{"id":"a","updatedAt":1}]}}""",
+    """not JSON @""",
+    """{"facilityId":"f3","push":@,"note":"%s","changes":{"patients":[{"id":"b","updatedAt":1}]}}""" % ("x" * 300),
+    """{"facilityId":"f4","cursor":null,"push":@,"changes":{"patients":[{"id":"c","updatedAt":4}]}}""",
 )
 
 
-@query(select="""SELECT * FROM (VALUES ('f1', 7, 'patient', '5', 1.0::DOUBLE, NULL::BIGINT, 3), ('f2', 0, 'encounter', 'e', 2.5::DOUBLE, 3::BIGINT, 3)) t("facilityId", cursor, kind, id, "updatedAt", "deletedAt", rejected)""")
+@query(select="""SELECT event_id AS push, 'f1' AS "facilityId", 7 AS cursor, 'patient' AS kind, '5' AS id, 1.0::DOUBLE AS "updatedAt", NULL::BIGINT AS "deletedAt" FROM events WHERE event_id % 6 = 0
+  UNION ALL SELECT event_id, 'f2', 0, 'encounter', 'e', 2.5::DOUBLE, 3::BIGINT FROM events WHERE event_id % 6 = 1 UNION ALL SELECT event_id, 'f4', 0, 'patient', 'c', 4.0::DOUBLE, NULL::BIGINT FROM events WHERE event_id % 6 = 5
+  UNION ALL SELECT -1, 'rejected', count(*)::INTEGER, NULL, NULL, NULL, NULL FROM events WHERE event_id % 6 IN (2, 3, 4)""")
 def sync_request_rules(spark, d):
-    """Ids that are no strings, blank facilities, lines that are no JSON or too long."""
-    ok, bad = sync.parse_requests(spark.createDataFrame([(x,) for x in _REQUESTS], "value string"), most_bytes=300)
-    return ok.select("facilityId", F.col("cursor").cast("int").alias("cursor"), "kind", "id", "updatedAt", "deletedAt").crossJoin(bad.agg(F.count("*").cast("int").alias("rejected")))  # one row
+    """Ids that are no strings, cursors that are none, blank facilities, lines that are no JSON or too long."""
+    k = F.col("event_id")
+    lines = data.table(spark, d, "events").select(F.replace(data.pick(k, _REQUESTS), F.lit("@"), k.cast("string")).alias("value"))
+    ok, bad = sync.parse_requests(lines, most_bytes=300)
+    ok = ok.select("push", "facilityId", F.col("cursor").cast("int").alias("cursor"), "kind", "id", "updatedAt", "deletedAt")
+    count = bad.agg(F.count("*").cast("int").alias("cursor")).select(F.lit(-1).cast("long").alias("push"), F.lit("rejected").alias("facilityId"), "cursor")
+    return ok.unionByName(count, allowMissingColumns=True)
 
 
 _ROUND = """here AS (SELECT k, "syncedAt" IS NULL AS dirty FROM patients), five AS (SELECT count(*) AS n FROM here WHERE k % 5 = 0),
@@ -741,10 +770,12 @@ def extract_odd_prescriptions(spark, d):
 _SPOKEN = [("trente-huit virgule cinq", "fr", 38.5), ("quatre-vingt-dix-sept", "fr", 97.0), ("soixante et onze", "fr", 71.0), ("deux cent trois", "fr", 203.0), ("trente-sept et demi", "fr", 37.5), ("bonjour", "fr", None), ("one hundred and twenty", "en", 120.0), ("thirty-eight point five", "en", 38.5), ("ninety nine and a half", "en", 99.5), ("two thousand", "en", 2000.0), ("hello", "en", None)]
 
 
-@query(select="SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{lang}', {'CAST(NULL AS DOUBLE)' if v is None else f'CAST({v} AS DOUBLE)'})" for t, lang, v in _SPOKEN) + ") t(phrase, lang, value)")
+@query(select=f"""SELECT conv_id, turn, {O.case("(conv_id * 3 + turn)", tuple(t for t, _, _ in _SPOKEN))} AS phrase, {_said("conv_id * 3 + turn", tuple("CAST(NULL AS DOUBLE)" if v is None else f"CAST({v} AS DOUBLE)" for _, _, v in _SPOKEN))} AS value FROM conversations""")
 def number_words(spark, d):
-    p = spark.createDataFrame([(t, lang) for t, lang, _ in _SPOKEN], "phrase string, lang string")
-    return p.select("phrase", "lang", F.when(F.col("lang") == "fr", spoken_number(F.col("phrase"), "fr")).otherwise(spoken_number(F.col("phrase"), "en")).alias("value"))
+    """A spoken number for each turn."""
+    which = F.col("conv_id") * 3 + F.col("turn")
+    p = data.table(spark, d, "conversations").select("conv_id", "turn", data.pick(which, tuple(t for t, _, _ in _SPOKEN)).alias("phrase"), data.pick(which, tuple(lang for _, lang, _ in _SPOKEN)).alias("lang"))
+    return p.select("conv_id", "turn", "phrase", F.when(F.col("lang") == "fr", spoken_number(F.col("phrase"), "fr")).otherwise(spoken_number(F.col("phrase"), "en")).alias("value"))
 
 
 @query(O.VISITS, select=f"""SELECT n.conv_id, n.turn, coalesce(v.pulse, n.pulse) AS pulse, CASE WHEN coalesce(v.diagnosis, '') = '' THEN n.diagnosis ELSE v.diagnosis END AS diagnosis,
@@ -967,9 +998,17 @@ def create_draft(spark, d):
     return e.agg(F.count("*").alias("n"), (F.max(F.when(~own, F.col("updatedAt"))) < NOW).alias("older"), F.count_if(own & (F.col("status") == "draft") & F.col("vitals.pulse").isNull() & (F.size("prescriptions") == 0)).cast("int").alias("fresh"))
 
 
-@query(select="SELECT * FROM (VALUES ('demo-1', 'rakotoarisoa voahirana 2041 034 12 345 67'), ('demo-2', 'andrianjafy naivo 2042'), ('demo-3', 'razafimahatratra hery 2043 032 98 765 43'), ('demo-4', 'randriambololona miora 2044')) t(id, \"searchKey\")")
+@query(O.PATIENTS, O.VISITS, select="""SELECT 'kept' AS what, id, "searchKey" AS said FROM keyed UNION ALL SELECT 'kept', id, "patientId" FROM visits
+  UNION ALL SELECT * FROM (VALUES ('new', 'demo-1', 'rakotoarisoa voahirana 2041 034 12 345 67'), ('new', 'demo-2', 'andrianjafy naivo 2042'), ('new', 'demo-3', 'razafimahatratra hery 2043 032 98 765 43'), ('new', 'demo-4', 'randriambololona miora 2044'), ('new', 'demo-e1', 'demo-1'), ('new', 'demo-e2', 'demo-2'), ('new', 'demo-e3', 'demo-3')) t(what, id, said)""")
 def seeded(spark, d):
-    return sinks.seed(sinks.cleared(data.patients(spark, d)), NOW).select("id", "searchKey")
+    """A register with patients stays as it is; one that was cleared gets the demonstration patients and their encounters."""
+    p, v = data.patients(spark, d), data.visits(spark, d)
+    out = None
+    for what, people, visits in (("kept", p, v), ("new", sinks.cleared(p), sinks.cleared(v))):
+        rows = sinks.seed(people, NOW).select(F.lit(what).alias("what"), "id", F.col("searchKey").alias("said"))
+        rows = rows.unionByName(sinks.seed_encounters(visits, people, NOW).select(F.lit(what).alias("what"), "id", F.col("patientId").alias("said")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(O.PATIENTS, select='SELECT id, "familyName", "birthDate", phone, "updatedAt" FROM patients WHERE "deletedAt" IS NULL')
