@@ -385,6 +385,15 @@ def deid_encounters(spark, d):
     return rows.select("id", "patientId", "occurredAt", "chiefComplaint", "diagnosis", "notes", F.col("provenance")["notes"]["rawText"].alias("notesSaid"), F.col("provenance")["vitals.pulse"]["rawText"].alias("pulseSaid"))
 
 
+@query(O.PATIENTS, O.VISITS, O.PRESCRIPTIONS, _DEID, select=f"""SELECT {_code_sql("c.id")} AS id, "patientId", notes, (SELECT count(*) FROM prescriptions p WHERE p."encounterId" = c.id) AS prescriptions,
+  (SELECT count(*) FROM prescriptions p WHERE p."encounterId" = c.id AND p.notes = 'apres repas') AS said FROM clean c""")
+def deid_strict(spark, d):
+    """With ids under codes, and the notes of prescriptions scrubbed, too."""
+    rows, _ = deid.deid_encounters(store.live(data.encounters(spark, d)), _live(spark, d)[0], SALT, True, strict=True)
+    said = F.size(F.filter("prescriptions", lambda p: p["notes"] == "apres repas")).cast("long")
+    return rows.select("id", "patientId", "notes", F.size("prescriptions").cast("long").alias("prescriptions"), said.alias("said"))
+
+
 @query(O.PATIENTS, O.VISITS, _DEID, select="""SELECT 'pseudonymous' AS level, true AS "generalisedDates", (SELECT count(*) FROM known) AS "patientsProcessed", count(*) AS "encountersProcessed", 'givenName,familyName,birthDate,phone,address,registerNo,attachments' AS "fieldsRemoved", CAST(sum(redactions) AS BIGINT) AS "freeTextRedactions" FROM clean""")
 def deid_manifest(spark, d):
     p, e = _live(spark, d)
@@ -778,13 +787,15 @@ def number_words(spark, d):
     return p.select("conv_id", "turn", "phrase", F.when(F.col("lang") == "fr", spoken_number(F.col("phrase"), "fr")).otherwise(spoken_number(F.col("phrase"), "en")).alias("value"))
 
 
-@query(O.VISITS, select=f"""SELECT n.conv_id, n.turn, coalesce(v.pulse, n.pulse) AS pulse, CASE WHEN coalesce(v.diagnosis, '') = '' THEN n.diagnosis ELSE v.diagnosis END AS diagnosis,
-  CAST((v.temperature IS NULL)::INTEGER + (v.pulse IS NULL)::INTEGER + (v.systolic IS NULL)::INTEGER + (v.diastolic IS NULL)::INTEGER + (coalesce(v."chiefComplaint", '') = '')::INTEGER + (coalesce(v.diagnosis, '') = '')::INTEGER + 2 AS INTEGER) AS applied,
+@query(O.VISITS, O.PRESCRIPTIONS, select=f"""SELECT n.conv_id, n.turn, coalesce(v.pulse, n.pulse) AS pulse, CASE WHEN coalesce(v.diagnosis, '') = '' THEN n.diagnosis ELSE v.diagnosis END AS diagnosis,
+  CAST((v.temperature IS NULL)::INTEGER + (v.pulse IS NULL)::INTEGER + (v.systolic IS NULL)::INTEGER + (v.diastolic IS NULL)::INTEGER + (coalesce(v."chiefComplaint", '') = '')::INTEGER + (coalesce(v.diagnosis, '') = '')::INTEGER + 1 + (v.id NOT IN (SELECT "encounterId" FROM prescriptions p WHERE p.drug = 'paracétamol'))::INTEGER AS INTEGER) AS applied,
+  (SELECT count(*) FROM prescriptions p WHERE p."encounterId" = v.id) + (v.id NOT IN (SELECT "encounterId" FROM prescriptions p WHERE p.drug = 'paracétamol'))::INTEGER AS prescriptions,
   coalesce(v.notes || E'\\n', '') || 'Prescrire. Revoir si besoin' AS notes FROM ({O.dictation_numbers()}) n JOIN visits v ON v.k = n.conv_id * 8 + n.turn + 1""")
 def merge_extraction(spark, d):
-    v = data.visits(spark, d).withColumn("prescriptions", F.array().cast("array<struct<id:string,drug:string,dose:string,frequencyPerDay:int,durationDays:int,notes:string>>"))
+    v = data.encounters(spark, d)
     x = _extracted(spark, d).select(F.concat(F.lit("e"), (F.col("conv_id") * 8 + F.col("turn") + 1).cast("string")).alias("id"), "conv_id", "turn", F.col("text").alias("rawText"), F.col("x").alias("extraction"))
-    return merge.merge_extraction(v.join(x, "id")).select("conv_id", "turn", "vitals.pulse", "diagnosis", "applied", "notes")
+    merged = merge.merge_extraction(v.join(x, "id"))
+    return merged.select("conv_id", "turn", "vitals.pulse", "diagnosis", "applied", "notes", F.size("prescriptions").cast("long").alias("prescriptions"))
 
 
 _PAIRS = """pairs AS (SELECT 'p' || k AS "keepId", 'p' || (k + 1) AS "duplicateId", k FROM patients WHERE k % 2 = 0 AND k + 1 IN (SELECT k FROM patients)),
@@ -881,8 +892,9 @@ def patch_and_finalise(spark, d):
 
 @query(O.VISITS, select=f"""SELECT id, CASE WHEN "patientId" = 'p7' THEN {NOW} ELSE "deletedAt" END AS "deletedAt", CASE WHEN "patientId" <> 'p7' AND k % 11 = 0 THEN 1 ELSE 0 END AS attachments FROM visits""")
 def delete_patient(spark, d):
-    none = spark.createDataFrame([], "id string, encounterId string")
-    e = store.delete_patient(data.patients(spark, d), data.visits(spark, d), none, "p7", NOW)[1]
+    v = data.visits(spark, d)
+    files = v.select(F.explode("attachmentIds").alias("id"), F.col("id").alias("encounterId"))
+    e = store.delete_patient(data.patients(spark, d), v, files, "p7", NOW)[1]
     return e.select("id", "deletedAt", F.size("attachmentIds").alias("attachments"))
 
 
