@@ -1,6 +1,7 @@
 """Rule-based extraction of vitals, prescriptions and narrative fields from dictated or recognised text.
 
-The rules run inside an Arrow UDF, one call a batch of texts; filter and prune columns before applying it.
+The rules run inside an Arrow UDF, one call a batch of texts; filter and prune columns before applying it.  One automaton over
+all drugs, triggers and section words of a language finds their places in a single pass, and a rule runs only where its word is.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,10 @@ from dispensary.functions.text import fold_clinical_py
 from dispensary.schemas import RANGES, VITALS
 
 
+#: Patterns, each with the word that it needs.
+Rules = list[tuple[str, re.Pattern]]
+
+
 @dataclass(frozen=True)
 class Locale:
     """A language pack: word lists, and rules as (pattern, meaning) tried in order; <N> stands for a number.
@@ -56,34 +62,59 @@ class Locale:
         return self.pattern(rf"<N><s>*({self.dose_units})\b")
 
     @cached_property
-    def bp_rules(self) -> list[re.Pattern]:
-        return [self.pattern(rf"\b{t}\b[^\d\w]{{0,12}}<N><s>*(?:sur|over|/)<s>*<N>") for t in self.bp_triggers]
+    def bp_rules(self) -> Rules:
+        return [(t, self.pattern(rf"\b{t}\b[^\d\w]{{0,12}}<N><s>*(?:sur|over|/)<s>*<N>")) for t in self.bp_triggers]
 
     @cached_property
-    def vital_rules(self) -> list[tuple[str, list[re.Pattern]]]:
-        return [(k, [self.pattern(rf"\b{re.escape(t)}\b[^\d\w]{{0,12}}(?:de<s>+|a<s>+|of<s>+|is<s>+)?<N>") for t in ts]) for k, ts in self.vital_triggers.items()]
+    def vital_rules(self) -> list[tuple[str, Rules]]:
+        return [(k, [(t, self.pattern(rf"\b{re.escape(t)}\b[^\d\w]{{0,12}}(?:de<s>+|a<s>+|of<s>+|is<s>+)?<N>")) for t in ts]) for k, ts in self.vital_triggers.items()]
 
     @cached_property
-    def drug_rules(self) -> list[re.Pattern]:
-        return [rx(rf"\b{re.escape(d)}\b") for d in self.formulary]
+    def words(self) -> tuple[str, ...]:
+        """Whatever may end a narrative: drugs, triggers and section words."""
+        return (*(t for ts in self.vital_triggers.values() for t in ts), *self.bp_triggers, *self.diagnosis_triggers, *self.complaint_triggers, *self.section_words, *self.formulary)
 
     @cached_property
     def boundary(self) -> re.Pattern:
-        listed = [*(t for ts in self.vital_triggers.values() for t in ts), *self.bp_triggers, *self.diagnosis_triggers, *self.complaint_triggers, *self.section_words, *self.formulary]
-        return rx(rf"\b(?:{'|'.join(map(re.escape, listed))})\b")
+        return rx(rf"\b(?:{'|'.join(map(re.escape, self.words))})\b")
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out, drugs = ahocorasick.Automaton(), set(self.formulary)
+        for w in dict.fromkeys(self.words):
+            out.add_word(w, (w, w in drugs))
+        out.make_automaton()
+        return out
+
+    def places(self, folded: str) -> tuple[set[str], list[tuple[int, int]]]:
+        """The words that stand in a text as whole words, and the places of drugs, in which a hyphen counts as a space."""
+        spaced, there, drugs = folded.replace("-", " "), set(), []
+        for last, (word, drug) in self.automaton.iter(spaced):
+            start, stop = last - len(word) + 1, last + 1
+            if start and _in_word(spaced[start - 1]) or stop < len(spaced) and _in_word(spaced[stop]):
+                continue
+            if drug:
+                drugs.append((start, stop))
+            if folded[start:stop] == word:
+                there.add(word)
+        return there, drugs
 
-    def narrative_rules(self, triggers: tuple[str, ...]) -> list[re.Pattern]:
-        return [rx(rf"\b{re.escape(t)}\b<s>*:?<s>*([^.;\n]{{2,160}})") for t in triggers]
+    def narrative_rules(self, triggers: tuple[str, ...]) -> Rules:
+        return [(t, rx(rf"\b{re.escape(t)}\b<s>*:?<s>*([^.;\n]{{2,160}})")) for t in triggers]
 
     @cached_property
-    def diagnosis_rules(self) -> list[re.Pattern]:
+    def diagnosis_rules(self) -> Rules:
         return self.narrative_rules(self.diagnosis_triggers)
 
     @cached_property
-    def complaint_rules(self) -> list[re.Pattern]:
+    def complaint_rules(self) -> Rules:
         return self.narrative_rules(self.complaint_triggers)
 
 
+def _in_word(c: str) -> bool:
+    return c == "_" or c.isascii() and c.isalnum()
+
+
 def _within(low: int, high: int, then=lambda x, m: x):
     return lambda x, m: then(x, m) if low <= x <= high else None
 
@@ -208,14 +239,17 @@ def _plausible(vital: str, value: float) -> bool:
     return RANGES[vital][0] <= value <= RANGES[vital][1]
 
 
+_WHITE = "".join(c for c in map(chr, range(1 << 16)) if re.match(f"[{WS}]", c))
+
+
 def _trim(s: str) -> str:
-    return re.sub(f"^[{WS}]+|[{WS}]+$", "", s)
+    return s.strip(_WHITE)
 
 
-def _blood_pressure(loc: Locale, folded: str):
+def _blood_pressure(loc: Locale, folded: str, there: set[str]):
     """(systolic, diastolic, confidence, span)"""
-    for rule in loc.bp_rules:
-        m = rule.search(folded)  # only the first place of a trigger counts
+    for word, rule in loc.bp_rules:
+        m = rule.search(folded) if word in there else None  # only the first place of a trigger counts
         if not m:
             continue
         high, low = (loc.numerals.parse(g) for g in m.groups())
@@ -229,10 +263,10 @@ def _blood_pressure(loc: Locale, folded: str):
     return None
 
 
-def _scalar(loc: Locale, vital: str, rules: list[re.Pattern], folded: str):
+def _scalar(loc: Locale, vital: str, rules: Rules, folded: str, there: set[str]):
     """(value, confidence, span); an implausible value leads to the next trigger, not to the next place."""
-    for rule in rules:
-        for m in rule.finditer(folded):
+    for word, rule in rules:
+        for m in rule.finditer(folded) if word in there else ():
             value = loc.numerals.parse(m[1])
             if value is None:
                 continue
@@ -242,10 +276,8 @@ def _scalar(loc: Locale, vital: str, rules: list[re.Pattern], folded: str):
     return None
 
 
-def _drug_spans(loc: Locale, folded: str) -> list[tuple[int, int]]:
-    """Places of drugs; at one place the longest counts, and none may overlap another."""
-    spaced = folded.replace("-", " ")
-    found = [m.span() for rule in loc.drug_rules for m in rule.finditer(spaced)]
+def _drug_spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """At one place the longest drug counts, and none may overlap another."""
     kept: list[tuple[int, int]] = []
     for start, end in sorted(found, key=lambda s: (s[0], s[0] - s[1])):
         if not kept or start >= kept[-1][1]:
@@ -253,8 +285,8 @@ def _drug_spans(loc: Locale, folded: str) -> list[tuple[int, int]]:
     return kept
 
 
-def _prescriptions(loc: Locale, text: str, folded: str, spans: list):
-    drugs = _drug_spans(loc, folded)
+def _prescriptions(loc: Locale, text: str, folded: str, found: list[tuple[int, int]], spans: list):
+    drugs = _drug_spans(found)
     for i, (start, end) in enumerate(drugs):
         nxt = drugs[i + 1][0] if i + 1 < len(drugs) else len(folded)
         scope = re.split("[.;]", folded[end : min(end + 90, nxt)], maxsplit=1)[0]
@@ -269,9 +301,9 @@ def _prescriptions(loc: Locale, text: str, folded: str, spans: list):
         yield {"drug": _trim(text[start:end]), "dose": dose, "frequencyPerDay": often, "durationDays": days, "rawText": _trim(text[start:stop]), "confidence": 0.5 + 0.5 * (known / 3)}
 
 
-def _narrative(loc: Locale, rules: list[re.Pattern], text: str, folded: str, spans: list):
-    for rule in rules:
-        m = rule.search(folded)
+def _narrative(loc: Locale, rules: Rules, text: str, folded: str, there: set[str], spans: list):
+    for word, rule in rules:
+        m = rule.search(folded) if word in there else None
         if not m:
             continue
         start, stop = m.span(1)
@@ -291,7 +323,7 @@ def _remainder(text: str, spans: list[tuple[int, int]]) -> str:
             pieces.append(text[at:start])
         at = max(at, stop)
     pieces.append(text[at:])
-    kept = [p for p in map(_trim, pieces) if re.sub(f"[{WS}.;,:/-]", "", p)]
+    kept = [p for p in map(_trim, pieces) if p.strip(_WHITE + ".;,:/-")]
     out = re.sub(f"[{WS}]*([.;,:])", r"\1", " ".join(kept))
     out = re.sub(f"([.;,:])[{WS}]*(?=[.;,:])", "", out)
     out = re.sub(f"[{WS}]{{2,}}", " ", out)
@@ -309,17 +341,18 @@ def extract_clinical(text: str, loc: Locale = FR) -> dict:
     def note(vital, value, confidence, span):
         vitals[vital] = {"value": float(value), "rawText": _trim(text[span[0] : span[1]]), "confidence": confidence}
 
-    if bp := _blood_pressure(loc, folded):
+    there, drugs = loc.places(folded)
+    if bp := _blood_pressure(loc, folded, there):
         note("systolic", bp[0], bp[2], bp[3])
         note("diastolic", bp[1], bp[2], bp[3])
         spans.append(bp[3])
     for vital, rules in loc.vital_rules:
-        if hit := _scalar(loc, vital, rules, folded):
+        if hit := _scalar(loc, vital, rules, folded, there):
             note(vital, *hit)
             spans.append(hit[2])
-    prescriptions = list(_prescriptions(loc, text, folded, spans))
-    diagnosis = _narrative(loc, loc.diagnosis_rules, text, folded, spans)
-    complaint = _narrative(loc, loc.complaint_rules, text, folded, spans)
+    prescriptions = list(_prescriptions(loc, text, folded, drugs, spans))
+    diagnosis = _narrative(loc, loc.diagnosis_rules, text, folded, there, spans)
+    complaint = _narrative(loc, loc.complaint_rules, text, folded, there, spans)
     return {"vitals": {v: vitals.get(v) for v in VITALS}, "prescriptions": prescriptions, "chiefComplaint": complaint, "diagnosis": diagnosis, "remainder": _remainder(text, spans)}
 
 

@@ -71,8 +71,11 @@ def fold_names(c: Column) -> Column:
     return _translate(F.lower(c), _FOLDS)
 
 
+_CLINICAL = str.maketrans(*_table(_FOLDS, _MORE_FOLDS, _LIGATURES))
+
+
 def fold_clinical_py(s: str) -> str:
-    return s.lower().translate(str.maketrans(*_table(_FOLDS, _MORE_FOLDS, _LIGATURES)))
+    return s.lower().translate(_CLINICAL)
 
 
 def short_code(id_: Column) -> Column:
