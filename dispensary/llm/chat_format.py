@@ -1,8 +1,8 @@
 """Chat formatting with tool-call linking.
 
-Calls and results are hash-joined by identifier, calls are put into topological order of what they build on,
-arguments are validated against the tools' schemas, and every message becomes one line of canonical JSON.
-A conversation is never gathered into one task: lines carry the keys that order them.
+Calls and results are hash-joined by identifier, calls are put into topological order of what they build on (within a
+conversation in one task, across conversations by joins), arguments are validated against the tools' schemas, and every message becomes one line of canonical JSON.
+The texts of a conversation are never gathered into one task: lines carry the keys that order them.
 """
 
 from __future__ import annotations
@@ -218,6 +218,63 @@ def topological_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     return ids.join(_union(settled).filter(F.col("level") < _NEVER), "call_id", "left").select("call_id", F.col("level").cast("int").alias("level"))
 
 
+#: Edges of a conversation that are resolved in one task; larger ones are joined like those that name calls of others.
+EDGES = 100_000
+
+
+def _levels_of(edges: dict) -> dict:
+    """The level of every call that stands in call -> calls that it needs; None on a cycle or after one."""
+    waits, after = {}, {}
+    for call, needed in edges.items():
+        waits[call] = len(needed)
+        for n in needed:
+            after.setdefault(n, []).append(call)
+    level = dict.fromkeys({*edges, *after})
+    ready = [n for n in level if n not in waits]
+    for n in ready:
+        level[n] = 0
+    for n in ready:  # grows as it goes
+        for call in after.get(n, ()):
+            waits[call] -= 1
+            if not waits[call]:
+                level[call] = 1 + max(level[x] for x in edges[call])
+                ready.append(call)
+    return level
+
+
+def conversation_levels(calls: DataFrame, needs: DataFrame, edges_at_once: int = EDGES) -> DataFrame:
+    """What topological_levels gives, with most of it done conversation by conversation.
+
+    A conversation whose calls need none of another one's, nor the other way round, and which has `edges_at_once` edges at most, is
+    resolved in one task, however deep or wide its calls build on each other; calls of all others are joined in rounds."""
+    c = calls.filter("call_id is not null").select("conv_id", "call_id").distinct()
+    homes = c.groupBy("call_id").agg(F.min("conv_id").alias("home"), (F.count("*") > 1).alias("several"))
+    target = homes.select(F.col("call_id").alias("needed"), F.col("home").alias("needed_home"), F.col("several").alias("needed_several"))
+    edges = checkpointed(needs.select("call_id", "needed").distinct().join(homes, "call_id").join(target, "needed"))
+    alone = ~F.col("several") & ~F.col("needed_several") & F.coalesce(F.col("home") == F.col("needed_home"), F.lit(False))
+    open_ = edges.filter(~alone).select(F.explode(F.array("home", "needed_home")).alias("home"))
+    # a call that several conversations name belongs to all of them
+    spread = c.join(edges.filter("several").select("call_id").unionByName(edges.filter("needed_several").select(F.col("needed").alias("call_id"))).distinct(), "call_id").select(F.col("conv_id").alias("home"))
+    large = edges.groupBy("home").count().filter(F.col("count") > edges_at_once).select("home")
+    shared = checkpointed(open_.unionByName(spread).unionByName(large).distinct())
+    own = edges.join(shared, "home", "left_anti").filter(alone)
+
+    def resolve(t: pa.Table) -> pa.Table:
+        of: dict = {}
+        for call, needed in zip(t.column("call_id").to_pylist(), t.column("needed").to_pylist(), strict=True):
+            of.setdefault(call, []).append(needed)
+        level = _levels_of(of)
+        return pa.table({"call_id": pa.array(list(level), pa.string()), "level": pa.array(list(level.values()), pa.int32())})
+
+    here = own.select("home", "call_id", "needed").groupBy("home").applyInArrow(resolve, "call_id string, level int").withColumn("known", F.lit(True))
+    rest = edges.join(own.select("call_id", "needed"), ["call_id", "needed"], "left_anti")
+    ends = rest.select(F.explode(F.array("call_id", "needed")).alias("call_id")).distinct()
+    joined = topological_levels(ends, rest).withColumn("known", F.lit(True)) if not rest.isEmpty() else None
+    found = here if joined is None else here.unionByName(joined)
+    level = F.when(F.col("known"), F.col("level")).otherwise(F.lit(0))
+    return homes.select("call_id").join(found, "call_id", "left").select("call_id", level.cast("int").alias("level"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
@@ -247,7 +304,7 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments", "needs")
     r = results.select("call_id", "content")
     known = c.filter("call_id is not null").groupBy("call_id").agg(F.count("*").alias("n_calls"), F.min(F.struct("conv_id", "turn")).alias("owner"))
-    levels = topological_levels(c, c.select("call_id", F.explode("needs").alias("needed")))
+    levels = checkpointed(conversation_levels(c, c.select("call_id", F.explode("needs").alias("needed"))))
     answered = r.filter("call_id is not null").groupBy("call_id").agg(F.count("*").alias("n_results"))
     linked = c.join(known.select("call_id", "n_calls"), "call_id", "left").join(levels, "call_id", "left").join(answered, "call_id", "left")
     lines = m.select("conv_id", "turn", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("level"), F.col("role").alias("head"), F.col("text").alias("body"), F.lit(None).cast("array<string>").alias("needs"), F.lit("ok").alias("status"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dispensary.llm import quality, queries
 from dispensary.llm._components import components
-from dispensary.llm.chat_format import canonical, check_schema, link_tool_calls, problem, topological_levels
+from dispensary.llm.chat_format import canonical, check_schema, conversation_levels, link_tool_calls, problem, topological_levels
 from dispensary.llm.decontaminate import benchmark_matches, decontaminate, is_contaminated, suffix_array
 from dispensary.llm.license_scan import TEMPLATES, license_scan
 from dispensary.llm.near_dedup import near_dedup, near_duplicates
@@ -516,3 +516,25 @@ def test_levels_of_deep_chains_ladders_and_cycles(spark):
     calls = spark.createDataFrame([(x,) for x in [*want, None, "c1"]], "call_id string")
     got = topological_levels(calls, spark.createDataFrame(needs, "call_id string, needed string")).collect()
     assert len(got) == len(want) and {r.call_id: r.level for r in got} == want
+
+
+@pytest.mark.parametrize("at_once", [100_000, 30])
+def test_levels_by_conversation(spark, at_once):
+    """Deep ladders within conversations, edges across some, calls that several conversations name, cycles, null conversations."""
+    r = random.Random(at_once)
+    n = 2000 if at_once > 1000 else 12
+    calls = [(1, f"l{i}") for i in range(n)] + [(c, f"c{c}-{i}") for c in range(2, 12) for i in range(6)] + [(None, "x"), (None, "y"), (3, "both"), (4, "both"), (5, None)]
+    needs = [(f"l{i}", f"l{i - d}") for i in range(n) for d in (1, 2) if i >= d]  # each needs the two before it
+    needs += [(f"c{c}-{i}", f"c{c}-{r.randrange(6) if r.random() < 0.2 else r.randrange(i)}") for c in range(2, 12) for i in range(1, 6) for _ in range(2)]
+    needs += [("c5-5", "c6-5"), ("c7-1", "both"), ("both", "c8-2"), ("x", "y"), ("y", "c9-0"), ("c2-3", "unknown"), (None, "c2-1"), ("c2-2", None)]
+    names = {x for _, x in calls if x}
+    edges = {x: {b for a, b in needs if a == x and b in names} for x in names}
+    want, open_ = {}, dict(edges)
+    while now := {x for x, need in open_.items() if need <= want.keys()}:
+        want |= {x: 1 + max((want[y] for y in edges[x]), default=-1) for x in now}
+        open_ = {x: need for x, need in open_.items() if x not in now}
+    want |= dict.fromkeys(open_)
+    cd = spark.createDataFrame(calls, "conv_id long, call_id string")
+    got = conversation_levels(cd, spark.createDataFrame(needs, "call_id string, needed string"), at_once).collect()
+    assert len(got) == len(want) and {x.call_id: x.level for x in got} == want
+    assert at_once < 1000 or want[f"l{n - 1}"] == n - 1
