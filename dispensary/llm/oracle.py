@@ -72,9 +72,41 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QU
 
 # crc32 by the table of its polynomial, byte by byte
 _BYTE = "lambda a, z: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END"
-OP13 = rf"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {_BYTE})) AS t),
-runs AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
-digested AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(t[1 + (xor(a, b) & 255)], a >> 8))) AS h FROM runs, crc),
+_CRC_TABLE = f"crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {_BYTE})) AS t)"
+
+
+def _crc(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8, given the table t."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda a, b: xor(t[1 + (xor(a, b) & 255)], a >> 8)))"
+
+
+# l are the ends of all groups in order: the largest up to x, the smallest above x, and where a shard ends that is filled from s on
+_UP_TO = "coalesce(list_max(list_filter(l, lambda v: v <= {x})), 0)"
+_AFTER = "coalesce(list_min(list_filter(l, lambda v: v > {x})), total)"
+_FILLED = f"CASE WHEN {{s}} >= total THEN total ELSE greatest({_UP_TO.format(x='{s} + {c}')}, {_AFTER.format(x='{s}')}) END"
+OP12 = f"""WITH RECURSIVE {_CRC_TABLE},
+docs AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc("coalesce(text, '')")} AS crc, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents, crc),
+groups AS (SELECT key, CAST(sum(size) AS BIGINT) AS size FROM docs GROUP BY key),
+ends AS (SELECT key, CAST(sum(size) OVER (ORDER BY size * 16 <= total, key) AS BIGINT) AS e FROM groups, (SELECT sum(size) AS total FROM groups)),
+listed AS (SELECT list(e ORDER BY e) AS l, max(e) AS total FROM ends),
+search AS (SELECT 0::BIGINT AS low, total AS high FROM listed UNION ALL
+  SELECT CASE WHEN ok THEN low ELSE middle END, CASE WHEN ok THEN middle ELSE high END
+  FROM (SELECT low, high, middle, list_reduce(list_prepend(0::BIGINT, range(16)), lambda s, i: {_FILLED.format(s="s", c="middle")}) >= total AS ok FROM (SELECT *, (low + high) // 2 AS middle FROM search, listed WHERE high - low > 1))),
+capacity AS (SELECT min(high) AS c FROM search),
+back AS (SELECT 16 AS k, total AS e FROM listed UNION ALL
+  SELECT k - 1, CASE WHEN begin < e OR e = 0 THEN begin ELSE before END
+  FROM (SELECT k, e, CASE WHEN e <= c THEN 0 ELSE {_AFTER.format(x="e - c - 1")} END AS begin, {_UP_TO.format(x="e - 1")} AS before FROM back, listed, capacity WHERE k > 1)),
+cuts AS (SELECT 0 AS k, 0::BIGINT AS e FROM listed UNION ALL
+  SELECT k + 1, greatest(e, least(greatest(CASE WHEN below <= e OR above - even < even - below THEN above ELSE below END, earliest), filled))
+  FROM (SELECT *, {_UP_TO.format(x="even")} AS below, CASE WHEN even < total THEN {_AFTER.format(x="even")} ELSE total END AS above
+    FROM (SELECT cuts.k, cuts.e, l, total, b.e AS earliest, cuts.e + (total - cuts.e) // (16 - cuts.k) AS even, {_FILLED.format(s="cuts.e", c="c")} AS filled FROM cuts, listed, capacity, back b WHERE cuts.k < 15 AND b.k = cuts.k + 1))),
+dealt AS (SELECT d.*, CAST((SELECT count(*) FROM cuts WHERE cuts.k > 0 AND cuts.e < ends.e) AS INTEGER) AS shard FROM docs d JOIN ends USING (key))
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || key), 1, 3), doc_id NULLS FIRST, key, size, crc) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt"""
+
+OP13 = rf"""WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+digested AS (SELECT run, n, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crc),
 words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM digested) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
 without AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
 pairs AS (SELECT DISTINCT a.word, b.word AS other FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
@@ -85,4 +117,4 @@ chain AS (SELECT word, form AS root FROM best WHERE form IS NOT NULL UNION ALL S
 ends AS (SELECT c.word, c.root FROM chain c LEFT JOIN best b ON b.word = c.root WHERE b.form IS NULL)
 SELECT w.word, form, coalesce(root, w.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM words w LEFT JOIN best USING (word) LEFT JOIN ends USING (word)"""
 
-SQL = {"op3_decontaminate": OP3, "op6_near_dedup": OP6, "op7_url_filter": OP7, "op8_vector_topk": OP8, "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op13_spelling": OP13}
+SQL = {"op3_decontaminate": OP3, "op6_near_dedup": OP6, "op7_url_filter": OP7, "op8_vector_topk": OP8, "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op12_sharding": OP12, "op13_spelling": OP13}
