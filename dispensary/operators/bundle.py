@@ -174,24 +174,26 @@ BUNDLE_ORDER = ("part", "encounterId", "section", "place")
 _ENTRY = "array<struct<section:int,place:int,resourceType:string,fullUrl:string,json:string>>"
 
 
-def _entry(section: int, place: Column, kind: str, id_: Column, resource: Column) -> Column:
-    return F.struct(F.lit(section).alias("section"), place.cast("int").alias("place"), F.lit(kind).alias("resourceType"), F.concat(F.lit("urn:uuid:"), id_).alias("fullUrl"), F.to_json(resource).alias("json"))
+def _entry(section: int, place: Column, kind: str, id_: Column, resource: Column, json: bool) -> Column:
+    text = F.to_json(resource) if json else F.lit(None).cast("string")
+    return F.struct(F.lit(section).alias("section"), place.cast("int").alias("place"), F.lit(kind).alias("resourceType"), F.concat(F.lit("urn:uuid:"), id_).alias("fullUrl"), text.alias("json"))
 
 
-def bundle_entries(patients: DataFrame, encounters: DataFrame, as_of_ms: int, include_drafts: bool = False, urn: str = URN) -> DataFrame:
+def bundle_entries(patients: DataFrame, encounters: DataFrame, as_of_ms: int, include_drafts: bool = False, urn: str = URN, json: bool = True) -> DataFrame:
     """(part, encounterId, section, place, resourceType, fullUrl, json): the entries of the bundle.
 
-    They are ordered by BUNDLE_ORDER (patients, then encounters); absent fields are left out of the JSON.  An encounter's
-    entries are made in one pass over the encounters."""
+    They are ordered by BUNDLE_ORDER (patients, then encounters); absent fields are left out of the JSON, which
+    is null without `json`, so that entries can be counted or listed without being written.  An encounter's entries are made in one pass
+    over the encounters."""
     none, zero = F.array().cast(_ENTRY), F.lit(0)
     listed = F.concat(
-        F.array(_entry(0, zero, "Encounter", F.col("id"), _encounter())),
-        F.transform(_measured(), lambda x: _entry(1, x["place"], "Observation", _vital_id(x), _vital(x))),
-        F.when(_has_pressure(), F.array(_entry(2, zero, "Observation", _pressure_id(), _pressure()))).otherwise(none),
-        F.coalesce(F.transform("prescriptions", lambda p, i: _entry(3, i, "MedicationRequest", _medication_id(p), _medication(p))), none),
+        F.array(_entry(0, zero, "Encounter", F.col("id"), _encounter(), json)),
+        F.transform(_measured(), lambda x: _entry(1, x["place"], "Observation", _vital_id(x), _vital(x), json)),
+        F.when(_has_pressure(), F.array(_entry(2, zero, "Observation", _pressure_id(), _pressure(), json))).otherwise(none),
+        F.coalesce(F.transform("prescriptions", lambda p, i: _entry(3, i, "MedicationRequest", _medication_id(p), _medication(p), json)), none),
     )
     own = exported(encounters, include_drafts).select(F.lit(1).alias("part"), F.col("id").alias("encounterId"), F.explode(listed).alias("e")).select("part", "encounterId", "e.*")
-    first = patient_resources(patients, as_of_ms, urn).select(F.lit(0).alias("part"), F.col("id").alias("encounterId"), _entry(0, zero, "Patient", F.col("id"), F.col("resource")).alias("e"))
+    first = patient_resources(patients, as_of_ms, urn).select(F.lit(0).alias("part"), F.col("id").alias("encounterId"), _entry(0, zero, "Patient", F.col("id"), F.col("resource"), json).alias("e"))
     return first.select("part", "encounterId", "e.*").unionByName(own)
 
 

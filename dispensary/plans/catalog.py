@@ -428,7 +428,7 @@ def _bundle_rows(spark, d):
   UNION ALL SELECT 'Observation', (SELECT count(*) FROM flags JOIN final USING (id) WHERE vital NOT IN ('systolic', 'diastolic')) + (SELECT count(*) FROM final WHERE systolic IS NOT NULL OR diastolic IS NOT NULL)
   UNION ALL SELECT 'MedicationRequest', count(*) FROM prescriptions JOIN final f ON f.id = "encounterId\"""")
 def bundle_counts(spark, d):
-    entries = bundle.bundle_entries(_live(spark, d)[0], store.live(data.encounters(spark, d)), NOW)
+    entries = bundle.bundle_entries(_live(spark, d)[0], store.live(data.encounters(spark, d)), NOW, json=False)
     return entries.groupBy("resourceType").agg(F.count("*").alias("n"))
 
 

@@ -23,6 +23,14 @@ def encounters(spark, *rows):
     return spark.read.schema(ENCOUNTERS).json(spark.sparkContext.parallelize([json.dumps(base | r) for r in rows]))
 
 
+def test_scrub_terms_with_the_mark_in_them(spark):
+    """Places are counted, not marks, where a term holds a sign of the mark; marks that were there before are not counted."""
+    p = patients(spark, {"id": "1", "familyName": "ab[…]cd", "givenName": None}, {"id": "2", "familyName": "Rabe-Soa", "givenName": None}, {"id": "3", "familyName": "x-Rabe", "givenName": "'nana"})
+    texts = ["ab[…]cd et […] ab[…]cd", "[…] x-Rabe-Soa […]", "rabe-soa, X-RABE", "la'nana 'nana", None]
+    got = {r.key: (r.text, r.redactions) for r in deid.scrub(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), deid.roster_terms(p)).collect()}
+    assert got == {0: ("[…] et […] […]", 2), 1: ("[…] x-[…] […]", 1), 2: ("[…], […]", 2), 3: ("la[…] 'nana", 1), 4: (None, 0)}
+
+
 @pytest.mark.parametrize(
     ("text", "want", "n"),
     [
