@@ -401,6 +401,18 @@ def deid_manifest(spark, d):
     return manifest.withColumn("fieldsRemoved", F.array_join("fieldsRemoved", ","))
 
 
+@query(O.PATIENTS, O.VISITS, select="""SELECT 'anonymous' AS level, true AS "generalisedDates", count(*) AS patients, count(*) AS codes, CAST(0 AS BIGINT) AS "inBoth", (SELECT count(*) FROM visits WHERE "deletedAt" IS NULL) AS encounters,
+  (SELECT count(*) FROM visits v JOIN patients p ON p.id = v."patientId" WHERE v."deletedAt" IS NULL AND p."deletedAt" IS NULL) AS linked FROM patients WHERE "deletedAt" IS NULL""")
+def anonymous_export(spark, d):
+    """Each export draws a salt of its own: codes are as many as patients, encounters keep to theirs, and a second export has none of them."""
+    p, e = _live(spark, d)
+    people, visits, manifest = deid.deidentify(p, e.select("id", "patientId", "occurredAt", "chiefComplaint", "diagnosis", "notes", "provenance", "attachmentIds", "syncedAt"), "anonymous", NOW)
+    again = deid.deidentify(p, e.limit(0), "anonymous", NOW)[0].select("id")
+    facts = people.agg(F.count("*").alias("patients"), F.count_distinct("id").alias("codes")).crossJoin(people.join(again, "id", "left_semi").agg(F.count("*").alias("inBoth")))  # one row each
+    facts = facts.crossJoin(visits.agg(F.count("*").alias("encounters"))).crossJoin(visits.join(people.select(F.col("id").alias("patientId")), "patientId", "left_semi").agg(F.count("*").alias("linked")))
+    return manifest.select("level", "generalisedDates").crossJoin(facts)
+
+
 _PHONE_SQL = r"'\b(?:\+?261[\s.-]?)?0?\d{2}[\s.-]?\d{2}[\s.-]?\d{3}[\s.-]?\d{2}\b'"
 _DIGITS_SQL = r"'\b\d{7,}\b'"
 
@@ -1010,6 +1022,18 @@ def create_draft(spark, d):
     return e.agg(F.count("*").alias("n"), (F.max(F.when(~own, F.col("updatedAt"))) < NOW).alias("older"), F.count_if(own & (F.col("status") == "draft") & F.col("vitals.pulse").isNull() & (F.size("prescriptions") == 0)).cast("int").alias("fresh"))
 
 
+@query(O.PATIENTS, select=f"""SELECT count(*) * 2 AS n, count(*) AS fresh, CAST(36 AS INTEGER) AS length, min("searchKey") AS first, CAST({NOW} AS BIGINT) AS created FROM keyed""")
+def new_ids(spark, d):
+    """As many new patients as there are, each with an identifier of its own."""
+    p = data.patients(spark, d)
+    all_ = store.create_patients(p, p.drop("id", "searchKey", "createdAt", "updatedAt", "syncedAt", "deletedAt"), NOW)
+    path = f"{scratch(spark)}/patients"
+    all_.write.parquet(path)  # identifiers are drawn as the rows are written
+    rows = spark.read.parquet(path)
+    own = F.length("id") == 36
+    return rows.agg(F.count("*").alias("n"), F.count_distinct(F.when(own, F.col("id"))).alias("fresh"), F.max(F.when(own, F.length("id"))).alias("length"), F.min(F.when(own, F.col("searchKey"))).alias("first"), F.max(F.when(own, F.col("createdAt"))).alias("created"))
+
+
 @query(O.PATIENTS, O.VISITS, select="""SELECT 'kept' AS what, id, "searchKey" AS said FROM keyed UNION ALL SELECT 'kept', id, "patientId" FROM visits
   UNION ALL SELECT * FROM (VALUES ('new', 'demo-1', 'rakotoarisoa voahirana 2041 034 12 345 67'), ('new', 'demo-2', 'andrianjafy naivo 2042'), ('new', 'demo-3', 'razafimahatratra hery 2043 032 98 765 43'), ('new', 'demo-4', 'randriambololona miora 2044'), ('new', 'demo-e1', 'demo-1'), ('new', 'demo-e2', 'demo-2'), ('new', 'demo-e3', 'demo-3')) t(what, id, said)""")
 def seeded(spark, d):
