@@ -7,13 +7,17 @@ what one-by-one processing would.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dispensary.functions.text import trim
 from dispensary.operators.store import dirty
+from dispensary.session import shared_folder
 
 #: Records in a page, and bytes in a request.
 PAGE_SIZE, BODY_BYTES = 500, 8 << 20
@@ -145,51 +149,129 @@ def versions(changes: DataFrame, state: DataFrame | None = None, counters: DataF
     return new.withColumn("until", F.lead("since").over(Window.partitionBy(*KEY).orderBy("seq")))
 
 
-def _page_ends(requests: DataFrame, shown: DataFrame, page: int) -> DataFrame:
-    """The requests with `last`, the segment of `page` sequence numbers in which their page ends at the latest.
-
-    Versions that nothing follows are shown after every later push, so a page is full once so many of them lie between
-    the cursor and the end of a segment.  A segment has `page` of them at most; so their running sums, in steps of `page`, leave
-    no step out, and the first sum that suffices is in a request's step or in the next one."""
-    sums = shown.groupBy("facilityId", "segment").agg(F.count_if(F.col("until").isNull()).alias("n"))
-    running = Window.partitionBy("facilityId").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select("facilityId", "segment", F.sum("n").over(running).alias("sum"))  # a row a segment
-    first = requests.select("facilityId", "push", F.floor(F.greatest("cursor", F.lit(0)) / page).alias("begin"))
-    # the running sum at the end of the cursor's own segment, or of the last one before it
-    ahead = F.lead("segment").over(Window.partitionBy("facilityId").orderBy("segment"))
-    spans = sums.select("facilityId", "sum", F.col("segment").alias("s"), F.coalesce(ahead, F.col("segment") + 1).alias("t"))
-    whole = spans.select("facilityId", "sum", F.explode(F.sequence("s", F.col("t") - 1)).alias("begin"))
-    asked = first.join(whole, ["facilityId", "begin"], "left").select("facilityId", "push", (F.coalesce("sum", F.lit(0)) + page).alias("need"))
-    asked = asked.withColumn("step", F.explode(F.array(F.floor(F.col("need") / page), F.floor(F.col("need") / page) + 1)))
-    steps = sums.select("facilityId", "segment", "sum", F.floor(F.col("sum") / page).alias("step"))
-    ends = asked.join(steps, ["facilityId", "step"]).filter("sum >= need").groupBy("facilityId", "push").agg(F.min("segment").alias("last"))
-    return requests.join(ends, ["facilityId", "push"], "left")
+#: Sequence numbers in a block of versions, and requests that meet a block at once.
+BLOCK, REQUESTS = 2048, 4096
 
+_LATE = (1 << 63) - 1
+_PAIR = "facilityId string, push long, cursor long, upto long, block long"
 
-def pages(requests: DataFrame, changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None, page: int = PAGE_SIZE) -> DataFrame:
-    """(facilityId, push, place, kind, id, seq, body): what each request (facilityId, push, cursor) pulls after its own push.
 
-    Versions are dealt into segments of sequence numbers.  A request only meets the segments from its cursor to where its page
-    must be full, or to what its facility had by then, so the work follows what is sent, not requests times records."""
-    shown = versions(changes, state, counters).withColumn("segment", F.floor(F.col("seq") / page)).filter("since is null or until is null or until > since")
+def _page_ends(requests: DataFrame, shown: DataFrame, page: int) -> DataFrame:
+    """The requests with `last`, the block in which their page ends at the latest, null if it may be the last one of all.
+
+    Versions that nothing follows are shown after every later push, so a page is full once so many of them lie behind
+    the cursor's block.  Their running sums are a row a block, and a request takes the first sum that suffices."""
+    sums = shown.groupBy("facilityId", "block").agg(F.count_if(F.col("until").isNull()).alias("n"))
+    running = Window.partitionBy("facilityId").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("facilityId", "block", F.sum("n").over(running).alias("sum"))  # a row a block
+    cursors = requests.select("facilityId", F.floor(F.greatest("cursor", F.lit(0)) / BLOCK).alias("begin")).distinct()
+    # the sum at the end of each cursor's own block, then the first block at which it has grown by a page
+    behind = Window.partitionBy("facilityId").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    marks = sums.select("facilityId", F.col("block").alias("at"), F.lit(False).alias("asks"), "sum")
+    marks = marks.unionByName(cursors.select("facilityId", F.col("begin").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("sum")))
+    need = marks.withColumn("sum", F.coalesce(F.max("sum").over(behind), F.lit(0))).filter("asks").select("facilityId", F.col("at").alias("begin"), (F.col("sum") + page).alias("need"))
+    ahead = Window.partitionBy("facilityId").orderBy(F.col("sum").desc(), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.select("facilityId", F.lit(None).cast("long").alias("begin"), F.lit(False).alias("asks"), "sum", "block")
+    ends = ends.unionByName(need.select("facilityId", "begin", F.lit(True).alias("asks"), F.col("need").alias("sum"), F.lit(None).cast("long").alias("block")))
+    # descending, a sum that equals what is needed comes after the asking row; so those are met by looking for need - 1
+    ends = ends.withColumn("sum", F.when(F.col("asks"), F.col("sum") - 1).otherwise(F.col("sum"))).withColumn("last", F.min("block").over(ahead))
+    ends = ends.filter("asks").select("facilityId", "begin", "last")
+    return requests.withColumn("begin", F.floor(F.greatest("cursor", F.lit(0)) / BLOCK)).join(ends, ["facilityId", "begin"])
+
+
+def _pairs(requests: DataFrame, shown: DataFrame, page: int) -> DataFrame:
+    """(facilityId, push, cursor, upto, block): the blocks that a request may be sent versions from."""
     reached = shown.groupBy("facilityId", "since").agg(F.max("seq").alias("seq"))
     reached = requests.select("facilityId", "push", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("seq")).unionByName(reached.select("facilityId", F.coalesce("since", F.lit(-(1 << 62))).alias("push"), F.lit(False).alias("asks"), "seq"))
     upto = F.max("seq").over(Window.partitionBy("facilityId").orderBy("push"))  # a row a push
     reached = reached.withColumn("upto", upto).filter("asks").select("facilityId", "push", "upto")
     asked = _page_ends(requests, shown, page).join(reached, ["facilityId", "push"]).filter("upto > cursor")
-    asked = asked.select("facilityId", "push", "cursor", "upto", F.explode(F.sequence(F.floor(F.greatest("cursor", F.lit(0)) / page), F.least(F.coalesce("last", F.floor(F.col("upto") / page)), F.floor(F.col("upto") / page)))).alias("segment"))
-    met = asked.join(shown, ["facilityId", "segment"]).filter("seq > cursor and seq <= upto and (since is null or since <= push) and (until is null or until > push)")
-    place = F.row_number().over(Window.partitionBy("facilityId", "push").orderBy("seq"))
-    return met.select("facilityId", "push", place.alias("place"), "kind", "id", "seq", "body").filter(F.col("place") <= page)
+    end = F.floor(F.col("upto") / BLOCK)
+    pairs = asked.select("facilityId", "push", "cursor", "upto", F.explode(F.sequence("begin", F.least(F.coalesce("last", end), end))).alias("block"))
+    # a block all of whose versions have been followed by then has nothing to send
+    dead = shown.groupBy("facilityId", "block").agg(F.max(F.coalesce("until", F.lit(_LATE))).alias("dead"))
+    return pairs.join(dead, ["facilityId", "block"]).filter("dead > push").select("facilityId", "push", "cursor", "upto", "block")
+
+
+def _meet(pairs: DataFrame, shown: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+    """run(pairs, versions of their block by seq), as tables, for each block and each run of REQUESTS pushes: one group holds no more than
+    BLOCK versions and REQUESTS requests, however many there are of both."""
+    slab = F.floor(F.col("push") / REQUESTS).alias("slab")
+    met = pairs.select(F.col("facilityId").alias("f"), F.col("block").alias("b"), slab).distinct()
+    pairs = pairs.select("*", slab)
+    own = shown.select("facilityId", "block", "seq", F.coalesce("since", F.lit(-_LATE)).alias("since"), F.coalesce("until", F.lit(_LATE)).alias("until"), *columns).join(met, (F.col("facilityId") == F.col("f")) & (F.col("block") == F.col("b"))).drop("f", "b")
+    group = ["facilityId", "block", "slab"]
+    return pairs.groupBy(*group).cogroup(own.groupBy(*group)).applyInArrow(run, schema)
+
+
+def _alive(pairs: pa.Table, versions: pa.Table) -> tuple[pa.Table, Iterator[np.ndarray]]:
+    """The versions by seq, and of each request the places of those that it is to be sent out of this block."""
+    versions = versions.sort_by("seq")
+    seq, since, until = (versions.column(c).to_numpy() for c in ("seq", "since", "until"))
+    push, cursor, upto = (pairs.column(c).to_numpy() for c in ("push", "cursor", "upto"))
+    first, stop = np.searchsorted(seq, cursor, "right"), np.searchsorted(seq, upto, "right")
+    return versions, (a + np.flatnonzero((until[a:b] > p) & (since[a:b] <= p)) for p, a, b in zip(push, first, stop, strict=True))
+
+
+def _found(requests: DataFrame, shown: DataFrame, page: int) -> DataFrame:
+    """The pairs of which something is sent, with `n`, the versions that the block has for the request, and `before`, those of earlier blocks."""
+
+    def count(pairs: pa.Table, versions: pa.Table) -> pa.Table:
+        if not pairs.num_rows or not versions.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip(("facilityId", "push", "cursor", "upto", "block", "n"), (pa.string(), *[pa.int64()] * 5), strict=True)})
+        n = np.fromiter((len(x) for x in _alive(pairs, versions)[1]), np.int64, pairs.num_rows)
+        return pairs.select(["facilityId", "push", "cursor", "upto", "block"]).append_column("n", pa.array(n)).filter(pa.array(n > 0))
+
+    counted = _meet(_pairs(requests, shown, page), shown, [], count, f"{_PAIR}, n long")
+    earlier = Window.partitionBy("facilityId", "push").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block that has some
+    return counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter(F.col("before") < page)
+
+
+def _shown(changes: DataFrame, state: DataFrame | None, counters: DataFrame | None) -> DataFrame:
+    """The versions that a pull can show, by blocks of sequence numbers; made once."""
+    shown = versions(changes, state, counters).withColumn("block", F.floor(F.col("seq") / BLOCK)).filter("since is null or until is null or until > since")
+    shared_folder(changes.sparkSession)
+    return shown.checkpoint()
+
+
+def pages(requests: DataFrame, changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None, page: int = PAGE_SIZE) -> DataFrame:
+    """(facilityId, push, place, kind, id, seq, body): what each request (facilityId, push, cursor) pulls after its own push.
+
+    Versions are dealt into blocks of sequence numbers.  A request only meets the blocks from its cursor to where its page must be
+    full, or to what its facility had by then; first they are counted, so that a block's rows know their places and are never sorted together."""
+    shown = _shown(changes, state, counters)
+
+    def take(pairs: pa.Table, versions: pa.Table) -> pa.Table:
+        versions, alive = _alive(pairs, versions)
+        before = pairs.column("before").to_numpy()
+        own = [x[: max(page - b, 0)] for x, b in zip(alive, before, strict=True)]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        which = np.concatenate([np.empty(0, np.int64), *own])
+        place = np.repeat(before, sizes) + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        asks, rows = pairs.select(["facilityId", "push"]).take(pa.array(np.repeat(np.arange(len(own)), sizes))), versions.select(["kind", "id", "seq", "body"]).take(pa.array(which))
+        return pa.table({"facilityId": asks.column(0), "push": asks.column(1), "place": pa.array(place.astype(np.int32)), **{c: rows.column(c) for c in rows.column_names}})
+
+    return _meet(_found(requests, shown, page), shown, ["kind", "id", "body"], take, "facilityId string, push long, place int, kind string, id string, seq long, body string")
 
 
 def responses(requests: DataFrame, changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None, page: int = PAGE_SIZE) -> DataFrame:
     """(facilityId, push, pushed, conflicts, records, cursor, hasMore): the answer to each request (facilityId, push, cursor).
 
     Every one is answered as of its own push, as if requests had come one by one; one without records pulls only.  The
-    refused records are in `conflicts`, what is sent in `pages`."""
+    refused records are in `conflicts`, what is sent in `pages`, of which only the last row is looked up here."""
+    shown = _shown(changes, state, counters)
     told = judged(changes, state).groupBy("facilityId", "push").agg(F.count_if("accepted").alias("pushed"), F.count_if(~F.col("accepted")).alias("conflicts"))
-    sent = pages(requests, changes, state, counters, page).groupBy("facilityId", "push").agg(F.count("*").alias("records"), F.max("seq").alias("latest"))
+
+    def last(pairs: pa.Table, versions: pa.Table) -> pa.Table:
+        versions, alive = _alive(pairs, versions)
+        seq, before = versions.column("seq").to_numpy(), pairs.column("before").to_numpy()
+        own = [x[: max(page - b, 0)] for x, b in zip(alive, before, strict=True)]
+        records = before + np.fromiter(map(len, own), np.int64, len(own))
+        latest = np.fromiter((seq[x[-1]] if len(x) else -1 for x in own), np.int64, len(own))
+        return pa.table({"facilityId": pairs.column("facilityId"), "push": pairs.column("push"), "records": pa.array(records), "latest": pa.array(latest)}).filter(pa.array(latest >= 0))
+
+    own = _found(requests, shown, page).groupBy("facilityId", "push").agg(F.max_by(F.struct("cursor", "upto", "block", "before"), "block").alias("r")).select("facilityId", "push", "r.*")
+    sent = _meet(own, shown, [], last, "facilityId string, push long, records long, latest long")
     out = requests.join(told, ["facilityId", "push"], "left").join(sent, ["facilityId", "push"], "left")
     none = F.lit(0).cast("long")
     return out.select("facilityId", "push", F.coalesce("pushed", none).alias("pushed"), F.coalesce("conflicts", none).alias("conflicts"), F.coalesce("records", none).alias("records"), F.coalesce("latest", "cursor").alias("cursor"), (F.coalesce("records", none) == page).alias("hasMore"))

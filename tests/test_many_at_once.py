@@ -128,3 +128,17 @@ def test_empty_merge_log(spark):
     patients, encounters = spark.createDataFrame([], PATIENTS), spark.createDataFrame([], ENCOUNTERS)
     log = spark.createDataFrame([(1, 1, "a", "b")], "ord long, at long, keepId string, duplicateId string")
     assert [x.count() for x in mergelog.apply_merge_log(patients, encounters, log)] == [0, 0, 0]
+
+
+def test_responses_by_small_blocks(spark, monkeypatch):
+    """Pages over many blocks, and blocks asked by more requests than one group takes."""
+    monkeypatch.setattr(sync, "BLOCK", 4)
+    monkeypatch.setattr(sync, "REQUESTS", 3)
+    r, changes = random.Random(1), []
+    for push in range(30):
+        changes += [(f, push, k, "patient", f"i{r.randrange(40)}", float(r.randrange(push, push + 9)), None, f"{push}-{k}") for f in ("f1", "f2") for k in range(r.randrange(7))]
+    requests = [(f, push, r.choice((0, 3, push * 3))) for f in ("f1", "f2") for push in range(30)]
+    told, sent = one_by_one(changes, requests, [], [], 10)
+    frames = [spark.createDataFrame(requests, "facilityId string, push long, cursor long"), spark.createDataFrame(changes, CHANGES)]
+    assert sorted(map(tuple, sync.responses(*frames, page=10).collect())) == sorted(told)
+    assert sorted(map(tuple, sync.pages(*frames, page=10).collect())) == sorted(sent)
