@@ -115,9 +115,11 @@ def dosing_slots(frequency: Column) -> Column:
     return c.otherwise(F.array().cast("array<int>"))
 
 
-def pseudonym(id_: Column, salt: Column) -> Column:
-    """Eight characters from the first eight bytes of SHA-256 over `salt:id`, each modulo 30."""
+def pseudonym(id_: Column, salt: Column, characters: int = 8) -> Column:
+    """As many characters, 32 at most, from the first bytes of SHA-256 over `salt:id`, each modulo 30.
+
+    Eight are told apart among some ten thousand ids; a million share one with even chance."""
     alphabet = "0123456789BCDFGHJKLMNPQRSTVWXZ"  # fixed value: digits and consonants
     digest = F.sha2(F.concat(salt, F.lit(":"), id_), 256)
-    parts = [F.substr(F.lit(alphabet), (F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") % len(alphabet)) + 1, F.lit(1)) for i in range(8)]
+    parts = [F.substr(F.lit(alphabet), (F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") % len(alphabet)) + 1, F.lit(1)) for i in range(characters)]
     return F.concat(*parts)

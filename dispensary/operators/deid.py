@@ -22,6 +22,9 @@ REDACTED = "[…]"
 LEVELS = ("identified", "pseudonymous", "anonymous")
 REMOVED_FIELDS = ("givenName", "familyName", "birthDate", "phone", "address", "registerNo", "attachments")
 
+#: Characters of a code: of one that a known salt gives again, and of one in an anonymous export, where no two of any number may meet.
+CODE, ANONYMOUS_CODE = 8, 32
+
 _WORD = "A-Za-z0-9_"
 
 
@@ -129,20 +132,20 @@ def scrub(texts: DataFrame, terms: DataFrame, key: str = "key", text: str = "tex
     return scrubbed(own, "key", F.array("text"), terms).select("key", F.col("clean")[0]["text"].alias("text"), F.col("clean")[0]["n"].alias("redactions"))
 
 
-def deid_patients(patients: DataFrame, salt: str, as_of_ms: int) -> DataFrame:
+def deid_patients(patients: DataFrame, salt: str, as_of_ms: int, characters: int = CODE) -> DataFrame:
     """Patients under their codes, without identifiers, with their age at `as_of_ms`, 90 at most."""
-    code = C.pseudonym(F.col("id"), F.lit(salt))
+    code = C.pseudonym(F.col("id"), F.lit(salt), characters)
     age = C.cap_age(C.patient_age(F.col("birthDate"), F.col("approximateAge"), F.lit(as_of_ms)))
     none = F.lit(None)
     new = {"id": code, "familyName": code, "givenName": F.lit(""), "searchKey": F.lower(code), "approximateAge": age} | dict.fromkeys(("birthDate", "birthDatePrecision", "phone", "address", "registerNo", "syncedAt"), none)
     return patients.select([new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f.name) for f in patients.schema])
 
 
-def deid_encounters(encounters: DataFrame, patients: DataFrame, salt: str, generalise_dates: bool, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def deid_encounters(encounters: DataFrame, patients: DataFrame, salt: str, generalise_dates: bool, strict: bool = False, characters: int = CODE) -> tuple[DataFrame, DataFrame]:
     """(encounters, (id, redactions)): the patient's code or UNKNOWN, scrubbed texts, no attachments.
 
     Prescriptions and encounter ids stay as they are; `strict` scrubs the prescriptions' notes and codes the ids too."""
-    known = patients.select(F.col("id").alias("patientId"), C.pseudonym(F.col("id"), F.lit(salt)).alias("code"))
+    known = patients.select(F.col("id").alias("patientId"), C.pseudonym(F.col("id"), F.lit(salt), characters).alias("code"))
     plain = ("chiefComplaint", "diagnosis", "notes")
     said = F.coalesce(F.map_entries("provenance"), F.array().cast("array<struct<key:string,value:struct<source:string,confidence:double,rawText:string>>>"))
     listed = F.concat(F.array(*plain), F.transform(said, lambda e: e["value"]["rawText"]))
@@ -159,7 +162,7 @@ def deid_encounters(encounters: DataFrame, patients: DataFrame, salt: str, gener
     if generalise_dates:
         new["occurredAt"] = C.month_start(F.col("occurredAt"))
     if strict:
-        new["id"] = C.pseudonym(F.col("id"), F.lit(salt))
+        new["id"] = C.pseudonym(F.col("id"), F.lit(salt), characters)
         new["prescriptions"] = F.transform("prescriptions", lambda p, i: p.withField("notes", text(i + len(plain) + F.size(said))))
     rows = out.select([new[c].alias(c) if c in new else F.col(c) for c in encounters.columns])
     return rows, out.select("id", F.aggregate("clean", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("redactions"))
@@ -168,7 +171,7 @@ def deid_encounters(encounters: DataFrame, patients: DataFrame, salt: str, gener
 def deidentify(patients: DataFrame, encounters: DataFrame, level: str, as_of_ms: int, salt: str | None = None, generalise_dates: bool | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(patients, encounters, manifest of one row) at level identified, pseudonymous or anonymous.
 
-    An anonymous export always gets a fresh salt; the salt is drawn once, here, so that retried tasks agree."""
+    An anonymous export always gets a fresh salt, and codes of 32 characters; the salt is drawn once, here, so that retried tasks agree."""
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
     counts = patients.agg(F.count("*").alias("patientsProcessed")).crossJoin(encounters.agg(F.count("*").alias("encountersProcessed")))  # one row each
@@ -178,6 +181,7 @@ def deidentify(patients: DataFrame, encounters: DataFrame, level: str, as_of_ms:
     if level == "anonymous" or salt is None:
         salt = random_salt()
     dates = level == "anonymous" if generalise_dates is None else generalise_dates
-    rows, redactions = deid_encounters(encounters, patients, salt, dates, strict)
+    characters = ANONYMOUS_CODE if level == "anonymous" else CODE
+    rows, redactions = deid_encounters(encounters, patients, salt, dates, strict, characters)
     manifest = facts(dates, REMOVED_FIELDS).crossJoin(redactions.agg(F.coalesce(F.sum("redactions"), F.lit(0)).alias("freeTextRedactions")))  # one row each
-    return deid_patients(patients, salt, as_of_ms), rows, manifest
+    return deid_patients(patients, salt, as_of_ms, characters), rows, manifest

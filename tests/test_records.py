@@ -181,3 +181,14 @@ def test_patch_erases_and_keeps(spark):
     e = encounters(spark, {"id": "e", "vitals": {"pulse": 80, "weight": 60}, "notes": "x", "provenance": {"notes": {"source": "voice"}}})
     row = store.patch_encounter(e, "e", NOW, vitals={"pulse": F.lit(90), "weight": F.lit(None)}, notes=F.lit(None)).first()
     assert (row.vitals.pulse, row.vitals.weight, row.notes, row.updatedAt, list(row.provenance)) == (90.0, None, None, NOW, ["notes"])
+
+
+def test_anonymous_codes_do_not_meet(spark, monkeypatch):
+    """Two ids whose eight characters are the same under this salt."""
+    monkeypatch.setattr(deid, "random_salt", lambda: "s")
+    p = patients(spark, {"id": "p189391"}, {"id": "p2042952"})
+    e = encounters(spark, {"id": "e1", "patientId": "p189391"}, {"id": "e2", "patientId": "p2042952"})
+    assert deid.deid_patients(p, "s", NOW).select("id").distinct().count() == 1
+    people, visits, _ = deid.deidentify(p, e, "anonymous", NOW)
+    codes = {r.id for r in people.collect()}
+    assert len(codes) == 2 and {r.patientId for r in visits.collect()} == codes
