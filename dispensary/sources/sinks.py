@@ -28,9 +28,9 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 def write_dump(patients: DataFrame, encounters: DataFrame, manifest: DataFrame, exported_at: str, note: str, path: str) -> None:
     """Live records as JSON lines in two folders, and a manifest with the schema version and what was removed.
 
-    Attachments' contents are no part of a dump."""
-    live(patients).write.mode("overwrite").json(f"{path}/patients")
-    live(encounters).write.mode("overwrite").json(f"{path}/encounters")
+    Attachments' contents are no part of a dump.  The lists are compressed, file by file, as JSON repeats its field names in every line."""
+    live(patients).write.mode("overwrite").json(f"{path}/patients", compression="gzip")
+    live(encounters).write.mode("overwrite").json(f"{path}/encounters", compression="gzip")
     facts = manifest.select(F.lit(exported_at).alias("exportedAt"), F.lit(1).alias("schemaVersion"), F.lit(note).alias("note"), F.struct("*").alias("deidentification"))
     facts.write.mode("overwrite").json(f"{path}/manifest")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dispensary.functions import clinical as C
 from dispensary.operators import bundle, deid, merge, report, store, sync
 from dispensary.schemas import CHANGES, ENCOUNTERS, PATIENTS
+from dispensary.sources import sinks
 from dispensary.streaming.feed import Snapshots, live_last_visit, read_changes, start_feed
 
 NOW = 1704067200000
@@ -192,3 +193,14 @@ def test_anonymous_codes_do_not_meet(spark, monkeypatch):
     people, visits, _ = deid.deidentify(p, e, "anonymous", NOW)
     codes = {r.id for r in people.collect()}
     assert len(codes) == 2 and {r.patientId for r in visits.collect()} == codes
+
+
+def test_dump_is_compressed(spark, tmp_path):
+    p = patients(spark, *[{"id": f"p{k}", "phone": "é\n"} for k in range(500)])
+    e = encounters(spark, *[{"id": f"e{k}", "notes": "vu le matin", "vitals": {"pulse": k}} for k in range(500)])
+    at = str(tmp_path / "dump")
+    sinks.write_dump(p.coalesce(1), e.coalesce(1), deid.deidentify(p, e, "identified", NOW)[2], "2024-01-01T00:00:00Z", "note", at)
+    lines = sum(len(json.dumps(r.asDict(recursive=True))) for r in e.collect())
+    assert sum(f.stat().st_size for f in (tmp_path / "dump" / "encounters").glob("part-*")) * 4 < lines
+    back_p, back_e, _ = sinks.read_dump(spark, at)
+    assert sorted(map(str, back_p.collect())) == sorted(map(str, p.collect())) and sorted(r.vitals.pulse for r in back_e.collect()) == list(range(500))
