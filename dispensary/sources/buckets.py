@@ -77,6 +77,11 @@ class BucketTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self.open(sorted(self.manifest(version).buckets.values()), self.schema)
 
+    def read_keys(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """All rows of the buckets that the keys are in; others are not opened."""
+        mine = {r.b for r in keys.select(self._bucket().alias("b")).distinct().collect()}  # as many as buckets
+        return self.open([at for b, at in sorted(self.manifest(version).buckets.items()) if b in mine], self.schema)
+
     def lookup(self, *values, version: int | None = None) -> DataFrame:
         """The rows of one key; only its bucket is opened, and the equality reaches the scan."""
         own = {k: F.lit(v).cast(self.schema[k].dataType) for k, v in zip(self.key, values, strict=True)}

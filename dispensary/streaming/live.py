@@ -1,8 +1,8 @@
 """Views that are kept up to date while records change: annotations of patients, and the monthly report.
 
-Annotations: the state of a patient holds the visits, so a deletion, a draft that becomes final, or a visit that moves to another
-patient takes back what it had given.  Only patients that a micro-batch touches send a row, and the view, a table in buckets,
-rewrites only theirs.
+Annotations: the newest version of every visit of a patient is kept in a table in buckets, so a deletion, a draft that becomes final, or a
+visit that moves to another patient takes back what it had given.  A micro-batch opens the buckets of the patients that it touches, and the
+view, such a table too, rewrites only theirs.
 
 Report: cells are sums, so a change is the old version's cells taken away and the new one's added.
 """
@@ -10,13 +10,10 @@ Report: cells are sums, so a change is the old version's cells taken away and th
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from dispensary.operators import report
 from dispensary.operators.store import live
@@ -26,49 +23,30 @@ from dispensary.sources.buckets import BucketTable
 VISIT_CHANGES = "id string, patientId string, occurredAt long, status string, updatedAt long, deletedAt long, movedFrom string"
 ANNOTATIONS = "patientId string, lastVisit long, hasDraft boolean, visits long"
 
-_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class _Visits(StatefulProcessor):
-    """A patient's visits by id, and their summary (last final visit, drafts, live visits)."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.visits = handle.getMapState("visits", "id string", "occurredAt long, counts boolean, draft boolean, updatedAt long, here boolean")
-        self.summary = handle.getValueState("summary", "lastVisit long, drafts long, visits long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        last, drafts, visits = tuple(self.summary.get()) if self.summary.exists() else (None, 0, 0)
-        before, again = (last, drafts > 0, visits), False
-        for r in rows:
-            old = self.visits.getValue((r.id,)) if self.visits.containsKey((r.id,)) else None
-            # the newest version counts; of a move both sides have one time, and leaving comes with the newer state
-            if old is not None and old[3] >= r.updatedAt:
-                continue
-            here = r.here and r.deletedAt is None
-            draft = r.status == "draft"
-            if old is not None and old[1]:
-                visits, drafts = visits - 1, drafts - old[2]
-                again = again or not old[2] and old[0] == last
-            if here:
-                visits, drafts = visits + 1, drafts + draft
-                if not draft and (last is None or r.occurredAt > last):
-                    last = r.occurredAt
-            self.visits.updateValue((r.id,), (r.occurredAt, here, draft, r.updatedAt, r.here))
-        if again:  # the last visit may be gone
-            last = max((v[0] for v in self.visits.values() if v[1] and not v[2]), default=None)
-        self.summary.update((last, drafts, visits))
-        if (last, drafts > 0, visits) != before:
-            yield Row(patientId=key[0], lastVisit=last, hasDraft=drafts > 0, visits=visits)
-
-    def close(self) -> None:
-        pass
-
-
-def annotation_changes(changes: DataFrame) -> DataFrame:
-    """(patientId, lastVisit, hasDraft, visits) of the patients whose annotations change, as a stream of visit changes comes in."""
+#: The newest version of each visit of a patient, also of one that it left; a patient's visits are dealt into PARTS.
+VISITS = "patientId string, part int, id string, occurredAt long, counts boolean, draft boolean, updatedAt long"
+PARTS, VISIT_BUCKETS = 8, 64
+
+
+def visit_sides(changes: DataFrame) -> DataFrame:
+    """A row of VISITS for each patient that a change concerns: the one that has the visit, and the one that it left."""
     sides = F.array(F.struct(F.col("patientId").alias("patientId"), F.lit(True).alias("here")), F.when(F.col("movedFrom").isNotNull() & (F.col("movedFrom") != F.col("patientId")), F.struct(F.col("movedFrom").alias("patientId"), F.lit(False).alias("here"))))
-    rows = changes.select("id", "occurredAt", "status", "updatedAt", "deletedAt", F.explode(F.array_compact(sides)).alias("s")).select("id", "occurredAt", "status", "updatedAt", "deletedAt", "s.*")
-    return rows.groupBy("patientId").transformWithState(_Visits(), ANNOTATIONS, "Update", "None")
+    rows = changes.select("id", "occurredAt", "status", "updatedAt", "deletedAt", F.explode(F.array_compact(sides)).alias("s"))
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+    return rows.select("s.patientId", part.alias("part"), "id", "occurredAt", (F.col("s.here") & F.col("deletedAt").isNull()).alias("counts"), F.coalesce(F.col("status") == "draft", F.lit(False)).alias("draft"), "updatedAt")
+
+
+def _newest_sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Of each patient and visit the row with the latest change time, a stored one first."""
+    both = old.withColumn("stored", F.lit(1)).unionByName(new.withColumn("stored", F.lit(0)))
+    row = F.struct("occurredAt", "counts", "draft", "updatedAt")
+    return both.groupBy("patientId", "part", "id").agg(F.max_by(row, F.struct("updatedAt", "stored")).alias("r")).select("patientId", "part", "id", "r.*")
+
+
+def annotations_of(visits: DataFrame) -> DataFrame:
+    """ANNOTATIONS of the patients of these rows of VISITS; combined before the shuffle, so a patient of very many visits is a row a task."""
+    final = F.when(F.col("counts") & ~F.col("draft"), F.col("occurredAt"))
+    return visits.groupBy("patientId").agg(F.max(final).alias("lastVisit"), F.bool_or(F.col("counts") & F.col("draft")).alias("hasDraft"), F.count_if("counts").alias("visits"))
 
 
 def annotation_table(spark, path: str, buckets: int = 64) -> BucketTable:
@@ -78,24 +56,28 @@ def annotation_table(spark, path: str, buckets: int = 64) -> BucketTable:
 def start_annotations(changes: DataFrame, view: BucketTable, checkpoint: str, keep: int = 2) -> StreamingQuery:
     """Bring the view up to date with everything that is there, then stop; a replayed batch changes nothing.
 
-    State is kept in RocksDB, which this sets for the session."""
+    The visits are a table beside the view, which moves on first; a batch that failed between both is done again, with the same outcome."""
     spark = view.spark
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
+    visits = BucketTable(spark, f"{view.path}/visits", VISITS, key=("patientId", "part"), order=("patientId", "id"), buckets=VISIT_BUCKETS)
 
     def upsert(rows: DataFrame, batch: int) -> None:
         stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
         done = view.manifest().facts.get("batches", {})
         if done.get(stream, -1) >= batch:
             return
-        rows = rows.persist()
+        sides = visit_sides(rows)
+        version = visits.change(sides, lambda old: _newest_sides(old, sides))
+        touched = sides.select("patientId").distinct()
+        parts = touched.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        new = annotations_of(visits.read_keys(parts, version)).join(touched, "patientId", "left_semi").persist()  # a row a patient
         try:
-            new = lambda old: old.join(rows.select("patientId"), "patientId", "left_anti").unionByName(rows.filter("visits > 0"))
-            view.change(rows, new, lambda _: ({}, {"batches": done | {stream: batch}}))
+            view.change(new, lambda old: old.join(new.select("patientId"), "patientId", "left_anti").unionByName(new.filter("visits > 0")), lambda _: ({}, {"batches": done | {stream: batch}}))
         finally:
-            rows.unpersist()
+            new.unpersist()
         view.drop_old(keep)
+        visits.drop_old(keep)
 
-    return annotation_changes(changes).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_annotations(view: BucketTable, day_start_ms: int) -> DataFrame:

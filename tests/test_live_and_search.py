@@ -124,3 +124,14 @@ def test_postings_follow_changes_and_open_few_buckets(spark, tmp_path):
     index.update(table.lookup("p42"), table.lookup("p42").withColumn("deletedAt", F.lit(5).cast("long")))
     assert index.candidates("other").count() == 0
     assert spark.range(1).select(pieces(F.lit("abab"))).first()[0] == ["aba", "bab"] and spark.range(1).select(pieces(F.lit("ab"))).first()[0] == []
+
+
+def test_a_patient_of_many_visits_is_dealt(spark, tmp_path):
+    """Its visits are in many buckets, and few rows leave the tasks that sum them up."""
+    from dispensary.streaming.live import VISITS, annotations_of, visit_sides
+
+    rows = [(f"v{k}", "p1", k, "final", 1, None, "p2") for k in range(400)]
+    sides = visit_sides(spark.createDataFrame(rows, VISIT_CHANGES))
+    assert sides.filter("patientId = 'p1'").select("part").distinct().count() == 8 and sides.count() == 800
+    got = {r.patientId: tuple(r)[1:] for r in annotations_of(sides.select([c.split()[0] for c in VISITS.split(", ")])).collect()}
+    assert got == {"p1": (399, False, 400), "p2": (None, False, 0)}
