@@ -92,18 +92,37 @@ def conflicts(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return judged(changes, state).filter(~F.col("accepted")).select("facilityId", "push", "kind", "id", F.lit("server_newer").alias("reason"), "serverUpdatedAt")
 
 
-def sequenced(changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
+def _places(accepted: DataFrame) -> DataFrame:
+    """The rows with `part`, a range of facility, push and rank, and `row`, which rises by one within it.  Written down, as ranges are drawn
+    from a sample."""
+    ranged = accepted.repartitionByRange("facilityId", "push", "rank").sortWithinPartitions("facilityId", "push", "rank")
+    shared_folder(accepted.sparkSession)
+    ranged = ranged.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    return ranged.withColumn("part", F.shiftright("row", 33))
+
+
+def sequenced(changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None, wide: bool = False) -> DataFrame:
     """The accepted changes with their `seq`.
 
     A push moves its facility's counter by all its valid records, and its accepted records take the numbers from there
-    on, so conflicts leave gaps.  Counters are sums over pushes: a facility's pushes are few against its records."""
+    on, so conflicts leave gaps.  Counters are sums over pushes: a facility's pushes are few against its records.  `wide` is for
+    pushes of any size: one is numbered in ranges, by many tasks."""
     j = judged(changes, state)
     per_push = j.groupBy("facilityId", "push").agg(F.count("*").alias("valid"))
     base = F.coalesce(F.sum("valid").over(Window.partitionBy("facilityId").orderBy("push").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_push = per_push.withColumn("base", base)
     if counters is not None:
         per_push = per_push.join(counters.select("facilityId", F.col("value").alias("start")), "facilityId", "left").withColumn("base", F.col("base") + F.coalesce("start", F.lit(0)))
-    a = j.filter("accepted").join(per_push.select("facilityId", "push", "base"), ["facilityId", "push"])
+    per_push = per_push.select("facilityId", "push", "base")
+    if wide:
+        rows = _places(j.filter("accepted"))
+        parts = rows.groupBy("facilityId", "push", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+        earlier = Window.partitionBy("facilityId", "push").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+        parts = parts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1)
+        parts = parts.join(per_push.withColumnRenamed("base", "start"), ["facilityId", "push"]).select("facilityId", "push", "part", (F.col("base") + F.col("start")).alias("base"))
+        a = rows.join(parts, ["facilityId", "push", "part"])
+        return a.withColumn("seq", F.col("base") + F.col("row")).drop("base", "part", "row", "rank", "accepted", "serverUpdatedAt")
+    a = j.filter("accepted").join(per_push, ["facilityId", "push"])
     place = F.row_number().over(Window.partitionBy("facilityId", "push").orderBy("rank"))
     return a.withColumn("seq", F.col("base") + place).drop("base", "rank", "accepted", "serverUpdatedAt")
 
@@ -118,7 +137,11 @@ def counters_after(changes: DataFrame, counters: DataFrame | None = None) -> Dat
 
 def apply_push(changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
     """The record store after the changes: of each key the last accepted version, with its sequence number."""
-    new = sequenced(changes, state, counters).select("facilityId", "kind", "id", "updatedAt", "deletedAt", "seq", "body")
+    return _stored(sequenced(changes, state, counters), state)
+
+
+def _stored(accepted: DataFrame, state: DataFrame | None) -> DataFrame:
+    new = accepted.select("facilityId", "kind", "id", "updatedAt", "deletedAt", "seq", "body")
     if state is not None:
         new = new.unionByName(state.select(new.columns))
     # versions of a key rise in both time and number, so the latest is the maximum; combined map-side
@@ -343,8 +366,8 @@ def sync_round(patients: DataFrame, encounters: DataFrame, state: DataFrame, cou
     sent = {"patient": dirty(patients, False), "encounter": dirty(encounters, True)}
     rows = [df.select(F.lit(facility).alias("facilityId"), F.lit(push).cast("long").alias("push"), F.col("id").alias("ord"), F.lit(kind).alias("kind"), "id", F.col("updatedAt").cast("double").alias("updatedAt"), "deletedAt", F.to_json(F.struct("*")).alias("body")) for kind, df in sent.items()]
     changes = rows[0].unionByName(rows[1])
-    refused, accepted = conflicts(changes, state), sequenced(changes, state, counters)
-    after = apply_push(changes, state, counters)
+    refused, accepted = conflicts(changes, state), sequenced(changes, state, counters, wide=True)
+    after = _stored(accepted, state)
     got = pull(after, facility, cursor, page)
     local, decided = {}, None
     for kind, table in (("patient", patients), ("encounter", encounters)):

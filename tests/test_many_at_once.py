@@ -142,3 +142,13 @@ def test_responses_by_small_blocks(spark, monkeypatch):
     frames = [spark.createDataFrame(requests, "facilityId string, push long, cursor long"), spark.createDataFrame(changes, CHANGES)]
     assert sorted(map(tuple, sync.responses(*frames, page=10).collect())) == sorted(told)
     assert sorted(map(tuple, sync.pages(*frames, page=10).collect())) == sorted(sent)
+
+
+def test_a_push_of_any_size(spark):
+    """Numbered in ranges as in one piece, and no window sorts the rows of a push."""
+    r = random.Random(2)
+    changes = [(f, push, k, r.choice(("patient", "encounter")), f"i{r.randrange(300)}", float(r.randrange(50)), None, "b") for f in ("f1", "f2") for push in (1, 2) for k in range(500 if f == "f1" else 5)]
+    frames = [spark.createDataFrame(changes, CHANGES), None, spark.createDataFrame([("f1", 7)], "facilityId string, value long")]
+    wide, plain = sync.sequenced(*frames, wide=True), sync.sequenced(*frames)
+    assert sorted(map(str, wide.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert "row_number" not in wide._jdf.queryExecution().optimizedPlan().toString()
