@@ -18,21 +18,22 @@ _ROW_BITS = (1 << 33) - 1
 
 
 def _parts(rows: DataFrame, item: Column, order: list, path: str) -> None:
-    """Files whose names are in order, an item a line; within a file, lines but the first begin with a comma."""
+    """Compressed files whose names are in order, an item a line; within a file, lines but the first begin with a comma."""
     ordered = rows.orderBy(*order).select(item.alias("item"), F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("row"))
-    ordered.select(F.when(F.col("row") == 0, F.col("item")).otherwise(F.concat(F.lit(","), "item")).alias("value")).write.text(path)
+    ordered.select(F.when(F.col("row") == 0, F.col("item")).otherwise(F.concat(F.lit(","), "item")).alias("value")).write.text(path, compression="gzip")
 
 
 def write_document(spark: SparkSession, path: str, head: str, lists: dict[str, tuple[DataFrame, Column, list]]) -> None:
     """The object `head`, as JSON text, with further fields: name -> (rows, the JSON of a row, order); a line an item.
 
-    Parts are removed at the end; a run that fails leaves no file of the document's name behind, nor replaces one."""
+    A part goes once it is passed on, so the disk holds little more than the document; a run that fails leaves no file of the document's name behind, nor replaces one."""
     at = f"{path}.parts-{uuid.uuid4().hex}"
     for k, (rows, item, order) in enumerate(lists.values()):
         _parts(rows, item, order, f"{at}/{k}")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     whole = jvm.org.apache.hadoop.fs.Path(f"{at}/whole")
     fs = whole.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     out = fs.create(whole, True)
     try:
         out.write(bytearray(head.strip().removesuffix("}").encode()))
@@ -42,16 +43,18 @@ def write_document(spark: SparkSession, path: str, head: str, lists: dict[str, t
             first = True
             for part in files.names(spark, f"{at}/{k}"):
                 own = jvm.org.apache.hadoop.fs.Path(f"{at}/{k}/{part}")
-                if not part.startswith("part-") or not fs.getFileStatus(own).getLen():
+                if not part.startswith("part-"):
                     continue
-                if not first:
-                    out.write(bytearray(b","))
-                with_ = fs.open(own)
+                with_ = codecs.getCodec(own).createInputStream(fs.open(own))
                 try:
-                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(with_, out, 1 << 16, False)
+                    begins = with_.read()
+                    if begins >= 0:  # a part without rows holds nothing
+                        out.write(bytearray(b"" if first else b",") + bytearray([begins]))
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(with_, out, 1 << 16, False)
+                        first = False
                 finally:
                     with_.close()
-                first = False
+                fs.delete(own, False)
             out.write(bytearray(b"]"))
         out.write(bytearray(b"}\n"))
     finally:

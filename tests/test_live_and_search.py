@@ -135,3 +135,12 @@ def test_a_patient_of_many_visits_is_dealt(spark, tmp_path):
     assert sides.filter("patientId = 'p1'").select("part").distinct().count() == 8 and sides.count() == 800
     got = {r.patientId: tuple(r)[1:] for r in annotations_of(sides.select([c.split()[0] for c in VISITS.split(", ")])).collect()}
     assert got == {"p1": (399, False, 400), "p2": (None, False, 0)}
+
+
+def test_parts_of_a_document_are_compressed(spark, tmp_path):
+    from dispensary.sources.documents import _parts
+
+    _parts(spark.range(2000), F.to_json(F.struct("id", F.repeat(F.lit("x"), F.lit(50)).alias("said"))), ["id"], str(tmp_path / "parts"))
+    assert sum(f.stat().st_size for f in (tmp_path / "parts").glob("part-*")) * 5 < 2000 * 70
+    write_document(spark, str(tmp_path / "d.json"), '{"a":1}', {"b": (spark.range(50).repartition(7), F.to_json(F.struct("id")), ["id"]), "c": (spark.range(0), F.to_json(F.struct("id")), ["id"])})
+    assert json.loads((tmp_path / "d.json").read_text()) == {"a": 1, "b": [{"id": k} for k in range(50)], "c": []}
