@@ -91,21 +91,32 @@ def live_annotations(view: BucketTable, day_start_ms: int) -> DataFrame:
 CELLS = "indicator string, ageBand string, sex string, count long"
 
 
-def report_delta(patients_before: DataFrame, encounters_before: DataFrame, patients_after: DataFrame, encounters_after: DataFrame, changed: DataFrame, year: int, month: int) -> DataFrame:
+#: What the report needs of an encounter.
+COUNTED = ("id", "patientId", "occurredAt", "diagnosis", "status", "updatedAt", "deletedAt")
+
+
+def encounter_sides(before: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, old, new, changed) of every encounter: COUNTED as it was, null if it is new, and as it is; of versions the one with the
+    latest change time, a stored one first.  One grouping of all rows, without semi or anti joins with the changes, whose plan gave
+    changed encounters twice."""
+    rows = before.select(*COUNTED, F.lit(True).alias("stored")).unionByName(changes.select(*COUNTED, F.lit(False).alias("stored")))
+    row, stored = F.struct(*COUNTED), F.col("stored")
+    return rows.groupBy("id").agg(F.max_by(row, F.when(stored, 1)).alias("old"), F.max_by(row, F.struct("updatedAt", "stored")).alias("new"), F.bool_or(~stored).alias("changed"))
+
+
+def report_delta(patients_before: DataFrame, patients_after: DataFrame, encounters: DataFrame, people: DataFrame, year: int, month: int) -> DataFrame:
     """(indicator, ageBand, sex, count) by which a month's cells change, counts of either sign.
 
-    `changed` is (kind, id) of what differs between before and after.  Only the encounters that changed, and those of patients that
-    did, are counted, once as they were and once as they are."""
-    ids = changed.filter("kind = 'encounter'").select("id")
-    people = changed.filter("kind = 'patient'").select(F.col("id").alias("patientId"))
-    both = encounters_before.select("id", "patientId").unionByName(encounters_after.select("id", "patientId"))
-    touched = ids.unionByName(both.join(people, "patientId", "left_semi").select("id")).distinct()
+    `encounters` is what encounter_sides gives, `people` the ids of the patients that changed.  Only the encounters that changed, and
+    those of patients that did, are counted, once as they were and once as they are."""
+    theirs = people.select(F.col("id").alias("person")).distinct().withColumn("moved", F.lit(True))
+    touched = encounters.join(theirs, F.col("new.patientId") == F.col("person"), "left").filter(F.col("changed") | F.col("moved")).select("old", "new")
 
-    def cells(patients: DataFrame, encounters: DataFrame, sign: int) -> DataFrame:
-        own = report.aggregate_month(live(patients), live(encounters.join(touched, "id", "left_semi")), year, month)
+    def cells(patients: DataFrame, side: str, sign: int) -> DataFrame:
+        own = report.aggregate_month(live(patients), live(touched.filter(F.col(side).isNotNull()).select(f"{side}.*")), year, month)
         return own.withColumn("count", F.col("count") * sign)
 
-    deltas = cells(patients_before, encounters_before, -1).unionByName(cells(patients_after, encounters_after, 1))
+    deltas = cells(patients_before, "old", -1).unionByName(cells(patients_after, "new", 1))
     return deltas.groupBy("indicator", "ageBand", "sex").agg(F.sum("count").alias("count")).filter("count <> 0")
 
 
@@ -141,12 +152,10 @@ class LiveReport:
             now_with = self.patients.change(patients, lambda old: _newest(old, patients))
             people_after = self.patients.read(now_with)
             before = self.encounters.read(max(self.encounters.versions(), default=-1))
-            mine = before.join(encounters.select("id").distinct(), "id", "left_semi")
-            after = before.join(encounters.select("id").distinct(), "id", "left_anti").unionByName(_newest(mine, encounters))
-            changed = patients.select(F.lit("patient").alias("kind"), "id").unionByName(encounters.select(F.lit("encounter").alias("kind"), "id"))
+            sides = encounter_sides(before, encounters)
 
             def also(version: int) -> tuple[dict, dict]:
-                delta = report_delta(people_before, before, people_after, after, changed, self.year, self.month)
+                delta = report_delta(people_before, people_after, sides, patients, self.year, self.month)
                 at = self.encounters.folder("cells", add_cells(self.cells(), delta).coalesce(1), version)  # some hundred cells
                 return {"cells": [at]}, {"batches": done | {source: batch}, "patients": now_with}
 
