@@ -65,3 +65,15 @@ def test_longest_drug_wins():
     drugs = [p["drug"] for p in extract_clinical("artemether lumefantrine, artemether")["prescriptions"]]
     assert drugs == ["artemether lumefantrine", "artemether"]
     assert json.dumps(drugs)
+
+
+def test_results_of_a_batch_are_held_in_chunks():
+    """Of a batch of any size few results are in memory at once, and none is lost or moved."""
+    import pandas as pd
+
+    from dispensary.functions.extract import CHUNK, extract_batches
+
+    texts = [f"Pouls {60 + k % 90}" for k in range(3 * CHUNK + 5)]
+    frames = list(extract_batches(iter([(pd.Series(texts), pd.Series(["fr"] * len(texts))), (pd.Series([], dtype="object"), pd.Series([], dtype="object"))])))
+    assert max(map(len, frames)) == CHUNK
+    assert [v["pulse"]["value"] for f in frames for v in f["vitals"]] == [60.0 + k % 90 for k in range(len(texts))]
