@@ -64,12 +64,16 @@ def _visit() -> Column:
     return _struct(reference=F.concat(F.lit("Encounter/"), F.col("id")))
 
 
-def _encounter() -> Column:
+def _start() -> Column:
+    return iso(F.col("occurredAt"))
+
+
+def _encounter(start: Column | None = None) -> Column:
     complaint, diagnosis = _blank("chiefComplaint"), _blank("diagnosis")
     return _struct(
         resourceType="Encounter", id=F.col("id"), status=F.when(F.col("status") == "final", "finished").otherwise("in-progress"),
         **{"class": _struct(system="http://terminology.hl7.org/CodeSystem/v3-ActCode", code="AMB", display="ambulatory")},
-        subject=_subject(), period=_struct(start=iso(F.col("occurredAt"))),
+        subject=_subject(), period=_struct(start=_start() if start is None else start),
         reasonCode=_some(complaint, F.array(_struct(text=complaint))),
         diagnosis=_some(diagnosis, F.array(_struct(use=_struct(text="diagnosis"), condition=_struct(display=diagnosis)))),
     )
@@ -84,12 +88,12 @@ def _quantity(value: Column, unit: Column, code: Column) -> Column:
     return _struct(value=value, unit=unit, system=_UCUM, code=code)
 
 
-def _observation(id_: Column, loinc: Column, display: Column, **rest: Column) -> Column:
+def _observation(id_: Column, loinc: Column, display: Column, start: Column | None = None, **rest: Column) -> Column:
     category = _struct(system="http://terminology.hl7.org/CodeSystem/observation-category", code="vital-signs", display="Vital Signs")
     return _struct(
         resourceType="Observation", id=id_, status="final", category=F.array(_struct(coding=F.array(category))),
         code=_struct(coding=F.array(_struct(system=_LOINC, code=loinc, display=display))),
-        subject=_subject(), encounter=_visit(), effectiveDateTime=iso(F.col("occurredAt")), **rest,
+        subject=_subject(), encounter=_visit(), effectiveDateTime=_start() if start is None else start, **rest,
     )
 
 
@@ -103,8 +107,8 @@ def _vital_id(x: Column) -> Column:
     return F.concat(F.col("id"), F.lit("-"), x["vital"])
 
 
-def _vital(x: Column) -> Column:
-    return _observation(_vital_id(x), x["loinc"], x["display"], valueQuantity=_quantity(x["value"], x["unit"], x["ucum"]))
+def _vital(x: Column, start: Column | None = None) -> Column:
+    return _observation(_vital_id(x), x["loinc"], x["display"], start, valueQuantity=_quantity(x["value"], x["unit"], x["ucum"]))
 
 
 def observations(encounters: DataFrame) -> DataFrame:
@@ -121,13 +125,13 @@ def _pressure_id() -> Column:
     return F.concat("id", F.lit("-bp"))
 
 
-def _pressure() -> Column:
+def _pressure(start: Column | None = None) -> Column:
     parts = []
     for v in ("systolic", "diastolic"):
         loinc, display, unit, ucum = map(F.lit, VITAL_CODES[v])
         value = F.col(f"vitals.{v}")
         parts.append(F.when(value.isNotNull(), _struct(code=_struct(coding=F.array(_struct(system=_LOINC, code=loinc, display=display))), valueQuantity=_quantity(value, unit, ucum))))
-    return _observation(_pressure_id(), F.lit("85354-9"), F.lit("Blood pressure panel with all children optional"), component=F.array_compact(F.array(*parts)))
+    return _observation(_pressure_id(), F.lit("85354-9"), F.lit("Blood pressure panel with all children optional"), start, component=F.array_compact(F.array(*parts)))
 
 
 def blood_pressures(encounters: DataFrame) -> DataFrame:
@@ -152,12 +156,12 @@ def _medication_id(p: Column) -> Column:
     return F.concat(F.col("id"), F.lit("-"), p["id"])
 
 
-def _medication(p: Column) -> Column:
+def _medication(p: Column, start: Column | None = None) -> Column:
     frequency, days = _frequency(p), _days(p)
     repeat = _struct(frequency=frequency, period=_some(frequency, F.lit(1)), periodUnit=_some(frequency, F.lit("d")), boundsDuration=_some(days, _struct(value=days, unit="d", system=_UCUM, code="d")))
     return _struct(
         resourceType="MedicationRequest", id=_medication_id(p), status="active", intent="order", medicationCodeableConcept=_struct(text=p["drug"]),
-        subject=_subject(), encounter=_visit(), authoredOn=iso(F.col("occurredAt")),
+        subject=_subject(), encounter=_visit(), authoredOn=_start() if start is None else start,
         dosageInstruction=F.array(_struct(text=_dosage(p), timing=F.when(frequency.isNotNull() | days.isNotNull(), _struct(repeat=repeat)))),
     )
 
@@ -171,30 +175,42 @@ def medication_requests(encounters: DataFrame) -> DataFrame:
 # --- the bundle -------------------------------------------------------------------------------------------------
 
 BUNDLE_ORDER = ("part", "encounterId", "section", "place")
-_ENTRY = "array<struct<section:int,place:int,resourceType:string,fullUrl:string,json:string>>"
-
-
-def _entry(section: int, place: Column, kind: str, id_: Column, resource: Column, json: bool) -> Column:
-    text = F.to_json(resource) if json else F.lit(None).cast("string")
-    return F.struct(F.lit(section).alias("section"), place.cast("int").alias("place"), F.lit(kind).alias("resourceType"), F.concat(F.lit("urn:uuid:"), id_).alias("fullUrl"), text.alias("json"))
+_MEASURED = "struct<place:int,vital:string,value:double,loinc:string,display:string,unit:string,ucum:string>"
 
 
 def bundle_entries(patients: DataFrame, encounters: DataFrame, as_of_ms: int, include_drafts: bool = False, urn: str = URN, json: bool = True) -> DataFrame:
     """(part, encounterId, section, place, resourceType, fullUrl, json): the entries of the bundle.
 
     They are ordered by BUNDLE_ORDER (patients, then encounters); absent fields are left out of the JSON, which
-    is null without `json`, so that entries can be counted or listed without being written.  An encounter's entries are made in one pass
-    over the encounters."""
-    none, zero = F.array().cast(_ENTRY), F.lit(0)
-    listed = F.concat(
-        F.array(_entry(0, zero, "Encounter", F.col("id"), _encounter(), json)),
-        F.transform(_measured(), lambda x: _entry(1, x["place"], "Observation", _vital_id(x), _vital(x), json)),
-        F.when(_has_pressure(), F.array(_entry(2, zero, "Observation", _pressure_id(), _pressure(), json))).otherwise(none),
-        F.coalesce(F.transform("prescriptions", lambda p, i: _entry(3, i, "MedicationRequest", _medication_id(p), _medication(p), json)), none),
+    is null without `json`, so that entries can be counted or listed without being written.  One pass over the encounters lists what each has,
+    as plain values; resources are made of the listed rows, in generated code, which the inside of a list doesn't get."""
+    zero, prescription = F.lit(0), encounters.schema["prescriptions"].dataType.elementType
+
+    def listed(section: int, place: Column, x: Column | None = None, p: Column | None = None) -> Column:
+        nothing = F.lit(None)
+        return F.struct(F.lit(section).alias("section"), place.cast("int").alias("place"), (nothing if x is None else x).cast(_MEASURED).alias("x"), (nothing if p is None else p).cast(prescription).alias("p"))
+
+    all_ = F.concat(
+        F.array(listed(0, zero)),
+        F.transform(_measured(), lambda x: listed(1, x["place"], x=x)),
+        F.filter(F.array(listed(2, zero)), lambda _: _has_pressure()),
+        F.transform(F.coalesce("prescriptions", F.array().cast(encounters.schema["prescriptions"].dataType)), lambda p, i: listed(3, i, p=p)),
     )
-    own = exported(encounters, include_drafts).select(F.lit(1).alias("part"), F.col("id").alias("encounterId"), F.explode(listed).alias("e")).select("part", "encounterId", "e.*")
-    first = patient_resources(patients, as_of_ms, urn).select(F.lit(0).alias("part"), F.col("id").alias("encounterId"), _entry(0, zero, "Patient", F.col("id"), F.col("resource"), json).alias("e"))
-    return first.select("part", "encounterId", "e.*").unionByName(own)
+    pressure = F.struct("vitals.systolic", "vitals.diastolic").alias("pressure")
+    own = exported(encounters, include_drafts).select("id", "patientId", "status", "chiefComplaint", "diagnosis", pressure, _start().alias("start"), F.explode(all_).alias("e")).withColumnRenamed("pressure", "vitals")
+    x, p, start, section = F.col("e.x"), F.col("e.p"), F.col("start"), F.col("e.section")
+    # section: resource type, id, resource
+    kinds = (("Encounter", F.col("id"), _encounter(start)), ("Observation", _vital_id(x), _vital(x, start)), ("Observation", _pressure_id(), _pressure(start)), ("MedicationRequest", _medication_id(p), _medication(p, start)))
+
+    def of(values: list[Column]) -> Column:
+        return F.when(section == 0, values[0]).when(section == 1, values[1]).when(section == 2, values[2]).otherwise(values[3])
+
+    text = of([F.to_json(r) for _, _, r in kinds]) if json else F.lit(None).cast("string")
+    url = F.concat(F.lit("urn:uuid:"), of([i for _, i, _ in kinds]))
+    rows = own.select(F.lit(1).alias("part"), F.col("id").alias("encounterId"), "e.section", "e.place", of([F.lit(k) for k, _, _ in kinds]).alias("resourceType"), url.alias("fullUrl"), text.alias("json"))
+    patient = F.to_json("resource") if json else F.lit(None).cast("string")
+    first = patient_resources(patients, as_of_ms, urn)
+    return first.select(F.lit(0).alias("part"), F.col("id").alias("encounterId"), zero.alias("section"), zero.alias("place"), F.lit("Patient").alias("resourceType"), F.concat(F.lit("urn:uuid:"), "id").alias("fullUrl"), patient.alias("json")).unionByName(rows)
 
 
 def entry_json() -> Column:

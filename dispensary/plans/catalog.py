@@ -491,7 +491,8 @@ def bundle_json(spark, d):
     ref = "struct<reference:string>"
     code = "struct<coding:array<struct<code:string>>>"
     shape = f"resourceType string, id string, subject {ref}, name array<struct<family:string>>, reasonCode array<struct<text:string>>, medicationCodeableConcept struct<text:string>, code {code}, valueQuantity struct<value:double>, dosageInstruction array<struct<timing:struct<repeat:struct<frequency:double>>>>, period struct<start:string>, effectiveDateTime string, authoredOn string"
-    j = e.select("part", "encounterId", "section", "place", F.col("fullUrl"), F.from_json("json", shape).alias("j"))
+    # a list of one, which no filter is pushed through: else each entry would be written and parsed twice
+    j = e.select("part", "encounterId", "section", "place", F.col("fullUrl"), F.explode(F.array(F.from_json("json", shape))).alias("j"))
     j = j.filter(F.col("fullUrl") == F.concat(F.lit("urn:uuid:"), F.col("j.id")))
     said = F.coalesce(F.get("j.name", F.lit(0))["family"], F.get("j.reasonCode", F.lit(0))["text"], "j.medicationCodeableConcept.text")
     value = F.coalesce("j.valueQuantity.value", F.get("j.dosageInstruction", F.lit(0))["timing"]["repeat"]["frequency"])

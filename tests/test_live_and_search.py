@@ -166,3 +166,14 @@ def test_report_by_differences_of_joined_changes(spark, tmp_path):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_bundle_entries_are_written_and_parsed_once(spark):
+    """Neither in a filter beside the column, nor inside a list, where no code is generated."""
+    from dispensary.plans import catalog
+
+    plan = catalog.bundle_json(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert any("from_json" in x for x in plan) and not any("from_json" in x for x in plan if "Filter" in x.split("(")[0])
+    p, e = patients(spark, {"id": "p1"}), encounters(spark, {"id": "e1", "vitals": {"pulse": 80}})
+    plan = bundle.bundle_entries(p, e, NOW)._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert any("StructsToJson" in x for x in plan) and not any("StructsToJson" in x for x in plan if "explode(" in x)
