@@ -109,6 +109,12 @@ def with_deleted_patients(encounters: DataFrame, encounter_patches: DataFrame, p
     return encounter_patches.unionByName(own, allowMissingColumns=True)
 
 
+def stored_log(log: DataFrame, path: str) -> DataFrame:
+    """The entries, written once; a fold reads them several times, a few columns each time."""
+    log.write.parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)
+
+
 def surviving_attachments(attachments: DataFrame, encounter_patches: DataFrame) -> DataFrame:
     """The attachments (id, encounterId) that no entry takes away, and no deletion of their encounter; deleted ones go for good."""
     deleted = encounter_patches.filter("op = 'delete'").select(F.col("id").alias("encounterId")).distinct()

@@ -978,7 +978,7 @@ def patch_log_encounters(spark, d):
     v = data.visits(spark, d)
     table = BucketTable(spark, scratch(spark), v.schema)
     table.write(v)
-    log = patches.with_deleted_patients(v, _encounter_log(spark, d), _patient_log(spark, d))
+    log = patches.stored_log(patches.with_deleted_patients(v, _encounter_log(spark, d), _patient_log(spark, d)), f"{table.path}/log")
     table.change(log, lambda rows: patches.patch_encounters(rows, log))
     return table.read().select("id", "vitals.pulse", "vitals.systolic", "diagnosis", "notes", "status", F.size("provenance").alias("said"), "deletedAt", F.array_join("attachmentIds", ",").alias("attachments"), "updatedAt", "syncedAt")
 

@@ -177,3 +177,16 @@ def test_bundle_entries_are_written_and_parsed_once(spark):
     p, e = patients(spark, {"id": "p1"}), encounters(spark, {"id": "e1", "vitals": {"pulse": 80}})
     plan = bundle.bundle_entries(p, e, NOW)._jdf.queryExecution().executedPlan().toString().split("\n")
     assert any("StructsToJson" in x for x in plan) and not any("StructsToJson" in x for x in plan if "explode(" in x)
+
+
+def test_a_stored_log_is_read_from_its_files(spark, tmp_path):
+    """A fold that reads it several times does not derive it again."""
+    from dispensary.operators import patches
+
+    log = spark.createDataFrame([("e1", 1, 5, "patch", {"notes": "x"}, ["diagnosis"], None), ("e1", 2, 6, "attach", None, [], "a")], patches.ENCOUNTER_PATCHES)
+    kept = patches.stored_log(log, str(tmp_path / "log"))
+    assert kept.schema == log.schema and sorted(map(str, kept.collect())) == sorted(map(str, log.collect()))
+    e = encounters(spark, {"id": "e1", "notes": "n", "diagnosis": "d"})
+    plan = patches.patch_encounters(e, kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("/log" in f for f in kept.inputFiles()) and "LocalRelation" not in plan.replace("LogicalRDD", "")
+    assert [(r.notes, r.diagnosis, r.attachmentIds) for r in patches.patch_encounters(e, kept).collect()] == [("x", None, ["a"])]
