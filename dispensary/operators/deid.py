@@ -4,7 +4,8 @@ Redaction is a join, not a pattern over every term.  A text can only hold a term
 run of word characters, so texts are folded and cut into runs, the runs are joined with those of the terms by hash, and a
 row gets the terms that it may hold.  A bitmap of the terms' runs, of bounded size however large the roster is, goes to all
 tasks first, and only runs that it may hold leave them.  Each term becomes a pattern that matches the unfolded text, and a row's patterns replace their places one after the other, the longest
-first.  All of it are expressions.
+first.  Fields of encounters say the same things again and again, so each distinct text of them is redacted once, and only texts
+that change go back to their rows.  All of it are expressions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from dispensary.functions import clinical as C
 from dispensary.functions.numbers import WS
-from dispensary.functions.text import FOLDED_LETTERS, LETTERS_OF, WHITE, fold_names, trim
+from dispensary.functions.text import FOLDED_LETTERS, LETTERS_OF, WHITE, fold_names
 
 REDACTED = "[…]"
 LEVELS = ("identified", "pseudonymous", "anonymous")
@@ -50,8 +51,8 @@ def random_salt() -> str:
 def roster_terms(patients: DataFrame) -> DataFrame:
     """(term, folded, length), distinct: the words of four characters or more of names, addresses and register numbers."""
     fields = F.array("familyName", "givenName", "address", "registerNo")
-    words = patients.select(F.explode(F.filter(fields, lambda x: x.isNotNull() & (x != ""))).alias("t")).select(F.explode(F.split("t", f"(?:{WHITE}|,)+")).alias("t"))
-    terms = words.select(trim(F.col("t")).alias("term")).filter(F.length("term") >= 4).distinct()
+    values = patients.select(F.explode(F.filter(fields, lambda x: x.isNotNull() & (x != ""))).alias("t")).distinct()
+    terms = values.select(F.explode(F.split("t", f"(?:{WHITE}|,)+")).alias("term")).filter(F.length("term") >= 4).distinct()
     return terms.select("term", fold_names(F.col("term")).alias("folded"), F.length("term").alias("length"))
 
 
@@ -94,19 +95,19 @@ def _numbers(done: Column) -> Column:
     return without(_DIGITS, _SOME_DIGITS, without(_PHONE, _SOME_PHONE, done))
 
 
-def _map_place(run: Column) -> tuple[Column, Column]:
-    """Which piece of the map a run is in, and which bit of it."""
-    at = F.pmod(F.xxhash64(run), F.lit(1 << MAP_BITS))
-    return F.shiftright(at, 15), at % (1 << 15)
+def _map_place(value: Column) -> tuple[Column, Column]:
+    """Which piece of the map a value is in, and which bit of it."""
+    at = F.xxhash64(value).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    return F.shiftright(at, 15), at.bitwiseAND(F.lit((1 << 15) - 1))
 
 
-def _known_runs(runs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The runs (key_, run_) that may begin a term; what the map does not hold is in none."""
-    piece, bit = _map_place(F.col("run_"))
-    pieces = terms.select(piece.alias("piece_"), bit.alias("bit_")).groupBy("piece_").agg(F.bitmap_construct_agg("bit_").alias("map_"))
+def _known(rows: DataFrame, table: DataFrame, by: str) -> DataFrame:
+    """The rows whose value of `by` the table may hold; what the map does not hold is in none."""
+    piece, bit = _map_place(F.col(by))
+    pieces = table.select(piece.alias("piece_"), bit.alias("bit_")).groupBy("piece_").agg(F.bitmap_construct_agg("bit_").alias("map_"))
     byte = F.conv(F.hex(F.substring(F.col("map_"), (F.floor(F.col("bit_") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    met = runs.withColumns({"piece_": piece, "bit_": bit}).join(F.broadcast(pieces), "piece_")  # 4 kB a piece, 2 ** (MAP_BITS - 15) pieces at most
-    return met.filter(F.getbit(byte, (F.col("bit_") % 8).cast("int")) == 1).select("key_", "run_")
+    met = rows.withColumns({"piece_": piece, "bit_": bit}).join(F.broadcast(pieces), "piece_")  # 4 kB a piece, 2 ** (MAP_BITS - 15) pieces at most
+    return met.filter(F.getbit(byte, (F.col("bit_") % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def scrubbed(rows: DataFrame, key: str, texts: Column, terms: DataFrame) -> DataFrame:
@@ -119,13 +120,31 @@ def scrubbed(rows: DataFrame, key: str, texts: Column, terms: DataFrame) -> Data
     t = terms.select("folded", F.regexp_extract("folded", run, 1).alias("run_")).filter("run_ <> ''").distinct()
     t = t.select("run_", F.struct((-F.length("folded")).alias("order"), "folded", term_pattern(F.col("folded")).alias("pattern")).alias("term_"))
     runs = own.select(F.col(key).alias("key_"), F.explode(F.array_distinct(F.flatten(F.transform(F.array_compact("texts_"), lambda x: F.regexp_extract_all(fold_names(x), F.lit(run)))))).alias("run_"))
-    hits = _known_runs(runs, t).join(t, "run_").groupBy("key_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
+    hits = _known(runs, t, "run_").join(t, "run_").groupBy("key_").agg(F.array_sort(F.collect_set("term_")).alias("terms_"))
     met = own.join(hits, F.col(key) == F.col("key_"), "left")
     patterns = F.coalesce(F.transform("terms_", lambda x: x["pattern"]), F.array().cast("array<string>"))
     clean = F.transform("texts_", lambda x: _by_patterns(x, patterns))
     return met.withColumn("clean", _numbers(clean)).drop("texts_", "terms_", "key_")
 
 
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def redacted(rows: DataFrame, key: str, texts: Column, terms: DataFrame) -> DataFrame:
+    """The rows with `redacted`, a map of those of their texts that change to (text, n redactions); values of `key` are distinct.
+
+    A text is scrubbed once, however many rows hold it.  A row without a key would keep its texts, and is refused."""
+    named = F.coalesce(F.col(key), F.raise_error(f"texts of a row without {key} can't be redacted"))
+    said = rows.select(named.alias("key_"), F.explode(F.array_distinct(F.array_compact(texts))).alias("said_"))
+    # texts that share a digest get each other's terms and changes, too, which they don't hold and don't look up
+    once = said.select("said_").distinct().withColumn("digest_", _digest(F.col("said_")))
+    changed = scrubbed(once, "digest_", F.array("said_"), terms).select("digest_", "said_", F.col("clean")[0].alias("clean_")).filter("clean_.n > 0")
+    met = _known(said.select("key_", _digest(F.col("said_")).alias("digest_")), changed, "digest_").join(changed, "digest_")
+    found = met.groupBy("key_").agg(F.map_from_entries(F.collect_set(F.struct("said_", "clean_"))).alias("redacted"))
+    return rows.join(found, F.col(key) == F.col("key_"), "left").drop("key_")
+
+
 def scrub(texts: DataFrame, terms: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """(key, text, redactions) for (key, text), whose keys are distinct.  `terms` is what roster_terms gives."""
     own = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -147,25 +166,25 @@ def deid_encounters(encounters: DataFrame, patients: DataFrame, salt: str, gener
     Prescriptions and encounter ids stay as they are; `strict` scrubs the prescriptions' notes and codes the ids too."""
     known = patients.select(F.col("id").alias("patientId"), C.pseudonym(F.col("id"), F.lit(salt), characters).alias("code"))
     plain = ("chiefComplaint", "diagnosis", "notes")
-    said = F.coalesce(F.map_entries("provenance"), F.array().cast("array<struct<key:string,value:struct<source:string,confidence:double,rawText:string>>>"))
-    listed = F.concat(F.array(*plain), F.transform(said, lambda e: e["value"]["rawText"]))
+    none = F.array().cast("array<string>")
+    listed = F.concat(F.array(*plain), F.coalesce(F.transform(F.map_values("provenance"), lambda v: v["rawText"]), none))
     if strict:
-        listed = F.concat(listed, F.transform(F.coalesce("prescriptions", F.array().cast(encounters.schema["prescriptions"].dataType)), lambda p: p["notes"]))
-    out = scrubbed(encounters, "id", listed, roster_terms(patients)).join(known, "patientId", "left")
-    text = lambda i: F.get("clean", i)["text"]
-    new = {c: text(F.lit(i)) for i, c in enumerate(plain)}
+        listed = F.concat(listed, F.coalesce(F.transform("prescriptions", lambda p: p["notes"]), none))
+    out = redacted(encounters, "id", listed, roster_terms(patients)).join(known, "patientId", "left")
+    done = lambda text: F.try_element_at("redacted", text)
+    clean = lambda text: F.coalesce(done(text)["text"], text)
+    new = {c: clean(F.col(c)) for c in plain}
     new["patientId"] = F.coalesce("code", F.lit("UNKNOWN"))
-    entries = F.transform(F.map_entries("provenance"), lambda e, i: F.struct(e["key"].alias("key"), e["value"].withField("rawText", text(i + len(plain))).alias("value")))
-    new["provenance"] = F.map_from_entries(entries)
-    new["attachmentIds"] = F.array().cast("array<string>")
+    new["provenance"] = F.transform_values("provenance", lambda _, v: v.withField("rawText", clean(v["rawText"])))
+    new["attachmentIds"] = none
     new["syncedAt"] = F.lit(None).cast("long")
     if generalise_dates:
         new["occurredAt"] = C.month_start(F.col("occurredAt"))
     if strict:
         new["id"] = C.pseudonym(F.col("id"), F.lit(salt), characters)
-        new["prescriptions"] = F.transform("prescriptions", lambda p, i: p.withField("notes", text(i + len(plain) + F.size(said))))
+        new["prescriptions"] = F.transform("prescriptions", lambda p: p.withField("notes", clean(p["notes"])))
     rows = out.select([new[c].alias(c) if c in new else F.col(c) for c in encounters.columns])
-    return rows, out.select("id", F.aggregate("clean", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("redactions"))
+    return rows, out.select("id", F.aggregate(listed, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(done(x)["n"], F.lit(0))).alias("redactions"))
 
 
 def deidentify(patients: DataFrame, encounters: DataFrame, level: str, as_of_ms: int, salt: str | None = None, generalise_dates: bool | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -50,6 +50,32 @@ def test_scrub(spark, text, want, n):
     assert (row.text, row.redactions) == (want, n)
 
 
+@pytest.mark.parametrize("digest", [None, 0])
+def test_a_text_of_encounters_is_scrubbed_once(spark, monkeypatch, digest):
+    """However many encounters say it, in whatever field; texts whose digests are equal don't get each other's changes."""
+    scrubbed, seen = deid.scrubbed, []
+    monkeypatch.setattr(deid, "scrubbed", lambda rows, *a: (seen.append(rows.count()), scrubbed(rows, *a))[1])
+    if digest is not None:
+        monkeypatch.setattr(deid, "_digest", lambda text: F.lit(digest).cast("long"))
+    p = patients(spark, {"id": "p1"}, {"id": "p2", "familyName": "BÉMANANA", "givenName": None})
+    said = ["vu par Bemanana", "Rakotoarisoa et BÉMANANA, dossier 12345678", "rien", None]
+    want = ["vu par […]", "[…] et […], dossier […]", "rien", None]
+    n = [1, 3, 0, 0]
+    rows = [{"id": f"e{i}", "notes": said[i % 4], "diagnosis": said[i % 3], "provenance": {"notes": {"source": "voice", "rawText": said[i % 4]}}, "prescriptions": [{"id": "r", "notes": said[(i + 1) % 4]}, {"id": "s", "notes": said[i % 2]}]} for i in range(60)]
+    out, counts = deid.deid_encounters(encounters(spark, *rows, {"id": "e60", "prescriptions": None, "provenance": None}), p, "s", False, strict=True)
+    coded = {r.code: r.id for r in spark.createDataFrame([(f"e{i}",) for i in range(61)], "id string").select("id", C.pseudonym(F.col("id"), F.lit("s")).alias("code")).collect()}
+    got = {coded[r.id]: r for r in out.collect()}
+    for i in range(60):
+        r = got[f"e{i}"]
+        assert (r.chiefComplaint, r.notes, r.diagnosis, r.provenance["notes"].rawText) == (None, want[i % 4], want[i % 3], want[i % 4])
+        assert [(x.id, x.notes) for x in r.prescriptions] == [("r", want[(i + 1) % 4]), ("s", want[i % 2])]
+    assert (got["e60"].notes, got["e60"].prescriptions, got["e60"].provenance) == (None, None, None)
+    assert {r.id: r.redactions for r in counts.collect()} == {f"e{i}": 2 * n[i % 4] + n[i % 3] + n[(i + 1) % 4] + n[i % 2] for i in range(60)} | {"e60": 0}
+    assert seen == [3]
+    with pytest.raises(Exception, match="without id"):
+        deid.deid_encounters(encounters(spark, {"id": None, "notes": "Rakotoarisoa 12345678"}), p, "s", False)[0].collect()
+
+
 def test_deidentify_levels(spark):
     p = patients(spark, {"id": "p1", "birthDate": "1920-01-01", "phone": "034", "registerNo": "2041"})
     e = encounters(spark, {"id": "e1", "notes": "patiente RAKOTOARISOA 2041", "provenance": {"notes": {"source": "voice", "rawText": "dossier 2041"}}, "attachmentIds": ["a"]}, {"id": "e2", "patientId": "ghost"})
