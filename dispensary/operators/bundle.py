@@ -182,8 +182,22 @@ def bundle_entries(patients: DataFrame, encounters: DataFrame, as_of_ms: int, in
     """(part, encounterId, section, place, resourceType, fullUrl, json): the entries of the bundle.
 
     They are ordered by BUNDLE_ORDER (patients, then encounters); absent fields are left out of the JSON, which
-    is null without `json`, so that entries can be counted or listed without being written.  One pass over the encounters lists what each has,
-    as plain values; resources are made of the listed rows, in generated code, which the inside of a list doesn't get."""
+    is null without `json`, so that entries can be counted or listed without being written."""
+    return patient_entries(patients, as_of_ms, urn, json).unionByName(encounter_entries(exported(encounters, include_drafts), json))
+
+
+def patient_entries(patients: DataFrame, as_of_ms: int, urn: str = URN, json: bool = True) -> DataFrame:
+    """Those of patients, in the order of these."""
+    zero, text = F.lit(0), F.to_json("resource") if json else F.lit(None).cast("string")
+    first = patient_resources(patients, as_of_ms, urn)
+    return first.select(F.lit(0).alias("part"), F.col("id").alias("encounterId"), zero.alias("section"), zero.alias("place"), F.lit("Patient").alias("resourceType"), F.concat(F.lit("urn:uuid:"), "id").alias("fullUrl"), text.alias("json"))
+
+
+def encounter_entries(encounters: DataFrame, json: bool = True) -> DataFrame:
+    """Those of encounters, in the order of these, and of one encounter by section and place.
+
+    One pass over the encounters lists what each has, as plain values; resources are made of the listed rows, in generated code, which
+    the inside of a list doesn't get."""
     zero, prescription = F.lit(0), encounters.schema["prescriptions"].dataType.elementType
 
     def listed(section: int, place: Column, x: Column | None = None, p: Column | None = None) -> Column:
@@ -197,7 +211,7 @@ def bundle_entries(patients: DataFrame, encounters: DataFrame, as_of_ms: int, in
         F.transform(F.coalesce("prescriptions", F.array().cast(encounters.schema["prescriptions"].dataType)), lambda p, i: listed(3, i, p=p)),
     )
     pressure = F.struct("vitals.systolic", "vitals.diastolic").alias("pressure")
-    own = exported(encounters, include_drafts).select("id", "patientId", "status", "chiefComplaint", "diagnosis", pressure, _start().alias("start"), F.explode(all_).alias("e")).withColumnRenamed("pressure", "vitals")
+    own = encounters.select("id", "patientId", "status", "chiefComplaint", "diagnosis", pressure, _start().alias("start"), F.explode(all_).alias("e")).withColumnRenamed("pressure", "vitals")
     x, p, start, section = F.col("e.x"), F.col("e.p"), F.col("start"), F.col("e.section")
     # section: resource type, id, resource
     kinds = (("Encounter", F.col("id"), _encounter(start)), ("Observation", _vital_id(x), _vital(x, start)), ("Observation", _pressure_id(), _pressure(start)), ("MedicationRequest", _medication_id(p), _medication(p, start)))
@@ -207,10 +221,7 @@ def bundle_entries(patients: DataFrame, encounters: DataFrame, as_of_ms: int, in
 
     text = of([F.to_json(r) for _, _, r in kinds]) if json else F.lit(None).cast("string")
     url = F.concat(F.lit("urn:uuid:"), of([i for _, i, _ in kinds]))
-    rows = own.select(F.lit(1).alias("part"), F.col("id").alias("encounterId"), "e.section", "e.place", of([F.lit(k) for k, _, _ in kinds]).alias("resourceType"), url.alias("fullUrl"), text.alias("json"))
-    patient = F.to_json("resource") if json else F.lit(None).cast("string")
-    first = patient_resources(patients, as_of_ms, urn)
-    return first.select(F.lit(0).alias("part"), F.col("id").alias("encounterId"), zero.alias("section"), zero.alias("place"), F.lit("Patient").alias("resourceType"), F.concat(F.lit("urn:uuid:"), "id").alias("fullUrl"), patient.alias("json")).unionByName(rows)
+    return own.select(F.lit(1).alias("part"), F.col("id").alias("encounterId"), "e.section", "e.place", of([F.lit(k) for k, _, _ in kinds]).alias("resourceType"), url.alias("fullUrl"), text.alias("json"))
 
 
 def entry_json() -> Column:

@@ -504,7 +504,7 @@ def bundle_json(spark, d):
   UNION ALL SELECT 'MedicationRequest', count(*), min(rid), max(rid) FROM (SELECT f.id || '-' || p.id AS rid FROM prescriptions p JOIN final f ON f.id = "encounterId")""")
 def bundle_document(spark, d):
     """The whole bundle, patients and encounters, written as one JSON document and read again entry by entry."""
-    at = f"{scratch(spark)}/bundle.json"
+    at = f"{scratch(spark)}/bundle.json.gz-joined"
     sinks.write_bundle(data.patients(spark, d), data.encounters(spark, d), NOW, at)
     entries = read_items(spark, at, "resource", "fullUrl string, resource struct<resourceType:string,id:string>").filter(F.col("fullUrl") == F.concat(F.lit("urn:uuid:"), F.col("resource.id")))
     return entries.groupBy("resource.resourceType").agg(F.count("*").alias("n"), F.min("resource.id").alias("first"), F.max("resource.id").alias("last"))

@@ -43,3 +43,13 @@ def get(spark: SparkSession, path: str) -> str:
         return bytearray(with_.readAllBytes()).decode()
     finally:
         with_.close()
+
+
+def begin(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first n bytes of a file, or all that it has."""
+    at, fs = _at(spark, path)
+    with_ = fs.open(at)
+    try:
+        return bytes(with_.readNBytes(n))
+    finally:
+        with_.close()

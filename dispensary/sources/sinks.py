@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispensary.operators.bundle import BUNDLE_ORDER, bundle_entries, bundle_head, entry_json
+from dispensary.operators.bundle import bundle_head, encounter_entries, entry_json, exported, patient_entries
 from dispensary.operators.store import DAY_MS, create_patients, live
 from dispensary.schemas import ENCOUNTERS, PATIENTS
 from dispensary.sources.documents import read_items, write_document
@@ -53,11 +53,13 @@ def read_dump_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 
 def write_bundle(patients: DataFrame, encounters: DataFrame, as_of_ms: int, path: str) -> None:
-    """The bundle as one JSON document: its head with the time of the export, and all entries in bundle order."""
+    """The bundle as one JSON document: its head with the time of the export, and all entries in bundle order.
+
+    Records are sorted, not their entries, which are many times as large and come in order from each record."""
     spark = patients.sparkSession
-    entries = bundle_entries(live(patients), live(encounters), as_of_ms)
     head = spark.range(1).select(bundle_head(as_of_ms).alias("head")).first().head
-    write_document(spark, path, head, {"entry": (entries, entry_json(), list(BUNDLE_ORDER))})
+    own = patient_entries(live(patients).orderBy("id"), as_of_ms), encounter_entries(exported(live(encounters)).orderBy("id"))
+    write_document(spark, path, head, {"entry": [(entries, entry_json(), []) for entries in own]})
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

@@ -190,3 +190,48 @@ def test_a_stored_log_is_read_from_its_files(spark, tmp_path):
     plan = patches.patch_encounters(e, kept)._jdf.queryExecution().optimizedPlan().toString()
     assert all("/log" in f for f in kept.inputFiles()) and "LocalRelation" not in plan.replace("LogicalRDD", "")
     assert [(r.notes, r.diagnosis, r.attachmentIds) for r in patches.patch_encounters(e, kept).collect()] == [("x", None, ["a"])]
+
+
+def test_document_of_joined_parts(spark, tmp_path, monkeypatch):
+    """One gzip file that holds the plain document's text and is read between its seams by many tasks; the list is never written plain."""
+    import gzip
+
+    from dispensary.sources import documents
+
+    monkeypatch.setattr(documents, "ITEMS", 40)
+    said = F.concat(F.col("id").cast("string"), F.lit("é\n,{]} "), F.repeat(F.lit("x"), F.lit(90)))
+    lists = {"b": (spark.range(2000).repartition(7), F.to_json(F.struct("id", said.alias("said"))), ["id"]), "none": (spark.range(0), F.to_json(F.struct("id")), ["id"]), "c": [(spark.range(k, k + 3), F.to_json(F.struct(F.col("id").alias("n"))), ["id"]) for k in (5, 1)]}
+    for name in ("d.json", "d.json.gz-joined"):
+        write_document(spark, str(tmp_path / name), '{"a":"é"}', lists)
+    packed = (tmp_path / "d.json.gz-joined").read_bytes()
+    assert gzip.decompress(packed) == (tmp_path / "d.json").read_bytes() and len(packed) * 4 < (tmp_path / "d.json").stat().st_size
+    doc = json.loads(gzip.decompress(packed))
+    assert [x["id"] for x in doc["b"]] == list(range(2000)) and doc["b"][7]["said"].startswith("7é\n,{]} x") and doc["none"] == [] and [x["n"] for x in doc["c"]] == [5, 6, 7, 1, 2, 3] and doc["a"] == "é"
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("777", "100", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_items(spark, str(tmp_path / "d.json.gz-joined"), "id", "id long, said string")
+            assert sorted((x.id, x.said) for x in rows.collect()) == [(x["id"], x["said"]) for x in doc["b"]]
+            assert size == "128m" or len({x.p for x in rows.select(F.spark_partition_id().alias("p")).collect()}) > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert [x.n for x in read_items(spark, str(tmp_path / "d.json.gz-joined"), "n", "n long").orderBy("n").collect()] == [1, 2, 3, 5, 6, 7]
+    with pytest.raises(EOFError):
+        list(documents._inflated(gzip.compress(b"cut off" * 99)[:-3]))
+
+
+def test_bundle_sorts_records_not_entries(spark, tmp_path, monkeypatch):
+    from dispensary.sources import documents
+
+    p = patients(spark, *[{"id": f"p{k % 5}", "phone": "é"} for k in range(5)]).repartition(3)
+    e = encounters(spark, *[{"id": f"e{k:02}", "patientId": f"p{k % 5}", "vitals": {"pulse": 80, "height": 99, "systolic": 120}, "prescriptions": [{"id": f"r{i}", "drug": "a\n"} for i in range(k % 3)], "status": "draft" if k % 7 == 0 else "final"} for k in range(30)]).repartition(7)
+    plans, parts = [], documents._parts
+    monkeypatch.setattr(documents, "_parts", lambda rows, item, order, path: (plans.append((rows, order)), parts(rows, item, order, path)))
+    sinks.write_bundle(p, e, NOW, str(tmp_path / "b.json"))
+    doc = json.loads((tmp_path / "b.json").read_text())
+    want = bundle.bundle_entries(store.live(p), store.live(e), NOW).orderBy(*bundle.BUNDLE_ORDER).collect()
+    assert [(x["fullUrl"], x["resource"]) for x in doc["entry"]] == [(x.fullUrl, json.loads(x.json)) for x in want] and len(want) > 100
+    for rows, order in plans:  # the sort comes before the JSON is made
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert order == [] and "urn:uuid:" in plan[: plan.index("Sort ")] and "urn:uuid:" not in plan[plan.index("Sort ") :]
