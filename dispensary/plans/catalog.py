@@ -1061,7 +1061,7 @@ def dump_round_trip(spark, d):
   UNION ALL SELECT v.id, "patientId", "updatedAt", (SELECT count(*) FROM prescriptions p WHERE p."encounterId" = v.id), pulse FROM visits v WHERE "deletedAt" IS NULL""")
 def dump_document(spark, d):
     """The dump as one document, both lists read again."""
-    at = f"{scratch(spark)}/dump.json"
+    at = f"{scratch(spark)}/dump.json.gz-joined"
     p, e = data.patients(spark, d), data.encounters(spark, d)
     sinks.write_dump_document(p, e, deid.deidentify(*_live(spark, d), "identified", NOW)[2], "2024-01-01T00:00:00Z", "test", at)
     p, e = sinks.read_dump_document(spark, at)

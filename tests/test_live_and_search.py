@@ -235,3 +235,19 @@ def test_bundle_sorts_records_not_entries(spark, tmp_path, monkeypatch):
     for rows, order in plans:  # the sort comes before the JSON is made
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert order == [] and "urn:uuid:" in plan[: plan.index("Sort ")] and "urn:uuid:" not in plan[plan.index("Sort ") :]
+
+
+def test_queries_leave_compressed_documents(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from dispensary.plans import catalog
+
+    monkeypatch.setattr(catalog, "scratch", lambda _: str(tmp_path))
+    for query in (catalog.dump_document, catalog.bundle_document):
+        query(spark, "/root/testdata/sf0.001").count()
+    files = [f for f in tmp_path.iterdir() if not f.name.startswith(".")]
+    assert len(files) == 2
+    for f in files:
+        text = gzip.decompress(f.read_bytes())
+        json.loads(text)
+        assert f.stat().st_size * 4 < len(text)
