@@ -172,58 +172,51 @@ def versions(changes: DataFrame, state: DataFrame | None = None, counters: DataF
     return new.withColumn("until", F.lead("since").over(Window.partitionBy(*KEY).orderBy("seq")))
 
 
-#: Sequence numbers in a block of versions, and requests that meet a block at once.
-BLOCK, REQUESTS = 2048, 4096
+#: Sequence numbers in a block of versions, blocks in a run, and requests and pushes in a slab.
+BLOCK, RUN, REQUESTS = 2048, 8, 4096
 
 _LATE = (1 << 63) - 1
-_PAIR = "facilityId string, push long, cursor long, upto long, block long"
-
-
-def _page_ends(requests: DataFrame, shown: DataFrame, page: int) -> DataFrame:
-    """The requests with `last`, the block in which their page ends at the latest, null if it may be the last one of all.
-
-    Versions that nothing follows are shown after every later push, so a page is full once so many of them lie behind
-    the cursor's block.  Their running sums are a row a block, and a request takes the first sum that suffices."""
-    sums = shown.groupBy("facilityId", "block").agg(F.count_if(F.col("until").isNull()).alias("n"))
-    running = Window.partitionBy("facilityId").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select("facilityId", "block", F.sum("n").over(running).alias("sum"))  # a row a block
-    cursors = requests.select("facilityId", F.floor(F.greatest("cursor", F.lit(0)) / BLOCK).alias("begin")).distinct()
-    # the sum at the end of each cursor's own block, then the first block at which it has grown by a page
-    behind = Window.partitionBy("facilityId").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    marks = sums.select("facilityId", F.col("block").alias("at"), F.lit(False).alias("asks"), "sum")
-    marks = marks.unionByName(cursors.select("facilityId", F.col("begin").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("sum")))
-    need = marks.withColumn("sum", F.coalesce(F.max("sum").over(behind), F.lit(0))).filter("asks").select("facilityId", F.col("at").alias("begin"), (F.col("sum") + page).alias("need"))
-    ahead = Window.partitionBy("facilityId").orderBy(F.col("sum").desc(), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.select("facilityId", F.lit(None).cast("long").alias("begin"), F.lit(False).alias("asks"), "sum", "block")
-    ends = ends.unionByName(need.select("facilityId", "begin", F.lit(True).alias("asks"), F.col("need").alias("sum"), F.lit(None).cast("long").alias("block")))
-    # descending, a sum that equals what is needed comes after the asking row; so those are met by looking for need - 1
-    ends = ends.withColumn("sum", F.when(F.col("asks"), F.col("sum") - 1).otherwise(F.col("sum"))).withColumn("last", F.min("block").over(ahead))
-    ends = ends.filter("asks").select("facilityId", "begin", "last")
-    return requests.withColumn("begin", F.floor(F.greatest("cursor", F.lit(0)) / BLOCK)).join(ends, ["facilityId", "begin"])
-
-
-def _pairs(requests: DataFrame, shown: DataFrame, page: int) -> DataFrame:
-    """(facilityId, push, cursor, upto, block): the blocks that a request may be sent versions from."""
-    reached = shown.groupBy("facilityId", "since").agg(F.max("seq").alias("seq"))
-    reached = requests.select("facilityId", "push", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("seq")).unionByName(reached.select("facilityId", F.coalesce("since", F.lit(-(1 << 62))).alias("push"), F.lit(False).alias("asks"), "seq"))
-    upto = F.max("seq").over(Window.partitionBy("facilityId").orderBy("push"))  # a row a push
-    reached = reached.withColumn("upto", upto).filter("asks").select("facilityId", "push", "upto")
-    asked = _page_ends(requests, shown, page).join(reached, ["facilityId", "push"]).filter("upto > cursor")
-    end = F.floor(F.col("upto") / BLOCK)
-    pairs = asked.select("facilityId", "push", "cursor", "upto", F.explode(F.sequence("begin", F.least(F.coalesce("last", end), end))).alias("block"))
-    # a block all of whose versions have been followed by then has nothing to send
-    dead = shown.groupBy("facilityId", "block").agg(F.max(F.coalesce("until", F.lit(_LATE))).alias("dead"))
-    return pairs.join(dead, ["facilityId", "block"]).filter("dead > push").select("facilityId", "push", "cursor", "upto", "block")
+#: The push of what was there before all pushes.
+_FIRST = -(1 << 62)
+_PAIR = "facilityId string, push long, cursor long, upto long, slab long, run long"
+#: Blocks of which a request looks at the counts at once.
+_LOOK = 512
+
+
+def _times(requests: DataFrame, shown: DataFrame) -> DataFrame:
+    """(facilityId, push, asks, upto, slab, end): a row a request and a row a push that shows something, with the newest number that is shown
+    by then; slabs count up to REQUESTS of both, in the order of pushes, until `end`."""
+    own = shown.groupBy("facilityId", F.coalesce("since", F.lit(_FIRST)).alias("push")).agg(F.max("seq").alias("seq")).withColumn("asks", F.lit(False))
+    marks = requests.select("facilityId", "push", F.lit(None).cast("long").alias("seq"), F.lit(True).alias("asks")).unionByName(own)
+    by_then = Window.partitionBy("facilityId").orderBy("push")  # with all of the same push; a row a push
+    marks = marks.select("facilityId", "push", "asks", F.max("seq").over(by_then).alias("upto"), F.floor(F.count("*").over(by_then) / REQUESTS).alias("slab"))
+    return marks.withColumn("end", F.max("slab").over(Window.partitionBy("facilityId")))
+
+
+def _steps(shown: DataFrame, times: DataFrame) -> DataFrame:
+    """(facilityId, slab, push, block, n): how many versions a block has at the beginning of a slab (its push is before all), and what
+    each push of the slab adds or takes away.
+
+    Blocks that have nothing are not listed, so what has long been followed costs nothing, however far behind a cursor is."""
+    moves = shown.select("facilityId", F.coalesce("since", F.lit(_FIRST)).alias("push"), "block", F.lit(1).alias("n"))
+    moves = moves.unionByName(shown.filter("until is not null").select("facilityId", F.col("until").alias("push"), "block", F.lit(-1).alias("n")))
+    moves = moves.groupBy("facilityId", "push", "block").agg(F.sum("n").alias("n")).filter("n <> 0")
+    moves = moves.join(times.filter("not asks").select("facilityId", "push", "slab", "end"), ["facilityId", "push"])
+    slabs = Window.partitionBy("facilityId", "block").orderBy("slab")
+    held = moves.groupBy("facilityId", "block", "slab", "end").agg(F.sum("n").alias("n"))
+    held = held.select("facilityId", "block", "slab", F.sum("n").over(slabs).alias("n"), F.coalesce(F.lead("slab").over(slabs), "end").alias("until")).filter("n > 0 and until > slab")
+    held = held.select("facilityId", F.explode(F.sequence(F.col("slab") + 1, "until")).alias("slab"), F.lit(-_LATE).alias("push"), "block", "n")
+    return held.unionByName(moves.select(*[F.col(c).alias(c) for c in held.columns]))
 
 
 def _meet(pairs: DataFrame, shown: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
-    """run(pairs, versions of their block by seq), as tables, for each block and each run of REQUESTS pushes: one group holds no more than
-    BLOCK versions and REQUESTS requests, however many there are of both."""
-    slab = F.floor(F.col("push") / REQUESTS).alias("slab")
-    met = pairs.select(F.col("facilityId").alias("f"), F.col("block").alias("b"), slab).distinct()
-    pairs = pairs.select("*", slab)
-    own = shown.select("facilityId", "block", "seq", F.coalesce("since", F.lit(-_LATE)).alias("since"), F.coalesce("until", F.lit(_LATE)).alias("until"), *columns).join(met, (F.col("facilityId") == F.col("f")) & (F.col("block") == F.col("b"))).drop("f", "b")
-    group = ["facilityId", "block", "slab"]
+    """run(pairs, versions of their run of blocks), as tables, for each run and slab: one group holds no more than RUN blocks' versions, and of
+    these what a request of the slab may see, and REQUESTS requests, however many there are of both."""
+    met = pairs.groupBy(F.col("facilityId").alias("f"), F.col("run").alias("r"), F.col("slab").alias("s")).agg(F.min("push").alias("low"), F.max("push").alias("high"))
+    own = shown.select("facilityId", F.floor(F.col("block") / RUN).alias("run"), "seq", F.coalesce("since", F.lit(-_LATE)).alias("since"), F.coalesce("until", F.lit(_LATE)).alias("until"), *columns)
+    seen = (F.col("facilityId") == F.col("f")) & (F.col("run") == F.col("r")) & (F.col("until") > F.col("low")) & (F.col("since") <= F.col("high"))
+    own = own.join(met, seen).withColumn("slab", F.col("s")).drop("f", "r", "s", "low", "high")
+    group = ["facilityId", "run", "slab"]
     return pairs.groupBy(*group).cogroup(own.groupBy(*group)).applyInArrow(run, schema)
 
 
@@ -236,18 +229,61 @@ def _alive(pairs: pa.Table, versions: pa.Table) -> tuple[pa.Table, Iterator[np.n
     return versions, (a + np.flatnonzero((until[a:b] > p) & (since[a:b] <= p)) for p, a, b in zip(push, first, stop, strict=True))
 
 
-def _found(requests: DataFrame, shown: DataFrame, page: int) -> DataFrame:
-    """The pairs of which something is sent, with `n`, the versions that the block has for the request, and `before`, those of earlier blocks."""
+def _reached(requests: DataFrame, shown: DataFrame, page: int, last: bool = False) -> DataFrame:
+    """(facilityId, push, cursor, upto, slab, run, before): the runs of blocks that a request is sent versions from, up to what number, and how many
+    it has from earlier ones; of each request only the last with `last`.
 
-    def count(pairs: pa.Table, versions: pa.Table) -> pa.Table:
-        if not pairs.num_rows or not versions.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in zip(("facilityId", "push", "cursor", "upto", "block", "n"), (pa.string(), *[pa.int64()] * 5), strict=True)})
-        n = np.fromiter((len(x) for x in _alive(pairs, versions)[1]), np.int64, pairs.num_rows)
-        return pairs.select(["facilityId", "push", "cursor", "upto", "block"]).append_column("n", pa.array(n)).filter(pa.array(n > 0))
+    Of the block that the cursor is in, versions are counted.  Blocks behind it count as wholes: a slab begins with the counts of all blocks that have
+    something, its pushes change them in turn, and each request takes those that it finds until its page is full."""
+    times, block, run_ = _times(requests, shown), BLOCK, RUN
+    asked = requests.join(times.filter("asks").select("facilityId", "push", "upto", "slab"), ["facilityId", "push"]).filter("upto > cursor")
+    asked = asked.select("facilityId", "push", "cursor", "upto", "slab", F.floor(F.greatest("cursor", F.lit(0)) / BLOCK).alias("begin"))
 
-    counted = _meet(_pairs(requests, shown, page), shown, [], count, f"{_PAIR}, n long")
-    earlier = Window.partitionBy("facilityId", "push").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block that has some
-    return counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter(F.col("before") < page)
+    def count(pairs: pa.Table, versions: pa.Table) -> pa.Table:
+        n = np.fromiter((len(x) for x in _alive(pairs, versions)[1]), np.int64, pairs.num_rows) if versions.num_rows else np.zeros(pairs.num_rows, np.int64)
+        return pairs.select(["facilityId", "push"]).append_column("n", pa.array(n)).filter(pa.array(n > 0))
+
+    def sweep(asks: pa.Table, steps: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if asks.num_rows and steps.num_rows:
+            asks, steps = asks.sort_by("push"), steps.sort_by("push")
+            push, upto, begin, n = (asks.column(c).to_numpy() for c in ("push", "upto", "begin", "n"))
+            blocks, at = np.unique(steps.column("block").to_numpy(), return_inverse=True)
+            moved, has = steps.column("n").to_numpy(), np.zeros(len(blocks), np.int64)
+            due, first, stop = np.searchsorted(steps.column("push").to_numpy(), push, "right"), np.searchsorted(blocks, begin, "right"), np.searchsorted(blocks, upto // block, "right")
+            done = 0
+            for k in range(len(push)):
+                if due[k] > done:
+                    np.add.at(has, at[done : due[k]], moved[done : due[k]])
+                    done = due[k]
+                seen, own, before = n[k], [begin[k : k + 1][: n[k]]], [np.zeros(min(n[k], 1), np.int64)]
+                for a in range(first[k], stop[k], _LOOK):
+                    if seen >= page:
+                        break
+                    here = has[a : min(a + _LOOK, stop[k])]
+                    some = np.flatnonzero(here)
+                    sums = seen + np.cumsum(here[some])
+                    some = some[: np.searchsorted(sums, page) + 1]  # until the page is full
+                    own.append(blocks[a + some])
+                    before.append(sums[: len(some)] - here[some])
+                    seen = sums[-1] if len(sums) else seen
+                own, before = np.concatenate(own), np.concatenate(before)
+                if len(own):
+                    runs = own // run_
+                    ends = np.append(np.flatnonzero(np.diff(runs)), len(own) - 1)
+                    starts = np.append(0, ends[:-1] + 1)
+                    if last:
+                        starts, ends = starts[-1:], ends[-1:]
+                    rows.append((np.full(len(ends), k), np.minimum((own[ends] + 1) * block - 1, upto[k]), runs[ends], before[starts]))
+        which, upto, runs, before = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 4
+        asks = asks.select(["facilityId", "push", "cursor", "slab"]).take(pa.array(which))
+        return pa.table({"facilityId": asks.column(0), "push": asks.column(1), "cursor": asks.column(2), "upto": pa.array(upto), "slab": asks.column(3), "run": pa.array(runs), "before": pa.array(before)})
+
+    of_begin = asked.select("facilityId", "push", "cursor", F.least("upto", (F.col("begin") + 1) * BLOCK - 1).alias("upto"), "slab", F.floor(F.col("begin") / RUN).alias("run"))
+    counted = _meet(of_begin, shown, [], count, "facilityId string, push long, n long")
+    asked = asked.join(counted, ["facilityId", "push"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    group = ["facilityId", "slab"]
+    return asked.groupBy(*group).cogroup(_steps(shown, times).groupBy(*group)).applyInArrow(sweep, f"{_PAIR}, before long")
 
 
 def _shown(changes: DataFrame, state: DataFrame | None, counters: DataFrame | None) -> DataFrame:
@@ -260,8 +296,8 @@ def _shown(changes: DataFrame, state: DataFrame | None, counters: DataFrame | No
 def pages(requests: DataFrame, changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None, page: int = PAGE_SIZE) -> DataFrame:
     """(facilityId, push, place, kind, id, seq, body): what each request (facilityId, push, cursor) pulls after its own push.
 
-    Versions are dealt into blocks of sequence numbers.  A request only meets the blocks from its cursor to where its page must be
-    full, or to what its facility had by then; first they are counted, so that a block's rows know their places and are never sorted together."""
+    Versions are dealt into blocks of sequence numbers.  A request only meets the blocks that have something for it, from its cursor to where its page is
+    full; they are counted first, so that a block's rows know their places and are never sorted together."""
     shown = _shown(changes, state, counters)
 
     def take(pairs: pa.Table, versions: pa.Table) -> pa.Table:
@@ -274,7 +310,7 @@ def pages(requests: DataFrame, changes: DataFrame, state: DataFrame | None = Non
         asks, rows = pairs.select(["facilityId", "push"]).take(pa.array(np.repeat(np.arange(len(own)), sizes))), versions.select(["kind", "id", "seq", "body"]).take(pa.array(which))
         return pa.table({"facilityId": asks.column(0), "push": asks.column(1), "place": pa.array(place.astype(np.int32)), **{c: rows.column(c) for c in rows.column_names}})
 
-    return _meet(_found(requests, shown, page), shown, ["kind", "id", "body"], take, "facilityId string, push long, place int, kind string, id string, seq long, body string")
+    return _meet(_reached(requests, shown, page), shown, ["kind", "id", "body"], take, "facilityId string, push long, place int, kind string, id string, seq long, body string")
 
 
 def responses(requests: DataFrame, changes: DataFrame, state: DataFrame | None = None, counters: DataFrame | None = None, page: int = PAGE_SIZE) -> DataFrame:
@@ -293,8 +329,7 @@ def responses(requests: DataFrame, changes: DataFrame, state: DataFrame | None =
         latest = np.fromiter((seq[x[-1]] if len(x) else -1 for x in own), np.int64, len(own))
         return pa.table({"facilityId": pairs.column("facilityId"), "push": pairs.column("push"), "records": pa.array(records), "latest": pa.array(latest)}).filter(pa.array(latest >= 0))
 
-    own = _found(requests, shown, page).groupBy("facilityId", "push").agg(F.max_by(F.struct("cursor", "upto", "block", "before"), "block").alias("r")).select("facilityId", "push", "r.*")
-    sent = _meet(own, shown, [], last, "facilityId string, push long, records long, latest long")
+    sent = _meet(_reached(requests, shown, page, last=True), shown, [], last, "facilityId string, push long, records long, latest long")
     out = requests.join(told, ["facilityId", "push"], "left").join(sent, ["facilityId", "push"], "left")
     none = F.lit(0).cast("long")
     return out.select("facilityId", "push", F.coalesce("pushed", none).alias("pushed"), F.coalesce("conflicts", none).alias("conflicts"), F.coalesce("records", none).alias("records"), F.coalesce("latest", "cursor").alias("cursor"), (F.coalesce("records", none) == page).alias("hasMore"))

@@ -152,3 +152,29 @@ def test_a_push_of_any_size(spark):
     wide, plain = sync.sequenced(*frames, wide=True), sync.sequenced(*frames)
     assert sorted(map(str, wide.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
     assert "row_number" not in wide._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _generated(plan):
+    """Rows that lists were taken apart into, in a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _generated(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _generated(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if kind == "GenerateExec" else 0
+    return own + sum(_generated(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("answers", ["responses", "pages"])
+def test_requests_do_not_meet_what_was_followed(spark, monkeypatch, answers):
+    """Records that change all along, asked for from the beginning: what lies behind is not gone through by each request."""
+    monkeypatch.setattr(sync, "BLOCK", 4)
+    monkeypatch.setattr(sync, "RUN", 2)
+    monkeypatch.setattr(sync, "REQUESTS", 50)
+    r = random.Random(3)
+    changes = [("f", push, k, "patient", f"i{r.randrange(9)}-{k}", float(push), None, f"{push}-{k}") for push in range(300) for k in range(4)]
+    requests = [("f", push, r.choice((0, 0, push))) for push in range(300)]
+    want = one_by_one(changes, requests, [], [], 10)[answers == "pages"]
+    got = getattr(sync, answers)(spark.createDataFrame(requests, "facilityId string, push long, cursor long"), spark.createDataFrame(changes, CHANGES), page=10)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert _generated(got._jdf.queryExecution().executedPlan()) < 4 * (len(changes) + len(requests))
