@@ -178,3 +178,35 @@ def test_requests_do_not_meet_what_was_followed(spark, monkeypatch, answers):
     got = getattr(sync, answers)(spark.createDataFrame(requests, "facilityId string, push long, cursor long"), spark.createDataFrame(changes, CHANGES), page=10)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert _generated(got._jdf.queryExecution().executedPlan()) < 4 * (len(changes) + len(requests))
+
+
+def test_sparse_pushes_and_a_long_way_to_look(spark, monkeypatch):
+    """Numbers of pushes far apart, few requests among many pushes, and counts that are looked at in pieces."""
+    monkeypatch.setattr(sync, "BLOCK", 2)
+    monkeypatch.setattr(sync, "RUN", 3)
+    monkeypatch.setattr(sync, "REQUESTS", 7)
+    monkeypatch.setattr(sync, "_LOOK", 3)
+    r = random.Random(4)
+    at = sorted(r.sample(range(10**12), 60))
+    changes = [(f, push, k, r.choice(("patient", "encounter")), f"i{r.randrange(60)}", float(n + r.randrange(3)), None, f"{push}-{k}") for n, push in enumerate(at) for f in ("f1", "f2") for k in range(r.randrange(6))]
+    requests = [(f, push + r.randrange(3), r.choice((0, 7, 50, 10**11))) for f in ("f1", "f2") for push in r.sample(at, 25)] + [("f1", -(10**9), 0)]
+    frames = [spark.createDataFrame(requests, "facilityId string, push long, cursor long"), spark.createDataFrame(changes, CHANGES)]
+    assert sorted(map(tuple, sync.pages(*frames, page=25).collect())) == sorted(_sent_at(changes, requests, 25))
+    assert sorted(x.records for x in sync.responses(*frames, page=25).collect()) == sorted(_records(changes, requests, 25))
+
+
+def _sent_at(changes, requests, page):
+    """Pages of requests that come with no push of their own: as after the last push until then."""
+    out = []
+    for facility, push, cursor in requests:
+        before = [c for c in changes if c[0] == facility and c[1] <= push]
+        pushes = sorted({c[1] for c in before})
+        if pushes:
+            asks = [(facility, p, cursor) for p in pushes]
+            out += [(facility, push, *row[2:]) for row in one_by_one(before, asks, [], [], page)[1] if row[1] == pushes[-1]]
+    return out
+
+
+def _records(changes, requests, page):
+    sent = [row[:2] for row in _sent_at(changes, requests, page)]
+    return [sent.count((facility, push)) for facility, push, _ in requests]
