@@ -157,7 +157,7 @@ def read_items(spark: SparkSession, path: str, name: str, schema: str) -> DataFr
     """The items of one list of a document that write_document made, as rows; lines are read in parallel.
 
     An item's line is known by the JSON that it holds, so lists are told apart by a field that only one of them has."""
-    line = F.regexp_replace("value", "^,", "")
-    # only lines with the field are parsed
-    lines = read_lines(spark, path).filter(F.contains("value", F.lit(f'"{name}":'))).filter(line.startswith("{") & F.col("value").endswith("}"))
-    return lines.select(F.from_json(line, schema).alias("item")).filter(F.col(f"item.{name}").isNotNull()).select("item.*")
+    line = F.ltrim("value", F.lit(","))
+    # only lines with the field are parsed, and each once: no filter is pushed through a list of one
+    lines = read_lines(spark, path).filter(F.contains("value", F.lit(f'"{name}":')) & line.startswith("{") & F.col("value").endswith("}"))
+    return lines.select(F.explode(F.array(F.from_json(line, schema))).alias("item")).filter(F.col(f"item.{name}").isNotNull()).select("item.*")

@@ -251,3 +251,11 @@ def test_queries_leave_compressed_documents(spark, tmp_path, monkeypatch):
         text = gzip.decompress(f.read_bytes())
         json.loads(text)
         assert f.stat().st_size * 4 < len(text)
+
+
+def test_lines_of_a_document_are_parsed_once(spark, tmp_path):
+    at = str(tmp_path / "d.json.gz-joined")
+    write_document(spark, at, "{}", {"a": (spark.range(9), F.to_json(F.struct("id", F.lit("x").alias("b"))), ["id"])})
+    rows = read_items(spark, at, "id", "id long, b string").filter("b = 'x'").select("id", "b")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 9 and plan.count("Generate explode") == 1 and "Filter" in plan[: plan.index("Generate explode")]
